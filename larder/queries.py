@@ -125,7 +125,7 @@ _SEM = """cs AS (SELECT CAST(q.vec_id + 1 AS INTEGER) AS query_id, v.vec_id AS d
 sem AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM cs)"""
 _CHUNK = """ch AS (SELECT doc_id, i AS ordinal, substring(text, CAST(i * 1080 + 1 AS BIGINT), 1200) AS text FROM (SELECT doc_id, text,
   unnest(range(0, greatest(0, CAST(ceil((length(text) - 1200) / 1080.0) AS BIGINT)) + 1)) AS i FROM documents WHERE text IS NOT NULL))"""
-_EV = "ev AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM events)"
+_EV = "ev AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events)"
 SQL = {
     "bm25_search": f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM lex WHERE rank <= 10",
     "vector_topk": f"WITH {_SEM} SELECT query_id, doc_id, score, rank FROM sem WHERE rank <= 10",
@@ -143,12 +143,12 @@ SQL = {
     "folder_dedup": f"""WITH {_ITEMS}, {_FILED} SELECT doc_id, string_agg(DISTINCT name, '|' ORDER BY name) AS folders, min(favorited) AS first_fav, min(published) AS first_seen
       FROM items JOIN filed USING (doc_id) GROUP BY doc_id""",
     "upsert_classify": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'added' WHEN doc_id % 7 = 0 AND text IS NOT NULL THEN 'refreshed' ELSE 'duplicate' END AS change FROM documents",
-    "scan_cap": f"WITH {_EV}, p AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY at, event_id) AS pos FROM ev) SELECT event_id, pos, (pos - 1) // 20 AS batch, pos <= 50 AS accepted FROM p",
-    "frontier_merge": f"""WITH {_EV}, m AS (SELECT user_id, event_type, event_id, max(at) AS at FROM ev GROUP BY ALL),
-      p AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY at DESC, event_id DESC) AS pos FROM m) SELECT user_id, event_type, event_id, pos FROM p WHERE pos <= 20""",
-    "lease_expiry": f"""WITH {_EV}, g AS (SELECT user_id, at, CASE WHEN at - lag(at) OVER (PARTITION BY user_id ORDER BY at) <= 180 THEN 0 ELSE 1 END AS new FROM ev),
-      s AS (SELECT user_id, at, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY at) AS BIGINT) AS session FROM g)
-      SELECT user_id, session, min(at) AS begun, max(at) AS ended, count(*) AS beats FROM s GROUP BY ALL""",
+    "scan_cap": f"WITH {_EV}, p AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS pos FROM ev) SELECT event_id, pos, (pos - 1) // 20 AS batch, pos <= 50 AS accepted FROM p",
+    "frontier_merge": f"""WITH {_EV}, m AS (SELECT user_id, event_type, event_id, max(sec) AS sec FROM ev GROUP BY ALL),
+      p AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY sec DESC, event_id DESC) AS pos FROM m) SELECT user_id, event_type, event_id, pos FROM p WHERE pos <= 20""",
+    "lease_expiry": f"""WITH {_EV}, g AS (SELECT user_id, sec, CASE WHEN sec - lag(sec) OVER (PARTITION BY user_id ORDER BY sec) <= 180 THEN 0 ELSE 1 END AS new FROM ev),
+      s AS (SELECT user_id, sec, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY sec) AS BIGINT) AS session FROM g)
+      SELECT user_id, session, min(sec) AS begun, max(sec) AS ended, count(*) AS beats FROM s GROUP BY ALL""",
     "transcript_render": "SELECT conv_id, count(*) AS cues, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY conv_id",
     "cjk_bigrams": "SELECT * FROM (VALUES (0, ''), (1, '检'), (2, '全文 文检 检索'), (3, 'Spark 引擎'), (4, 'a 检索 b'), (5, '检 , 索引')) AS t(id, bigrams)",
 }
