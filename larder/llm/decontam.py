@@ -53,11 +53,11 @@ def overlap(doc, item, diag: int, miss: int = 4) -> int:
 _SEED = "array<struct<pos:int,h:long>>"
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", least: int = 12, bits: int = 20) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", least: int = 12, bits: int = 24) -> DataFrame:
     """``docs`` with all its columns plus ``bench_items_`` (distinct items met) and ``bench_overlap_`` (tokens).
 
     Both texts become lower-cased words. Every window of ten words is hashed under four masks.
-    A bitmap of 2^``bits`` bits made of the benchmark hashes (its size is fixed) keeps
+    A bitmap of 2^``bits`` bits, two to a benchmark hash (its size is fixed), keeps
     most training windows from being shuffled; those left join on the hash itself. Each hit names
     a diagonal, on which at least ``least`` tokens must match, or nine tenths of a shorter item,
     with at most one substitution per four matches. Items under ten words have no
@@ -71,7 +71,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", least:
     b = bench.select(F.xxhash64(F.col(text)).alias("item"), word_hashes(F.col(text)).alias("bw")).where(F.size("bw") >= 10).dropDuplicates(["item"])
     b = cut(b.withColumn("s", F.pandas_udf(windows, _SEED)("bw")))
     bs = b.select("item", F.explode("s").alias("s")).select("item", F.col("s.pos").alias("bpos"), F.col("s.h").alias("h"))
-    spots = bs.select(F.col("h").bitwiseAND(F.lit(bits_mask)).cast("int").alias("i")).distinct().toPandas()["i"].to_numpy(dtype=np.int64)
+    probes = F.array(*[F.shiftright("h", n).bitwiseAND(F.lit(bits_mask)).cast("int") for n in (0, 32)])
+    spots = bs.select(F.explode(probes).alias("i")).distinct().toPandas()["i"].to_numpy(dtype=np.int64)
     bitmap = np.zeros((1 << bits) // 8, np.uint8)
     np.bitwise_or.at(bitmap, spots >> 3, (1 << (spots & 7)).astype(np.uint8))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
@@ -81,8 +82,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", least:
         out = []
         for w in words:
             pos, h = seeds(w)
-            i = h & bits_mask
-            keep = (held[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
+            keep = np.ones(len(h), bool)
+            for i in (h & bits_mask, (h >> 32) & bits_mask):
+                keep &= (held[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
             out.append([(int(p), int(x)) for p, x in zip(pos[keep], h[keep])])
         return pd.Series(out)
 

@@ -53,7 +53,7 @@ def sainte_lague(cells: DataFrame, group: list[str], key: Column, want: Column,
     e = c.withColumn("_i", step)
     a = F.when(F.col("_gap") > 0, F.col("_base") + F.col("_i") - 1).otherwise(F.col("_base") - F.col("_i"))
     e = e.withColumn("_a", a).withColumn("_quot", F.when(F.col("_a") >= 0, F.col("_want") / (2 * F.col("_a") + 1)))
-    asc = Window.partitionBy(*group).orderBy(F.when(F.col("_gap") > 0, -F.col("_quot")).otherwise(F.col("_quot")).asc_nulls_last(), "_key")
+    asc = Window.partitionBy(*group).orderBy(F.when(F.col("_gap") > 0, -F.col("_quot")).otherwise(F.col("_quot")).asc_nulls_last(), F.when(F.col("_gap") > 0, F.col("_key")).asc_nulls_last(), F.col("_key").desc_nulls_first())
     e = e.withColumn("_rank", F.row_number().over(asc))
     moved = F.sum(F.when(F.col("_quot").isNotNull() & (F.col("_rank") <= F.abs("_gap")), F.signum(F.col("_gap").cast("double"))).otherwise(0.0))
     keys = [x for x in cells.columns]

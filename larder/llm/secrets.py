@@ -49,12 +49,13 @@ def scan_blobs(versions: DataFrame, path: str, content: str, ledger: DataFrame |
     if ledger is None:
         blobs = blobs.withColumn("_seen", F.array().cast("array<struct<name:string,spans:" + _SPAN + ">>"))
     else:
-        name = F.concat_ws("@", "rule", F.col("version").cast("string"))
-        old = ledger.groupBy("blob").agg(F.collect_list(F.struct(name.alias("name"), F.col("spans"))).alias("_seen"))
+        pair = F.concat_ws("@", "rule", F.col("version").cast("string"))
+        old = ledger.groupBy("blob").agg(F.collect_list(F.struct(pair.alias("name"), F.col("spans"))).alias("_seen"))
         blobs = blobs.join(old, "blob", "left").withColumn("_seen", F.coalesce("_seen", F.array().cast(old.schema["_seen"].dataType)))
     made = []
     for i, (kind, version, pattern, group, least) in enumerate(rules):
-        known = F.filter("_seen", lambda x, n=names[i]: x["name"] == n)
+        name = F.lit(names[i])
+        known = F.filter("_seen", lambda x: x["name"] == name)  # noqa: B023
         spans = F.when(F.size(known) > 0, F.get(known, F.lit(0))["spans"]).otherwise(_spans(F.col("_text"), i, kind, pattern, group, least))
         made.append(F.struct(F.lit(kind).alias("rule"), F.lit(version).alias("version"), (F.size(known) == 0).alias("new"), spans.alias("spans")))
     found = blobs.select("blob", F.array(*made).alias("_made"))
