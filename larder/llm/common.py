@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,21 @@ def word_hashes(col: Column) -> Column:
 def fold(col: Column, k: int) -> Column:
     """crc32 of the id as text, modulo ``k``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % k
+
+
+_LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_MEMO: dict[bytes, int] = {}
+
+
+def word_bytes(text: str | None) -> list[bytes]:
+    """The words of ``words`` as UTF-8, for tasks: ``bytes.split`` parts at the same six characters."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER_BYTES).split()
+
+
+def hashes_of(found: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words. Hashes of repeated words come from a memo that is emptied when it is full."""
+    if len(_MEMO) > 500_000:
+        _MEMO.clear()
+    for w in set(found).difference(_MEMO):
+        _MEMO[w] = xxhash.xxh64_intdigest(w, 42)
+    return np.fromiter(map(_MEMO.__getitem__, found), np.uint64, len(found))

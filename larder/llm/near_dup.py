@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, table, word_hashes
+from larder.llm.common import cut, hashes_of, table, word_bytes
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -19,7 +20,7 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(hashes, k: int) -> np.ndarray:
     """Distinct 64-bit hashes of the k-word shingles; fewer words make one shingle of them all."""
-    h = np.asarray(hashes, dtype=np.int64).view(np.uint64)
+    h = np.asarray(hashes, dtype=np.uint64)
     n = len(h)
     if n == 0:
         return np.empty(0, np.uint64)
@@ -31,15 +32,17 @@ def shingle_set(hashes, k: int) -> np.ndarray:
 
 
 def _signer(k: int, tuples: int, width: int, seed: int):
-    """Arrow UDF: word hashes -> set size and two collections of ``tuples`` keys of ``width`` minhashes."""
+    """Arrow UDF: text -> digest of its word sequence, set size, two collections of ``tuples`` keys of ``width`` minhashes."""
     rng = np.random.default_rng(seed)
     mul = rng.integers(1, 2**63, 2 * tuples * width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, 2 * tuples * width, dtype=np.uint64)
 
-    def sign(words: pd.Series) -> pd.DataFrame:
-        sizes, keys = [], []
-        for w in words:
-            s = shingle_set(w, k)
+    def sign(texts: pd.Series) -> pd.DataFrame:
+        digests, sizes, keys = [], [], []
+        for t in texts:
+            w = word_bytes(t)
+            s = shingle_set(hashes_of(w), k)
+            digests.append(xxhash.xxh3_128_digest(b" ".join(w)))
             sizes.append(len(s))
             if not len(s):
                 keys.append([])
@@ -52,14 +55,14 @@ def _signer(k: int, tuples: int, width: int, seed: int):
             for j in range(width):
                 acc = _scramble(acc * _MIX + low[j::width])
             keys.append(acc.view(np.int64))
-        return pd.DataFrame({"n": sizes, "keys": keys})
+        return pd.DataFrame({"seq": digests, "n": sizes, "keys": keys})
 
-    return F.pandas_udf(sign, "n long, keys array<long>")
+    return F.pandas_udf(sign, "seq binary, n long, keys array<long>")
 
 
 def _sets(k: int):
-    def make(words: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(w, k).view(np.int64) for w in words])
+    def make(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(hashes_of(word_bytes(t)), k).view(np.int64) for t in texts])
 
     return F.pandas_udf(make, "array<long>")
 
@@ -81,62 +84,77 @@ def _labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_dups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, tuples: int = 9, width: int = 2, seed: int = 7) -> DataFrame:
+def near_dups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, tuples: int = 12, width: int = 2, seed: int = 7) -> DataFrame:
     """(id, n_shingles, component_id) per row; ids should be unique and non-null.
 
     Rows with equal word sequences form a class first, so copies never meet pair by pair.
     Each class has two collections of ``tuples`` small keys; a table is a pair of one from each,
     which gives tuples^2 tables from 2 * tuples * width minhashes (at similarity 0.8 a pair
-    shares no table with probability 2e-4). In each table every class is compared with
-    the bucket's least class under an order of that table's own; so a large bucket gives a row
-    per member and tables differ in their centres. A first round takes one centre per class and
-    joins components, later rounds only pairs that are still apart. Links are confirmed on
-    full sets. Texts without words are linked with nothing. Rows of equal id share a fate.
+    shares no table with probability 1e-5). Only small keys that two classes hold can form a table
+    that two classes share, so the others go before the pairs are formed.
+
+    Three rounds confirm links on full sets and join components. First every class meets one centre,
+    the least of its largest bucket under an order of that table's own; then the centres of its other
+    buckets that are still apart from it. Last, in buckets that still hold several components, every member
+    outside the largest component meets all members of other components. So two classes
+    that share a table are compared or already joined, yet members of one component never meet pair by pair.
+    Texts without words are linked with nothing. Rows of equal id share a fate.
     """
-    src = docs.select(F.col(id_col).alias("_id"), word_hashes(F.col(text)).alias("_w"))
-    src = src.withColumn("_seq", F.xxhash64("_w", F.size("_w")))
     sign = _signer(k, tuples, width, seed)
-    # One pass over the words; the sequence hash and a small signature are all that is kept.
-    base = cut(src.select("_id", "_seq", sign("_w").alias("s")).select("_id", "_seq", "s.n", "s.keys"))
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    base = cut(src.select("_id", sign("_text").alias("s")).select("_id", F.col("s.seq").alias("_seq"), "s.n", "s.keys"))
     full = base.where("n > 0")
     reps = full.groupBy("_seq").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     reps = cut(reps.select("rep", "n", "keys"))
-    cell = F.explode(F.sequence(F.lit(0), F.lit(tuples * tuples - 1)))
-    t = reps.select("rep", "keys", cell.alias("t"))
-    left, right = F.get("keys", F.floor(F.col("t") / tuples).cast("int")), F.get("keys", (F.col("t") % tuples + tuples).cast("int"))
-    t = t.select("rep", F.xxhash64("t", left, right).alias("key"), F.xxhash64("rep", "t").alias("o"))
+    small = reps.select("rep", F.posexplode("keys").alias("i", "key"))
+    shared = small.groupBy("key").count().where("count > 1").select("key")
+    live = small.join(shared, "key").groupBy("rep").agg(F.collect_list(F.struct("i", "key")).alias("live"))  # 2 * tuples at most
+    side = lambda left: F.filter("live", lambda x: (x["i"] < tuples) == F.lit(left))
+    t = live.select("rep", F.explode(side(True)).alias("l"), "live").select("rep", "l", F.explode(side(False)).alias("r"))
+    t = t.select("rep", F.xxhash64("l.key", "r.key").alias("key"))
+    t = cut(t.withColumn("o", F.xxhash64("rep", "key")))
     centre = t.groupBy("key").agg(F.min(F.struct("o", "rep")).alias("c"), F.count("*").alias("m")).where("m > 1")
-    cand = t.join(centre.select("key", F.col("c.rep").alias("c"), "m"), "key").where("rep <> c")
-    cand = cut(cand.groupBy("rep", "c").agg(F.max("m").alias("m")))
-    first = cand.groupBy("rep").agg(F.max_by("c", F.struct("m", "c")).alias("c"))
-    words = docs.select(F.col(id_col).alias("_id"), word_hashes(F.col(text)).alias("_w"))
+    t = t.join(centre.select("key", F.col("c.rep").alias("c"), "m"), "key").join(reps.select("rep", "n"), "rep")
+    t = cut(t.select("rep", "key", "c", "m", "n"))
+    # The sets of all classes that may meet another, once; the text is shuffled, not its hashes.
+    met = t.select(F.col("rep").alias("_id")).distinct()
+    sets = src.join(met, "_id", "left_semi").dropDuplicates(["_id"])
+    sets = cut(sets.select("_id", _sets(k)("_text").alias("set")))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("rep").alias("_id")).union(pairs.select(F.col("c").alias("_id"))).distinct()
-        sets = cut(words.join(ids, "_id").dropDuplicates(["_id"]).select("_id", _sets(k)("_w").alias("set")))
         p = pairs.join(sets.select(F.col("_id").alias("rep"), F.col("set").alias("x")), "rep")
         p = p.join(sets.select(F.col("_id").alias("c"), F.col("set").alias("y")), "c")
         both = F.size(F.array_intersect("x", "y"))
         return p.where(both * den >= (F.size("x") + F.size("y") - both) * num).select(F.col("rep").alias("a"), F.col("c").alias("b"))
 
-    sized = reps.select("rep", "n")
-    cand = cand.join(sized, "rep").join(sized.select(F.col("rep").alias("c"), F.col("n").alias("nc")), "c")
-    cand = cut(cand.where(F.least("n", "nc") * den >= F.greatest("n", "nc") * num).select("rep", "c"))
-    links = cut(confirm(first.join(cand, ["rep", "c"])))
+    def alike(n, m):
+        return F.least(n, m) * den >= F.greatest(n, m) * num
+
+    cand = t.where("rep <> c").groupBy("rep", "c").agg(F.max("m").alias("m"), F.first("n").alias("n"))
+    cand = cand.join(reps.select(F.col("rep").alias("c"), F.col("n").alias("nc")), "c")
+    cand = cut(cand.where(alike(F.col("n"), F.col("nc"))).select("rep", "c", "m"))
+    first = cand.groupBy("rep").agg(F.max_by("c", F.struct("m", "c")).alias("c"))
+    links = cut(confirm(first))
     lab = _labels(links)
     apart = cand.join(lab.select(F.col("node").alias("rep"), F.col("label").alias("lr")), "rep", "left")
     apart = apart.join(lab.select(F.col("node").alias("c"), F.col("label").alias("lc")), "c", "left")
-    apart = cut(apart.where(F.coalesce("lr", "rep") != F.coalesce("lc", "c")).select(F.least("rep", "c").alias("rep"), F.greatest("rep", "c").alias("c")).distinct())
-    links = links.union(confirm(apart))
+    apart = apart.where(F.coalesce("lr", "rep") != F.coalesce("lc", "c")).select(F.least("rep", "c").alias("rep"), F.greatest("rep", "c").alias("c")).distinct()
+    links = cut(links.union(confirm(apart)))
     lab = _labels(links)
+    now = t.select("rep", "key", "n").join(lab.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    main = now.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("kinds"))
+    mixed = cut(now.join(main.where("kinds > 1"), "key").drop("kinds"))
+    out = mixed.where("label <> main").select("key", F.col("rep").alias("r1"), F.col("label").alias("l1"), F.col("n").alias("n1"))
+    late = out.join(mixed, "key").where((F.col("l1") != F.col("label")) & alike(F.col("n1"), F.col("n")) & ((F.col("label") == F.col("main")) | (F.col("r1") < F.col("rep"))))
+    late = late.select(F.least("r1", "rep").alias("rep"), F.greatest("r1", "rep").alias("c")).distinct()
+    more = cut(confirm(late))
+    lab = _labels(links.union(more))
     seq = full.groupBy("_seq").agg(F.min("_id").alias("rep")).join(lab.withColumnRenamed("node", "rep"), "rep", "left")
     seq = seq.select("_seq", F.coalesce("label", "rep").alias("label"))
-    out = base.join(seq, "_seq", "left")
+    out = base.select("_id", "_seq", "n").join(seq, "_seq", "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("_id")).alias("component_id"))
 
 
 def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     out = near_dups(table(spark, sf_dir, "documents"), k=2)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
-
