@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import SPACE, lower_ascii, table
+from larder.llm.common import lower_ascii, table
+
+
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _key(line: Column) -> Column:
-    return F.regexp_replace(lower_ascii(line), rf"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(lower_ascii(line), F.lit(BLANKS))
 
 
 def _hash(line: Column) -> Column:
