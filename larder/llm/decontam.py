@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, table, word_hashes
+from larder.llm.common import cut, hashes_of, table, word_bytes
 
 #: Fixed masks over ten tokens: 1 is compared, 0 is ignored. Each compares seven.
 MASKS = ("1110110011", "1101011101", "1011101110", "1111111000")
@@ -16,7 +16,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def seeds(hashes) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash) of every window under every mask."""
-    h = np.asarray(hashes, dtype=np.int64).view(np.uint64)
+    h = np.asarray(hashes).view(np.uint64)
     pos, out = [], []
     for m, mask in enumerate(MASKS):
         n = len(h) - len(mask) + 1
@@ -34,6 +34,21 @@ def seeds(hashes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(pos), np.concatenate(out)
 
 
+def _runs(texts: pd.Series, most: int = 1 << 19):
+    """(word hashes of some texts in a row, where each begins, end), about ``most`` words at a time; no text is split."""
+    part, at, starts = [], 0, []
+    for t in texts:
+        h = hashes_of(word_bytes(t))
+        starts.append(at)
+        part.append(h)
+        at += len(h)
+        if at >= most:
+            yield np.concatenate(part), np.array([*starts, at])
+            part, at, starts = [], 0, []
+    if part:
+        yield np.concatenate(part), np.array([*starts, at])
+
+
 def overlap(doc, item, diag: int, miss: int = 4) -> int:
     """Matching tokens of the best run on one diagonal, where each mismatch outweighs ``miss`` matches."""
     lo, hi = max(0, -diag), min(len(item), len(doc) - diag)
@@ -65,11 +80,14 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", least:
     """
     bits_mask = (1 << bits) - 1
 
-    def windows(words: pd.Series) -> pd.Series:
-        return pd.Series([[(int(p), int(h)) for p, h in zip(*seeds(w))] for w in words])
+    def windows(texts: pd.Series) -> pd.DataFrame:
+        found = [hashes_of(word_bytes(t)) for t in texts]
+        return pd.DataFrame({"w": [h.view(np.int64) for h in found], "s": [[(int(p), int(x)) for p, x in zip(*seeds(h))] for h in found]})
 
-    b = bench.select(F.xxhash64(F.col(text)).alias("item"), word_hashes(F.col(text)).alias("bw")).where(F.size("bw") >= 10).dropDuplicates(["item"])
-    b = cut(b.withColumn("s", F.pandas_udf(windows, _SEED)("bw")))
+    seeded = f"w array<long>, s {_SEED}"
+    b = bench.select(F.xxhash64(F.col(text)).alias("item"), F.col(text).alias("_text")).dropDuplicates(["item"])
+    b = b.withColumn("s", F.pandas_udf(windows, seeded)("_text")).select("item", F.col("s.w").alias("bw"), "s.s")
+    b = cut(b.where(F.size("bw") >= 10))
     bs = b.select("item", F.explode("s").alias("s")).select("item", F.col("s.pos").alias("bpos"), F.col("s.h").alias("h"))
     probes = F.array(*[F.shiftright("h", n).bitwiseAND(F.lit(bits_mask)).cast("int") for n in (0, 32)])
     spots = bs.select(F.explode(probes).alias("i")).distinct().toPandas()["i"].to_numpy(dtype=np.int64)
@@ -77,20 +95,28 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", least:
     np.bitwise_or.at(bitmap, spots >> 3, (1 << (spots & 7)).astype(np.uint8))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
-    def likely(words: pd.Series) -> pd.Series:
+    def likely(texts: pd.Series) -> pd.DataFrame:
         held = np.frombuffer(shared.value, np.uint8)
-        out = []
-        for w in words:
-            pos, h = seeds(w)
-            keep = np.ones(len(h), bool)
-            for i in (h & bits_mask, (h >> 32) & bits_mask):
-                keep &= (held[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
-            out.append([(int(p), int(x)) for p, x in zip(pos[keep], h[keep])])
-        return pd.Series(out)
+        ws, ss = [], []
+        for h, starts in _runs(texts):
+            pos, x = seeds(h)
+            for shift in (0, 32):  # the second probe meets the few that the first left
+                i = (x >> shift) & bits_mask
+                keep = (held[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
+                pos, x = pos[keep], x[keep]
+            doc = np.searchsorted(starts, pos, "right") - 1
+            inside = pos + len(MASKS[0]) <= starts[doc + 1]
+            pos, x, doc = pos[inside], x[inside], doc[inside]
+            order = np.argsort(doc, kind="stable")
+            cuts = np.searchsorted(doc[order], np.arange(len(starts)))
+            for d in range(len(starts) - 1):
+                mine = order[cuts[d] : cuts[d + 1]]
+                ss.append([(int(p - starts[d]), int(y)) for p, y in zip(pos[mine], x[mine])])
+                ws.append(h[starts[d] : starts[d + 1]].view(np.int64) if len(mine) else None)
+        return pd.DataFrame({"w": ws, "s": ss})
 
     d = docs.withColumn("_doc", F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.length(F.col(text))))
-    one = d.select("_doc", word_hashes(F.col(text)).alias("dw")).where(F.size("dw") >= 10)
-    one = one.select("_doc", "dw", F.pandas_udf(likely, _SEED)("dw").alias("s")).where(F.size("s") > 0)
+    one = d.select("_doc", F.pandas_udf(likely, seeded)(F.col(text)).alias("f")).select("_doc", F.col("f.w").alias("dw"), F.col("f.s").alias("s")).where(F.size("s") > 0)
     one = cut(one.groupBy("_doc").agg(F.first("dw").alias("dw"), F.first("s").alias("s")))
     hits = one.select("_doc", F.explode("s").alias("s")).select("_doc", F.col("s.pos").alias("dpos"), F.col("s.h").alias("h")).join(bs, "h")
     hits = hits.select("_doc", "item", (F.col("dpos") - F.col("bpos")).alias("diag")).distinct()
