@@ -21,6 +21,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Terms that are broadcast at most; more are joined instead.
+MOST_TERMS = 50_000
 _SPANS = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -81,44 +83,50 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", reach:
             near.update(range(j, min(len(words), j + reach)))
         return words, near
 
-    def find(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            spans = base_spans(t)
-            near = []
-            if spans:
-                words, idx = near_words(t, spans)
-                near = [(words[i].group().lower(), words[i].start(), words[i].end()) for i in sorted(idx)]
-            rows.append((spans, near))
-        return pd.DataFrame(rows, columns=["spans", "near"])
-
-    kind = f"spans {_SPANS}, near array<struct<term:string,start:int,end:int>>"
-    src = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    found = cut(src.withColumn("f", F.pandas_udf(find, kind)("_text")).select("_id", "_text", "f.spans", "f.near"))
-
-    # Words seen near a span: the only ones that can reveal. Their counts cover the whole corpus.
-    close = found.select(F.explode("near").alias("w")).groupBy(F.col("w.term").alias("term")).agg(F.count("*").alias("n_near"))
-    close = close.where(F.col("n_near") >= least)
+    def find(t: str):
+        spans = base_spans(t)
+        if not spans:
+            return spans, []
+        words, idx = near_words(t, spans)
+        return spans, [(words[i].group().lower(), words[i].start(), words[i].end()) for i in sorted(idx)]
 
     def tally(batches):
         for b in batches:
-            c = Counter()
+            n, near = Counter(), Counter()
             for t in b["_text"]:
-                c.update(_WORD.findall(t.lower()))
-            yield pd.DataFrame({"term": list(c.keys()), "n": list(c.values())}).astype({"term": "object", "n": "int64"})
+                n.update(_WORD.findall(t))
+                near.update(w for w, _, _ in find(t)[1])
+            low = Counter()
+            for w, k in n.items():
+                low[w.lower()] += k
+            yield pd.DataFrame({"term": list(low), "n": list(low.values()), "n_near": [near[w] for w in low]}).astype({"term": "object", "n": "int64", "n_near": "int64"})
 
-    every = found.select("_text").mapInPandas(tally, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    every = cut(every.join(close, "term", "left"))
-    total = every.agg(F.sum("n"), F.sum("n_near")).first()
-    base = (total[1] or 0) / max(1, total[0] or 0)
+    src = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    every = src.select("_text").mapInPandas(tally, "term string, n long, n_near long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_near").alias("n_near"))
+    every = cut(every)
+    seen = every.where(F.col("n_near") >= least)
+    total, close = every.agg(F.sum("n")).first()[0], seen.agg(F.sum("n_near")).first()[0]
+    base = (close or 0) / max(1, total or 0)
     rate = F.col("n_near") / F.col("n")
-    reveals = every.where("n_near is not null").where((rate >= share) & (F.log2(rate / F.lit(max(base, 1e-12))) >= bits)).select("term")
+    reveals = seen.where((rate >= share) & (F.log2(rate / F.lit(max(base, 1e-12))) >= bits)).select("term")
+    few = reveals.limit(MOST_TERMS + 1).toPandas()["term"]
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(few)) if len(few) <= MOST_TERMS else None
+
+    def mark(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            spans, near = find(t)
+            rows.append((spans + [(4, s, e) for w, s, e in near if known and w in known.value], [] if known else near))
+        return pd.DataFrame(rows, columns=["spans", "near"])
 
-    used = found.where(F.size("near") > 0).withColumn("_row", F.xxhash64("_id", "_text"))
-    hits = used.select("_row", F.explode("near").alias("w")).select("_row", "w.term", "w.start", "w.end").join(reveals, "term")
-    hits = hits.groupBy("_row").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("extra"))
-    out = found.withColumn("_row", F.xxhash64("_id", "_text")).join(hits, "_row", "left")
-    out = out.withColumn("spans", F.array_sort(F.concat("spans", F.coalesce("extra", F.array().cast(_SPANS)))))
+    out = src.withColumn("f", F.pandas_udf(mark, f"spans {_SPANS}, near array<struct<term:string,start:int,end:int>>")("_text"))
+    out = out.select("_id", "_text", "f.spans", "f.near")
+    if known is None:  # too many terms to broadcast: join them to their uses
+        out = cut(out.withColumn("_row", F.xxhash64("_id", "_text")))
+        hits = out.where(F.size("near") > 0).select("_row", F.explode("near").alias("w")).select("_row", "w.term", "w.start", "w.end").join(reveals, "term")
+        hits = hits.groupBy("_row").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("extra"))
+        out = out.join(hits, "_row", "left").withColumn("spans", F.concat("spans", F.coalesce("extra", F.array().cast(_SPANS))))
+    out = out.withColumn("spans", F.array_sort("spans"))
 
     def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
         done = []
