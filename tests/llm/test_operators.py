@@ -76,7 +76,9 @@ def test_pii_brute(spark, sf, docs):
     assert got[6].n_email == got[6].n_phone == got[6].n_card == 1
 
 
-def test_pii_terms(spark):
+@pytest.mark.parametrize("most", [50_000, 0])  # 0: the terms are joined, not broadcast
+def test_pii_terms(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "MOST_TERMS", most)
     rows = [(i, f"Reach agent{'x' * (i % 2)} kontakt u{i}@ex.org filler words that go on and on {i % 7}") for i in range(60)]
     rows += [(i, "plain prose about gardens, weather and bread, with no address in it at all") for i in range(60, 400)]
     got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
@@ -119,6 +121,27 @@ def test_near_dups_brute(spark, sf, docs):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), label[i], label[i] == i)
 
 
+def test_near_dups_members_that_only_meet_others(spark):
+    """A text close to one member of a large bucket, and not to its centre, still joins the group."""
+    rng = random.Random(5)
+    core = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(core)
+        for _ in range(1 + i % 3):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in near_dup.near_dups(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()}
+    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in rows}
+    links = 0
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                links += 1
+                assert got[i] == got[j]
+    assert links
+
+
 def test_lm_brute(spark, sf, docs):
     got = by_id(lm.op10_lm_score(spark, sf).toPandas())
     toks = {i: [*WORD.findall(low(t)), "\n"] for i, t, *_ in docs}
