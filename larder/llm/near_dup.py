@@ -84,7 +84,7 @@ def _labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_dups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, tuples: int = 12, width: int = 2, seed: int = 7) -> DataFrame:
+def near_dups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, tuples: int = 12, width: int = 2, seed: int = 7, orders: int = 4) -> DataFrame:
     """(id, n_shingles, component_id) per row; ids should be unique and non-null.
 
     Rows with equal word sequences form a class first, so copies never meet pair by pair.
@@ -94,8 +94,9 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: in
     that two classes share, so the others go before the pairs are formed.
 
     Three rounds confirm links on full sets and join components. First every class meets one centre,
-    the least of its largest bucket under an order of that table's own; then the centres of its other
-    buckets that are still apart from it. Last, in buckets that still hold several components, every member
+    the least of its largest bucket under one of ``orders`` orders, which the bucket's key picks; then
+    the centres of its other buckets that are still apart from it. With few orders a large group has few
+    centres, so its classes meet few of them. Last, in buckets that still hold several components, every member
     outside the largest component meets all members of other components. So two classes
     that share a table are compared or already joined, yet members of one component never meet pair by pair.
     Texts without words are linked with nothing. Rows of equal id share a fate.
@@ -106,18 +107,17 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: in
     full = base.where("n > 0")
     reps = full.groupBy("_seq").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     reps = cut(reps.select("rep", "n", "keys"))
-    small = reps.select("rep", F.posexplode("keys").alias("i", "key"))
+    small = reps.select("rep", "n", F.posexplode("keys").alias("i", "key"))
     shared = small.groupBy("key").count().where("count > 1").select("key")
-    live = small.join(shared, "key").groupBy("rep").agg(F.collect_list(F.struct("i", "key")).alias("live"))  # 2 * tuples at most
+    live = small.join(shared, "key").groupBy("rep", "n").agg(F.collect_list(F.struct("i", "key")).alias("live"))  # 2 * tuples at most
     side = lambda left: F.filter("live", lambda x: (x["i"] < tuples) == F.lit(left))
-    t = live.select("rep", F.explode(side(True)).alias("l"), "live").select("rep", "l", F.explode(side(False)).alias("r"))
-    t = t.select("rep", F.xxhash64("l.key", "r.key").alias("key"))
-    t = cut(t.withColumn("o", F.xxhash64("rep", "key")))
-    centre = t.groupBy("key").agg(F.min(F.struct("o", "rep")).alias("c"), F.count("*").alias("m")).where("m > 1")
-    t = t.join(centre.select("key", F.col("c.rep").alias("c"), "m"), "key").join(reps.select("rep", "n"), "rep")
-    t = cut(t.select("rep", "key", "c", "m", "n"))
+    t = live.select("rep", "n", F.explode(side(True)).alias("l"), "live").select("rep", "n", "l", F.explode(side(False)).alias("r"))
+    t = cut(t.select("rep", "n", F.xxhash64("l.key", "r.key").alias("key")))
+    order = F.xxhash64("rep", F.pmod("key", F.lit(orders)))
+    centre = t.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
+    centre = cut(centre.select("key", F.col("c.rep").alias("c"), F.col("c.n").alias("nc"), "m"))
     # The sets of all classes that may meet another, once; the text is shuffled, not its hashes.
-    met = t.select(F.col("rep").alias("_id")).distinct()
+    met = t.join(centre.select("key"), "key", "left_semi").select(F.col("rep").alias("_id")).distinct()
     sets = src.join(met, "_id", "left_semi").dropDuplicates(["_id"])
     sets = cut(sets.select("_id", _sets(k)("_text").alias("set")))
 
@@ -130,9 +130,8 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: in
     def alike(n, m):
         return F.least(n, m) * den >= F.greatest(n, m) * num
 
-    cand = t.where("rep <> c").groupBy("rep", "c").agg(F.max("m").alias("m"), F.first("n").alias("n"))
-    cand = cand.join(reps.select(F.col("rep").alias("c"), F.col("n").alias("nc")), "c")
-    cand = cut(cand.where(alike(F.col("n"), F.col("nc"))).select("rep", "c", "m"))
+    cand = t.join(centre, "key").where((F.col("rep") != F.col("c")) & alike(F.col("n"), F.col("nc")))
+    cand = cut(cand.groupBy("rep", "c").agg(F.max("m").alias("m")))
     first = cand.groupBy("rep").agg(F.max_by("c", F.struct("m", "c")).alias("c"))
     links = cut(confirm(first))
     lab = _labels(links)
@@ -141,7 +140,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: in
     apart = apart.where(F.coalesce("lr", "rep") != F.coalesce("lc", "c")).select(F.least("rep", "c").alias("rep"), F.greatest("rep", "c").alias("c")).distinct()
     links = cut(links.union(confirm(apart)))
     lab = _labels(links)
-    now = t.select("rep", "key", "n").join(lab.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    now = t.join(centre.select("key"), "key", "left_semi").join(lab.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     main = now.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("kinds"))
     mixed = cut(now.join(main.where("kinds > 1"), "key").drop("kinds"))
     out = mixed.where("label <> main").select("key", F.col("rep").alias("r1"), F.col("label").alias("l1"), F.col("n").alias("n1"))
