@@ -1,66 +1,133 @@
-"""LM scoring: a bigram model as a weighted automaton with failure arcs."""
+"""LM scoring: a bigram model as a weighted automaton with failure arcs, walked in blocks of text."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, fold, table, word_hashes
+from larder.llm.common import cut, fold, hashes_of, table, word_bytes
 
-END, START = 1, 2  # symbols besides the words' 64-bit hashes
+END, START = np.uint64(1), np.uint64(2)  # symbols besides the words' 64-bit hashes
+KEYS = "block long, si int, wi int, s long, w long, c int"
 
 
-def arcs_of(docs: DataFrame, id_col: str, text: str, train) -> DataFrame:
-    """(id, train, s, w, n): how often a document's walk takes symbol w in state s (the last word)."""
-    toks = F.concat(word_hashes(F.col(text)), F.array(F.lit(END).cast("long")))
-    d = docs.select(F.col(id_col).alias("_id"), train.alias("_train"), toks.alias("_t"))
-    prev = F.concat(F.array(F.lit(START).cast("long")), F.slice("_t", 1, F.size("_t") - 1))
-    d = d.select("_id", "_train", F.explode(F.arrays_zip(prev.alias("s"), F.col("_t").alias("w"))).alias("a"))
-    return d.select("_id", "_train", "a.s", "a.w")
+def _blocks(most: int):
+    """mapInPandas: texts in blocks of about ``most`` symbols.
 
+    A block has a row (si, wi, s, w, c) for each different pair of neighbours, c counting it in training
+    texts; a row (si, s) for each different symbol; and a row (id, train, seq) for each stretch of
+    a text, whose seq holds the state before it and its symbols as numbers of the block. A long text goes on in
+    the next block from the state it was left in, so no row or block grows with a text.
+    """
 
-def automaton(arcs: DataFrame, discount: float = 0.75) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
-    """(bigram arcs (s, w, lp), failure arcs (s, fail), root arcs (w, c, root), totals).
+    def emit(block: int, held: list) -> Iterator[pd.DataFrame]:
+        names, flat = np.unique(np.concatenate([h for _, _, h in held]), return_inverse=True)
+        ends = np.cumsum([len(h) for _, _, h in held])
+        steps = np.ones(len(flat), bool)
+        steps[ends - 1] = False  # the last symbol of a stretch is no state here
+        at = np.flatnonzero(steps)
+        train = np.repeat(np.array([t for _, t, _ in held], bool), np.diff(ends, prepend=0))
+        pair, where = np.unique(flat[at] * len(names) + flat[at + 1], return_inverse=True)
+        count = np.bincount(where, train[at], len(pair))
+        si, wi = np.divmod(pair, len(names))
+        signed = names.view(np.int64)
+        yield pd.DataFrame({"block": block, "si": si, "wi": wi, "s": signed[si], "w": signed[wi], "c": count, "id": None, "train": None, "seq": None})
+        yield pd.DataFrame({"block": block, "si": np.arange(len(names)), "wi": None, "s": signed, "w": None, "c": None, "id": None, "train": None, "seq": None})
+        seqs = [flat[a:b].astype(np.int32).tobytes() for a, b in zip(ends - [len(h) for _, _, h in held], ends, strict=True)]
+        ids, trains, _ = zip(*held, strict=True)
+        yield pd.DataFrame({"block": block, "si": None, "wi": None, "s": None, "w": None, "c": None, "id": ids, "train": trains, "seq": seqs})
 
-    Root arcs hold add-0.1 unigrams over the training tokens. A state's arcs hold absolute discounting
-    with the mass left going to the root: P(w | s) = (max(c - D, 0) + D * kinds(s) * P(w)) / c(s).
-    The failure arc of s weighs D * kinds(s) / c(s), and is taken for symbols without an arc.
-    """
-    pairs = cut(arcs.where("_train").groupBy("s", "w").agg(F.count("*").alias("c")))
-    uni = cut(pairs.groupBy("w").agg(F.sum("c").alias("c")))
-    tot = uni.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = tot["n"] or 0, tot["v"]
+    def make(batches):
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            for i, t, train in zip(batch["id"], batch["text"], batch["train"], strict=True):
+                h = np.concatenate([[START], hashes_of(word_bytes(t)), [END]]).astype(np.uint64)
+                for a in range(0, len(h) - 1, most):
+                    held.append((i, train, h[a : a + most + 1]))
+                    size += len(held[-1][2])
+                    if size >= most:
+                        yield from emit(block, held)
+                        block, held, size = block + 1, [], 0
+        if held:
+            yield from emit(block, held)
+
+    return make
+
+
+def _walk(discount: float, n: int, v: int):
+    """Cogrouped: a block's arcs, states and root arcs with its stretches, to partial sums per id."""
     below = n + 0.1 * (v + 1)
-    root = uni.withColumn("root", (F.col("c") + 0.1) / below)
-    states = pairs.groupBy("s").agg(F.sum("c").alias("cs"), F.count("*").alias("kinds"))
-    fail = states.select("s", "cs", (discount * F.col("kinds") / F.col("cs")).alias("fail"))
-    got = pairs.withColumnRenamed("c", "c2").join(fail, "s").join(root, "w")
-    lp = F.log10((F.col("c2") - discount) / F.col("cs") + F.col("fail") * F.col("root"))
-    return got.select("s", "w", "c", lp.alias("lp"), F.log10("root").alias("base")), fail.select("s", "fail"), root, {"n": n, "v": v, "unseen": 0.1 / below}
+
+    def walk(arcs: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        seqs = [np.frombuffer(s, np.int32) for s in runs["seq"]]
+        size = 1 + max(int(s.max()) for s in seqs)
+        is_pair = arcs["wi"].notna().to_numpy()
+        words = arcs[~is_pair]
+        c, cs, kinds = np.zeros(size), np.zeros(size), np.zeros(size)
+        for into, name in ((c, "c"), (cs, "cs"), (kinds, "kinds")):
+            into[words["si"].to_numpy(np.int64)] = words[name].to_numpy(float)
+        root = np.log10((c + 0.1) / below)
+        fail = np.where(cs > 0, discount * kinds / np.maximum(cs, 1), 1.0)
+        pairs = arcs[is_pair]
+        key = pairs["si"].to_numpy(np.int64) * size + pairs["wi"].to_numpy(np.int64)
+        order = np.argsort(key)
+        key, c2 = np.append(key[order], np.int64(2**62)), np.append(pairs["c"].to_numpy(float)[order], 0.0)
+        n_tok, known, base, score = [], [], [], []
+        for q in seqs:
+            s, w = q[:-1].astype(np.int64), q[1:].astype(np.int64)
+            at = np.searchsorted(key, s * size + w)
+            seen = np.where(key[at] == s * size + w, c2[at], 0.0)
+            arc = (seen - discount) / np.maximum(cs[s], 1) + fail[s] * 10 ** root[w]
+            n_tok.append(len(w))
+            known.append(int((c[w] > 0).sum()))
+            base.append(root[w].sum())
+            score.append(np.where(seen > 0, np.log10(np.where(seen > 0, arc, 1.0)), np.log10(fail[s]) + root[w]).sum())
+        return pd.DataFrame({"id": runs["id"], "train": runs["train"], "t": n_tok, "k": known, "b": base, "p": score})
+
+    return walk
 
 
-def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text: str = "text", discount: float = 0.75, most: int = 1 << 18) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per id.
 
-    A walk reads a document left to right from the start state; each symbol takes the arc of the
-    current state or, failing that, the failure arc to the root, and the word just read names the next
-    state. As a bigram state is the last word alone, all steps are known beforehand: the walk is
-    a join of steps with arcs and the sum of their log-probabilities. All counts come from
-    all training rows and stay distributed. A null or blank text is its end symbol alone. Rows of equal
-    id are one walk each, summed together. An empty table gives no rows.
+    A state is the last word read. Its arcs hold absolute discounting with the mass left going to the
+    root: P(w | s) = (max(c - D, 0) + D * kinds(s) * P(w)) / c(s). A symbol without an arc takes the failure arc
+    of s, of weight D * kinds(s) / c(s), to the root, whose arcs hold add-0.1 unigrams over training
+    tokens; a state never seen in training fails at no cost. All counts come from all training rows and
+    stay distributed. The walk reads a text left to right and carries its state across blocks.
+
+    Texts go in blocks of ``most`` symbols; a block sends each different pair and symbol once,
+    which is the pre-aggregation before the shuffle and keeps a frequent pair to one row per block. It gets
+    back the arcs, states and root arcs it needs, at most as many as its symbols, and walks its texts on them.
+
+    A null or blank text is its end symbol alone. Rows of equal id are one walk each, summed
+    together (per value of ``train``). An empty table gives no rows.
     """
-    steps = arcs_of(docs, id_col, text, train)
-    arcs, fail, root, tot = automaton(steps)
-    unseen = F.lit(tot["unseen"])
-    walk = steps.join(arcs, ["s", "w"], "left")
-    hit = walk.where("lp is not null").groupBy("_id", "_train").agg(F.count("*").alias("t"), F.count("*").alias("k"), F.sum("base").alias("b"), F.sum("lp").alias("p"))
-    miss = walk.where("lp is null").select("_id", "_train", "s", "w").join(root, "w", "left").join(fail, "s", "left")
-    base = F.log10(F.coalesce("root", unseen))
-    miss = miss.groupBy("_id", "_train").agg(F.count("*").alias("t"), F.count("c").alias("k"), F.sum(base).alias("b"), F.sum(base + F.log10(F.coalesce("fail", F.lit(1.0)))).alias("p"))
-    out = hit.union(miss).groupBy("_id", "_train").agg(*[F.sum(x).alias(x) for x in ("t", "k", "b", "p")])
+    kind = docs.schema[id_col].dataType.simpleString()
+    src = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), train.alias("train"))
+    rows = cut(src.mapInPandas(_blocks(most), f"{KEYS}, id {kind}, train boolean, seq binary"))
+    pairs = rows.where("w is not null").select("block", "si", "wi", "s", "w", "c")
+    arcs = cut(pairs.where("c > 0").groupBy("s", "w").agg(F.sum("c").alias("c")))
+    zero = F.lit(0).cast("long")
+    both = arcs.select(F.col("w").alias("s"), "c", zero.alias("cs"), zero.alias("kinds"))
+    both = both.union(arcs.select("s", zero.alias("c"), F.col("c").alias("cs"), F.lit(1).cast("long").alias("kinds")))
+    states = cut(both.groupBy("s").agg(*[F.sum(x).alias(x) for x in ("c", "cs", "kinds")]))
+    tot = states.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    n, v = tot["n"] or 0, tot["v"]
+    need = pairs.drop("c").join(arcs, ["s", "w"]).select("block", "si", "wi", "c", zero.alias("cs"), zero.alias("kinds"))
+    symbols = rows.where("w is null and s is not null").select("block", "si", "s")
+    need = need.union(symbols.join(states, "s").select("block", "si", F.lit(None).cast("int").alias("wi"), "c", "cs", "kinds"))
+    runs = rows.where("seq is not null").select(F.col("block").alias("of"), "id", "train", "seq")
+    got = need.groupBy("block").cogroup(runs.groupBy("of")).applyInPandas(_walk(discount, n, v), f"id {kind}, train boolean, t long, k long, b double, p double")
+    out = got.groupBy("id", "train").agg(*[F.sum(x).alias(x) for x in ("t", "k", "b", "p")])
     return out.select(
-        F.col("_id").alias(id_col), (~F.col("_train")).alias("held_out"), F.col("t").alias("n_tokens"), F.col("k").alias("n_known"),
-        F.lit(tot["n"]).cast("long").alias("train_tokens"), F.col("b").alias("base_score"), F.col("p").alias("score"),
+        F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), F.col("t").alias("n_tokens"), F.col("k").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"), F.col("b").alias("base_score"), F.col("p").alias("score"),
     )
 
 
