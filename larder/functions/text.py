@@ -29,3 +29,20 @@ def windows(length: Column, size: int, overlap: int) -> Column:
     """Starts (from 0) of windows of ``size`` that overlap by ``overlap``; one window if the text fits."""
     last = F.greatest(F.lit(0), F.ceil((length - size) / (size - overlap)).cast("int"))
     return F.transform(F.sequence(F.lit(0), last), lambda i: i * (size - overlap))
+
+
+def title(text: Column, most: int = 80) -> Column:
+    """First line that is not blank, without outer blanks, cut to ``most`` code points."""
+    line = F.regexp_extract(F.coalesce(text, F.lit("")), r"[^ \t-\r][^\n]*", 0)
+    return F.substring(F.regexp_replace(line, r"[ \t-\r]+\z", ""), 1, most)
+
+
+def readable(text: Column) -> Column:
+    """Length of the text without links and outer blanks."""
+    return F.length(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"https?://[^ \t-\r]+", ""))).cast("long")
+
+
+def clock(seconds: Column) -> Column:
+    """Whole seconds as MM:SS, or HH:MM:SS from an hour on."""
+    h, m, s = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60
+    return F.when(h > 0, F.format_string("%02d:%02d:%02d", h, m, s)).otherwise(F.format_string("%02d:%02d", m, s))

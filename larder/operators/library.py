@@ -29,3 +29,34 @@ def classify_upsert(state: DataFrame, batch: DataFrame, key: str, digest: str) -
     old = state.select(key, F.col(digest).alias("_old"), F.lit(True).alias("_has"))
     kind = F.when(F.col("_has").isNull(), "added").when(F.col("_old").eqNullSafe(F.col(digest)), "duplicate").otherwise("refreshed")
     return batch.join(old, key, "left").withColumn("change", kind).drop("_old", "_has")
+
+
+def missing(published: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``published`` whose keys ``known`` lacks."""
+    return published.join(known.select(*keys), keys, "left_anti")
+
+
+def merge_favorites(state: DataFrame, batch: DataFrame, key: str, fav: str) -> DataFrame:
+    """Earliest favourite time of state and batch; a missing time never wins."""
+    both = state.select(key, F.col(fav).alias("_a")).join(batch.select(key, F.col(fav).alias("_b")), key, "full")
+    return both.select(key, F.least("_a", "_b").alias(fav))
+
+
+def asset_diff(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """Each asset as added, stale or kept."""
+    both = state.select(key, F.lit(True).alias("_s")).join(batch.select(key, F.lit(True).alias("_b")), key, "full")
+    return both.select(key, F.when(F.col("_s").isNull(), "added").when(F.col("_b").isNull(), "stale").otherwise("kept").alias("change"))
+
+
+def id_collisions(ids: DataFrame, key: str) -> DataFrame:
+    """Ids that differ only in case."""
+    return ids.where(F.col(key).isNotNull()).groupBy(F.lower(key).alias("folded")).agg(F.countDistinct(key).alias("variants")).where("variants > 1")
+
+
+def evidence(items: DataFrame) -> DataFrame:
+    """Evidence level and rank factor of each item, from its body and its captured text assets."""
+    body = F.coalesce(F.col("body").rlike(r"[^ \t-\r]"), F.lit(False))
+    asset = F.when(F.col("content_type") == "video", "transcript").when(F.col("content_type") == "mixed", "ocr")
+    level = F.when(~body & asset.isNull(), "title_only").when(body & asset.isNotNull(), "mixed").when(body, "body").otherwise(asset)
+    out = items.withColumn("level", level)
+    return out.withColumn("factor", F.when(F.col("level") == "title_only", 0.75).when(F.col("level") == "body", 0.95).otherwise(1.0))

@@ -55,3 +55,45 @@ def fuse(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     part = lambda c: F.coalesce(F.lit(1.0) / (RRF + F.col(c)), F.lit(0.0))
     both = both.withColumn("score", F.round(part("lexical_rank") + part("semantic_rank"), 9))
     return both.withColumn("best_rank", F.least("lexical_rank", "semantic_rank"))
+
+
+def phrase(docs: DataFrame, text: str) -> DataFrame:
+    """Documents whose index tokens hold the tokens of ``text`` next to each other."""
+    one = docs.sparkSession.createDataFrame([(text,)], "t string").select(F.array_join(tokens(F.col("t")), " ")).first()[0]
+    line = F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), " "), F.lit(" "))
+    return docs.where(line.contains(f" {one} "))
+
+
+def allowed(items: DataFrame, tasks: DataFrame | None = None, filed: DataFrame | None = None, platforms=None, content_types=None, folders=None) -> DataFrame:
+    """doc_id of available items that pass the metadata filters; a filter left out lets all pass."""
+    ok = items.where("access_status = 'available'")
+    ok = ok.where(F.col("platform").isin(*platforms)) if platforms else ok
+    ok = ok.where(F.col("content_type").isin(*content_types)) if content_types else ok
+    if tasks is not None:  # indexed: a completed task for the item
+        ok = ok.join(tasks.where("status = 'completed'").select("doc_id"), "doc_id", "left_semi")
+    if folders:
+        ok = ok.join(filed.where(F.col("name").isin(*folders)).select("doc_id"), "doc_id", "left_semi")
+    return ok.select("doc_id")
+
+
+def collapse_segments(scores: DataFrame, owner) -> DataFrame:
+    """Best segment of each owner; equal scores go to the smaller segment."""
+    best = F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("segment")
+    return scores.groupBy("query_id", owner.alias("doc_id")).agg(F.max("score").alias("score"), best)
+
+
+def group_hits(fused: DataFrame, owner, evidence: DataFrame, limit: int = 10, supporting: int = 3) -> DataFrame:
+    """One row per query and item: best candidate, next ones, score times the item's evidence factor.
+
+    ``evidence`` is (item, factor); items without evidence are left out. The lists are bounded by the
+    candidate pools that were fused.
+    """
+    c = fused.withColumn("item", owner).join(evidence, "item")
+    w = Window.partitionBy("query_id", "item").orderBy(F.col("score").desc(), "best_rank", "doc_id")
+    c = c.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= supporting + 1)
+    rest = F.array_sort(F.collect_list(F.when(F.col("_n") > 1, F.struct("_n", "doc_id"))))
+    first = lambda x: F.max(F.when(F.col("_n") == 1, F.col(x)))
+    g = c.groupBy("query_id", "item").agg(first("doc_id").alias("primary_id"), first("best_rank").alias("_best"), (first("score") * first("factor")).alias("adjusted"), rest.alias("_rest"))
+    g = g.withColumn("supporting", F.array_join(F.transform("_rest", lambda s: s["doc_id"].cast("string")), "|"))
+    o = Window.partitionBy("query_id").orderBy(F.col("adjusted").desc(), "_best", "item")
+    return g.withColumn("rank", F.row_number().over(o)).where(F.col("rank") <= limit).drop("_best", "_rest")

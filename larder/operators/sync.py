@@ -24,3 +24,31 @@ def leases(events: DataFrame, by: str, at: str, seconds: int = 180) -> DataFrame
     e = events.withColumn("_new", F.when(F.col(at) - F.lag(at).over(w) <= seconds, 0).otherwise(1))
     e = e.withColumn("session", F.sum("_new").over(w))
     return e.groupBy(by, "session").agg(F.min(at).alias("begun"), F.max(at).alias("ended"), F.count("*").alias("beats"))
+
+
+def batch_counters(rows: DataFrame, by: list[str], change: str, in_range) -> DataFrame:
+    """Counts of each batch and the rows scanned up to its end; rows outside the range count as such only."""
+    kinds = ("added", "refreshed", "duplicate")
+    ok = F.coalesce(in_range, F.lit(False))
+    counts = [F.count_if(ok & (F.col(change) == k)).alias(k) for k in kinds]
+    got = rows.groupBy(*by, "batch").agg(F.count("*").alias("scanned"), *counts, F.count_if(~ok).alias("out_of_range"))
+    return got.withColumn("scanned_so_far", F.sum("scanned").over(Window.partitionBy(*by).orderBy("batch")))
+
+
+def latest(runs: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """Value of the last run of each scope."""
+    return runs.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def job_rollup(runs: DataFrame, job: str, status: str = "status") -> DataFrame:
+    """Job status from its runs: failed, then partial or completed once all have ended, then paused, then running."""
+    has = lambda s: F.bool_or(F.col(status) == s)
+    ended = F.bool_and(F.col(status).isin("completed", "partial", "failed"))
+    rule = F.when(has("failed"), "failed").when(ended & has("partial"), "partial").when(ended, "completed").when(has("paused"), "paused")
+    return runs.groupBy(job).agg(rule.otherwise("running").alias(status))
+
+
+def claim(tasks: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """First ``n`` pending tasks of each lane, oldest first."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return tasks.where("status = 'pending'").withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= n)

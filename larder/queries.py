@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import cjk_bigrams
 from larder.operators import library, search, sync
+from larder.plans import state
 from larder.sources.binding import item_collections, items, table
 
 ASKED = [(1, "thou ertion"), (2, "eau the"), (3, "worthless clown")]
@@ -152,3 +153,5 @@ SQL = {
     "transcript_render": "SELECT conv_id, count(*) AS cues, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY conv_id",
     "cjk_bigrams": "SELECT * FROM (VALUES (0, ''), (1, '检'), (2, '全文 文检 检索'), (3, 'Spark 引擎'), (4, 'a 检索 b'), (5, '检 , 索引')) AS t(id, bigrams)",
 }
+QUERIES |= state.QUERIES
+SQL |= state.sql((_ITEMS, _FILED, _BM25, _SEM, _CHUNK, _EV))

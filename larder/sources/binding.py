@@ -27,3 +27,11 @@ def item_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     marks = [labels.where(f"{c} = 1").select("doc_id", F.lit(c).alias("name")) for c in ("quality", "toxic")]
     return by_source.union(marks[0]).union(marks[1])
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index tasks: one per document, named by the hash of its text."""
+    i = F.col("doc_id")
+    status = F.when(i % 13 == 0, "pending").otherwise("completed")
+    created = F.lit(1704067200) + (i * 37 % 5000) * 60
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit("index_content").alias("kind"), F.sha2("text", 256).alias("input_hash"), status.alias("status"), created.alias("created"))

@@ -21,6 +21,6 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "embeddings", "events", "conversations"):
+    for t in ("documents", "labels", "embeddings", "events", "conversations", "pages"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.sql(SQL[name]).df())
