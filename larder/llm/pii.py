@@ -6,7 +6,9 @@ import re
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Terms that are broadcast at most; more are joined instead.
 MOST_TERMS = 50_000
+#: Bits of the bitmap for more terms, as a power of two.
+BITS = 25
 _SPANS = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -60,72 +64,113 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", reach: int = 2, bits: float = 3.0, least: int = 20, share: float = 0.25) -> DataFrame:
+def _entity(text: str, kind: int, start: int, end: int) -> int:
+    """Hash of the value protected, equal for one number written in several ways."""
+    raw = text[start:end]
+    value = re.sub("[^0-9]", "", raw) if kind > 1 else raw.lower()
+    return xxhash.xxh64_intdigest(f"{kind}:{value}".encode("utf-8", "surrogatepass"), 42) - (1 << 63)
+
+
+def _outside(text: str, spans) -> tuple[list, list]:
+    """(spans by start, words that meet none of them)."""
+    cover = sorted((s, e, k) for k, s, e in spans)
+    return cover, [m for m in _WORD.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in _around(cover, m.start()))]
+
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", reach: int = 2, bits: float = 3.0, least: int = 20, share: float = 0.25, single: int = 3) -> DataFrame:
     """(id, text, spans, clean_text) per row of ``docs``.
 
-    Pattern spans are found first. Every word (letters, lower-cased) outside them counts in the corpus, and
-    counts again where it stands within ``reach`` words of a protected span. A word reveals if it
-    stands near one at least ``least`` times, in at least ``share`` of its uses, and the log2 ratio of that share to
-    the corpus share is at least ``bits``. Its uses near protected spans become ``term`` spans. In
+    Pattern spans are found first. Every word (letters, lower-cased) counts in the corpus, and
+    counts again where it stands within ``reach`` words of a protected span, outside all spans: once for spans of
+    any value, and once for each value it stands near. A word reveals if it
+    stands near spans at least ``least`` times, or near one value at least ``single`` times, in at least ``share``
+    of its uses, and the log2 ratio of that share to the corpus share (of spans, or of that value) is at least
+    ``bits``. All its uses outside pattern spans, in every text, become ``term`` spans. In
     ``clean_text`` pattern spans generalise to ``<kind>`` and terms are removed as ``<term>``.
     A null or empty text has no spans and comes back as the empty text; repeated rows count each.
     """
 
-    def near_words(t: str, spans):
-        cover = sorted((s, e) for _, s, e in spans)
-        words = [m for m in _WORD.finditer(t) if not any(s < m.end() and m.start() < e for s, e in _around(cover, m.start()))]
-        starts = [m.start() for m in words]
-        near = set()
-        for s, e in cover:
-            i = bisect_left(starts, s)
-            near.update(range(max(0, i - reach), i))
-            j = bisect_left(starts, e)
-            near.update(range(j, min(len(words), j + reach)))
-        return words, near
-
-    def find(t: str):
+    def near_words(t: str):
+        """(term, position, entity) of the words near each span."""
         spans = base_spans(t)
         if not spans:
-            return spans, []
-        words, idx = near_words(t, spans)
-        return spans, [(words[i].group().lower(), words[i].start(), words[i].end()) for i in sorted(idx)]
+            return
+        cover, words = _outside(t, spans)
+        starts = [m.start() for m in words]
+        for s, e, k in cover:
+            i, j = bisect_left(starts, s), bisect_left(starts, e)
+            v = _entity(t, k, s, e)
+            for x in {*range(max(0, i - reach), i), *range(j, min(len(words), j + reach))}:
+                yield words[x].group().lower(), x, v
 
     def tally(batches):
         for b in batches:
-            n, near = Counter(), Counter()
+            n, near, pairs = Counter(), Counter(), Counter()
             for t in b["_text"]:
                 n.update(_WORD.findall(t))
-                near.update(w for w, _, _ in find(t)[1])
+                found = list(near_words(t))
+                near.update(w for w, _ in {(w, x) for w, x, _ in found})
+                pairs.update((w, v) for w, _, v in {*found})
             low = Counter()
             for w, k in n.items():
                 low[w.lower()] += k
-            yield pd.DataFrame({"term": list(low), "n": list(low.values()), "n_near": [near[w] for w in low]}).astype({"term": "object", "n": "int64", "n_near": "int64"})
+            kinds = {"term": "object", "entity": "Int64", "n": "int64", "n_near": "int64"}
+            yield pd.DataFrame({"term": list(low), "entity": None, "n": list(low.values()), "n_near": [near[w] for w in low]}).astype(kinds)
+            yield pd.DataFrame({"term": [w for w, _ in pairs], "entity": [v for _, v in pairs], "n": 0, "n_near": list(pairs.values())}).astype(kinds)
 
     src = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    every = src.select("_text").mapInPandas(tally, "term string, n long, n_near long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_near").alias("n_near"))
+    every = src.select("_text").mapInPandas(tally, "term string, entity long, n long, n_near long").groupBy("term", "entity").agg(F.sum("n").alias("n"), F.sum("n_near").alias("n_near"))
     every = cut(every)
+    pairs, every = every.where(F.col("entity").isNotNull()).drop("n"), every.where(F.col("entity").isNull()).drop("entity")
     seen = every.where(F.col("n_near") >= least)
     total, close = every.agg(F.sum("n")).first()[0], seen.agg(F.sum("n_near")).first()[0]
     base = (close or 0) / max(1, total or 0)
     rate = F.col("n_near") / F.col("n")
     reveals = seen.where((rate >= share) & (F.log2(rate / F.lit(max(base, 1e-12))) >= bits)).select("term")
+    tied = pairs.where(F.col("n_near") >= single).join(every.select("term", "n"), "term").where(rate >= share)
+    tied = tied.join(pairs.groupBy("entity").agg(F.sum("n_near").alias("n_entity")), "entity")
+    tied = tied.where(F.log2(rate * F.lit(max(1, total or 0)) / F.col("n_entity")) >= bits).select("term")
+    reveals = cut(reveals.union(tied).distinct())
     few = reveals.limit(MOST_TERMS + 1).toPandas()["term"]
     known = docs.sparkSession.sparkContext.broadcast(frozenset(few)) if len(few) <= MOST_TERMS else None
 
-    def mark(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            spans, near = find(t)
-            rows.append((spans + [(4, s, e) for w, s, e in near if known and w in known.value], [] if known else near))
-        return pd.DataFrame(rows, columns=["spans", "near"])
-
-    out = src.withColumn("f", F.pandas_udf(mark, f"spans {_SPANS}, near array<struct<term:string,start:int,end:int>>")("_text"))
-    out = out.select("_id", "_text", "f.spans", "f.near")
-    if known is None:  # too many terms to broadcast: join them to their uses
-        out = cut(out.withColumn("_row", F.xxhash64("_id", "_text")))
-        hits = out.where(F.size("near") > 0).select("_row", F.explode("near").alias("w")).select("_row", "w.term", "w.start", "w.end").join(reveals, "term")
-        hits = hits.groupBy("_row").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("extra"))
-        out = out.join(hits, "_row", "left").withColumn("spans", F.concat("spans", F.coalesce("extra", F.array().cast(_SPANS))))
+    def uses(t: str, spans, terms):
+        """Spans of the uses of ``terms`` outside ``spans``."""
+        if terms.isdisjoint(w.lower() for w in {*_WORD.findall(t)}):
+            return []
+        return [(4, m.start(), m.end()) for m in _outside(t, spans)[1] if m.group().lower() in terms]
+
+    if known is not None:
+
+        def mark(texts: pd.Series) -> pd.Series:
+            found = ((t, base_spans(t)) for t in texts)
+            return pd.Series([spans + uses(t, spans, known.value) for t, spans in found], dtype="object")
+
+        out = src.withColumn("spans", F.pandas_udf(mark, _SPANS)("_text"))
+    else:  # too many terms to broadcast: a bitmap of fixed size picks the words that are joined to them
+        slot = F.shiftrightunsigned(F.xxhash64("term"), 64 - BITS)
+        ones = reveals.select(F.shiftright(slot, 3).alias("i"), F.call_function("shiftleft", F.lit(1), slot.bitwiseAND(F.lit(7)).cast("int")).alias("b"))
+        ones = ones.groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
+        bitmap = np.zeros((1 << BITS) // 8, np.uint8)
+        bitmap[ones["i"].to_numpy(dtype=np.int64)] = ones["b"].to_numpy(dtype=np.uint8)
+        held = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+        def likely(texts: pd.Series) -> pd.Series:
+            def on(w):
+                at = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) >> (64 - BITS)
+                return held.value[at >> 3] >> (at & 7) & 1
+
+            return pd.Series([[w for w in {w.lower() for w in _WORD.findall(t)} if on(w)] for t in texts], dtype="object")
+
+        def mark(texts: pd.Series, terms: pd.Series) -> pd.Series:
+            found = ((t, base_spans(t), frozenset(() if w is None else w)) for t, w in zip(texts, terms))
+            return pd.Series([spans + uses(t, spans, w) for t, spans, w in found], dtype="object")
+
+        row = F.xxhash64("_id", "_text")
+        hits = src.select(row.alias("_row"), F.explode(F.pandas_udf(likely, "array<string>")("_text")).alias("term")).distinct().join(reveals, "term")
+        hits = hits.groupBy("_row").agg(F.collect_set("term").alias("_terms"))
+        out = src.withColumn("_row", row).join(hits, "_row", "left").withColumn("spans", F.pandas_udf(mark, _SPANS)("_text", "_terms"))
+        out = cut(out.select("_id", "_text", "spans"))
     out = out.withColumn("spans", F.array_sort("spans"))
 
     def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:

@@ -86,6 +86,23 @@ def test_pii_terms(spark, monkeypatch, most):
     assert len(got) == 60 and all("<email>" in t and "kontakt" not in t for t in got.clean_text)
 
 
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_pii_terms_go_everywhere(spark, monkeypatch, most):
+    """A revealing term goes from texts without a pattern and far from one; a name tied to one number in few texts reveals."""
+    monkeypatch.setattr(pii, "MOST_TERMS", most)
+    rows = [(i, f"kontakt u{i}@ex.org filler words that go on and on") for i in range(60)]
+    rows += [(i, "Somebody saw Kontakt in a garden where no address was") for i in range(60, 70)]
+    rows += [(i, f"Zorvath {n} wrote a letter from home again") for i, n in zip(range(70, 75), ["+1 555 010 9999", "+1 (555) 010-9999"] * 3)]
+    rows += [(75, "nobody has met zorvath there"), (None, "it was zorvath"), (None, None)]
+    rows += [(i, "plain prose about a garden, weather and bread, with no address in it at all") for i in range(80, 400)]
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert len(got) == len(rows)
+    clean = " ".join(got.clean_text).lower()
+    assert "kontakt" not in clean and "zorvath" not in clean
+    assert "somebody saw <term> in a garden where no address was" in clean and "nobody has met <term> there" in clean
+    assert clean.count("plain prose about a garden, weather and bread") == 320
+
+
 def test_secrets_brute_and_ledger(spark, sf, docs):
     got = by_id(secrets.op6_secret_scan(spark, sf).toPandas())
     assign = re.compile(secrets.RULES[0][2])
