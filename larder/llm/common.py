@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACE = r"[ \t-\r]"
@@ -50,7 +50,23 @@ def fold(col: Column, k: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % k
 
 
-_LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+def per_class(rows: DataFrame, text: str, label: str, most: int) -> DataFrame:
+    """Distinct (``text``, ``label``) of ``rows``, at most ``most`` of each label: those of least hash of the text.
+
+    Copies count once, so neither they nor a frequent label crowd out another. Counts by label give a
+    bound on the hash that a little more than ``most`` texts of the label fall under; only those are shuffled and
+    ranked. A null label is dropped, a null text is one text.
+    """
+    h = rows.where(F.col(label).isNotNull()).select(text, label, F.xxhash64(text).alias("_o"))
+    n = h.groupBy(label).agg(F.approx_count_distinct("_o", 0.02).alias("n"))
+    least = n.select(F.col(label).alias("_l"), F.least(F.lit(1.0), (F.lit(1.25 * most) + 1000) / F.col("n")).alias("_p"))
+    some = h.join(F.broadcast(least), F.col(label) == F.col("_l")).where(F.shiftrightunsigned("_o", 33) <= F.col("_p") * 2.0**31)
+    some = some.groupBy(label, "_o").agg(F.first(text).alias(text))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.shiftrightunsigned("_o", 33), "_o"))
+    return some.withColumn("_r", rank).where(F.col("_r") <= most).select(text, label, "_o")
+
+
+_LOWER_BYTES =bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MEMO: dict[bytes, int] = {}
 
 

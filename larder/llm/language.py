@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import fold, table
+from larder.llm.common import fold, per_class, table
 
 DIM = 4096
 
@@ -58,7 +58,8 @@ class Model:
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample: int = 3000, per_lang: int = 4) -> Model:
     """Fit on rows with a language. Document frequencies count every row; the centroids are
-    fitted on at most ``sample`` rows, those of least hash of the text. No rows: an empty model."""
+    of a language are fitted on at most ``sample`` of its distinct texts, those of least hash. A language is fitted in
+    one task, which holds 8 KB a text. No rows: an empty model."""
     rows = train.where(F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
 
     def tally(batches):
@@ -76,17 +77,18 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample: int =
 
     def embed(batches):
         for b in batches:
-            yield pd.DataFrame({"l": b["l"], "v": [_vector(t, idf).astype(np.float16).tobytes() for t in b["t"]]})
-
-    some = rows.withColumn("o", F.xxhash64("t")).orderBy("o", "l").limit(sample).select("t", "l")
-    f = some.mapInPandas(embed, "l string, v binary").toPandas()
-    x = np.array([np.frombuffer(v, np.float16) for v in f["v"]], dtype=np.float32).reshape(-1, DIM)
-    cents, langs = [np.zeros((0, DIM), np.float32)], []
-    for name in sorted(set(f["l"])):
-        c = _cluster(x[(f["l"] == name).to_numpy()], per_lang)
-        cents.append(c)
-        langs += [name] * len(c)
-    return Model(idf, np.concatenate(cents).astype(np.float32), langs)
+            yield pd.DataFrame({"l": b["l"], "o": b["_o"], "v": [_vector(t, idf).astype(np.float16).tobytes() for t in b["t"]]})
+
+    def centre(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("o")
+        x = np.array([np.frombuffer(v, np.float16) for v in f["v"]], dtype=np.float32).reshape(-1, DIM)
+        c = _cluster(x, per_lang).astype(np.float32)
+        return pd.DataFrame({"l": f["l"].iloc[0], "i": range(len(c)), "c": [v.tobytes() for v in c]})
+
+    some = per_class(rows, "t", "l", sample).mapInPandas(embed, "l string, o long, v binary")
+    f = some.groupBy("l").applyInPandas(centre, "l string, i int, c binary").toPandas().sort_values(["l", "i"])
+    cents = np.array([np.frombuffer(c, np.float32) for c in f["c"]], dtype=np.float32).reshape(-1, DIM)
+    return Model(idf, cents, list(f["l"]))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", least: float = 0.2) -> DataFrame:

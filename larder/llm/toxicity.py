@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import fold, table, words
+from larder.llm.common import fold, per_class, table, words
 
 DECAY, SPAN, FLOOR = 0.6, 5, 0.4
 _PAIRS = [(a, b) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
@@ -137,7 +137,7 @@ class Model:
 def fit(train: DataFrame, text: str = "text", label: str = "toxic", landmarks: int = 48, sample: int = 6000) -> Model:
     """Fit on (text, label 0/1). Words are counted over all labelled rows; the ``landmarks`` words
     that tell the classes apart best become landmarks. The SVM is fitted on at most ``sample`` rows of
-    each class, those of least hash of the text. Without rows of both classes every score is 0."""
+    distinct texts of each class, those of least hash. Without rows of both classes every score is 0."""
     t = train.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("int").alias("y"))
     n = {r["y"]: r["n"] for r in t.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
@@ -152,8 +152,7 @@ def fit(train: DataFrame, text: str = "text", label: str = "toxic", landmarks: i
         for b in batches:
             yield pd.DataFrame({"y": b["y"], "v": [marks.features(s).tolist() for s in b["t"]]})
 
-    parts = [t.where(F.col("y") == y).withColumn("o", F.xxhash64("t")).orderBy("o").limit(sample).select("t", "y") for y in (0, 1)]
-    f = parts[0].union(parts[1]).repartition(8).mapInPandas(embed, "y int, v array<double>").toPandas().sort_values(["y", "v"], key=lambda c: c if c.name == "y" else c.map(tuple))
+    f = per_class(t.where("y in (0, 1)"), "t", "y", sample).select("t", "y").repartition(8).mapInPandas(embed, "y int, v array<double>").toPandas().sort_values(["y", "v"], key=lambda c: c if c.name == "y" else c.map(tuple))
     x, y = np.array(f["v"].tolist()), f["y"].to_numpy()
     w = _svm(x, y)
     return Model(marks, w, *_platt(x @ w, y))

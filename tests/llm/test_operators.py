@@ -235,6 +235,23 @@ def test_language_and_toxicity(spark, sf):
     assert len(tox) == len(got) and tox.score.between(0, 1).all() and ((tox.score >= 0.3) == (tox.predicted == 1)).all()
 
 
+def test_language_sample_keeps_rare_languages_beside_copies(spark):
+    """Many copies of the text of least hash, one rare language and a bound that the copies alone exceed."""
+    from pyspark.sql import functions as F
+
+    from larder.llm.common import per_class
+
+    d = spark.createDataFrame([(f"the weather in the garden is number {i} of many", "en") for i in range(300)] + [(f"sää puutarhassa on tänään {i} hyvä", "fi") for i in range(3)], "text string, lang string")
+    first = d.where("lang = 'en'").orderBy(F.xxhash64("text")).first().text
+    d = d.union(spark.createDataFrame([(first, "en")] * 500 + [(first, None), (None, "en")], "text string, lang string"))
+    model = language.fit(d, sample=20)
+    assert set(model.langs) == {"en", "fi"}
+    got = language.predict(spark.createDataFrame([("puutarhassa on hyvä sää",)], "text string"), model).first()
+    assert got.lang_ == "fi"
+    some = per_class(d, "text", "lang", 20).toPandas()
+    assert Counter(some.lang) == {"en": 20, "fi": 3} and not some.duplicated(["text", "lang"]).any()
+
+
 def test_toxicity_tolerates_inserted_letters():
     marks = toxicity.Landmarks(["idiot", "garden"])
     plain, odd, other = (marks.kernel(t)[0] for t in ("an idiot", "an idxiot", "the window"))
