@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from larder.llm.common import cut, hashes_of, table, word_bytes
 
 #: Fixed masks over ten tokens: 1 is compared, 0 is ignored. Each compares seven.
-MASKS = ("1110110011", "1101011101", "1011101110", "1111111000")
+MASKS = ("1110110011", "1101011101", "1011101110", "1111111000", "0111011011")
+WINDOW = len(MASKS[0])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def seeds(hashes) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of every window under every mask."""
+def _each(hashes, short=()):
+    """(size, hashes of all windows) of every mask, and of whole runs of each size in ``short``."""
     h = np.asarray(hashes).view(np.uint64)
-    pos, out = [], []
-    for m, mask in enumerate(MASKS):
+    for m, mask in [*enumerate(MASKS), *((len(MASKS) + k, "1" * k) for k in short)]:
         n = len(h) - len(mask) + 1
         if n <= 0:
             continue
@@ -27,11 +27,13 @@ def seeds(hashes) -> tuple[np.ndarray, np.ndarray]:
             if bit == "1":
                 acc = acc * _MIX + h[j : n + j]
                 acc ^= acc >> np.uint64(31)
-        pos.append(np.arange(n))
-        out.append(acc.view(np.int64))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(pos), np.concatenate(out)
+        yield len(mask), acc.view(np.int64)
+
+
+def seeds(hashes) -> list[tuple[int, int]]:
+    """(position, hash) of every window of an item under every mask; of a shorter item, its one whole run."""
+    short = [len(hashes)] if 0 < len(hashes) < WINDOW else []
+    return [(i, x) for _, acc in _each(hashes, short) for i, x in enumerate(acc.tolist())]
 
 
 def _runs(texts: pd.Series, most: int = 1 << 19):
@@ -49,6 +51,12 @@ def _runs(texts: pd.Series, most: int = 1 << 19):
         yield np.concatenate(part), np.array([*starts, at])
 
 
+def matches(doc, item, diag: int) -> int:
+    """Matching tokens of a whole diagonal."""
+    lo, hi = max(0, -diag), max(0, -diag, min(len(item), len(doc) - diag))
+    return int((np.asarray(item[lo:hi]) == np.asarray(doc[lo + diag : hi + diag])).sum())
+
+
 def overlap(doc, item, diag: int, miss: int = 4) -> int:
     """Matching tokens of the best run on one diagonal, where each mismatch outweighs ``miss`` matches."""
     lo, hi = max(0, -diag), min(len(item), len(doc) - diag)
@@ -71,23 +79,25 @@ _SEED = "array<struct<pos:int,h:long>>"
 def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", least: int = 12, bits: int = 24) -> DataFrame:
     """``docs`` with all its columns plus ``bench_items_`` (distinct items met) and ``bench_overlap_`` (tokens).
 
-    Both texts become lower-cased words. Every window of ten words is hashed under four masks.
-    A bitmap of 2^``bits`` bits, two to a benchmark hash (its size is fixed), keeps
-    most training windows from being shuffled; those left join on the hash itself. Each hit names
+    Both texts become lower-cased words. Every window of ten words is hashed under five masks, of which
+    each position is ignored by one at least. Of an item under ten words nine tenths are all its words, so it
+    is hashed as a whole, and so are the documents' windows of its size. A bitmap of 2^``bits`` bits, two to a
+    benchmark hash (its size is fixed), keeps most training windows from being shuffled; those left join on the hash itself. Each hit names
     a diagonal, on which at least ``least`` tokens must match, or nine tenths of a shorter item,
-    with at most one substitution per four matches. Items under ten words have no
-    window and match nothing; null and empty texts likewise. Equal texts share one check.
+    with at most one substitution per four matches. An item of one word is met by each document that
+    has the word. Null and empty texts match nothing. Equal texts share one check.
     """
     bits_mask = (1 << bits) - 1
 
     def windows(texts: pd.Series) -> pd.DataFrame:
         found = [hashes_of(word_bytes(t)) for t in texts]
-        return pd.DataFrame({"w": [h.view(np.int64) for h in found], "s": [[(int(p), int(x)) for p, x in zip(*seeds(h))] for h in found]})
+        return pd.DataFrame({"w": [h.view(np.int64) for h in found], "s": [seeds(h) for h in found]})
 
     seeded = f"w array<long>, s {_SEED}"
     b = bench.select(F.xxhash64(F.col(text)).alias("item"), F.col(text).alias("_text")).dropDuplicates(["item"])
     b = b.withColumn("s", F.pandas_udf(windows, seeded)("_text")).select("item", F.col("s.w").alias("bw"), "s.s")
-    b = cut(b.where(F.size("bw") >= 10))
+    b = cut(b.where(F.size("bw") > 0))
+    short = sorted(r[0] for r in b.select(F.size("bw")).where(F.size("bw") < WINDOW).distinct().collect())
     bs = b.select("item", F.explode("s").alias("s")).select("item", F.col("s.pos").alias("bpos"), F.col("s.h").alias("h"))
     probes = F.array(*[F.shiftright("h", n).bitwiseAND(F.lit(bits_mask)).cast("int") for n in (0, 32)])
     spots = bs.select(F.explode(probes).alias("i")).distinct().toPandas()["i"].to_numpy(dtype=np.int64)
@@ -99,14 +109,21 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", least:
         held = np.frombuffer(shared.value, np.uint8)
         ws, ss = [], []
         for h, starts in _runs(texts):
-            pos, x = seeds(h)
-            for shift in (0, 32):  # the second probe meets the few that the first left
-                i = (x >> shift) & bits_mask
-                keep = (held[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
-                pos, x = pos[keep], x[keep]
-            doc = np.searchsorted(starts, pos, "right") - 1
-            inside = pos + len(MASKS[0]) <= starts[doc + 1]
-            pos, x, doc = pos[inside], x[inside], doc[inside]
+            found = [(np.empty(0, np.int64),) * 3]
+            for size, x in _each(h, short):
+                pos = np.arange(len(x))
+                for shift in (0, 32):  # the second probe meets the few that the first left
+                    i = (x >> shift) & bits_mask
+                    keep = (held[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
+                    pos, x = pos[keep], x[keep]
+                doc = np.searchsorted(starts, pos, "right") - 1
+                inside = pos + size <= starts[doc + 1]
+                pos, x, doc = pos[inside], x[inside], doc[inside]
+                if size < WINDOW:  # a whole item: its first place in a document tells as much as all
+                    once = np.unique(np.stack([doc, x]), axis=1, return_index=True)[1]
+                    pos, x, doc = pos[once], x[once], doc[once]
+                found.append((pos, x, doc))
+            pos, x, doc = (np.concatenate(c) for c in zip(*found))
             order = np.argsort(doc, kind="stable")
             cuts = np.searchsorted(doc[order], np.arange(len(starts)))
             for d in range(len(starts) - 1):
@@ -122,7 +139,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", least:
     hits = hits.select("_doc", "item", (F.col("dpos") - F.col("bpos")).alias("diag")).distinct()
 
     def check(doc: pd.Series, item: pd.Series, diag: pd.Series) -> pd.Series:
-        got = [overlap(x, y, int(z)) for x, y, z in zip(doc, item, diag)]
+        got = [overlap(x, y, int(z)) if len(y) * 0.9 > least else max(overlap(x, y, int(z)), matches(x, y, int(z))) for x, y, z in zip(doc, item, diag)]
         return pd.Series([g if g >= min(least, 0.9 * len(y)) else 0 for g, y in zip(got, item)], dtype="int64")
 
     pairs = hits.join(one.select("_doc", "dw"), "_doc").join(b.select("item", "bw"), "item")

@@ -228,6 +228,16 @@ def test_decontamination(spark, sf, docs):
     assert decontam.decontaminate(d, spark.read.parquet(f"{sf}/benchmark.parquet")).first()["bench_items_"] == 1
 
 
+def test_decontamination_short_items_and_first_word(spark):
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet".split()
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, "what is the Capital of France"), (2, "xylophone"), (3, ""), (4, None)], "item_id long, text string")
+    rows = ["some words " + " ".join([*item[:i], "other", *item[i + 1 :]]) + " and more" for i in range(10)]
+    rows += ["quiz: what is the capital of france ?", "what is the capital of france what is the capital of france", "what is the capital of spain", "a xylophone and a Xylophone", "what is the", "capital of france", "", None]
+    got = decontam.decontaminate(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), bench).orderBy("doc_id").collect()
+    assert [r.bench_items_ for r in got] == [1] * 10 + [1, 1, 0, 1, 0, 0, 0, 0]
+    assert [r.bench_overlap_ for r in got] == [9] * 10 + [6, 6, 0, 1, 0, 0, 0, 0]
+
+
 def test_language_and_toxicity(spark, sf):
     got = by_id(language.op3_language_id(spark, sf).toPandas())
     assert got[0].lang_pred == got[1].lang_pred == got[2].lang_pred == "und" and {r.lang_pred for r in got.values()} <= {"und", "en", "fr"}
