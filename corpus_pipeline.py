@@ -25,10 +25,10 @@ def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each group of near copies."""
-    groups = near_dup.near_dups(docs)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """Keep one row of each group of near copies, that of least id; rows are told apart by a key that is written once."""
+    keyed = cut(docs.withColumn("_row_key", F.monotonically_increasing_id()))
+    keep = near_dup.near_dups(keyed, key="_row_key").where("kept").select("_row_key")
+    return keyed.join(keep, "_row_key", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,10 +84,12 @@ def _labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_dups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, tuples: int = 12, width: int = 2, seed: int = 7, orders: int = 4) -> DataFrame:
-    """(id, n_shingles, component_id) per row; ids should be unique and non-null.
+def near_dups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, tuples: int = 12, width: int = 2, seed: int = 7, orders: int = 4, key: str | None = None) -> DataFrame:
+    """(id, n_shingles, component_id, kept) per row, and ``key`` if given: a column with another value in each row.
 
-    Rows with equal word sequences form a class first, so copies never meet pair by pair.
+    Rows with equal word sequences form a class first, so copies never meet pair by pair. A class goes by the
+    least hash of its texts, not by an id, so null and repeated ids do no harm. One row of each component is
+    kept: that of least id, null ids last, then of least hash of the text; its id is the ``component_id``.
     Each class has two collections of ``tuples`` small keys; a table is a pair of one from each,
     which gives tuples^2 tables from 2 * tuples * width minhashes (at similarity 0.8 a pair
     shares no table with probability 1e-5). Only small keys that two classes hold can form a table
@@ -99,14 +101,15 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: in
     centres, so its classes meet few of them. Last, in buckets that still hold several components, every member
     outside the largest component meets all members of other components. So two classes
     that share a table are compared or already joined, yet members of one component never meet pair by pair.
-    Texts without words are linked with nothing. Rows of equal id share a fate.
+    Texts without words are linked with nothing, and each is kept.
     """
     sign = _signer(k, tuples, width, seed)
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    base = cut(src.select("_id", sign("_text").alias("s")).select("_id", F.col("s.seq").alias("_seq"), "s.n", "s.keys"))
+    src = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text)).alias("_row"), F.col(text).alias("_text"), (F.col(key) if key else F.monotonically_increasing_id()).alias("_key"))
+    base = cut(src.select("_id", "_row", "_key", sign("_text").alias("s")).select("_id", "_row", "_key", F.col("s.seq").alias("_seq"), "s.n", "s.keys"))
     full = base.where("n > 0")
-    reps = full.groupBy("_seq").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    reps = cut(reps.select("rep", "n", "keys"))
+    best = F.min(F.struct(F.col("_id").isNull().alias("void"), "_id", "_row", "_key")).alias("best")
+    classes = cut(full.groupBy("_seq").agg(F.min("_row").alias("rep"), best, F.first("n").alias("n"), F.first("keys").alias("keys")))
+    reps = classes.select("rep", "n", "keys")
     small = reps.select("rep", "n", F.posexplode("keys").alias("i", "key"))
     shared = small.groupBy("key").count().where("count > 1").select("key")
     live = small.join(shared, "key").groupBy("rep", "n").agg(F.collect_list(F.struct("i", "key")).alias("live"))  # 2 * tuples at most
@@ -117,13 +120,13 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: in
     centre = t.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
     centre = cut(centre.select("key", F.col("c.rep").alias("c"), F.col("c.n").alias("nc"), "m"))
     # The sets of all classes that may meet another, once; the text is shuffled, not its hashes.
-    met = t.join(centre.select("key"), "key", "left_semi").select(F.col("rep").alias("_id")).distinct()
-    sets = src.join(met, "_id", "left_semi").dropDuplicates(["_id"])
-    sets = cut(sets.select("_id", _sets(k)("_text").alias("set")))
+    met = t.join(centre.select("key"), "key", "left_semi").select(F.col("rep").alias("_row")).distinct()
+    sets = src.select("_row", "_text").join(met, "_row", "left_semi").dropDuplicates(["_row"])
+    sets = cut(sets.select("_row", _sets(k)("_text").alias("set")))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(sets.select(F.col("_id").alias("rep"), F.col("set").alias("x")), "rep")
-        p = p.join(sets.select(F.col("_id").alias("c"), F.col("set").alias("y")), "c")
+        p = pairs.join(sets.select(F.col("_row").alias("rep"), F.col("set").alias("x")), "rep")
+        p = p.join(sets.select(F.col("_row").alias("c"), F.col("set").alias("y")), "c")
         both = F.size(F.array_intersect("x", "y"))
         return p.where(both * den >= (F.size("x") + F.size("y") - both) * num).select(F.col("rep").alias("a"), F.col("c").alias("b"))
 
@@ -148,12 +151,16 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: in
     late = late.select(F.least("r1", "rep").alias("rep"), F.greatest("r1", "rep").alias("c")).distinct()
     more = cut(confirm(late))
     lab = _labels(links.union(more))
-    seq = full.groupBy("_seq").agg(F.min("_id").alias("rep")).join(lab.withColumnRenamed("node", "rep"), "rep", "left")
-    seq = seq.select("_seq", F.coalesce("label", "rep").alias("label"))
-    out = base.select("_id", "_seq", "n").join(seq, "_seq", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("_id")).alias("component_id"))
+    seq = classes.select("_seq", "rep", "best").join(lab.withColumnRenamed("node", "rep"), "rep", "left")
+    seq = cut(seq.select("_seq", F.coalesce("label", "rep").alias("label"), F.col("label").isNull().alias("alone"), "best"))
+    one = seq.where("not alone").groupBy("label").agg(F.min("best").alias("first"))  # a class that is linked with none is its own component
+    seq = seq.join(one, "label", "left").select("_seq", F.coalesce("first", "best").alias("first"))
+    out = base.select("_id", "_key", "_seq", "n").join(seq, "_seq", "left")
+    own = F.when(F.col("n") > 0, F.col("first._id")).otherwise(F.col("_id"))
+    kept = (F.col("n") == 0) | (F.col("_key") == F.col("first._key"))
+    out = out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), kept.alias("kept"), *([F.col("_key").alias(key)] if key else []))
+    return out
 
 
 def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:
-    out = near_dups(table(spark, sf_dir, "documents"), k=2)
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return near_dups(table(spark, sf_dir, "documents"), k=2)

@@ -159,6 +159,22 @@ def test_near_dups_members_that_only_meet_others(spark):
     assert links
 
 
+def test_near_dups_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    text = lambda p: " ".join(f"{p}{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, e, f = (text(p) for p in "abcef")
+    near = " ".join([*b.split()[:-1], "other"])
+    rows = [(None, a), (None, a), (5, a), (None, c), (None, c), (7, b), (7, b), (7, e), (8, near), (9, e + " more"), (None, f), (3, None), (None, None), (None, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.minhash_dedup(spark, d, "").collect()
+    want = [(5, a), (None, c), (7, b), (7, e), (None, f), (3, None), (None, None), (None, "")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    out = near_dup.near_dups(d, k=2).collect()
+    assert len(out) == len(rows) and sum(r.kept for r in out) == len(want)
+
+
 def test_lm_brute(spark, sf, docs):
     got = by_id(lm.op10_lm_score(spark, sf).toPandas())
     toks = {i: [*WORD.findall(low(t)), "\n"] for i, t, *_ in docs}
