@@ -1,4 +1,4 @@
-"""LM scoring: a bigram model as a weighted automaton with failure arcs, walked in blocks of text."""
+"""LM scoring: a trigram model as a weighted automaton with failure arcs, walked in blocks of text."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,118 +14,194 @@ from pyspark.sql import functions as F
 from larder.llm.common import cut, fold, hashes_of, table, word_bytes
 
 END, START = np.uint64(1), np.uint64(2)  # symbols besides the words' 64-bit hashes
-KEYS = "block long, si int, wi int, s long, w long, c int"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BLOCK = "block long, rows array<long>, ids array<{kind}>, trains array<boolean>, leads array<int>, lens array<int>, names binary, flat binary"
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes; small ones cost little."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
 def _blocks(most: int):
-    """mapInPandas: texts in blocks of about ``most`` symbols.
+    """mapInPandas: texts as one row for each block of about ``most`` symbols.
 
-    A block has a row (si, wi, s, w, c) for each different pair of neighbours, c counting it in training
-    texts; a row (si, s) for each different symbol; and a row (id, train, seq) for each stretch of
-    a text, whose seq holds the state before it and its symbols as numbers of the block. A long text goes on in
-    the next block from the state it was left in, so no row or block grows with a text.
+    A block holds its different symbols' hashes and its stretches of text, as numbers of these. A stretch begins with
+    the one or two symbols of state (``leads``) it is entered with, so a long text goes on in the next block from
+    the state it was left in and no row grows with a text.
     """
 
-    def emit(block: int, held: list) -> Iterator[pd.DataFrame]:
-        names, flat = np.unique(np.concatenate([h for _, _, h in held]), return_inverse=True)
-        ends = np.cumsum([len(h) for _, _, h in held])
-        steps = np.ones(len(flat), bool)
-        steps[ends - 1] = False  # the last symbol of a stretch is no state here
-        at = np.flatnonzero(steps)
-        train = np.repeat(np.array([t for _, t, _ in held], bool), np.diff(ends, prepend=0))
-        pair, where = np.unique(flat[at] * len(names) + flat[at + 1], return_inverse=True)
-        count = np.bincount(where, train[at], len(pair))
-        si, wi = np.divmod(pair, len(names))
-        signed = names.view(np.int64)
-        yield pd.DataFrame({"block": block, "si": si, "wi": wi, "s": signed[si], "w": signed[wi], "c": count, "id": None, "train": None, "seq": None})
-        yield pd.DataFrame({"block": block, "si": np.arange(len(names)), "wi": None, "s": signed, "w": None, "c": None, "id": None, "train": None, "seq": None})
-        seqs = [flat[a:b].astype(np.int32).tobytes() for a, b in zip(ends - [len(h) for _, _, h in held], ends, strict=True)]
-        ids, trains, _ = zip(*held, strict=True)
-        yield pd.DataFrame({"block": block, "si": None, "wi": None, "s": None, "w": None, "c": None, "id": ids, "train": trains, "seq": seqs})
-
-    def make(batches):
-        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+    def emit(block: int, held: list) -> pd.DataFrame:
+        names, flat = np.unique(np.concatenate([h for *_, h in held]), return_inverse=True)
+        rows, ids, trains, leads, parts = (list(x) for x in zip(*held, strict=True))
+        whole = {"block": block, "rows": rows, "ids": ids, "trains": trains, "leads": leads, "lens": [len(h) for h in parts], "names": names.tobytes(), "flat": _pack(flat)}
+        return pd.DataFrame({k: [v] for k, v in whole.items()})
+
+    def make(batches) -> Iterator[pd.DataFrame]:
+        block = row = TaskContext.get().partitionId() << 32
+        held, size = [], 0
         for batch in batches:
-            for i, t, train in zip(batch["id"], batch["text"], batch["train"], strict=True):
+            for i, t, train in zip(batch["id"].astype(object), batch["text"], batch["train"], strict=True):
                 h = np.concatenate([[START], hashes_of(word_bytes(t)), [END]]).astype(np.uint64)
-                for a in range(0, len(h) - 1, most):
-                    held.append((i, train, h[a : a + most + 1]))
-                    size += len(held[-1][2])
+                lead, at = 1, 1
+                while at < len(h):
+                    held.append((row, None if pd.isna(i) else i, bool(train), lead, h[at - lead : at + most]))
+                    size += len(held[-1][-1])
+                    lead, at = 2, at + most
                     if size >= most:
-                        yield from emit(block, held)
+                        yield emit(block, held)
                         block, held, size = block + 1, [], 0
+                row += 1
         if held:
-            yield from emit(block, held)
+            yield emit(block, held)
+
+    return make
+
+
+class _Grams:
+    """The different symbols, pairs and triples of a block: which of them stands where, and the key each is counted by."""
+
+    def __init__(self, names: bytes, flat: bytes, lens, leads, trains, bits: int = 56):
+        self.names = np.frombuffer(names, np.uint64)
+        self.flat = _unpack(flat).astype(np.int64)
+        lens, leads = np.asarray(lens, np.int64), np.asarray(leads, np.int64)
+        n = len(self.flat)
+        begin = np.cumsum(lens) - lens
+        self.of = np.repeat(np.arange(len(lens)), lens)  # stretch of each place
+        place = np.arange(n) - begin[self.of]
+        self.scored = place >= leads[self.of]
+        learn = np.asarray(trains, bool)[self.of]
+        self.at2, self.at3 = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+        k = len(self.names)
+        pairs, self.pair = np.unique(self.flat[self.at2 - 1] * k + self.flat[self.at2], return_inverse=True)
+        self.pair_state, self.pair_symbol = np.divmod(pairs, k)
+        at_pair = np.zeros(n, np.int64)
+        at_pair[self.at2] = self.pair
+        triples, self.triple = np.unique(at_pair[self.at3 - 1] * max(k, 1) + self.flat[self.at3], return_inverse=True)
+        self.triple_state = triples // max(k, 1)  # the pair before the symbol
+        self.triple_pair = np.zeros(len(triples), np.int64)
+        self.triple_pair[self.triple] = at_pair[self.at3]
+        low = np.uint64(64 - bits)
+        one = _scramble(self.names * _MIX + np.uint64(1))
+        two = _scramble(one[self.pair_state] * _MIX + self.names[self.pair_symbol])
+        three = _scramble(two[self.triple_state] * _MIX + self.names[triples % max(k, 1)])
+        words = (self.names != START).astype(np.uint64)
+        ones = ((one >> low) << np.uint64(1)) | words  # the last bit tells a token from other keys
+        keys = np.concatenate([ones, (two >> low) << np.uint64(1), (three >> low) << np.uint64(1)])
+        self.keys, where = np.unique(keys, return_inverse=True)
+        self.where = np.split(where, [k, k + len(pairs)])
+        entered = (self.names == START)[self.flat] & (place == 0) & (leads[self.of] == 1)
+        counted = (self.scored | entered) & learn
+        counts = np.concatenate([
+            np.bincount(self.flat, counted, k), np.bincount(self.pair, (self.scored & learn)[self.at2], len(pairs)), np.bincount(self.triple, (self.scored & learn)[self.at3], len(triples)),
+        ])
+        self.counts = np.bincount(where, counts, len(self.keys)).astype(np.uint64)
+        self.learned = int((self.scored & learn).sum())
+
+
+def _asks(buckets: int, bits: int):
+    """mapInPandas: per block and bucket one row of the sorted keys of its n-grams, as gaps, and their training counts."""
+
+    def make(batches) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                g = _Grams(r.names, r.flat, r.lens, r.leads, r.trains, bits)
+                ends = np.searchsorted(_bucket(g.keys, buckets, bits), np.arange(buckets + 1))
+                some = [b for b in range(buckets) if ends[b] < ends[b + 1]]
+                gaps = [_pack(np.diff(g.keys[ends[b] : ends[b + 1]], prepend=np.uint64(0))) for b in some]
+                yield pd.DataFrame({"bucket": some, "block": r.block, "gaps": gaps, "counts": [_pack(g.counts[ends[b] : ends[b + 1]]) for b in some]})
 
     return make
 
 
-def _walk(discount: float, n: int, v: int):
-    """Cogrouped: a block's arcs, states and root arcs with its stretches, to partial sums per id."""
-    below = n + 0.1 * (v + 1)
-
-    def walk(arcs: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        seqs = [np.frombuffer(s, np.int32) for s in runs["seq"]]
-        size = 1 + max(int(s.max()) for s in seqs)
-        is_pair = arcs["wi"].notna().to_numpy()
-        words = arcs[~is_pair]
-        c, cs, kinds = np.zeros(size), np.zeros(size), np.zeros(size)
-        for into, name in ((c, "c"), (cs, "cs"), (kinds, "kinds")):
-            into[words["si"].to_numpy(np.int64)] = words[name].to_numpy(float)
-        root = np.log10((c + 0.1) / below)
-        fail = np.where(cs > 0, discount * kinds / np.maximum(cs, 1), 1.0)
-        pairs = arcs[is_pair]
-        key = pairs["si"].to_numpy(np.int64) * size + pairs["wi"].to_numpy(np.int64)
-        order = np.argsort(key)
-        key, c2 = np.append(key[order], np.int64(2**62)), np.append(pairs["c"].to_numpy(float)[order], 0.0)
-        n_tok, known, base, score = [], [], [], []
-        for q in seqs:
-            s, w = q[:-1].astype(np.int64), q[1:].astype(np.int64)
-            at = np.searchsorted(key, s * size + w)
-            seen = np.where(key[at] == s * size + w, c2[at], 0.0)
-            arc = (seen - discount) / np.maximum(cs[s], 1) + fail[s] * 10 ** root[w]
-            n_tok.append(len(w))
-            known.append(int((c[w] > 0).sum()))
-            base.append(root[w].sum())
-            score.append(np.where(seen > 0, np.log10(np.where(seen > 0, arc, 1.0)), np.log10(fail[s]) + root[w]).sum())
-        return pd.DataFrame({"id": runs["id"], "train": runs["train"], "t": n_tok, "k": known, "b": base, "p": score})
+def _bucket(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Ranges of keys of about equal size, in the order of the keys."""
+    return ((keys >> np.uint64(bits - 31)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _merge(asked: pd.DataFrame) -> pd.DataFrame:
+    """Counts of a bucket's keys over all blocks, given back to each block in the order it asked; words with a count."""
+    keys = [np.cumsum(_unpack(g), dtype=np.uint64) for g in asked["gaps"]]
+    names, where = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(where, np.concatenate([_unpack(c) for c in asked["counts"]]).astype(float), len(names))
+    own = np.split(total[where].astype(np.uint64), np.cumsum([len(k) for k in keys])[:-1])
+    words = np.zeros(len(asked), np.int64)
+    words[0] = int(((names & np.uint64(1) == 1) & (total > 0)).sum())
+    return pd.DataFrame({"block": asked["block"], "bucket": asked["bucket"], "totals": [_pack(x) for x in own], "words": words})
+
+
+def _walk(strength: tuple[float, float], n: int, v: int, bits: int):
+    """Cogrouped: a block's counts and its texts, to partial sums per stretch."""
+
+    def walk(answers: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        r = runs.iloc[0]
+        g = _Grams(r["names"], r["flat"], r["lens"], r["leads"], r["trains"], bits)
+        total = np.concatenate([_unpack(x) for x in answers.sort_values("bucket")["totals"]]).astype(float)
+        c1, c2, c3 = (total[w] for w in g.where)
+        # Arcs of the root, then of states of one and of two symbols; a failure arc leads to the shorter state.
+        root = (c1 + 0.1) / (n + 0.1 * (v + 1))
+        fail1, fail2 = (np.where(c > 0, s / (c + s), 1.0) for c, s in ((c1, strength[0]), (c2, strength[1])))
+        arc1 = c2 / np.maximum(c1[g.pair_state] + strength[0], 1) + fail1[g.pair_state] * root[g.pair_symbol]
+        arc1 = np.where(c2 > 0, np.log10(arc1), np.log10(fail1[g.pair_state]) + np.log10(root[g.pair_symbol]))
+        lower = arc1[g.triple_pair]
+        arc2 = c3 / np.maximum(c2[g.triple_state] + strength[1], 1) + fail2[g.triple_state] * 10**lower
+        arc2 = np.where(c3 > 0, np.log10(arc2), np.log10(fail2[g.triple_state]) + lower)
+        step = np.zeros(len(g.flat))
+        step[g.at2] = arc1[g.pair]
+        step[g.at3] = arc2[g.triple]
+        kinds = len(r["lens"])
+        add = lambda x: np.bincount(g.of, np.where(g.scored, x, 0), kinds)
+        return pd.DataFrame({
+            "row": r["rows"], "id": r["ids"], "train": r["trains"], "t": add(1).astype(np.int64), "k": add(c1[g.flat] > 0).astype(np.int64),
+            "b": add(np.log10(root)[g.flat]), "p": add(step),
+        })
 
     return walk
 
 
-def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text: str = "text", discount: float = 0.75, most: int = 1 << 18) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per id.
+def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text: str = "text", strength: tuple[float, float] = (4.0, 4.0), most: int = 1 << 20, bits: int = 56) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
 
-    A state is the last word read. Its arcs hold absolute discounting with the mass left going to the
-    root: P(w | s) = (max(c - D, 0) + D * kinds(s) * P(w)) / c(s). A symbol without an arc takes the failure arc
-    of s, of weight D * kinds(s) / c(s), to the root, whose arcs hold add-0.1 unigrams over training
-    tokens; a state never seen in training fails at no cost. All counts come from all training rows and
-    stay distributed. The walk reads a text left to right and carries its state across blocks.
+    The states are the histories of two, one and no symbols that training texts hold. An arc from state h to
+    symbol w, if training holds hw, has weight P(w | h) = (c(hw) + s * P(w | h')) / (c(h) + s), h' being h without its
+    first symbol and s the ``strength`` of the shorter history (for histories of one and two symbols). A symbol without
+    an arc takes the failure arc of h, of weight s / (c(h) + s), to h'; a state not seen in training fails at no cost.
+    The root's arcs hold add-0.1 unigrams over training tokens. All counts come from all training rows and stay
+    distributed. The walk reads a text left to right and carries its state across blocks.
 
-    Texts go in blocks of ``most`` symbols; a block sends each different pair and symbol once,
-    which is the pre-aggregation before the shuffle and keeps a frequent pair to one row per block. It gets
-    back the arcs, states and root arcs it needs, at most as many as its symbols, and walks its texts on them.
+    Texts go in blocks of ``most`` symbols. A block sends one packed row of sorted keys (hashes of ``bits`` bits) and
+    counts of its different n-grams to each bucket, a bucket sums them and answers with the counts in the order
+    asked: a frequent n-gram costs a block one key, and buckets are ranges of the hash, so no word or history makes one larger. There
+    are as many buckets as ``spark.sql.shuffle.partitions``, so that this setting bounds the memory of a task.
+    Unseen n-grams share a key with a seen one in about one of 2^``bits`` / different n-grams.
 
-    A null or blank text is its end symbol alone. Rows of equal id are one walk each, summed
-    together (per value of ``train``). An empty table gives no rows.
+    A null or blank text is its end symbol alone. Null and repeated ids and repeated rows are rows of their own. A
+    null ``train`` counts as not training. Only ``id_col`` and ``text`` are read, so other columns cannot clash. An
+    empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), train.alias("train"))
-    rows = cut(src.mapInPandas(_blocks(most), f"{KEYS}, id {kind}, train boolean, seq binary"))
-    pairs = rows.where("w is not null").select("block", "si", "wi", "s", "w", "c")
-    arcs = cut(pairs.where("c > 0").groupBy("s", "w").agg(F.sum("c").alias("c")))
-    zero = F.lit(0).cast("long")
-    both = arcs.select(F.col("w").alias("s"), "c", zero.alias("cs"), zero.alias("kinds"))
-    both = both.union(arcs.select("s", zero.alias("c"), F.col("c").alias("cs"), F.lit(1).cast("long").alias("kinds")))
-    states = cut(both.groupBy("s").agg(*[F.sum(x).alias(x) for x in ("c", "cs", "kinds")]))
-    tot = states.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = tot["n"] or 0, tot["v"]
-    need = pairs.drop("c").join(arcs, ["s", "w"]).select("block", "si", "wi", "c", zero.alias("cs"), zero.alias("kinds"))
-    symbols = rows.where("w is null and s is not null").select("block", "si", "s")
-    need = need.union(symbols.join(states, "s").select("block", "si", F.lit(None).cast("int").alias("wi"), "c", "cs", "kinds"))
-    runs = rows.where("seq is not null").select(F.col("block").alias("of"), "id", "train", "seq")
-    got = need.groupBy("block").cogroup(runs.groupBy("of")).applyInPandas(_walk(discount, n, v), f"id {kind}, train boolean, t long, k long, b double, p double")
-    out = got.groupBy("id", "train").agg(*[F.sum(x).alias(x) for x in ("t", "k", "b", "p")])
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    blocks = cut(src.mapInPandas(_blocks(most), _BLOCK.format(kind=kind)))
+    texts = blocks.select("block", "trains", "leads", "lens", "names", "flat")
+    asks = texts.mapInPandas(_asks(buckets, bits), "bucket int, block long, gaps binary, counts binary")
+    answers = cut(asks.groupBy("bucket").applyInPandas(_merge, "block long, bucket int, totals binary, words long"))
+    each = F.arrays_zip("trains", "lens", "leads")
+    n = blocks.agg(F.sum(F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + F.when(x["trains"], x["lens"] - x["leads"]).otherwise(0)))).first()[0] or 0
+    v = answers.agg(F.sum("words")).first()[0] or 0
+    whole = blocks.withColumnRenamed("block", "of")
+    got = answers.groupBy("block").cogroup(whole.groupBy("of")).applyInPandas(_walk(strength, n, v, bits), f"row long, id {kind}, train boolean, t long, k long, b double, p double")
+    out = got.groupBy("row").agg(F.first("id").alias("id"), F.first("train").alias("train"), *[F.sum(x).alias(x) for x in ("t", "k", "b", "p")])
     return out.select(
         F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), F.col("t").alias("n_tokens"), F.col("k").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"), F.col("b").alias("base_score"), F.col("p").alias("score"),

@@ -175,27 +175,48 @@ def test_near_dups_null_and_repeated_ids(spark):
     assert len(out) == len(rows) and sum(r.kept for r in out) == len(want)
 
 
+def lm_brute(rows, train, strength=4.0):
+    """(n_tokens, n_known, train tokens, base, score) of each text, by the recursion itself."""
+    toks = [[*WORD.findall(low(t)), "\n"] for _, t in rows]
+    c1, c2, c3 = Counter(), Counter(), Counter()
+    for q, t in zip(toks, train):
+        if t:
+            h = ["\t", *q]
+            c1.update(h)
+            c2.update(zip(h, h[1:]))
+            c3.update(zip(h, h[1:], h[2:]))
+    n, v = sum(c1.values()) - c1["\t"], len(set(c1) - {"\t"})
+    uni = lambda w: (c1[w] + 0.1) / (n + 0.1 * (v + 1))
+    two = lambda s, w: (c2[s, w] + strength * uni(w)) / (c1[s] + strength) if c1[s] else uni(w)
+    three = lambda r, s, w: (c3[r, s, w] + strength * two(s, w)) / (c2[r, s] + strength) if c2[r, s] else two(s, w)
+    for q in toks:
+        h = ["\t", *q]
+        p = [two(h[0], h[1])] + [three(*h[i - 2 : i + 1]) for i in range(2, len(h))]
+        yield len(q), sum(c1[w] > 0 for w in q), n, sum(math.log10(uni(w)) for w in q), sum(map(math.log10, p))
+
+
 def test_lm_brute(spark, sf, docs):
     got = by_id(lm.op10_lm_score(spark, sf).toPandas())
-    toks = {i: [*WORD.findall(low(t)), "\n"] for i, t, *_ in docs}
-    train = [i for i in toks if zlib.crc32(str(i).encode()) % 10]
-    c = Counter(w for i in train for w in toks[i])
-    pairs, n = Counter(p for i in train for p in zip(["\t", *toks[i]], toks[i])), sum(c.values())
-    state, kinds = Counter(), Counter()
-    for (s, _), k in pairs.items():
-        state[s] += k
-        kinds[s] += 1
-    uni = lambda w: (c[w] + 0.1) / (n + 0.1 * (len(c) + 1))
-
-    def p(s, w):
-        if not state[s]:
-            return uni(w)
-        return max(pairs[s, w] - 0.75, 0) / state[s] + 0.75 * kinds[s] / state[s] * uni(w)
-
-    for i, t in toks.items():
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(w in c for w in t), n)
-        assert math.isclose(got[i].base_score, sum(math.log10(uni(w)) for w in t), rel_tol=1e-9)
-        assert math.isclose(got[i].score, sum(math.log10(p(s, w)) for s, w in zip(["\t", *t], t)), rel_tol=1e-9)
+    want = lm_brute([d[:2] for d in docs], [zlib.crc32(str(d[0]).encode()) % 10 for d in docs])
+    for (i, *_), w in zip(docs, want, strict=True):
+        g = got[i]
+        assert (g.n_tokens, g.n_known, g.train_tokens) == w[:3]
+        assert math.isclose(g.base_score, w[3], rel_tol=1e-9) and math.isclose(g.score, w[4], rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("most", [1, 2, 7, 1000])
+def test_lm_blocks_null_and_repeated_ids(spark, most):
+    """Every block size gives the same scores; rows of one id, null ids and copies stay rows; a long text crosses blocks."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices("a b c d e".split(), k=rng.randint(0, 12)))) for i in range(20)] + [(3, "a b"), (3, "a b"), (None, "c d e"), (None, None), (7, "a b c " * (400 if most > 2 else 9))]
+    d = spark.createDataFrame([(*r, True, "clash") for r in rows], "doc_id long, text string, train boolean, row string")
+    got = lm.lm_scores(d, F.when(F.col("doc_id").isNotNull(), F.col("doc_id") % 4 != 0), most=most).toPandas()
+    want = list(lm_brute(rows, [i is not None and i % 4 != 0 for i, _ in rows]))
+    key = lambda x: (x[0], x[1], x[2], round(x[3], 6), round(x[4], 6))
+    assert sorted(map(key, got[["n_tokens", "n_known", "train_tokens", "base_score", "score"]].itertuples(index=False))) == sorted(map(key, want))
+    assert got.doc_id.isna().sum() == 2 and (got.doc_id == 3).sum() == 3
 
 
 def test_mix(spark, sf, docs):
