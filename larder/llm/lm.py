@@ -33,6 +33,12 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different values and the place of each value among them, in half the bytes."""
+    values, where = np.unique(x, return_inverse=True)
+    return values, where.astype(np.int32)
+
+
 def _blocks(most: int):
     """mapInPandas: texts as one row for each block of about ``most`` symbols.
 
@@ -42,7 +48,7 @@ def _blocks(most: int):
     """
 
     def emit(block: int, held: list) -> pd.DataFrame:
-        names, flat = np.unique(np.concatenate([h for *_, h in held]), return_inverse=True)
+        names, flat = _distinct(np.concatenate([h for *_, h in held]))
         rows, ids, trains, leads, parts = (list(x) for x in zip(*held, strict=True))
         whole = {"block": block, "rows": rows, "ids": ids, "trains": trains, "leads": leads, "lens": [len(h) for h in parts], "names": names.tobytes(), "flat": _pack(flat)}
         return pd.DataFrame({k: [v] for k, v in whole.items()})
@@ -73,23 +79,23 @@ class _Grams:
 
     def __init__(self, names: bytes, flat: bytes, lens, leads, trains, bits: int = 56):
         self.names = np.frombuffer(names, np.uint64)
-        self.flat = _unpack(flat).astype(np.int64)
+        self.flat = _unpack(flat).astype(np.int32)
         lens, leads = np.asarray(lens, np.int64), np.asarray(leads, np.int64)
         n = len(self.flat)
         begin = np.cumsum(lens) - lens
-        self.of = np.repeat(np.arange(len(lens)), lens)  # stretch of each place
-        place = np.arange(n) - begin[self.of]
+        self.of = np.repeat(np.arange(len(lens), dtype=np.int32), lens)  # stretch of each place
+        place = np.arange(n, dtype=np.int32) - begin.astype(np.int32)[self.of]
         self.scored = place >= leads[self.of]
         learn = np.asarray(trains, bool)[self.of]
-        self.at2, self.at3 = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+        self.at2, self.at3 = (np.flatnonzero(place >= x).astype(np.int32) for x in (1, 2))
         k = len(self.names)
-        pairs, self.pair = np.unique(self.flat[self.at2 - 1] * k + self.flat[self.at2], return_inverse=True)
-        self.pair_state, self.pair_symbol = np.divmod(pairs, k)
-        at_pair = np.zeros(n, np.int64)
+        pairs, self.pair = _distinct(self.flat[self.at2 - 1].astype(np.int64) * k + self.flat[self.at2])
+        self.pair_state, self.pair_symbol = np.divmod(pairs, max(k, 1))
+        at_pair = np.zeros(n, np.int32)
         at_pair[self.at2] = self.pair
-        triples, self.triple = np.unique(at_pair[self.at3 - 1] * max(k, 1) + self.flat[self.at3], return_inverse=True)
+        triples, self.triple = _distinct(at_pair[self.at3 - 1].astype(np.int64) * max(k, 1) + self.flat[self.at3])
         self.triple_state = triples // max(k, 1)  # the pair before the symbol
-        self.triple_pair = np.zeros(len(triples), np.int64)
+        self.triple_pair = np.zeros(len(triples), np.int32)
         self.triple_pair[self.triple] = at_pair[self.at3]
         low = np.uint64(64 - bits)
         one = _scramble(self.names * _MIX + np.uint64(1))
@@ -98,7 +104,7 @@ class _Grams:
         words = (self.names != START).astype(np.uint64)
         ones = ((one >> low) << np.uint64(1)) | words  # the last bit tells a token from other keys
         keys = np.concatenate([ones, (two >> low) << np.uint64(1), (three >> low) << np.uint64(1)])
-        self.keys, where = np.unique(keys, return_inverse=True)
+        self.keys, where = _distinct(keys)
         self.where = np.split(where, [k, k + len(pairs)])
         entered = (self.names == START)[self.flat] & (place == 0) & (leads[self.of] == 1)
         counted = (self.scored | entered) & learn
@@ -169,7 +175,7 @@ def _walk(strength: tuple[float, float], n: int, v: int, bits: int):
     return walk
 
 
-def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text: str = "text", strength: tuple[float, float] = (4.0, 4.0), most: int = 1 << 20, bits: int = 56) -> DataFrame:
+def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text: str = "text", strength: tuple[float, float] = (4.0, 4.0), most: int = 1 << 19, bits: int = 56) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
 
     The states are the histories of two, one and no symbols that training texts hold. An arc from state h to
