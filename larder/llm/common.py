@@ -66,7 +66,7 @@ def per_class(rows: DataFrame, text: str, label: str, most: int) -> DataFrame:
     return some.withColumn("_r", rank).where(F.col("_r") <= most).select(text, label, "_o")
 
 
-_LOWER_BYTES =bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MEMO: dict[bytes, int] = {}
 
 
@@ -77,7 +77,7 @@ def word_bytes(text: str | None) -> list[bytes]:
 
 def hashes_of(found: list[bytes]) -> np.ndarray:
     """64-bit hashes of words. Hashes of repeated words come from a memo that is emptied when it is full."""
-    if len(_MEMO) > 500_000:
+    if len(_MEMO) > 100_000:
         _MEMO.clear()
     for w in set(found).difference(_MEMO):
         _MEMO[w] = xxhash.xxh64_intdigest(w, 42)

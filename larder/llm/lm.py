@@ -188,7 +188,7 @@ def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text: str = "text"
     Texts go in blocks of ``most`` symbols. A block sends one packed row of sorted keys (hashes of ``bits`` bits) and
     counts of its different n-grams to each bucket, a bucket sums them and answers with the counts in the order
     asked: a frequent n-gram costs a block one key, and buckets are ranges of the hash, so no word or history makes one larger. There
-    are as many buckets as ``spark.sql.shuffle.partitions``, so that this setting bounds the memory of a task.
+    are four buckets to each of ``spark.sql.shuffle.partitions``, so that this setting bounds the memory of a task.
     Unseen n-grams share a key with a seen one in about one of 2^``bits`` / different n-grams.
 
     A null or blank text is its end symbol alone. Null and repeated ids and repeated rows are rows of their own. A
@@ -196,7 +196,7 @@ def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text: str = "text"
     empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     blocks = cut(src.mapInPandas(_blocks(most), _BLOCK.format(kind=kind)))
     texts = blocks.select("block", "trains", "leads", "lens", "names", "flat")
