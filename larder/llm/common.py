@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,10 +18,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder the session names and read it back, which ends its lineage there."""
+    """Write ``df`` to the shared folder that ``spark.checkpoint.dir`` names and read it back, which ends its lineage there.
+
+    Without that setting only a local session (driver and tasks on one machine) gets a folder, its own; a cluster gets an error.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-cut-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
@@ -41,10 +48,6 @@ def words(col: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, f"{SPACE}+"))
 
 
-def word_hashes(col: Column) -> Column:
-    return F.transform(words(col), lambda w: F.xxhash64(w))
-
-
 def fold(col: Column, k: int) -> Column:
     """crc32 of the id as text, modulo ``k``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % k
@@ -67,7 +70,6 @@ def per_class(rows: DataFrame, text: str, label: str, most: int) -> DataFrame:
 
 
 _LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_MEMO: dict[bytes, int] = {}
 
 
 def word_bytes(text: str | None) -> list[bytes]:
@@ -76,9 +78,19 @@ def word_bytes(text: str | None) -> list[bytes]:
 
 
 def hashes_of(found: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words. Hashes of repeated words come from a memo that is emptied when it is full."""
-    if len(_MEMO) > 100_000:
-        _MEMO.clear()
-    for w in set(found).difference(_MEMO):
-        _MEMO[w] = xxhash.xxh64_intdigest(w, 42)
-    return np.fromiter(map(_MEMO.__getitem__, found), np.uint64, len(found))
+    """64-bit hashes of words. Hashes of repeated words come from a memo that is emptied when it is full.
+
+    The memo hangs on the module ``xxhash``: functions travel to tasks by value, and each copy would keep one of its own.
+    """
+    memo = xxhash.__dict__.setdefault("_word_memo", {})
+    if len(memo) > 100_000:
+        memo.clear()
+    for w in set(found).difference(memo):
+        memo[w] = xxhash.xxh64_intdigest(w, 42)
+    return np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
+
+
+def free() -> None:
+    """Give back what a finished block of a task has held, as the next task may run in the same process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, fold, hashes_of, table, word_bytes
+from larder.llm.common import cut, fold, free, hashes_of, table, word_bytes
 
 END, START = np.uint64(1), np.uint64(2)  # symbols besides the words' 64-bit hashes
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -70,6 +70,7 @@ def _blocks(most: int):
                 row += 1
         if held:
             yield emit(block, held)
+        free()
 
     return make
 
@@ -126,6 +127,8 @@ def _asks(buckets: int, bits: int):
                 some = [b for b in range(buckets) if ends[b] < ends[b + 1]]
                 gaps = [_pack(np.diff(g.keys[ends[b] : ends[b + 1]], prepend=np.uint64(0))) for b in some]
                 yield pd.DataFrame({"bucket": some, "block": r.block, "gaps": gaps, "counts": [_pack(g.counts[ends[b] : ends[b + 1]]) for b in some]})
+                del g, gaps
+            free()
 
     return make
 
@@ -143,6 +146,7 @@ def _merge(asked: pd.DataFrame) -> pd.DataFrame:
     own = np.split(total[where].astype(np.uint64), np.cumsum([len(k) for k in keys])[:-1])
     words = np.zeros(len(asked), np.int64)
     words[0] = int(((names & np.uint64(1) == 1) & (total > 0)).sum())
+    free()
     return pd.DataFrame({"block": asked["block"], "bucket": asked["bucket"], "totals": [_pack(x) for x in own], "words": words})
 
 
@@ -175,7 +179,7 @@ def _walk(strength: tuple[float, float], n: int, v: int, bits: int):
     return walk
 
 
-def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text: str = "text", strength: tuple[float, float] = (4.0, 4.0), most: int = 1 << 19, bits: int = 56) -> DataFrame:
+def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text: str = "text", strength: tuple[float, float] = (4.0, 4.0), most: int = 1 << 20, bits: int = 56) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
 
     The states are the histories of two, one and no symbols that training texts hold. An arc from state h to
@@ -188,7 +192,7 @@ def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text: str = "text"
     Texts go in blocks of ``most`` symbols. A block sends one packed row of sorted keys (hashes of ``bits`` bits) and
     counts of its different n-grams to each bucket, a bucket sums them and answers with the counts in the order
     asked: a frequent n-gram costs a block one key, and buckets are ranges of the hash, so no word or history makes one larger. There
-    are four buckets to each of ``spark.sql.shuffle.partitions``, so that this setting bounds the memory of a task.
+    are two buckets to each of ``spark.sql.shuffle.partitions``, so that this setting bounds the memory of a task.
     Unseen n-grams share a key with a seen one in about one of 2^``bits`` / different n-grams.
 
     A null or blank text is its end symbol alone. Null and repeated ids and repeated rows are rows of their own. A
@@ -196,7 +200,7 @@ def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text: str = "text"
     empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     blocks = cut(src.mapInPandas(_blocks(most), _BLOCK.format(kind=kind)))
     texts = blocks.select("block", "trains", "leads", "lens", "names", "flat")
