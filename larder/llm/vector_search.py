@@ -1,98 +1,119 @@
-"""Exact top-k inner product with vector-approximation files."""
+"""Exact top-k inner product with a vector-approximation file."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.common import cut, table
 
-CELLS = 64
-
-
-def _search(ids, x, lo, hi, qids, q, k):
-    """Rows (query, id, score) of each query's best ``k`` among ``x``, by bounds first, then exact in bound order."""
-    up = np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
-    down = np.maximum(q, 0) @ lo.T + np.minimum(q, 0) @ hi.T
-    out = []
-    for r in range(len(q)):
-        own = ids == qids[r]
-        u, d = np.where(own, -np.inf, up[r]), np.where(own, -np.inf, down[r])
-        n = len(ids) - int(own.sum())
-        if n <= 0:
-            continue
-        sure = np.partition(d, len(d) - min(k, n))[len(d) - min(k, n)]
-        order = np.flatnonzero(u >= sure)
-        order = order[np.argsort(-u[order], kind="stable")]
-        best_i, best_s = np.empty(0, np.int64), np.empty(0, np.int64)
-        at, step = 0, 4 * k
-        while at < len(order):
-            # A bound below the kth exact score ends the reading; equal bounds may still win a tie.
-            if len(best_s) >= k and u[order[at]] < best_s[k - 1]:
-                break
-            take = order[at : at + step]
-            best_i = np.r_[best_i, ids[take]]
-            best_s = np.r_[best_s, x[take] @ q[r]]
-            rank = np.lexsort((best_i, -best_s))[:k]
-            best_i, best_s = best_i[rank], best_s[rank]
-            at, step = at + step, step * 2
-        out.append(pd.DataFrame({"query_id": qids[r], "vec_id": best_i, "score": best_s}))
-    return pd.concat(out) if out else None
-
-
-def exact_top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec: str = "embedding", scale: int = 1024, k: int = 10, block: int = 2048) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` rows of highest integer inner product per query.
-
-    Components become floor(scale * x). Null vectors and vectors with a null or non-finite component take
-    no part (nor do empty ones), nor do those whose length differs from the query's. A vector of quantised cells per
-    row bounds each score from both sides; exact vectors are read in order of the upper bound until the
-    kth result is certain. Queries go in blocks of about ``block``, each a bounded broadcast against all
-    rows, so no task or driver holds them whole. Only ``k`` rows per query and batch are shuffled.
-    A repeated id is a separate candidate, and never an answer to itself.
+CELLS = 256  # a cell takes one byte
+_LIMIT = 2.0**62
+
+
+def _edges(batches):
+    """Least and largest component of each dimension, by length of the vectors."""
+    held: dict[int, tuple] = {}
+    for b in batches:
+        for w, rows in b.groupby(b["x"].map(len))["x"]:
+            x = np.stack(rows.to_list())
+            low, high = held.get(w, (x[0], x[0]))
+            held[w] = np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
+    for w, (low, high) in held.items():
+        yield pd.DataFrame({"w": w, "i": range(w), "low": low, "high": high})
+
+
+def _pack(make, most: int):
+    """mapInPandas: rows (k, id, x) in packed blocks of at most ``most`` rows of one length."""
+
+    def pack(batches):
+        block = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for w, rows in b.groupby(b["x"].map(len)):
+                for at in range(0, len(rows), most):
+                    part = rows.iloc[at : at + most]
+                    x = np.stack(part["x"].to_list()).astype(np.int64)
+                    ks, ids = (part[c].to_numpy(np.int64).tobytes() for c in ("k", "id"))
+                    yield pd.DataFrame({"block": [block], "w": [w], "ks": [ks], "ids": [ids], "x": [make(x, int(w))]})
+                    block += 1
+
+    return pack
+
+
+def _bounds(edges: dict, k: int):
+    """mapInPandas over (block of cells, block of queries): rows whose upper bound reaches the block's kth lower bound."""
+
+    def scan(batches):
+        for b in batches:
+            for r in b.itertuples():
+                low, side = edges[r.w]
+                cell = np.frombuffer(r.x, np.uint8).reshape(-1, r.w)
+                lo = (low + cell * side).astype(float)
+                hi = lo + (side - 1)
+                q = np.frombuffer(r.q, np.int64).reshape(-1, r.w).astype(float)
+                pos, neg = np.maximum(q, 0), np.minimum(q, 0)
+                slack = np.abs(q) @ np.maximum(np.abs(lo), np.abs(hi)).T * 2.0**-40  # rounding of the bounds
+                up, down = pos @ hi.T + neg @ lo.T + slack, pos @ lo.T + neg @ hi.T - slack
+                ids, ks, qids, qks = (np.frombuffer(x, np.int64) for x in (r.ids, r.ks, r.qids, r.qks))
+                own = qids[:, None] == ids[None, :]
+                down[own], up[own] = -np.inf, -np.inf
+                n = min(k, len(ids))
+                sure = np.partition(down, len(ids) - n, axis=1)[:, len(ids) - n]
+                i, j = np.nonzero((up >= sure[:, None]) & ~own)
+                yield pd.DataFrame({"qk": qks[i], "k": ks[j], "up": up[i, j], "down": down[i, j]})
+
+    return scan
+
+
+def exact_top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec: str = "embedding", scale: int = 1024, k: int = 10, rows: int = 4096, block: int = 512) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` rows of highest integer inner product per query, ties to the smaller id.
+
+    Components become floor(scale * x). Null ids, null and empty vectors and vectors with a null or non-finite component
+    take no part, nor do candidates whose length differs from the query's. A scaled component of 2^62 or more, and a score that
+    does not fit a long, raise an error. A repeated id is a separate candidate and never an answer to itself; each row of a
+    repeated query id is a query. Only the named columns are read, so other columns cannot clash. An empty table gives no rows.
+
+    The approximation file is written once: for each dimension 256 cells between its least and largest value, a byte a component, in
+    packed blocks of ``rows`` rows. The first pass reads it alone: blocks of rows meet blocks of ``block``
+    queries (the stated query set against all rows, in blocks; Spark broadcasts the packed queries only under its own size
+    threshold), which gives a lower and an upper bound of each score; rows whose upper bound is below the
+    kth lower bound of their block, and then of all blocks, are out. The second pass reads exact vectors of those left in
+    the order of their bounds: the first 4k of each query, then those whose upper bound reaches the kth exact score.
     """
     v = vectors.where(F.col(id_col).isNotNull() & (F.size(vec) > 0))
-    big = F.lit(2.0**40)
     ok = F.forall(vec, lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))), F.lit(False)))
-    v = v.where(ok).select(F.col(id_col).cast("long").alias("id"), F.transform(vec, lambda e: F.floor(F.greatest(-big, F.least(big, e.cast("double") * scale))).cast("long")).alias("x"))
+    scaled = lambda e: e.cast("double") * scale
+    too_big = F.raise_error(F.lit("a scaled component does not fit")).cast("long")
+    v = v.where(ok).select(
+        F.monotonically_increasing_id().alias("k"), F.col(id_col).cast("long").alias("id"), F.transform(vec, lambda e: F.when(F.abs(scaled(e)) < _LIMIT, F.floor(scaled(e))).otherwise(too_big)).alias("x"),
+    )
     v = cut(v)
-    n = v.where(is_query(F.col("id"))).count()
-    blocks = max(1, -(-n // block))
-    spark, parts = vectors.sparkSession, []
-    for i in range(blocks):
-        mine = v.where(is_query(F.col("id")) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)).toPandas()
-        if mine.empty:
-            continue
-        shared = spark.sparkContext.broadcast((mine["id"].to_numpy(np.int64), [np.array(a, np.int64) for a in mine["x"]]))
-
-        def scan(batches, shared=shared):
-            qid, qs = shared.value
-            widths = np.array([len(a) for a in qs])
-            for b in batches:
-                ids, lens = b["id"].to_numpy(np.int64), b["x"].map(len).to_numpy()
-                for w in np.unique(lens):
-                    pick = np.flatnonzero(widths == w)
-                    if not len(pick):
-                        continue
-                    x = np.array([a for a, n in zip(b["x"], lens) if n == w], dtype=np.int64).reshape(-1, w)
-                    low, high = x.min(axis=0), x.max(axis=0)
-                    side = np.maximum(1, -(-(high - low + 1) // CELLS))
-                    cell = ((x - low) // side).astype(np.uint8)
-                    lo = (low + cell * side).astype(np.float64)
-                    hi = lo + side - 1
-                    got = _search(ids[lens == w], x, lo, hi, qid[pick], np.array([qs[j] for j in pick]), k)
-                    if got is not None:
-                        yield got
-
-        parts.append(v.mapInPandas(scan, "query_id long, vec_id long, score long"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.union(p)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    got = v.mapInPandas(_edges, "w int, i int, low long, high long").groupBy("w", "i").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
+    edges = {int(w): (e["low"].to_numpy(), np.maximum(1, (e["high"].to_numpy() - e["low"].to_numpy()) // CELLS + 1)) for w, e in got.sort_values("i").groupby("w")}
+    shape = "block long, w int, ks binary, ids binary, x binary"
+    cells = cut(v.mapInPandas(_pack(lambda x, w: ((x - edges[w][0]) // edges[w][1]).astype(np.uint8).tobytes(), rows), shape))
+    asked = v.where(is_query(F.col("id")))
+    packed = cut(asked.mapInPandas(_pack(lambda x, w: x.tobytes(), block), shape).select("w", F.col("ks").alias("qks"), F.col("ids").alias("qids"), F.col("x").alias("q")))
+    found = cut(cells.join(packed, "w").mapInPandas(_bounds(edges, k), "qk long, k long, up double, down double"))
+    by = Window.partitionBy("qk")
+    sure = found.select("qk", "down", F.row_number().over(by.orderBy(F.col("down").desc())).alias("n")).where(F.col("n") <= k)
+    sure = sure.groupBy("qk").agg(F.min("down").alias("sure"))  # the kth bound, or the least if there are fewer
+    left = found.join(sure, "qk").where("up >= sure").select("qk", "k", "up", F.row_number().over(by.orderBy(F.col("up").desc(), "k")).alias("n"))
+    left = cut(left)
+    product = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, p: s + p)
+    queries = asked.select(F.col("k").alias("qk"), F.col("id").alias("query_id"), F.col("x").alias("y"))
+
+    def read(some: DataFrame) -> DataFrame:
+        return some.join(v, "k").join(queries, "qk").select("qk", "query_id", F.col("id").alias("vec_id"), product.alias("score"))
+
+    best = Window.partitionBy("qk").orderBy(F.col("score").desc(), "vec_id")
+    first = cut(read(left.where(F.col("n") <= 4 * k)))
+    kth = first.select("qk", "score", F.row_number().over(best).alias("n")).where(F.col("n") == k).select("qk", F.col("score").alias("kth"))
+    rest = read(left.where(F.col("n") > 4 * k).join(kth, "qk").where("up >= kth"))
+    return first.union(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_exact_top_k(spark, sf_dir: str) -> DataFrame:
