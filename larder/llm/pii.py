@@ -74,28 +74,37 @@ def _entity(text: str, kind: int, start: int, end: int) -> int:
 def _outside(text: str, spans) -> tuple[list, list]:
     """(spans by start, words that meet none of them)."""
     cover = sorted((s, e, k) for k, s, e in spans)
-    return cover, [m for m in _WORD.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in _around(cover, m.start()))]
+    begin, end = [], []  # spans that meet, merged
+    for s, e, _ in cover:
+        if end and s <= end[-1]:
+            end[-1] = max(end[-1], e)
+        else:
+            begin.append(s)
+            end.append(e)
+
+    def free_of(m) -> bool:
+        i = bisect_left(begin, m.end())  # merged spans from i on begin at or after the word's end
+        return i == 0 or end[i - 1] <= m.start()
+
+    return cover, [m for m in _WORD.finditer(text) if free_of(m)]
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", reach: int = 2, bits: float = 3.0, least: int = 20, share: float = 0.25, single: int = 3) -> DataFrame:
     """(id, text, spans, clean_text) per row of ``docs``.
 
-    Pattern spans are found first. Every word (letters, lower-cased) counts in the corpus, and
-    counts again where it stands within ``reach`` words of a protected span, outside all spans: once for spans of
+    Pattern spans are found first. Every word outside them (letters, lower-cased) counts in the corpus, and
+    counts again where it stands within ``reach`` words of a protected span: once for spans of
     any value, and once for each value it stands near. A word reveals if it
     stands near spans at least ``least`` times, or near one value at least ``single`` times, in at least ``share``
     of its uses, and the log2 ratio of that share to the corpus share (of spans, or of that value) is at least
     ``bits``. All its uses outside pattern spans, in every text, become ``term`` spans. In
     ``clean_text`` pattern spans generalise to ``<kind>`` and terms are removed as ``<term>``.
-    A null or empty text has no spans and comes back as the empty text; repeated rows count each.
+    A null or empty text has no spans and comes back as the empty text; repeated rows and repeated or null ids are
+    rows of their own and count each. An empty table gives no rows. Terms at a threshold reveal. Only the two named columns are read, so others cannot clash.
     """
 
-    def near_words(t: str):
+    def near_words(t: str, cover: list, words: list):
         """(term, position, entity) of the words near each span."""
-        spans = base_spans(t)
-        if not spans:
-            return
-        cover, words = _outside(t, spans)
         starts = [m.start() for m in words]
         for s, e, k in cover:
             i, j = bisect_left(starts, s), bisect_left(starts, e)
@@ -107,8 +116,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", reach:
         for b in batches:
             n, near, pairs = Counter(), Counter(), Counter()
             for t in b["_text"]:
-                n.update(_WORD.findall(t))
-                found = list(near_words(t))
+                spans = base_spans(t)
+                cover, words = _outside(t, spans) if spans else ([], ())
+                n.update(m.group() for m in words) if spans else n.update(_WORD.findall(t))
+                found = list(near_words(t, cover, words))
                 near.update(w for w, _ in {(w, x) for w, x, _ in found})
                 pairs.update((w, v) for w, _, v in {*found})
             low = Counter()
@@ -123,7 +134,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", reach:
     every = cut(every)
     pairs, every = every.where(F.col("entity").isNotNull()).drop("n"), every.where(F.col("entity").isNull()).drop("entity")
     seen = every.where(F.col("n_near") >= least)
-    total, close = every.agg(F.sum("n")).first()[0], seen.agg(F.sum("n_near")).first()[0]
+    total, close = every.agg(F.sum("n"), F.sum("n_near")).first()
     base = (close or 0) / max(1, total or 0)
     rate = F.col("n_near") / F.col("n")
     reveals = seen.where((rate >= share) & (F.log2(rate / F.lit(max(base, 1e-12))) >= bits)).select("term")
@@ -188,11 +199,6 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", reach:
     return out.select(F.col("_id").alias(id_col), F.col("_text").alias("text"), "spans", cleaned.alias("clean_text"))
 
 
-def _around(cover, at):
-    i = bisect_left(cover, (at, 0))
-    return cover[max(0, i - 4) : i + 2]
-
-
 def op1_pii(spark, sf_dir: str) -> DataFrame:
     found = sanitise(table(spark, sf_dir, "documents"))
     names = F.array(*[F.lit(k) for k in KINDS])
