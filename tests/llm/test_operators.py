@@ -103,7 +103,7 @@ def test_pii_terms_go_everywhere(spark, monkeypatch, most):
     assert clean.count("plain prose about a garden, weather and bread") == 320
 
 
-def test_secrets_brute_and_ledger(spark, sf, docs):
+def test_secrets_brute(spark, sf, docs):
     got = by_id(secrets.op6_secret_scan(spark, sf).toPandas())
     assign = re.compile(secrets.RULES[0][2])
     for i, t, *_ in docs:
@@ -112,11 +112,25 @@ def test_secrets_brute_and_ledger(spark, sf, docs):
         want += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 20]
         want += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 24]
         assert got[i].base_sha256 == joined([(s, k, e) for s, _, k, e in sorted(want)])
+
+
+def test_secret_ledger_is_incremental(spark, sf):
+    """Seen pairs of blob and rule version are not scanned again; a new rule version is scanned alone; copies share a blob."""
+    from pyspark.sql import functions as F
+
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    first, ledger = secrets.scan_blobs(d, "doc_id", "text")
-    again, fresh = secrets.scan_blobs(d, "doc_id", "text", ledger)
-    assert fresh.count() == 0
-    assert sorted(map(str, first.collect())) == sorted(map(str, again.collect()))
+    ledger = secrets.scan_blobs(d, "doc_id", "text")
+    n = d.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert ledger.count() == 3 * n
+    assert secrets.scan_blobs(d.union(d), "doc_id", "text", ledger).count() == 0
+    newer = [(k, v + (k == "hex"), *r) for k, v, *r in secrets.RULES]
+    fresh = secrets.scan_blobs(d, "doc_id", "text", ledger, newer)
+    assert {(r.rule, r.version) for r in fresh.collect()} == {("hex", 2)} and fresh.count() == n
+    marked = ledger.withColumn("spans", F.when(F.col("rule") == "hex", F.expr("array(named_struct('start', 7, 'rank', 2, 'kind', 'hex', 'end', 9))")).otherwise(F.col("spans")))
+    got = secrets.findings(d.union(d), "doc_id", "text", marked).collect()  # what the ledger says, without a scan
+    assert len(got) == 2 * d.count() and all(any((s.start, s.end) == (7, 9) for s in r.spans) for r in got)
+    odd = secrets.findings(spark.createDataFrame([(None, "token=abcdefg"), (None, "token=abcdefg")], "doc_id long, text string"), "doc_id", "text", ledger).collect()
+    assert len(odd) == 2 and all(r.spans == [] for r in odd)
 
 
 def test_near_dups_brute(spark, sf, docs):
@@ -299,10 +313,53 @@ def test_language_sample_keeps_rare_languages_beside_copies(spark):
     assert Counter(some.lang) == {"en": 20, "fi": 3} and not some.duplicated(["text", "lang"]).any()
 
 
-def test_toxicity_tolerates_inserted_letters():
-    marks = toxicity.Landmarks(["idiot", "garden"])
-    plain, odd, other = (marks.kernel(t)[0] for t in ("an idiot", "an idxiot", "the window"))
-    assert plain > 0.99 and odd > 0.4 and other == 0
+def test_toxicity_kernel_brute():
+    """Every pair of three letters within SPAN, weights summed per subsequence; 1 for equal words, above 0 for gapped ones."""
+    from itertools import combinations
+
+    def vector(w):
+        v = Counter()
+        for i in combinations(range(len(w)), 3):
+            if i[2] - i[0] < toxicity.SPAN:
+                v["".join(w[j] for j in i)] += toxicity.DECAY ** (i[2] - i[0] - 2)
+        return v
+
+    def cosine(a, b):
+        return sum(a[k] * b[k] for k in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+    names = ["idiot", "garden", "iidiiott"]
+    marks = toxicity.Landmarks([n.encode() for n in names])
+    words = ["idiot", "iidiiott", "idxiot", "idxxiot", "ixdxixoxt", "garden", "gardener", "window", "abcdefghijklmnop"]
+    got = marks.kernel([w.encode() for w in words])
+    for w, row in zip(words, got):
+        for n, k in zip(names, row):
+            assert math.isclose(k, cosine(vector(w), vector(n)) ** toxicity.DEGREE, abs_tol=1e-5)
+    assert math.isclose(float(got[0][0]), 1, abs_tol=1e-5) and got[2][0] > 0.2 and got[3][0] > 0.02 and got[4][0] > 0 and got[8][0] == 0
+
+
+def test_toxicity_pieces():
+    for t in ("you i d i o t !", "you i.d.i.o.t", "You I-D-I-O-T", "you I  D I O T", "you 1idiot2"):
+        assert b"idiot" in toxicity.pieces(t), t
+    assert toxicity.pieces(None) == toxicity.pieces(" . 1 a b ") == set()
+    assert toxicity.pieces("a cat") == {b"cat"}
+
+
+def test_toxicity_learns(spark):
+    """Insults are flagged as they are, spaced and dotted, in long texts too; clean texts are not; null and repeated ids are rows."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    vocab = ["".join(rng.choices("aeiourstnlmk", k=rng.randint(3, 8))) for _ in range(400)]
+    text = lambda n: " ".join(rng.choices(vocab, k=n))
+    rows = [(i, f"{text(30)} you {['idiot', 'scum', 'clown'][i % 3]} {text(30)}" if i % 2 else text(60)) for i in range(300)]
+    d = spark.createDataFrame([*rows, rows[1], (None, "idiot"), (999, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([*((i, i % 2) for i, _ in rows), (None, 0), (5, None)], "doc_id long, toxic int")
+    model = toxicity.fit(d, labels)
+    asked = [text(50) + " idiot " + text(50), "you i d i o t", "you s.c.u.m", text(120) + " clown", text(50), text(3000), "", None]
+    a = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").withColumn("toxicity_", F.lit("clash"))
+    got = [r.toxicity_ for r in toxicity.score(a, model).orderBy("doc_id").collect()]
+    assert [x >= 0.3 for x in got] == [True] * 4 + [False] * 4, got
+    assert toxicity.fit(d, labels.where("toxic = 0")).scores(["x"]).tolist() == [0.0]
 
 
 @pytest.mark.parametrize("op", sorted(k for k in entry.queries() if k.startswith("op")))
