@@ -1,28 +1,46 @@
 """Text expressions: index tokens, CJK bigrams, overlapping windows."""
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks and their bases.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-CJK = r"[㐀-䶿一-鿿]"
+# Letters with marks and their bases, by the rule of Unicode: the first letter of the decomposition, for Latin, Greek and Cyrillic.
+_BASES = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]) if c == c.lower() and unicodedata.normalize("NFD", c)[0] != c}
+MARKED, PLAIN = "".join(_BASES), "".join(_BASES.values())
+# Kana, ideographs, hangul and compatibility ideographs, which are written without blanks.
+CJK_RANGES = r"\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff"
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits without marks."""
-    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+
+
+def query_tokens(text: Column) -> Column:
+    """Runs of letters and digits of a query, as written."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def cjk_bigrams(text: Column) -> Column:
     """CJK runs as overlapping pairs (a single character stays), other runs trimmed, joined by blanks."""
-    runs = F.regexp_extract_all(text, F.lit(f"{CJK}+|[^\\u3400-\\u4dbf\\u4e00-\\u9fff]+"), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(f"[{CJK_RANGES}]+|[^{CJK_RANGES}]+"), F.lit(0))
 
     def spread(run):
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
-        return F.when(run.rlike(f"^{CJK}{{2,}}$"), F.array_join(pairs, " ")).otherwise(F.trim(run))
+        return F.when(run.rlike(f"^[{CJK_RANGES}]{{2,}}$"), F.array_join(pairs, " ")).otherwise(F.regexp_replace(run, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+
+    return F.when(text.rlike(f"[{CJK_RANGES}]"), F.array_join(F.filter(F.transform(runs, spread), lambda r: r != ""), " ")).otherwise(F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+
 
-    return F.array_join(F.filter(F.transform(runs, spread), lambda r: r != ""), " ")
+def excerpt(text: Column, terms: Column, most: int = 24) -> Column:
+    """``most`` words from a little before the first that holds a term; without one, from the start. Cut ends are marked."""
+    words = F.filter(F.split(text, r"[\s\p{Z}]+"), lambda w: w != "")
+    at = F.array_position(F.transform(words, lambda w: F.arrays_overlap(tokens(w), terms)), True)
+    begin = F.greatest(F.lit(1), F.coalesce(at, F.lit(1)) - 4).cast("int")
+    shown = F.array_join(F.slice(words, begin, most), " ")
+    mark = lambda on: F.when(on, F.lit("…")).otherwise(F.lit(""))
+    return F.concat(mark(begin > 1), shown, mark(F.size(words) >= begin + most))
 
 
 def windows(length: Column, size: int, overlap: int) -> Column:

@@ -1,9 +1,11 @@
 """Retrieval: BM25 over a postings table, exact cosine, reciprocal-rank fusion, grouping by item."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.text import tokens, windows
+from larder.functions.text import cjk_bigrams, query_tokens, tokens, windows
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -15,25 +17,40 @@ def chunks(docs: DataFrame, size: int = 1200, overlap: int = 120) -> DataFrame:
     return cut.select("doc_id", "ordinal", F.substring(F.col("text"), F.col("start") + 1, F.lit(size)).alias("text"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) for queries (query_id, text), any number at once.
+def bm25(index: DataFrame, queries: DataFrame, keys=("doc_id", "ordinal")) -> DataFrame:
+    """(query_id, *keys, score) for queries (query_id, text), any number at once, over index rows (*keys, text, heading).
 
-    Only tokens that some query names leave the scan: the query terms join the exploded
-    tokens before any shuffle of the corpus, and the corpus totals are one partial aggregate.
+    Three columns are indexed: text, heading and the text with CJK runs as pairs. Each token of a query is a phrase of the terms it
+    expands to, found in one column; phrases are OR-ed, a repeated token counts again. Length and frequency sum over the
+    columns, and totals count every index row, as filters come after. Totals and postings come from the same tokens; only runs that begin with a
+    query's term leave the scan. A query without tokens has no rows.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    toks = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))
-    words = terms.select("term").distinct()
-    posts = toks.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(words, "term")
-    posts = posts.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    asked = queries.select("query_id", F.explode(query_tokens(F.col("text"))).alias("_w")).select("query_id", tokens(cjk_bigrams(F.col("_w"))).alias("terms")).where(F.size("terms") > 0)
+    phrases = asked.select("terms").distinct()
+    known = [r["terms"] for r in phrases.collect()]  # requests, not rows
+    if not known:
+        return index.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), *keys, F.lit(0.0).alias("score")).limit(0)
+    first, most = sorted({t[0] for t in known}), max(map(len, known))
+    sides = [tokens(F.coalesce(c, F.lit(""))) for c in (F.col("text"), F.col("heading"), cjk_bigrams(F.col("text")))]
+    toks = index.select(*keys, F.array(*sides).alias("_t")).select(*keys, "_t", F.aggregate("_t", F.lit(0), lambda a, t: a + F.size(t)).alias("len"))
+    stats = toks.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    runs = lambda t: F.filter(F.transform(t, lambda w, i: F.when(w.isin(first), F.slice(t, i + 1, most))), lambda r: r.isNotNull())
+    found = toks.select(*keys, "len", F.explode(F.flatten(F.transform("_t", runs))).alias("run"))
+    posts = found.join(phrases.select("terms", F.get("terms", F.lit(0)).alias("_f")), F.col("_f") == F.get("run", F.lit(0)))
+    posts = posts.where(F.slice("run", F.lit(1), F.size("terms")) == F.col("terms")).groupBy("terms", *keys, "len").agg(F.count("*").alias("tf"))
+    df = posts.groupBy("terms").agg(F.count("*").alias("df"))
     n, tf = F.col("n"), F.col("tf")
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
     # One row of totals meets every posting: a join with a one-row aggregate.
-    got = posts.join(df, "term").join(F.broadcast(stats)).select("term", "doc_id", part.alias("p"))
-    return got.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("p"), 6).alias("score"))
+    got = posts.join(df, "terms").join(F.broadcast(stats)).select("terms", *keys, part.alias("p"))
+    return got.join(asked, "terms").groupBy("query_id", *keys).agg(F.round(F.sum("p"), 6).alias("score"))
+
+
+def rank_lexical(scores: DataFrame, items: DataFrame, most: int = 500) -> DataFrame:
+    """Ranks 1..``most`` by score, newest (as text), platform, source and ordinal; ``items`` is (doc_id, published, platform, source_id)."""
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("published").desc(), "platform", "source_id", "ordinal")
+    return scores.join(items.select("doc_id", "published", "platform", "source_id"), "doc_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
@@ -41,27 +58,76 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) for unit vectors (doc_id, v) and a few queries (query_id, q)."""
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return vectors.join(F.broadcast(queries)).select("query_id", "doc_id", F.round(dot, 6).alias("score"))
+def _packed(rows: DataFrame, key: str, vec: str, most: int) -> DataFrame:
+    """Rows (key, vector) in packed blocks of at most ``most``; null and non-finite vectors are left out."""
+
+    def pack(batches):
+        for b in batches:
+            b = b[b["v"].map(lambda a: a is not None and len(a) > 0)]
+            for w, part in b.groupby(b["v"].map(len)):
+                x = np.stack(part["v"].to_list()).astype(np.float64)
+                ids, ok = part["k"].to_numpy(np.int64), np.isfinite(x).all(axis=1)
+                for at in range(0, int(ok.sum()), most):
+                    yield pd.DataFrame({"w": [w], "ks": [ids[ok][at : at + most].tobytes()], "xs": [x[ok][at : at + most].tobytes()]})
+
+    return rows.select(F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v")).mapInPandas(pack, "w int, ks binary, xs binary")
+
+
+def cosine(vectors: DataFrame, queries: DataFrame, k: int = 500, rows: int = 4096, block: int = 256) -> DataFrame:
+    """(query_id, doc_id, score): the ``k`` best of unit vectors (doc_id, v) for each query (query_id, q), equal scores to the smaller id.
+
+    Blocks of rows meet blocks of queries as matrices, so neither side is held whole; Spark broadcasts the packed queries
+    only under its own size threshold. A block keeps ``k`` rows a query, and the merge is a window per query.
+    """
+
+    def scan(batches):
+        for b in batches:
+            for r in b.itertuples():
+                ids, qids = np.frombuffer(r.ks, np.int64), np.frombuffer(r.qs, np.int64)
+                s = np.round(np.frombuffer(r.qx).reshape(len(qids), -1) @ np.frombuffer(r.xs).reshape(len(ids), -1).T, 6)
+                for i, q in enumerate(qids):
+                    best = np.lexsort((ids, -s[i]))[:k]
+                    best = best[np.isfinite(s[i][best])]
+                    yield pd.DataFrame({"query_id": q, "doc_id": ids[best], "score": s[i][best] + 0.0})
+
+    q = _packed(queries, "query_id", "q", block).select("w", F.col("ks").alias("qs"), F.col("xs").alias("qx"))
+    kind = queries.schema["query_id"].dataType
+    got = _packed(vectors, "doc_id", "v", rows).join(q, "w").mapInPandas(scan, "query_id long, doc_id long, score double")
+    return top(got.withColumn("query_id", F.col("query_id").cast(kind)), k).drop("rank")
 
 
-def fuse(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
-    """Reciprocal-rank fusion of two ranked lists (query_id, doc_id, rank)."""
-    l = lexical.select("query_id", "doc_id", F.col("rank").alias("lexical_rank"))
-    s = semantic.select("query_id", "doc_id", F.col("rank").alias("semantic_rank"))
-    both = l.join(s, ["query_id", "doc_id"], "full")
+def pool_size(limit: int) -> int:
+    """Candidates of each arm for ``limit`` results."""
+    if isinstance(limit, bool) or not 1 <= limit <= 50:
+        raise ValueError("limit must be a whole number from 1 to 50")
+    return min(500, max(50, 10 * limit))
+
+
+def fuse(lexical: DataFrame, semantic: DataFrame, items: DataFrame, limit: int = 10) -> DataFrame:
+    """Reciprocal-rank fusion of (query_id, doc_id, ordinal, rank) and (query_id, doc_id, ordinal, rank, score), each cut to the pool of ``limit``.
+
+    One row per citation: score 1 / (60 + rank) summed over the arms, best rank, the arms that found it, and the fused ``rank`` by score, best rank, lexical
+    rank, cosine, newest, platform, source and ordinal, cut to the pool. ``items`` gives published, platform and source_id by doc_id.
+    """
+    pool = pool_size(limit)
+    keys = ["query_id", "doc_id", "ordinal"]
+    l = lexical.where(F.col("rank") <= pool).select(*keys, F.col("rank").alias("lexical_rank"))
+    s = semantic.where(F.col("rank") <= pool).select(*keys, F.col("rank").alias("semantic_rank"), F.col("score").alias("cosine"))
+    both = l.join(s, keys, "full").join(items.select("doc_id", "published", "platform", "source_id"), "doc_id")
     part = lambda c: F.coalesce(F.lit(1.0) / (RRF + F.col(c)), F.lit(0.0))
-    both = both.withColumn("score", F.round(part("lexical_rank") + part("semantic_rank"), 9))
-    return both.withColumn("best_rank", F.least("lexical_rank", "semantic_rank"))
+    found = lambda c, name: F.when(F.col(c).isNotNull(), F.lit(name))
+    both = both.withColumn("score", F.round(part("lexical_rank") + part("semantic_rank"), 9)).withColumn("best_rank", F.least("lexical_rank", "semantic_rank"))
+    both = both.withColumn("match_sources", F.concat_ws("|", found("lexical_rank", "fts"), found("semantic_rank", "vector")))
+    w = Window.partitionBy("query_id").orderBy(
+        F.col("score").desc(), "best_rank", F.col("lexical_rank").asc_nulls_last(), F.col("cosine").desc_nulls_last(), F.col("published").desc_nulls_last(), "platform", "source_id", "ordinal",
+    )
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool)
 
 
 def phrase(docs: DataFrame, text: str) -> DataFrame:
     """Documents whose index tokens hold the tokens of ``text`` next to each other."""
-    one = docs.sparkSession.createDataFrame([(text,)], "t string").select(F.array_join(tokens(F.col("t")), " ")).first()[0]
-    line = F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), " "), F.lit(" "))
-    return docs.where(line.contains(f" {one} "))
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
+    return docs.where(F.contains(spaced(F.col("text")), spaced(F.lit(text))))
 
 
 def allowed(items: DataFrame, tasks: DataFrame | None = None, filed: DataFrame | None = None, platforms=None, content_types=None, folders=None) -> DataFrame:
@@ -82,18 +148,43 @@ def collapse_segments(scores: DataFrame, owner) -> DataFrame:
     return scores.groupBy("query_id", owner.alias("doc_id")).agg(F.max("score").alias("score"), best)
 
 
-def group_hits(fused: DataFrame, owner, evidence: DataFrame, limit: int = 10, supporting: int = 3) -> DataFrame:
-    """One row per query and item: best candidate, next ones, score times the item's evidence factor.
+def group_hits(fused: DataFrame, evidence: DataFrame, limit: int = 10, supporting: int = 3) -> DataFrame:
+    """One row per query and item (doc_id): its best chunk, up to ``supporting`` more, score times the item's evidence factor.
 
-    ``evidence`` is (item, factor); items without evidence are left out. The lists are bounded by the
-    candidate pools that were fused.
+    ``fused`` comes from ``fuse``; ``evidence`` is (doc_id, factor), and items without evidence are left out. Items rank by adjusted score, best rank,
+    platform, source and ordinal. The lists are bounded by the pools that were fused.
     """
-    c = fused.withColumn("item", owner).join(evidence, "item")
-    w = Window.partitionBy("query_id", "item").orderBy(F.col("score").desc(), "best_rank", "doc_id")
+    c = fused.withColumnRenamed("rank", "_at").join(evidence.select("doc_id", "factor"), "doc_id")
+    w = Window.partitionBy("query_id", "doc_id").orderBy("_at")
     c = c.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= supporting + 1)
-    rest = F.array_sort(F.collect_list(F.when(F.col("_n") > 1, F.struct("_n", "doc_id"))))
+    rest = F.array_sort(F.collect_list(F.when(F.col("_n") > 1, F.struct("_n", "ordinal"))))
     first = lambda x: F.max(F.when(F.col("_n") == 1, F.col(x)))
-    g = c.groupBy("query_id", "item").agg(first("doc_id").alias("primary_id"), first("best_rank").alias("_best"), (first("score") * first("factor")).alias("adjusted"), rest.alias("_rest"))
-    g = g.withColumn("supporting", F.array_join(F.transform("_rest", lambda s: s["doc_id"].cast("string")), "|"))
-    o = Window.partitionBy("query_id").orderBy(F.col("adjusted").desc(), "_best", "item")
+    g = c.groupBy("query_id", "doc_id", "platform", "source_id").agg(first("ordinal").alias("ordinal"), first("best_rank").alias("_best"), (first("score") * first("factor")).alias("adjusted"), rest.alias("_rest"))
+    g = g.withColumn("supporting", F.array_join(F.transform("_rest", lambda s: s["ordinal"].cast("string")), "|"))
+    o = Window.partitionBy("query_id").orderBy(F.col("adjusted").desc(), "_best", "platform", "source_id", "ordinal")
     return g.withColumn("rank", F.row_number().over(o)).where(F.col("rank") <= limit).drop("_best", "_rest")
+
+
+def no_result_reason(status: DataFrame, warning: str | None = None) -> DataFrame:
+    """Why a search found nothing: the index, then the embeddings (pending before failed), then a warning, then no match."""
+    has = lambda c: F.col(c) > 0
+    rule = F.when(has("index_pending"), "index_pending").when(has("index_failed"), "index_failed").when(has("embedding_pending"), "embedding_pending").when(has("embedding_failed"), "embedding_failed")
+    return status.select(rule.otherwise(F.coalesce(F.lit(warning), F.lit("no_match"))).alias("reason"))
+
+
+def search(index: DataFrame, vectors: DataFrame | None, items: DataFrame, queries: DataFrame, query_vectors: DataFrame | None = None, mode: str = "auto", limit: int = 10) -> tuple[DataFrame, str, str | None]:
+    """(fused candidates, mode used, warning). ``fts`` never touches vectors, ``hybrid`` needs them, ``auto`` does without them and warns.
+
+    ``items`` has passed the filters (``allowed``), which hold for both arms; scores are made before they apply.
+    """
+    if mode not in ("auto", "fts", "hybrid"):
+        raise ValueError("mode must be auto, fts or hybrid")
+    ready = vectors is not None and query_vectors is not None
+    if mode == "hybrid" and not ready:
+        raise ValueError("hybrid search needs vectors and query vectors")
+    lexical = rank_lexical(bm25(index, queries), items)
+    if mode == "fts" or not ready:
+        none = lexical.select("query_id", "doc_id", "ordinal", "rank", F.lit(None).cast("double").alias("score")).limit(0)
+        return fuse(lexical, none, items, limit), "fts", "no vectors: lexical results only" if mode == "auto" else None
+    near = top(cosine(vectors, query_vectors).join(items.select("doc_id"), "doc_id", "left_semi"), 500).withColumn("ordinal", F.lit(0))
+    return fuse(lexical, near, items, limit), "hybrid", None

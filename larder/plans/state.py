@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import clock, readable, title, windows
 from larder.operators import library, search, sync
+from larder.plans.shared import events, fused, lexical, semantic
 from larder.sources.binding import item_collections, items, table, tasks
 
 
@@ -33,20 +34,19 @@ def task_histogram(spark, sf):
     return tasks(spark, sf).groupBy("kind", "status").agg(_n("n"))
 
 
-def _lexical(spark, sf):
-    from larder.queries import _asked
-
-    return search.bm25(table(spark, sf, "documents"), _asked(spark))
+def _filtered(spark, sf, ok):
+    got = search.rank_lexical(lexical(spark, sf), items(spark, sf).join(ok, "doc_id", "left_semi"), 10)
+    return got.select("query_id", "doc_id", F.col("ordinal").cast("long").alias("ordinal"), "score", "rank")
 
 
 def lexical_filtered(spark, sf):
-    ok = search.allowed(items(spark, sf), tasks(spark, sf), platforms=["github", "x"], content_types=["text", "video"])
-    return search.top(_lexical(spark, sf).join(ok, "doc_id", "left_semi").select("query_id", "doc_id", "score"), 10)
+    return _filtered(spark, sf, search.allowed(items(spark, sf), tasks(spark, sf), platforms=["github", "x"], content_types=["text", "video"]))
 
 
 def folder_filter(spark, sf):
+    """Both arms honour the folder."""
     ok = search.allowed(items(spark, sf), filed=item_collections(spark, sf), folders=["quality"])
-    return search.top(_lexical(spark, sf).join(ok, "doc_id", "left_semi").select("query_id", "doc_id", "score"), 10)
+    return fused(spark, sf, 5, ok).select("query_id", "doc_id", F.col("ordinal").cast("long").alias("ordinal"), "score", "match_sources", "rank")
 
 
 def bm25_phrase(spark, sf):
@@ -54,25 +54,26 @@ def bm25_phrase(spark, sf):
 
 
 def segment_collapse(spark, sf):
-    from larder.queries import _semantic
-
-    return search.collapse_segments(_semantic(spark, sf), F.floor(F.col("doc_id") / 2))
+    return search.collapse_segments(semantic(spark, sf), F.floor(F.col("doc_id") / 2))
 
 
 def evidence_levels(spark, sf):
     return library.evidence(items(spark, sf)).select("doc_id", "level", "factor")
 
 
-def grouped_hits(spark, sf):
-    from larder.queries import rrf_fusion
+def _grouped(spark, sf):
+    ev = library.evidence(items(spark, sf)).where("access_status = 'available'")
+    return search.group_hits(fused(spark, sf), ev)
 
-    ev = library.evidence(items(spark, sf)).where("access_status = 'available'").select(F.col("doc_id").alias("item"), "factor")
-    return search.group_hits(rrf_fusion(spark, sf), F.floor(F.col("doc_id") / 10), ev)
+
+def grouped_hits(spark, sf):
+    return _grouped(spark, sf).select("query_id", "doc_id", F.col("ordinal").cast("long").alias("ordinal"), "adjusted", "supporting", "rank")
 
 
 def search_hybrid(spark, sf):
-    it = items(spark, sf).select(F.col("doc_id").alias("item"), F.concat(F.lit("item:"), "platform", F.lit("/"), "source_id").alias("citation"), title(F.col("body")).alias("t"))
-    return grouped_hits(spark, sf).join(it, "item").select("query_id", "rank", "citation", F.sha2("t", 256).alias("title_digest"))
+    it = items(spark, sf).select("doc_id", title(F.col("body")).alias("t"))
+    cited = F.concat(F.lit("item:"), "platform", F.lit("/"), "source_id", F.lit("#chunk-"), F.col("ordinal").cast("string"))
+    return _grouped(spark, sf).join(it, "doc_id").select("query_id", "rank", cited.alias("citation"), F.sha2("t", 256).alias("title_digest"))
 
 
 def favorite_merge(spark, sf):
@@ -99,9 +100,7 @@ CHANGES = {"purchase": "added", "signup": "refreshed", "click": "refreshed", "vi
 
 
 def batch_counters(spark, sf):
-    from larder.queries import _events
-
-    e = sync.number_batches(_events(spark, sf), ["user_id"], ["at", "event_id"], 50)
+    e = sync.number_batches(events(spark, sf), ["user_id"], ["at", "event_id"], 50)
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in CHANGES.items() for x in kv]), F.col("event_type"))
     got = sync.batch_counters(e.withColumn("change", kind), ["user_id"], "change", F.col("event_type") != "error")
     return got.withColumn("batch", F.col("batch").cast("long"))
@@ -200,7 +199,7 @@ QUERIES = {
 
 def sql(cte) -> dict[str, str]:
     """SQL of the queries, from the common table expressions of the binding."""
-    i, filed, bm, sem, ch, ev = cte
+    i, filed, bm, lex, both, ch, ev = cte
     body = r"regexp_matches(coalesce(text, ''), '[^ \t-\r]')"
     title_of = r"substring(regexp_replace(regexp_extract(coalesce(text, ''), '[^ \t-\r][^\n]*', 0), '[ \t-\r]+\z', ''), 1, 80)"
     task = "tk AS (SELECT doc_id, 'index_content' AS kind, sha256(text) AS input_hash, CASE WHEN doc_id % 13 = 0 THEN 'pending' ELSE 'completed' END AS status, 1704067200 + (doc_id * 37 % 5000) * 60 AS created FROM documents)"
@@ -208,15 +207,11 @@ def sql(cte) -> dict[str, str]:
     level = f"""ev AS (SELECT doc_id, CASE WHEN {body} AND content_type <> 'text' THEN 'mixed' WHEN {body} THEN 'body' WHEN content_type = 'video' THEN 'transcript'
       WHEN content_type = 'mixed' THEN 'ocr' ELSE 'title_only' END AS level FROM ct),
       fac AS (SELECT doc_id, level, CASE level WHEN 'title_only' THEN 0.75e0 WHEN 'body' THEN 0.95e0 ELSE 1e0 END AS factor FROM ev)"""
-    top = "SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm"
-    fused = """l AS (SELECT * FROM lex WHERE rank <= 50), s AS (SELECT * FROM sem WHERE rank <= 50),
-      f AS (SELECT query_id, doc_id, round(coalesce(1e0 / (60 + l.rank), 0) + coalesce(1e0 / (60 + s.rank), 0), 9) AS score, least(l.rank, s.rank) AS best_rank FROM l FULL JOIN s USING (query_id, doc_id))"""
-    groups = f"""{bm}, {sem}, {i}, {content}, {level}, {fused},
-      c AS (SELECT f.*, fac.doc_id AS item, factor, row_number() OVER (PARTITION BY query_id, f.doc_id // 10 ORDER BY score DESC, best_rank, f.doc_id) AS n
-        FROM f JOIN fac ON f.doc_id // 10 = fac.doc_id JOIN items ON items.doc_id = fac.doc_id AND access_status = 'available'),
-      g AS (SELECT query_id, item, max(doc_id) FILTER (WHERE n = 1) AS primary_id, max(best_rank) FILTER (WHERE n = 1) AS best,
-        max(score) FILTER (WHERE n = 1) * max(factor) AS adjusted, coalesce(string_agg(CAST(doc_id AS VARCHAR), '|' ORDER BY n) FILTER (WHERE n > 1), '') AS supporting FROM c WHERE n <= 4 GROUP BY ALL),
-      h AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, best, item) AS INTEGER) AS rank FROM g)"""
+    groups = f"""{both()}, {content}, {level},
+      c AS (SELECT f.*, factor, row_number() OVER (PARTITION BY query_id, f.doc_id ORDER BY f.rank) AS n FROM f JOIN fac USING (doc_id) WHERE access_status = 'available'),
+      g AS (SELECT query_id, doc_id, platform, max(ordinal) FILTER (WHERE n = 1) AS ordinal, max(best_rank) FILTER (WHERE n = 1) AS best,
+        max(score) FILTER (WHERE n = 1) * max(factor) AS adjusted, coalesce(string_agg(CAST(ordinal AS VARCHAR), '|' ORDER BY n) FILTER (WHERE n > 1), '') AS supporting FROM c WHERE n <= 4 GROUP BY query_id, doc_id, platform),
+      h AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, best, platform, CAST(doc_id AS VARCHAR), ordinal) AS INTEGER) AS rank FROM g)"""
     runs = """r AS (SELECT user_id, event_id % 2 AS scope, max_by(CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'paused' WHEN 'view' THEN 'partial' ELSE 'completed' END, event_id) AS status
       FROM events GROUP BY ALL)"""
     return {
@@ -227,16 +222,15 @@ def sql(cte) -> dict[str, str]:
           a AS (SELECT count(DISTINCT doc_id) AS current, count(DISTINCT doc_id) FILTER (WHERE good) AS embedded, count(*) FILTER (WHERE NOT good) AS corrupt FROM documents LEFT JOIN e ON doc_id = vec_id)
           SELECT *, CASE WHEN corrupt > 0 THEN 'degraded' WHEN embedded < current THEN 'partial' ELSE 'ready' END AS state FROM a""",
         "task_histogram": f"WITH {task} SELECT kind, status, count(*) AS n FROM tk GROUP BY ALL",
-        "lexical_filtered": f"""WITH {bm}, {i}, {task}, {content}, t AS ({top} WHERE doc_id IN (SELECT doc_id FROM items JOIN ct USING (doc_id) JOIN tk USING (doc_id)
-          WHERE access_status = 'available' AND platform IN ('github', 'x') AND content_type IN ('text', 'video') AND status = 'completed')) SELECT * FROM t WHERE rank <= 10""",
-        "folder_filter": f"""WITH {bm}, {i}, {filed}, t AS ({top} WHERE doc_id IN (SELECT doc_id FROM items WHERE access_status = 'available')
-          AND doc_id IN (SELECT doc_id FROM filed WHERE name = 'quality')) SELECT * FROM t WHERE rank <= 10""",
+        "lexical_filtered": f"""WITH {bm}, {i}, {task}, {content}, {lex("doc_id IN (SELECT doc_id FROM items JOIN ct USING (doc_id) JOIN tk USING (doc_id) WHERE access_status = 'available' AND platform IN ('github', 'x') AND content_type IN ('text', 'video') AND status = 'completed')")}
+          SELECT query_id, doc_id, ordinal, score, rank FROM lex WHERE rank <= 10""",
+        "folder_filter": f"""WITH {filed}, {both("items.access_status = 'available' AND items.doc_id IN (SELECT doc_id FROM filed WHERE name = 'quality')", 50)} SELECT query_id, doc_id, ordinal, score, match_sources, rank FROM f""",
         "bm25_phrase": r"""SELECT doc_id FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+'), ' ') || ' ', ' of the ')""",
-        "segment_collapse": f"WITH {sem} SELECT query_id, doc_id // 2 AS doc_id, max(score) AS score, first(doc_id ORDER BY score DESC, doc_id) AS segment FROM cs GROUP BY query_id, doc_id // 2",
+        "segment_collapse": f"WITH {both()} SELECT query_id, doc_id // 2 AS doc_id, max(score) AS score, first(doc_id ORDER BY score DESC, doc_id) AS segment FROM near WHERE near <= 500 GROUP BY query_id, doc_id // 2",
         "evidence_levels": f"WITH {content}, {level} SELECT doc_id, level, factor FROM fac",
-        "grouped_hits": f"WITH {groups} SELECT query_id, item, primary_id, adjusted, supporting, rank FROM h WHERE rank <= 10",
-        "search_hybrid": f"""WITH {groups} SELECT query_id, rank, 'item:' || platform || '/' || item AS citation, sha256({title_of}) AS title_digest
-          FROM h JOIN items ON items.doc_id = item JOIN documents d ON d.doc_id = item WHERE rank <= 10""",
+        "grouped_hits": f"WITH {groups} SELECT query_id, doc_id, ordinal, adjusted, supporting, rank FROM h WHERE rank <= 10",
+        "search_hybrid": f"""WITH {groups} SELECT query_id, rank, 'item:' || platform || '/' || h.doc_id || '#chunk-' || ordinal AS citation, sha256({title_of}) AS title_digest
+          FROM h JOIN documents d ON d.doc_id = h.doc_id WHERE rank <= 10""",
         "favorite_merge": f"WITH {i} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN least(favorited, published + 432000) ELSE favorited END AS favorited FROM items",
         "missing_items": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
         "summarize_backfill": f"WITH {i}, {task} SELECT doc_id, input_hash FROM items JOIN tk USING (doc_id) WHERE access_status = 'available' AND status = 'pending' AND input_hash IS NOT NULL",

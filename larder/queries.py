@@ -5,18 +5,13 @@ from pyspark.sql import functions as F
 from larder.functions.text import cjk_bigrams
 from larder.operators import library, search, sync
 from larder.plans import state
+from larder.plans.shared import events, fused, lexical, semantic
 from larder.sources.binding import item_collections, items, table
 
-ASKED = [(1, "thou ertion"), (2, "eau the"), (3, "worthless clown")]
-CJK_CASES = ["", "检", "全文检索", "Spark 引擎", "a检索b", "检,索引"]
-
-
-def _asked(spark):
-    return spark.createDataFrame(ASKED, "query_id int, text string")
-
 
 def bm25_search(spark, sf):
-    return search.top(search.bm25(table(spark, sf, "documents"), _asked(spark)), 10)
+    got = search.rank_lexical(lexical(spark, sf), items(spark, sf), 10)
+    return got.select("query_id", "doc_id", F.col("ordinal").cast("long").alias("ordinal"), "score", "rank")
 
 
 def chunk_hard_split(spark, sf):
@@ -24,18 +19,12 @@ def chunk_hard_split(spark, sf):
     return c.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
 
 
-def _semantic(spark, sf):
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
-    q = v.where("doc_id < 3").select((F.col("doc_id") + 1).cast("int").alias("query_id"), F.col("v").alias("q"))
-    return search.cosine(v, q)
-
-
 def vector_topk(spark, sf):
-    return search.top(_semantic(spark, sf), 10)
+    return search.top(semantic(spark, sf), 10)
 
 
 def rrf_fusion(spark, sf):
-    return search.fuse(search.top(search.bm25(table(spark, sf, "documents"), _asked(spark)), 50), search.top(_semantic(spark, sf), 50))
+    return fused(spark, sf).select("query_id", "doc_id", F.col("ordinal").cast("long").alias("ordinal"), "lexical_rank", "semantic_rank", "score", "best_rank", "match_sources", "rank")
 
 
 def collection_map(spark, sf):
@@ -66,22 +55,18 @@ def upsert_classify(spark, sf):
     return library.classify_upsert(state, batch, "doc_id", "digest").select("doc_id", "change")
 
 
-def _events(spark, sf):
-    return table(spark, sf, "events").select("event_id", "user_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
-
-
 def scan_cap(spark, sf):
-    e = sync.number_batches(_events(spark, sf), ["user_id"], ["at", "event_id"], 50)
+    e = sync.number_batches(events(spark, sf), ["user_id"], ["at", "event_id"], 50)
     return e.select("event_id", F.col("pos").cast("long").alias("pos"), F.col("batch").cast("long").alias("batch"), "accepted")
 
 
 def frontier_merge(spark, sf):
-    f = sync.frontier(_events(spark, sf), ["user_id", "event_type"], "at", "event_id")
+    f = sync.frontier(events(spark, sf), ["user_id", "event_type"], "at", "event_id")
     return f.select("user_id", "event_type", "event_id", F.col("pos").cast("long").alias("pos"))
 
 
 def lease_expiry(spark, sf):
-    return sync.leases(_events(spark, sf), "user_id", "at")
+    return sync.leases(events(spark, sf), "user_id", "at")
 
 
 def transcript_render(spark, sf):
@@ -96,8 +81,9 @@ def citation_ids(spark, sf):
 
 
 def bigrams(spark, sf):
-    d = spark.createDataFrame([(i, t) for i, t in enumerate(CJK_CASES)], "id int, text string")
-    return d.select("id", cjk_bigrams(F.col("text")).alias("bigrams"))
+    """Every text, with two of its letters written as ideographs, so that runs of all lengths occur."""
+    d = table(spark, sf, "documents").where("text is not null")
+    return d.select("doc_id", F.sha2(cjk_bigrams(F.translate("text", "en", "检索")), 256).alias("bigrams"))
 
 
 QUERIES = {
@@ -113,27 +99,43 @@ _ITEMS = """items AS (SELECT doc_id, ['bilibili', 'github', 'x', 'zhihu'][doc_id
   CASE WHEN doc_id % 17 = 0 THEN 'unavailable' ELSE 'available' END AS access_status FROM documents)"""
 _FILED = """filed AS (SELECT doc_id, source AS name FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'quality' FROM labels WHERE quality = 1
   UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1)"""
-_BM25 = r"""q(query_id, term) AS (VALUES (1, 'thou'), (1, 'ertion'), (2, 'eau'), (2, 'the'), (3, 'worthless'), (3, 'clown')),
-tok AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS t FROM documents),
-st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM tok),
-post AS (SELECT term, doc_id, l, count(*) AS tf FROM (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-bm AS (SELECT query_id, doc_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * l / a))), 6) AS score
-  FROM post JOIN df USING (term) JOIN q USING (term) CROSS JOIN st GROUP BY query_id, doc_id),
-lex AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm)"""
-_SEM = """cs AS (SELECT CAST(q.vec_id + 1 AS INTEGER) AS query_id, v.vec_id AS doc_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings v JOIN embeddings q ON q.vec_id < 3),
-sem AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM cs)"""
 _CHUNK = """ch AS (SELECT doc_id, i AS ordinal, substring(text, CAST(i * 1080 + 1 AS BIGINT), 1200) AS text FROM (SELECT doc_id, text,
   unnest(range(0, greatest(0, CAST(ceil((length(text) - 1200) / 1080.0) AS BIGINT)) + 1)) AS i FROM documents WHERE text IS NOT NULL))"""
+_BM25 = _CHUNK + r""", q(query_id, term) AS (VALUES (1, 'thou'), (1, 'ertion'), (2, 'eau'), (2, 'the'), (3, 'worthless'), (3, 'clown')),
+tok AS (SELECT doc_id, ordinal, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS t FROM ch),
+st AS (SELECT count(*) AS n, avg(2 * len(t)) AS a FROM tok),
+post AS (SELECT term, doc_id, ordinal, l, 2 * count(*) AS tf FROM (SELECT doc_id, ordinal, 2 * len(t) AS l, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+bm AS (SELECT query_id, doc_id, ordinal, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * l / a))), 6) AS score
+  FROM post JOIN df USING (term) JOIN q USING (term) CROSS JOIN st GROUP BY query_id, doc_id, ordinal)"""
+
+
+def _lex(ok: str = "true") -> str:
+    """Lexical ranks over the items that pass."""
+    return f"""lex AS (SELECT bm.*, platform, published, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, published DESC, platform, CAST(doc_id AS VARCHAR), ordinal) AS INTEGER) AS rank
+  FROM bm JOIN items USING (doc_id) WHERE {ok})"""
+
+
+def _sem(ok: str = "true") -> str:
+    return f"""cs AS (SELECT CAST(q.vec_id // 50 + 1 AS INTEGER) AS query_id, v.vec_id AS doc_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS near FROM cs),
+sem AS (SELECT query_id, near.doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, near.doc_id) AS INTEGER) AS rank FROM near JOIN items ON items.doc_id = near.doc_id WHERE near <= 500 AND {ok})"""
+
+
+def _fused(ok: str = "true", pool: int = 100) -> str:
+    return f"""{_BM25}, {_ITEMS}, {_lex(ok)}, {_sem(ok)}, l AS (SELECT * FROM lex WHERE rank <= {pool}), s AS (SELECT *, 0 AS ordinal FROM sem WHERE rank <= {pool}),
+  f0 AS (SELECT query_id, doc_id, ordinal, l.rank AS lexical_rank, s.rank AS semantic_rank, s.score AS cosine, round(coalesce(1e0 / (60 + l.rank), 0) + coalesce(1e0 / (60 + s.rank), 0), 9) AS score,
+    least(l.rank, s.rank) AS best_rank, concat_ws('|', CASE WHEN l.rank IS NOT NULL THEN 'fts' END, CASE WHEN s.rank IS NOT NULL THEN 'vector' END) AS match_sources FROM l FULL JOIN s USING (query_id, doc_id, ordinal)),
+  f1 AS (SELECT f0.*, items.platform, items.access_status, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, lexical_rank NULLS LAST, cosine DESC NULLS LAST, items.published DESC, items.platform, CAST(doc_id AS VARCHAR), ordinal) AS INTEGER) AS rank
+    FROM f0 JOIN items USING (doc_id)), f AS (SELECT * FROM f1 WHERE rank <= {pool})"""
+
+
 _EV = "ev AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events)"
 SQL = {
-    "bm25_search": f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM lex WHERE rank <= 10",
-    "vector_topk": f"WITH {_SEM} SELECT query_id, doc_id, score, rank FROM sem WHERE rank <= 10",
-    "rrf_fusion": f"""WITH {_BM25}, {_SEM}, l AS (SELECT * FROM lex WHERE rank <= 50), s AS (SELECT * FROM sem WHERE rank <= 50)
-      SELECT query_id, doc_id, l.rank AS lexical_rank, s.rank AS semantic_rank,
-        round(coalesce(1e0 / (60 + l.rank), 0) + coalesce(1e0 / (60 + s.rank), 0), 9) AS score, least(l.rank, s.rank) AS best_rank
-      FROM l FULL JOIN s USING (query_id, doc_id)""",
+    "bm25_search": f"WITH {_BM25}, {_ITEMS}, {_lex()} SELECT query_id, doc_id, ordinal, score, rank FROM lex WHERE rank <= 10",
+    "vector_topk": f"WITH {_ITEMS}, {_sem()} SELECT query_id, doc_id, score, CAST(near AS INTEGER) AS rank FROM near WHERE near <= 10",
+    "rrf_fusion": f"WITH {_fused()} SELECT query_id, doc_id, ordinal, lexical_rank, semantic_rank, score, best_rank, match_sources, rank FROM f",
     "chunk_hard_split": f"WITH {_CHUNK} SELECT doc_id, ordinal, length(text) AS n, sha256(text) AS digest FROM ch",
     "citation_ids": f"WITH {_CHUNK}, {_ITEMS} SELECT doc_id, 'item:' || platform || '/' || doc_id || '#chunk-' || ordinal AS citation FROM ch JOIN items USING (doc_id)",
     "collection_map": f"WITH {_ITEMS}, {_FILED} SELECT platform, name, count(DISTINCT doc_id) AS n FROM items JOIN filed USING (doc_id) WHERE access_status = 'available' GROUP BY ALL",
@@ -151,7 +153,9 @@ SQL = {
       s AS (SELECT user_id, sec, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY sec) AS BIGINT) AS session FROM g)
       SELECT user_id, session, min(sec) AS begun, max(sec) AS ended, count(*) AS beats FROM s GROUP BY ALL""",
     "transcript_render": "SELECT conv_id, count(*) AS cues, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY conv_id",
-    "cjk_bigrams": "SELECT * FROM (VALUES (0, ''), (1, '检'), (2, '全文 文检 检索'), (3, 'Spark 引擎'), (4, 'a 检索 b'), (5, '检 , 索引')) AS t(id, bigrams)",
+    "cjk_bigrams": r"""WITH r AS (SELECT doc_id, list_transform(regexp_extract_all(translate(text, 'en', '检索'), '[检索]+|[^检索]+'), lambda x: CASE WHEN regexp_full_match(x, '[检索]{2,}')
+        THEN array_to_string(list_transform(range(1, length(x)), lambda i: substring(x, i, 2)), ' ') ELSE regexp_replace(x, '^[\s\pZ]+|[\s\pZ]+$', '', 'g') END) AS runs FROM documents WHERE text IS NOT NULL)
+      SELECT doc_id, sha256(array_to_string(list_filter(runs, lambda x: x <> ''), ' ')) AS bigrams FROM r""",
 }
 QUERIES |= state.QUERIES
-SQL |= state.sql((_ITEMS, _FILED, _BM25, _SEM, _CHUNK, _EV))
+SQL |= state.sql((_ITEMS, _FILED, _BM25, _lex, _fused, _CHUNK, _EV))
