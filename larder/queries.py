@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import cjk_bigrams
 from larder.operators import library, search, sync
-from larder.plans import state
+from larder.plans import capture, state
 from larder.plans.shared import events, fused, lexical, semantic
 from larder.sources.binding import item_collections, items, table
 
@@ -159,3 +159,5 @@ SQL = {
 }
 QUERIES |= state.QUERIES
 SQL |= state.sql((_ITEMS, _FILED, _BM25, _lex, _fused, _CHUNK, _EV))
+QUERIES |= capture.QUERIES
+SQL |= capture.sql(_ITEMS)

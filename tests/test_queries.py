@@ -18,7 +18,14 @@ def rows(frame):
     return sorted(map(tuple, frame.astype(object).where(frame.notna(), None).values.tolist()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_without_sql(spark):
+    """These walk a text in Python; tests/test_capture.py holds their rules."""
+    assert set(QUERIES) - set(SQL) == {"page_text", "markdown_chunks"}
+    for name in ("page_text", "markdown_chunks"):
+        assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "labels", "embeddings", "events", "conversations", "pages"):
