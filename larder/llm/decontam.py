@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, hashes_of, table, word_bytes
+from larder.llm.common import cut, hashes_of, spare, table, word_bytes
 
 #: Fixed masks over ten tokens: 1 is compared, 0 is ignored. Each compares seven.
 MASKS = ("1110110011", "1101011101", "1011101110", "1111111000", "0111011011")
@@ -51,26 +51,22 @@ def _runs(texts: pd.Series, most: int = 1 << 19):
         yield np.concatenate(part), np.array([*starts, at])
 
 
-def matches(doc, item, diag: int) -> int:
-    """Matching tokens of a whole diagonal."""
-    lo, hi = max(0, -diag), max(0, -diag, min(len(item), len(doc) - diag))
-    return int((np.asarray(item[lo:hi]) == np.asarray(doc[lo + diag : hi + diag])).sum())
-
-
-def overlap(doc, item, diag: int, miss: int = 4) -> int:
-    """Matching tokens of the best run on one diagonal, where each mismatch outweighs ``miss`` matches."""
+def overlap(doc: np.ndarray, item: np.ndarray, diag: int, miss: int = 4) -> tuple[int, int]:
+    """(matching tokens of the best run on one diagonal, where each mismatch outweighs ``miss`` matches; those of the whole diagonal)."""
     lo, hi = max(0, -diag), min(len(item), len(doc) - diag)
     if hi <= lo:
-        return 0
-    same = np.asarray(item[lo:hi]) == np.asarray(doc[lo + diag : hi + diag])
-    best = got = run = hit = 0
-    for s in same:
-        run, hit = (run + 1, hit + 1) if s else (run - miss, hit)
-        if run <= 0:
-            run = hit = 0
-        elif run > best:
-            best, got = run, hit
-    return got
+        return 0, 0
+    same = item[lo:hi] == doc[lo + diag : hi + diag]
+    total = np.r_[0, np.cumsum(np.where(same, 1, -miss))]
+    low = np.minimum.accumulate(total)  # the best run to a place begins where the sum was least
+    end = int((total - low).argmax())
+    begin = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
+    return int(same[begin:end].sum()), int(same.sum())
+
+
+def _name(text) -> Column:
+    """128 bits of a whole text, with null apart from the empty text."""
+    return F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))
 
 
 _SEED = "array<struct<pos:int,h:long>>"
@@ -85,7 +81,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", least:
     benchmark hash (its size is fixed), keeps most training windows from being shuffled; those left join on the hash itself. Each hit names
     a diagonal, on which at least ``least`` tokens must match, or nine tenths of a shorter item,
     with at most one substitution per four matches. An item of one word is met by each document that
-    has the word. Null and empty texts match nothing. Equal texts share one check.
+    has the word. Null and empty texts match nothing. Equal texts, and so repeated rows, share one check; null and repeated ids do no harm. A threshold met exactly is met. An empty
+    table of documents gives no rows, an empty benchmark meets nothing. The caller's columns are kept, but for columns of the two new names, which are replaced.
     """
     bits_mask = (1 << bits) - 1
 
@@ -94,7 +91,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", least:
         return pd.DataFrame({"w": [h.view(np.int64) for h in found], "s": [seeds(h) for h in found]})
 
     seeded = f"w array<long>, s {_SEED}"
-    b = bench.select(F.xxhash64(F.col(text)).alias("item"), F.col(text).alias("_text")).dropDuplicates(["item"])
+    b = bench.select(_name(F.col(text)).alias("item"), F.col(text).alias("_text")).dropDuplicates(["item"])
     b = b.withColumn("s", F.pandas_udf(windows, seeded)("_text")).select("item", F.col("s.w").alias("bw"), "s.s")
     b = cut(b.where(F.size("bw") > 0))
     short = sorted(r[0] for r in b.select(F.size("bw")).where(F.size("bw") < WINDOW).distinct().collect())
@@ -132,22 +129,29 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", least:
                 ws.append(h[starts[d] : starts[d + 1]].view(np.int64) if len(mine) else None)
         return pd.DataFrame({"w": ws, "s": ss})
 
-    d = docs.withColumn("_doc", F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.length(F.col(text))))
-    one = d.select("_doc", F.pandas_udf(likely, seeded)(F.col(text)).alias("f")).select("_doc", F.col("f.w").alias("dw"), F.col("f.s").alias("s")).where(F.size("s") > 0)
-    one = cut(one.groupBy("_doc").agg(F.first("dw").alias("dw"), F.first("s").alias("s")))
-    hits = one.select("_doc", F.explode("s").alias("s")).select("_doc", F.col("s.pos").alias("dpos"), F.col("s.h").alias("h")).join(bs, "h")
-    hits = hits.select("_doc", "item", (F.col("dpos") - F.col("bpos")).alias("diag")).distinct()
-
-    def check(doc: pd.Series, item: pd.Series, diag: pd.Series) -> pd.Series:
-        got = [overlap(x, y, int(z)) if len(y) * 0.9 > least else max(overlap(x, y, int(z)), matches(x, y, int(z))) for x, y, z in zip(doc, item, diag)]
-        return pd.Series([g if g >= min(least, 0.9 * len(y)) else 0 for g, y in zip(got, item)], dtype="int64")
-
-    pairs = hits.join(one.select("_doc", "dw"), "_doc").join(b.select("item", "bw"), "item")
-    good = pairs.select("_doc", "item", F.pandas_udf(check, "long")("dw", "bw", "diag").alias("n")).where("n > 0")
-    good = good.groupBy("_doc", "item").agg(F.max("n").alias("n"))
-    good = good.groupBy("_doc").agg(F.count("*").alias("bench_items_"), F.max("n").alias("bench_overlap_"))
-    out = d.join(good, "_doc", "left").drop("_doc")
-    return out.fillna(0, ["bench_items_", "bench_overlap_"])
+    key = spare(docs, "_doc")
+    d = docs.withColumn(key, _name(F.col(text)))
+    one = d.select(F.col(key).alias("doc"), F.pandas_udf(likely, seeded)(F.col(text)).alias("f")).select("doc", F.col("f.w").alias("dw"), F.col("f.s").alias("s")).where(F.size("s") > 0)
+    one = cut(one.groupBy("doc").agg(F.first("dw").alias("dw"), F.first("s").alias("s")))
+    hits = one.select("doc", F.explode("s").alias("s")).select("doc", F.col("s.pos").alias("dpos"), F.col("s.h").alias("h")).join(bs, "h")
+    hits = hits.groupBy("doc", "item").agg(F.collect_set(F.col("dpos") - F.col("bpos")).alias("diags"))  # no more than a document has places
+
+    def check(doc: pd.Series, item: pd.Series, diags: pd.Series) -> pd.Series:
+        out = []
+        for x, y, zs in zip(doc, item, diags):
+            best = 0
+            for z in zs:
+                run, whole = overlap(np.asarray(x), np.asarray(y), int(z))
+                best = max(best, run if len(y) * 0.9 > least else max(run, whole))
+            out.append(best if best >= min(least, 0.9 * len(y)) else 0)
+        return pd.Series(out, dtype="int64")
+
+    pairs = hits.join(one.select("doc", "dw"), "doc").join(b.select("item", "bw"), "item")
+    good = pairs.select("doc", F.pandas_udf(check, "long")("dw", "bw", "diags").alias("n")).where("n > 0")
+    made = ("bench_items_", "bench_overlap_")
+    good = good.groupBy("doc").agg(F.count("*").alias(made[0]), F.max("n").alias(made[1])).withColumnRenamed("doc", key)
+    out = d.drop(*made).join(good, key, "left").drop(key)
+    return out.fillna(0, list(made))
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
