@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import fold, per_class, table
+from larder.llm.common import fold, per_class, spare, table
 
 DIM = 4096
 
@@ -15,17 +15,17 @@ DIM = 4096
 def counts(text: str | None) -> np.ndarray:
     """Hashed counts of the 1- to 3-grams of the lower-cased letters, other characters read as one blank."""
     out = np.zeros(DIM, np.float32)
-    t = (text or "").lower()
-    for at in range(0, len(t), 1 << 16):  # whole text, bounded memory
-        c = np.frombuffer(t[at : at + (1 << 16) + 2].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        c = np.where((c >= 97) & (c <= 122) | (c >= 192), c, np.uint64(32))
-        c = c[np.r_[True, (c[1:] != 32) | (c[:-1] != 32)]]
-        h = np.zeros(len(c), np.uint64)
+    c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where((c >= 97) & (c <= 122) | (c >= 192), c, np.uint32(32))
+    c = c[np.r_[True, (c[1:] != 32) | (c[:-1] != 32)][: len(c)]]
+    for at in range(0, len(c), 1 << 16):  # whole text, bounded memory; grams count where they end
+        begin = max(0, at - 2)
+        h, part = np.zeros(min(len(c), at + (1 << 16)) - begin, np.uint64), c[begin : at + (1 << 16)].astype(np.uint64)
         for n in (1, 2, 3):
-            if len(c) < n:
+            if len(part) < n:
                 break
-            h = h[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :] + np.uint64(n)
-            x = h * np.uint64(0x9E3779B97F4A7C15)
+            h = h[: len(part) - n + 1] * np.uint64(0x100000001B3) + part[n - 1 :] + np.uint64(n)
+            x = h[max(0, at - begin - n + 1) :] * np.uint64(0x9E3779B97F4A7C15)
             out += np.bincount((x >> np.uint64(52)).astype(np.int64), minlength=DIM)
     return out
 
@@ -57,9 +57,10 @@ class Model:
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample: int = 3000, per_lang: int = 4) -> Model:
-    """Fit on rows with a language. Document frequencies count every row; the centroids are
+    """Fit on rows with a language. Document frequencies count every row, repeated ones too; the centroids
     of a language are fitted on at most ``sample`` of its distinct texts, those of least hash. A language is fitted in
-    one task, which holds 8 KB a text. No rows: an empty model."""
+    one task, which holds 8 KB a text. Null languages drop out; a null text counts as empty. No rows: an empty model, which rejects all.
+    Only the two named columns are read, so others cannot clash."""
     rows = train.where(F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
 
     def tally(batches):
@@ -95,7 +96,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", least: float = 0.
     """``docs`` with ``lang_`` , ``lang_score_`` (cosine, 0 to 1) and ``lang_rejected_``.
 
     A null text or one without a letter is ``und`` with score 0 and rejected. Otherwise the nearest
-    centroid names the language; a cosine under ``least`` rejects it. Ties go to the first language.
+    centroid names the language; a cosine under ``least`` rejects it. Ties go to the first language. Each row is predicted on its own,
+    repeated ones and null ids too; an empty table gives no rows. Columns of these three names are replaced, others are kept.
     """
     m = docs.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.langs))
 
@@ -112,8 +114,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", least: float = 0.
             out.append((langs[i], score, score < least))
         return pd.DataFrame(out, columns=["p", "s", "r"])
 
-    got = docs.withColumn("_g", F.pandas_udf(label, "p string, s double, r boolean")(text))
-    return got.withColumn("lang_", F.col("_g.p")).withColumn("lang_score_", F.col("_g.s")).withColumn("lang_rejected_", F.col("_g.r")).drop("_g")
+    g = spare(docs, "_g")
+    got = docs.withColumn(g, F.pandas_udf(label, "p string, s double, r boolean")(text))
+    return got.withColumn("lang_", F.col(g)["p"]).withColumn("lang_score_", F.col(g)["s"]).withColumn("lang_rejected_", F.col(g)["r"]).drop(g)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -24,28 +24,24 @@ def _hash(line: Column) -> Column:
 def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10) -> DataFrame:
     """All columns of ``docs`` with ``text`` rewritten, plus ``n_lines_`` and ``n_dropped_``.
 
-    A row is a document: repeated rows count each. A null or empty text is one empty line and
-    comes back as the empty text. Empty keys are never dropped. Lines are exploded as 128-bit
-    hashes, one per document and key, so a line in every document is counted before the shuffle;
+    A row is a document: repeated rows and rows with null or repeated ids count each. A null or empty text is one empty line and
+    comes back as the empty text. Empty keys are never dropped; a line in exactly ``min_docs`` documents is. An empty table gives no rows.
+    The caller's columns keep their values, whatever their names; only columns named ``n_lines_`` and ``n_dropped_`` are replaced.
+    Lines are exploded as 128-bit hashes, one per document and key, so a line in every document is counted before the shuffle;
     the join that finds common lines is inner, so AQE can split the partition of a hot line.
     A document is named in the shuffles by 128 bits of its whole text: equal texts lose equal lines.
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    doc = docs.withColumn("_doc", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    held = doc.select("_doc", F.explode(F.array_distinct(F.transform(lines, _hash))).alias("_h")).where("_h is not null")
-    common = held.groupBy("_h").count().where(F.col("count") >= min_docs).select("_h")
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("doc"))
+    held = row.select("doc", F.explode(F.array_distinct(F.transform("lines", _hash))).alias("h")).where("h is not null")
+    common = held.groupBy("h").count().where(F.col("count") >= min_docs).select("h")
     # A set holds at most the distinct lines of one text, however many copies the text has.
-    drops = held.join(common, "_h").groupBy("_doc").agg(F.collect_set("_h").alias("_drops"))
-    out = doc.join(drops, "_doc", "left").withColumn("_lines", lines)
-    empty = F.array().cast("array<binary>")
-    kept = F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(F.coalesce("_drops", empty), _hash(x)), F.lit(False)))
-    out = out.withColumn("_kept", F.when(F.col("_drops").isNull(), F.col("_lines")).otherwise(kept))
-    return (
-        out.withColumn(text, F.array_join("_kept", "\n"))
-        .withColumn("n_lines_", F.size("_lines").cast("long"))
-        .withColumn("n_dropped_", (F.size("_lines") - F.size("_kept")).cast("long"))
-        .drop("_doc", "_drops", "_lines", "_kept")
-    )
+    drops = held.join(common, "h").groupBy("doc").agg(F.collect_set("h").alias("drops"))
+    out = row.drop("lines").join(drops, "doc", "left").withColumn("lines", F.split(F.coalesce(F.col("row")[text], F.lit("")), "\n"))
+    kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("drops", _hash(x)), F.lit(False)))
+    out = out.withColumn("kept", F.when(F.col("drops").isNull(), F.col("lines")).otherwise(kept))
+    made = ("n_lines_", "n_dropped_")
+    own = [(F.array_join("kept", "\n") if c == text else F.col("row")[c]).alias(c) for c in docs.columns if c.lower() not in made]
+    return out.select(*own, F.size("lines").cast("long").alias(made[0]), (F.size("lines") - F.size("kept")).cast("long").alias(made[1]))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
