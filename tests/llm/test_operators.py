@@ -369,6 +369,133 @@ def test_empty_table(spark, sf, op, tmp_path):
     assert entry.queries()[op](spark, str(tmp_path)).count() == 0
 
 
+NAMES = ["row", "_row", "_doc", "doc", "_g", "key", "_key", "label", "n", "set", "lines", "kept", "drops", "h", "lang_", "n_lines_", "n_dropped_", "bench_items_", "toxicity_", "_id", "_text", "blob", "spans", "size", "taken", "block", "t"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, docs, tmp_path_factory):
+    """Null and repeated ids, repeated rows, a text of 200 000 characters, ties, nulls in every column, and columns named like helpers."""
+    d = str(tmp_path_factory.mktemp("odd"))
+    long = " ".join(f"word{i % 3000}x" for i in range(22_000))
+    item = docs[9][1]
+    rows = [(None, None, None, None), (None, item, "en", None), (None, item, "en", None), (1, long, "en", "s"), (1, long, "en", "s"), (2, long + " end", "fr", "s"), (3, "", "fr", None), (3, "un autre texte avec des mots", "fr", "t"), (4, "plain words in a line\n" * 30, "en", "t"), (5, "q\u0001 \ud7ff 😀 \t", None, "t")]
+    cols = ", ".join(f"{c} string" for c in NAMES)
+    spark.createDataFrame([(*r, *NAMES) for r in rows], f"doc_id long, text string, lang string, source string, {cols}").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, None), (None, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(0, item), (None, item), (1, None), (2, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (None, [1.0, 1.0]), (100, [1.0, 2.0]), (7, [1.0, 2.0, 3.0]), (9, []), (11, [1.0, None])], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    return d
+
+
+@pytest.mark.parametrize("op", sorted(k for k in entry.queries() if k.startswith("op") and k != "op4_exact_top_k"))
+def test_odd_rows(spark, odd, op):
+    """One row out for each row in, null and repeated ids included."""
+    got = [r.doc_id for r in entry.queries()[op](spark, odd).collect()]
+    assert sorted(got, key=str) == sorted([None, None, None, 1, 1, 2, 3, 3, 4, 5], key=str)
+
+
+def test_odd_vectors(spark, odd):
+    got = sorted(map(tuple, vector_search.op4_exact_top_k(spark, odd).collect()))
+    k = 1024 * 1024 * 5
+    assert got == [(0, 1, 100, k), (0, 1, 100, k), (100, 1, 0, k), (100, 2, 0, k)]
+
+
+def test_odd_pipeline_keeps_columns(spark, odd):
+    """Every stage keeps the caller's columns and their values, whatever their names, and clean rows with null ids."""
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{odd}/documents.parquet")
+    want = {"language_id": 8, "line_dedup": 10, "minhash_dedup": 7, "decontamination": 8, "source_mix": 10}
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, d, odd).collect()
+        if name in ("line_dedup", "source_mix", "decontamination"):
+            assert len(rows) == want[name], name
+        assert sum(r.doc_id is None for r in rows) >= 1 or name == "language_id"
+        if name != "source_mix":
+            assert all([r[c] for c in NAMES] == NAMES for r in rows), name
+
+
+def test_dedup_lines_keeps_clashing_columns(spark):
+    d = spark.createDataFrame([(i, "same\nown %d" % i, "a", "b", "c") for i in range(10)] + [(None, "same\nx", "a", "b", "c")], "doc_id long, text string, _lines string, row string, drops string")
+    got = lines.dedup_lines(d).collect()
+    assert len(got) == 11 and all((r._lines, r.row, r.drops, r.n_dropped_) == ("a", "b", "c", 1) and "same" not in r.text for r in got)
+
+
+def test_decontamination_overlap_brute():
+    """The best run of a diagonal equals the best over all its stretches."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        doc, item = rng.integers(0, 3, rng.integers(0, 14)), rng.integers(0, 3, rng.integers(1, 10))
+        diag = int(rng.integers(-10, 14))
+        lo, hi = max(0, -diag), min(len(item), len(doc) - diag)
+        same = [bool(item[i] == doc[i + diag]) for i in range(lo, hi)]
+        runs = [(sum(1 if s else -4 for s in same[a:b]), sum(same[a:b])) for a in range(len(same)) for b in range(a + 1, len(same) + 1)]
+        best = max([s for s, _ in runs], default=0)
+        run, whole = decontam.overlap(doc, item, diag)
+        assert whole == sum(same) and (run == 0 if best <= 0 else (best, run) in runs)
+
+
+def test_decontamination_brute(spark):
+    """Items planted whole, with substitutions, cut short or not at all, against the rule on every diagonal."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(40)]
+    bench = [" ".join(rng.choices(vocab, k=rng.choice([6, 12, 20, 30]))) for _ in range(6)]
+    rows = []
+    for i in range(40):
+        item = rng.choice(bench).split()
+        for _ in range(rng.choice([0, 0, 1, 2, 6])):
+            item[rng.randrange(len(item))] = "new"
+        item = item[: rng.choice([len(item), len(item), len(item) // 2])]
+        rows.append((i, " ".join(rng.choices(vocab, k=rng.randint(0, 15)) + item + rng.choices(vocab, k=5))))
+    got = {r.doc_id: r.bench_items_ for r in decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")).collect()}
+    for i, t in rows:
+        doc = t.split()
+        n = 0
+        for b in bench:
+            item, hit = b.split(), False
+            for d in range(-len(item) + 1, len(doc)):
+                same = [d + j >= 0 and d + j < len(doc) and doc[d + j] == item[j] for j in range(len(item))]
+                seed = any(all(same[p + j] for j, bit in enumerate(m) if bit == "1") and d + p >= 0 and d + p + 10 <= len(doc) for m in decontam.MASKS for p in range(len(item) - 9)) if len(item) >= 10 else all(same)
+                runs = [(sum(1 if s else -4 for s in same[x:y]), sum(same[x:y])) for x in range(len(item)) for y in range(x + 1, len(item) + 1)] if seed else [(0, 0)]
+                most = max(runs)[0]
+                best = max(n for total, n in runs if total == most)
+                score = best if 0.9 * len(item) > 12 else max(best, sum(same))
+                hit |= bool(seed) and score >= min(12, 0.9 * len(item))
+            n += hit
+        assert got[i] == n, (i, t)
+
+
+def test_language_grams_count_once():
+    import numpy as np
+
+    text = "abcdefghij klmno " * 12_000  # over three slices
+    c = " ".join(text.split()) + " "
+    assert language.counts(text).sum() == 3 * len(c) - 3 and np.array_equal(language.counts(text[:1000]), language.counts(text[:1000]))
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_dups_recall(spark, k):
+    """No link of brute force over a whole table is lost, and none is made up."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.component_id for r in near_dup.near_dups(d, k=k).collect()}
+    sets, label = {}, {}
+    for r in d.collect():
+        w = WORD.findall(low(r.text))
+        sets[r.doc_id] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+        label[r.doc_id] = r.doc_id
+    moved = True
+    while moved:
+        moved = False
+        for i in sets:
+            for j in sets:
+                if i < j and label[i] != label[j] and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+                    moved = True
+    assert got == label
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
@@ -377,4 +504,24 @@ def test_pipeline(spark, sf):
         out = stage(spark, d, sf)
         if name != "source_mix":
             assert out.columns == d.columns
-    assert corpus_pipeline.run(spark, sf).count() > 0
+    got = [r.asDict() for r in corpus_pipeline.run(spark, sf).collect()]
+    # Brute force of the stages that decide which rows stay, after the languages the model itself recognises.
+    kept = corpus_pipeline.language_id(spark, d, sf)
+    d1 = corpus_pipeline.line_dedup(spark, kept, sf).collect()
+    common = {k for k, n in Counter(k for r in kept.collect() for k in {low(x.strip(" \t\n\x0b\x0c\r")) for x in (r.text or "").split("\n")} if k).items() if n >= 10}
+    for r, raw in zip(sorted(d1), sorted(kept.collect())):
+        assert r.text == "\n".join(x for x in (raw.text or "").split("\n") if low(x.strip(" \t\n\x0b\x0c\r")) not in common)
+    sets = {r.doc_id: (lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set()))(WORD.findall(low(r.text))) for r in d1}
+    label = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+        if all(label[label[i]] == label[i] for i in sets):
+            break
+    bench = [low(r.text).split() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text]
+    held = lambda t: any(sum(w[a + j] == b[j] for j in range(len(b)) if a + j < len(w)) >= min(12, 0.9 * len(b)) for w in [low(t).split()] for b in bench for a in range(max(1, len(w) - len(b) + 1)))
+    want = {r.doc_id for r in d1 if label[r.doc_id] == r.doc_id and not held(r.text)}
+    assert {r["doc_id"] for r in got} == want
+    assert sum(r["taken"] for r in got) > 0 and all(r["taken"] <= 2 * r["size"] for r in got)
