@@ -15,9 +15,10 @@ from larder.llm.common import cut, fold, free, per_class, table
 DECAY, SPAN, DEGREE = 0.8, 9, 3
 _OFFSETS = [(a, b) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
 _CODES = 1 << 15  # three letters of five bits
+_WEIGHTS = DECAY ** np.arange(8.0)
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _DROP = bytes(b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122 or b == 32 or 9 <= b <= 13))
-_LETTER = np.array([b - 96 if 97 <= b <= 122 else 27 + b % 5 for b in range(256)], np.int64)
+_LETTER = np.array([b - 96 if 97 <= b <= 122 else 27 + b % 5 for b in range(256)], np.int32)
 _SPACED = re.compile(rb"(?<![^ ])(?:[a-z\x80-\xff] +){2,}[a-z\x80-\xff](?![^ ])")
 
 
@@ -28,20 +29,20 @@ def pieces(text: str | None) -> set[bytes]:
 
 
 def _subsequences(words: list[bytes]):
-    """(word, code, weight) of all different three-letter subsequences within SPAN letters of each word, weights summed."""
+    """For at most 8192 words: (word, code, weight) of all different three-letter subsequences within SPAN letters of each word, weights summed."""
     c = _LETTER[np.frombuffer(b"".join(words), np.uint8)]
-    of = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    keys, weights = [], []
+    of = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
+    keys = [np.empty(0, np.int32)]
     for a, b in _OFFSETS:
         n = len(c) - b
-        if n <= 0:
-            continue
-        same = np.flatnonzero(of[:n] == of[b:])
-        keys.append(of[same] * _CODES + (c[same] << 10 | c[same + a] << 5 | c[same + b]))
-        weights.append(np.full(len(same), DECAY ** (b - 2)))
-    key, where = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_inverse=True)
-    weight = np.bincount(where, np.concatenate([np.empty(0), *weights]), len(key))
-    return key // _CODES, key % _CODES, weight
+        if n > 0:
+            same = np.flatnonzero(of[:n] == of[b:])
+            keys.append(of[same] << 18 | c[same] << 13 | c[same + a] << 8 | c[same + b] << 3 | np.int32(b - 2))
+    key = np.sort(np.concatenate(keys))  # word, code, letters skipped
+    which = key >> 3
+    first = np.flatnonzero(np.r_[True, which[1:] != which[:-1]][: len(which)])
+    weight = np.add.reduceat(_WEIGHTS[key & 7], first) if len(key) else np.empty(0)
+    return which[first] >> 15, which[first] & (_CODES - 1), weight
 
 
 class Landmarks:
@@ -49,31 +50,36 @@ class Landmarks:
 
     def __init__(self, names: list[bytes]):
         self.names = names
-        self.table = np.zeros((_CODES, len(names)), np.float32)
         of, code, weight = _subsequences(names)
         norm = np.sqrt(np.bincount(of, weight**2, len(names)))
-        self.table[code, of] = weight / np.maximum(norm[of], 1e-12)
-        self.held = self.table.any(axis=1)
+        order = np.argsort(code, kind="stable")  # by code, each with the few landmarks that hold it
+        self.mark, self.weight = of[order].astype(np.int64), weight[order] / norm[of[order]]
+        self.count = np.bincount(code, minlength=_CODES)
+        self.start = np.cumsum(self.count) - self.count
         gram = self.kernel(names)
         val, vec = np.linalg.eigh((gram + gram.T) / 2)
         self.map = (vec / np.sqrt(np.maximum(val, 1e-3))) @ vec.T
 
     def kernel(self, words: list[bytes]) -> np.ndarray:
-        """The kernel: the DEGREE-th power of the cosine of the subsequence vectors of each word and landmark; 1 for equal words."""
+        """The kernel: the DEGREE-th power of the cosine, itself a kernel."""
+        return self.cosine(words) ** DEGREE
+
+    def cosine(self, words: list[bytes]) -> np.ndarray:
+        """Cosine of the subsequence vectors of each word and each landmark; 1 for equal words."""
         out = np.zeros((len(words), len(self.names)), np.float32)
-        for at in range(0, len(words), 4096):  # all words, in pieces of bounded size
-            part = words[at : at + 4096]
+        for at in range(0, len(words), 8192):  # all words, in pieces of bounded size
+            part = words[at : at + 8192]
             of, code, weight = _subsequences(part)
             norm = np.sqrt(np.bincount(of, weight**2, len(part)))
-            near = np.flatnonzero(self.held[code])
-            if not len(near):
-                continue
-            of, code, weight = of[near], code[near], weight[near] / norm[of[near]]
-            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            out[at + of[first]] = np.add.reduceat(self.table[code] * weight[:, None].astype(np.float32), first)
-        return out**DEGREE
-
-    def pooled(self, texts: list[set[bytes]], most: int = 60_000) -> np.ndarray:
+            near = np.flatnonzero(self.count[code])
+            code, weight, times = code[near], weight[near] / norm[of[near]], self.count[code[near]]
+            at_mark = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.start[code], times)
+            cell = np.repeat(of[near].astype(np.int64) * len(self.names), times) + self.mark[at_mark]
+            got = np.bincount(cell, np.repeat(weight, times) * self.weight[at_mark], len(part) * len(self.names))
+            out[at : at + len(part)] = got.reshape(len(part), -1)
+        return out
+
+    def pooled(self, texts: list[set[bytes]], most: int = 200_000) -> np.ndarray:
         """Largest kernel of any piece of each text with each landmark; 0 for a text without pieces."""
         out, begin = np.zeros((len(texts), len(self.names)), np.float32), 0
         while begin < len(texts):
@@ -82,12 +88,12 @@ class Landmarks:
                 size += len(texts[end])
                 end += 1
             words = sorted(set().union(*texts[begin:end]))
-            k, at = self.kernel(words), {w: i for i, w in enumerate(words)}
+            k, at = self.cosine(words), {w: i for i, w in enumerate(words)}
             for i in range(begin, end):
                 if texts[i]:
                     out[i] = k[[at[w] for w in texts[i]]].max(axis=0)
             begin = end
-        return out
+        return out**DEGREE  # a power keeps the order, so the largest cosine gives the largest kernel
 
     def features(self, texts: list[set[bytes]]) -> np.ndarray:
         """Nyström features of the texts."""
@@ -137,7 +143,7 @@ class Model:
     def scores(self, texts) -> np.ndarray:
         if self.landmarks is None:
             return np.zeros(len(texts))
-        out = [self.margins([pieces(t) for t in texts[at : at + 512]]) for at in range(0, len(texts), 512)]
+        out = [self.margins([pieces(t) for t in texts[at : at + 1024]]) for at in range(0, len(texts), 1024)]
         return 1 / (1 + np.exp(-np.clip(self.slope * np.concatenate([np.empty(0), *out]) + self.offset, -30, 30)))
 
 
