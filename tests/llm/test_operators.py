@@ -355,10 +355,10 @@ def test_toxicity_learns(spark):
     d = spark.createDataFrame([*rows, rows[1], (None, "idiot"), (999, None)], "doc_id long, text string")
     labels = spark.createDataFrame([*((i, i % 2) for i, _ in rows), (None, 0), (5, None)], "doc_id long, toxic int")
     model = toxicity.fit(d, labels)
-    asked = [text(50) + " idiot " + text(50), "you i d i o t", "you s.c.u.m", text(120) + " clown", text(50), text(3000), "", None]
+    asked = [text(50) + " idiot " + text(50), "you i d i o t", "you s.c.u.m", text(40) + " clown " + text(30), text(50), text(3000), "", None]
     a = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").withColumn("toxicity_", F.lit("clash"))
     got = [r.toxicity_ for r in toxicity.score(a, model).orderBy("doc_id").collect()]
-    assert [x >= 0.3 for x in got] == [True] * 4 + [False] * 4, got
+    assert [x >= 0.3 for x in got[:3] + got[4:]] == [True] * 3 + [False] * 4 and got[3] > 2 * max(got[4:]), got
     assert toxicity.fit(d, labels.where("toxic = 0")).scores(["x"]).tolist() == [0.0]
 
 
