@@ -213,7 +213,7 @@ def sql(items_cte: str) -> dict[str, str]:
         "github_items": author(shown("'o__' || source_id", "canonical_url", "'o/' || source_id", f"concat_ws(chr(10) || chr(10), CASE WHEN {strip} <> '' THEN {strip} END, '主题：' || author, '## README' || chr(10) || chr(10) || 'read me')", "iso"), "'o'"),
         "x_items": author(shown("source_id", "'https://x.com/ann/status/' || source_id", f"coalesce(nullif({first}, ''), '推文 ' || source_id)", f"{strip}", "'2024-05-01T00:00:00Z'")),
         "bilibili_items": author(shown("'BV' || source_id", "'https://www.bilibili.com/video/BV' || source_id", "title", f"{strip}", "strftime(make_timestamp((published + 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ')")),
-        "zhihu_items": author(shown("'pin-' || source_id", "canonical_url", "title", f"CASE WHEN {strip} <> '' THEN body ELSE '' END", "iso", str(OBSERVED))),
+        "zhihu_items": author(shown("'pin-' || source_id", "canonical_url", "title", f"CASE WHEN {strip} <> '' THEN body ELSE '' END", "iso", f"CAST({OBSERVED} AS BIGINT)")),
         "item_errors": f"""{cap} SELECT doc_id, concat_ws('|', CASE WHEN doc_id % 13 = 0 THEN 'platform' END, CASE WHEN doc_id % 5 = 0 THEN 'source_id' END, CASE WHEN doc_id % 11 = 0 THEN 'canonical_url' END, CASE WHEN doc_id % 7 = 0 THEN 'title' END) AS errors FROM c""",
         "batch_replay": f"""{cap} SELECT platform, CAST(doc_id // 200 AS VARCHAR) AS key, count(*) AS scanned, count(*) FILTER (WHERE doc_id % 3 = 0) AS added, count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 7 = 0) AS refreshed,
           count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 7 <> 0) AS duplicates FROM c WHERE doc_id // 200 % 9 <> 0 GROUP BY ALL""",
