@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import lower_ascii, table
-
+from larder.llm.common import lower_ascii, spare, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -31,17 +30,21 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10) -> Data
     the join that finds common lines is inner, so AQE can split the partition of a hot line.
     A document is named in the shuffles by 128 bits of its whole text: equal texts lose equal lines.
     """
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("doc"))
-    held = row.select("doc", F.explode(F.array_distinct(F.transform("lines", _hash))).alias("h")).where("h is not null")
+    made = ("n_lines_", "n_dropped_")
+    docs = docs.drop(*made)
+    name, set_, all_, left = (spare(docs, c) for c in ("_doc", "_drops", "_lines", "_kept"))
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    doc = docs.withColumn(name, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    held = doc.select(F.col(name).alias("doc"), F.explode(F.array_distinct(F.transform(lines, _hash))).alias("h")).where("h is not null")
     common = held.groupBy("h").count().where(F.col("count") >= min_docs).select("h")
     # A set holds at most the distinct lines of one text, however many copies the text has.
-    drops = held.join(common, "h").groupBy("doc").agg(F.collect_set("h").alias("drops"))
-    out = row.drop("lines").join(drops, "doc", "left").withColumn("lines", F.split(F.coalesce(F.col("row")[text], F.lit("")), "\n"))
-    kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("drops", _hash(x)), F.lit(False)))
-    out = out.withColumn("kept", F.when(F.col("drops").isNull(), F.col("lines")).otherwise(kept))
-    made = ("n_lines_", "n_dropped_")
-    own = [(F.array_join("kept", "\n") if c == text else F.col("row")[c]).alias(c) for c in docs.columns if c.lower() not in made]
-    return out.select(*own, F.size("lines").cast("long").alias(made[0]), (F.size("lines") - F.size("kept")).cast("long").alias(made[1]))
+    drops = held.join(common, "h").groupBy(F.col("doc").alias(name)).agg(F.collect_set("h").alias(set_))
+    out = doc.join(drops, name, "left").withColumn(all_, lines)
+    empty = F.array().cast("array<binary>")
+    kept = F.filter(all_, lambda x: ~F.coalesce(F.array_contains(F.coalesce(set_, empty), _hash(x)), F.lit(False)))
+    out = out.withColumn(left, F.when(F.col(set_).isNull(), F.col(all_)).otherwise(kept))
+    own = [(F.array_join(left, "\n").alias(c) if c == text else F.col(c)) for c in docs.columns]
+    return out.select(*own, F.size(all_).cast("long").alias(made[0]), (F.size(all_) - F.size(left)).cast("long").alias(made[1]))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
