@@ -9,26 +9,31 @@ from larder.llm import decontam, language, lines, mixing, near_dup
 from larder.llm.common import cut, fold, spare, table
 
 
-def _apart(docs: DataFrame, *named: str) -> DataFrame:
-    """``docs`` with all columns in a struct ``row``, so that no name an operator uses can clash, and the ``named`` ones beside it."""
-    return docs.select(F.struct(*docs.columns).alias("row"), *named)
+def _beside(docs: DataFrame, made: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named like an operator's new ones renamed, and the names its columns go by now."""
+    away = {c: spare(docs, c) for c in docs.columns if c.lower() in made}
+    return docs.withColumnsRenamed(away), {c: away.get(c, c) for c in docs.columns}
+
+
+def _back(out: DataFrame, names: dict[str, str]) -> DataFrame:
+    return out.select(*[F.col(now).alias(c) for c, now in names.items()])
 
 
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is recognised; null, empty and letterless texts go. Null ids, repeated rows and clashing columns are kept as they are."""
     model = language.fit(docs.where(fold(F.col("doc_id"), 3) != 1))
-    return language.predict(_apart(docs, "text"), model).where("not lang_rejected_").select("row.*")
+    apart, names = _beside(docs, ("lang_", "lang_score_", "lang_rejected_"))
+    return _back(language.predict(apart, model).where("not lang_rejected_"), names)
 
 
 def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines found in ten documents or more; ``n_chars`` follows the text where lines went. All rows stay, a null text as the empty one; ids and other columns are not read."""
-    away = {c: spare(docs, c) for c in docs.columns if c.lower() in ("n_lines_", "n_dropped_")}
-    out = lines.dedup_lines(docs.withColumnsRenamed(away))
-    kept = {c: F.col(away.get(c, c)) for c in docs.columns}
-    if "n_chars" in kept:
-        changed = F.when(F.col("n_dropped_") > 0, F.length("text").cast("long")).otherwise(kept["n_chars"])
-        kept["n_chars"] = changed.cast(docs.schema["n_chars"].dataType)
-    return out.select(*[v.alias(c) for c, v in kept.items()])
+    apart, names = _beside(docs, ("n_lines_", "n_dropped_"))
+    out = lines.dedup_lines(apart)
+    if "n_chars" in names:
+        changed = F.when(F.col("n_dropped_") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
+    return _back(out, names)
 
 
 def minhash_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +42,16 @@ def minhash_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a key that is written once, so null and repeated ids do no harm. Shingles have five words, as
     all stages on word shingles take; two words, as op7's own contract says, would also join texts that share many common pairs.
     """
-    keyed = cut(_apart(docs, "doc_id", "text").withColumn("key", F.monotonically_increasing_id()))
-    keep = near_dup.near_dups(keyed, key="key").where("kept").select("key")
-    return keyed.join(keep, "key", "left_semi").select("row.*")
+    key = spare(docs, "_row_key")
+    keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()))
+    keep = near_dup.near_dups(keyed, key=key).where("kept").select(key)
+    return keyed.join(keep, key, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage; null and empty texts stay, ids and other columns are not read."""
-    out = decontam.decontaminate(_apart(docs, "text"), table(spark, sf_dir, "benchmark"))
-    return out.where("bench_items_ = 0").select("row.*")
+    apart, names = _beside(docs, ("bench_items_", "bench_overlap_"))
+    return _back(decontam.decontaminate(apart, table(spark, sf_dir, "benchmark")).where("bench_items_ = 0"), names)
 
 
 def source_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
