@@ -1,6 +1,6 @@
 """Queries and SQL of the training-data operators."""
 
-from larder.llm import decontam, language, lines, lm, mixing, near_dup, pii, secrets, toxicity, vector_search
+from larder.llm import decontam, fim, language, licenses, lines, lm, mixing, near_dup, pii, secrets, toxicity, vector_search
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,5 +13,7 @@ QUERIES = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_lm_score": lm.op10_lm_score,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_license_scan": licenses.op12_license_scan,
 }
-SQL = {"op4_exact_top_k": vector_search.OP4_SQL, "op9_line_dedup": lines.OP9_SQL}
+SQL = {"op4_exact_top_k": vector_search.OP4_SQL, "op9_line_dedup": lines.OP9_SQL, "op11_fill_in_middle": fim.OP11_SQL, "op12_license_scan": licenses.OP12_SQL}
