@@ -1,6 +1,6 @@
 """Queries and SQL of the training-data operators."""
 
-from larder.llm import decontam, fim, language, licenses, lines, lm, mixing, near_dup, pii, secrets, toxicity, vector_search
+from larder.llm import decontam, fim, language, licenses, lines, lm, mixing, near_dup, pii, repair, secrets, toxicity, vector_search
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_lm_score": lm.op10_lm_score,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
     "op12_license_scan": licenses.op12_license_scan,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 SQL = {"op4_exact_top_k": vector_search.OP4_SQL, "op9_line_dedup": lines.OP9_SQL, "op11_fill_in_middle": fim.OP11_SQL, "op12_license_scan": licenses.OP12_SQL}
