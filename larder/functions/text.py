@@ -13,8 +13,9 @@ CJK_RANGES = r"\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits without marks."""
-    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+    """Lower-cased runs of letters and digits without marks. (Splitting at what stands between them: extracting matches copies the text for each.)"""
+    plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(F.lower(text), MARKED + "ςſ", PLAIN + "σs")).otherwise(F.lower(text))
+    return F.filter(F.split(plain, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 
 def query_tokens(text: Column) -> Column:

@@ -5,9 +5,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.text import cjk_bigrams, query_tokens, tokens, windows
+from larder.functions.text import tokens, windows
+from larder.operators import index
 
-K1, B, RRF = 1.2, 0.75, 60
+RRF = 60
 
 
 def chunks(docs: DataFrame, size: int = 1200, overlap: int = 120) -> DataFrame:
@@ -17,34 +18,10 @@ def chunks(docs: DataFrame, size: int = 1200, overlap: int = 120) -> DataFrame:
     return cut.select("doc_id", "ordinal", F.substring(F.col("text"), F.col("start") + 1, F.lit(size)).alias("text"))
 
 
-def bm25(index: DataFrame, queries: DataFrame, keys=("doc_id", "ordinal")) -> DataFrame:
-    """(query_id, *keys, score) for queries (query_id, text), any number at once, over index rows (*keys, text, heading).
-
-    Three columns are indexed: text, heading and the text with CJK runs as pairs. Each token of a query is a phrase of the terms it
-    expands to, found in one column; phrases are OR-ed, a repeated token counts again. Length and frequency sum over the
-    columns, and totals count every index row, as filters come after. Totals and postings come from the same tokens; only runs that begin with a
-    query's term leave the scan. A query without tokens has no rows.
-    """
-    asked = queries.select("query_id", F.explode(query_tokens(F.col("text"))).alias("_w")).select("query_id", tokens(cjk_bigrams(F.col("_w"))).alias("terms")).where(F.size("terms") > 0)
-    phrases = asked.select("terms").distinct()
-    known = [r["terms"] for r in phrases.collect()]  # requests, not rows
-    if not known:
-        return index.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), *keys, F.lit(0.0).alias("score")).limit(0)
-    first, most = sorted({t[0] for t in known}), max(map(len, known))
-    sides = [tokens(F.coalesce(c, F.lit(""))) for c in (F.col("text"), F.col("heading"), cjk_bigrams(F.col("text")))]
-    toks = index.select(*keys, F.array(*sides).alias("_t")).select(*keys, "_t", F.aggregate("_t", F.lit(0), lambda a, t: a + F.size(t)).alias("len"))
-    stats = toks.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    runs = lambda t: F.filter(F.transform(t, lambda w, i: F.when(w.isin(first), F.slice(t, i + 1, most))), lambda r: r.isNotNull())
-    found = toks.select(*keys, "len", F.explode(F.flatten(F.transform("_t", runs))).alias("run"))
-    posts = found.join(phrases.select("terms", F.get("terms", F.lit(0)).alias("_f")), F.col("_f") == F.get("run", F.lit(0)))
-    posts = posts.where(F.slice("run", F.lit(1), F.size("terms")) == F.col("terms")).groupBy("terms", *keys, "len").agg(F.count("*").alias("tf"))
-    df = posts.groupBy("terms").agg(F.count("*").alias("df"))
-    n, tf = F.col("n"), F.col("tf")
-    idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    # One row of totals meets every posting: a join with a one-row aggregate.
-    got = posts.join(df, "terms").join(F.broadcast(stats)).select("terms", *keys, part.alias("p"))
-    return got.join(asked, "terms").groupBy("query_id", *keys).agg(F.round(F.sum("p"), 6).alias("score"))
+def bm25(chunks_: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, ordinal, score) for queries (query_id, text) over chunks (doc_id, ordinal, text, heading) that no index holds."""
+    toks = index.postings(chunks_)
+    return index.score(toks, index.lengths(toks), index.phrases(queries))
 
 
 def rank_lexical(scores: DataFrame, items: DataFrame, most: int = 500) -> DataFrame:
@@ -172,17 +149,17 @@ def no_result_reason(status: DataFrame, warning: str | None = None) -> DataFrame
     return status.select(rule.otherwise(F.coalesce(F.lit(warning), F.lit("no_match"))).alias("reason"))
 
 
-def search(index: DataFrame, vectors: DataFrame | None, items: DataFrame, queries: DataFrame, query_vectors: DataFrame | None = None, mode: str = "auto", limit: int = 10) -> tuple[DataFrame, str, str | None]:
+def search(scores: DataFrame, vectors: DataFrame | None, items: DataFrame, query_vectors: DataFrame | None = None, mode: str = "auto", limit: int = 10) -> tuple[DataFrame, str, str | None]:
     """(fused candidates, mode used, warning). ``fts`` never touches vectors, ``hybrid`` needs them, ``auto`` does without them and warns.
 
-    ``items`` has passed the filters (``allowed``), which hold for both arms; scores are made before they apply.
+    ``scores`` come from ``index.search`` or ``bm25``. ``items`` has passed the filters (``allowed``), which hold for both arms; scores are made before they apply.
     """
     if mode not in ("auto", "fts", "hybrid"):
         raise ValueError("mode must be auto, fts or hybrid")
     ready = vectors is not None and query_vectors is not None
     if mode == "hybrid" and not ready:
         raise ValueError("hybrid search needs vectors and query vectors")
-    lexical = rank_lexical(bm25(index, queries), items)
+    lexical = rank_lexical(scores, items)
     if mode == "fts" or not ready:
         none = lexical.select("query_id", "doc_id", "ordinal", "rank", F.lit(None).cast("double").alias("score")).limit(0)
         return fuse(lexical, none, items, limit), "fts", "no vectors: lexical results only" if mode == "auto" else None

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from larder.operators import search
+from larder import storage
+from larder.operators import index, search
 from larder.sources.binding import items, table
 
 ASKED = [(1, "thou ertion"), (2, "eau the"), (3, "worthless clown")]
@@ -17,8 +18,22 @@ def index_rows(spark, sf):
     return search.chunks(table(spark, sf, "documents").where("text is not null")).withColumn("heading", F.lit(None).cast("string"))
 
 
+_BUILT: dict[tuple, str] = {}
+
+
+def stored_index(spark, sf) -> str:
+    """The index of all windows of ``documents``, built on first use in a session and again when the table's files have changed."""
+    files = table(spark, sf, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()  # a row per file
+    key = (spark.sparkContext.applicationId, *sorted(map(tuple, files)))
+    if key not in _BUILT:
+        root = storage.folder(spark, "index")
+        index.build(index_rows(spark, sf), root)
+        _BUILT[key] = root
+    return _BUILT[key]
+
+
 def lexical(spark, sf):
-    return search.bm25(index_rows(spark, sf), asked(spark))
+    return index.search(spark, stored_index(spark, sf), asked(spark))
 
 
 def semantic(spark, sf):
