@@ -2,7 +2,7 @@
 
 import re
 from html.parser import HTMLParser
-from urllib.parse import parse_qs, urlparse
+from urllib.parse import parse_qs, unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -84,85 +84,108 @@ def number_chunks(chunks: DataFrame, item: list[str]) -> DataFrame:
     return chunks.withColumn("ordinal", F.row_number().over(w) - 1)
 
 
-_BLOCK = {"p", "div", "figure", "blockquote", "ol", "ul", "li", *(f"h{i}" for i in range(1, 7))}
+# Tags whose begin and end part blocks.
+_PARTING = ("p", "div", "figure", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "ol", "ul", "li")
+_ITEM, _NEXT = re.compile(r"- |1\. "), re.compile(r"- |\d.{0,2}\. ", re.S)
 
 
-class _Page(HTMLParser):
-    """Collects blocks of text and images; ``sink`` is where text goes: the block, or the link that is open."""
+class _Tokens(HTMLParser):
+    """A page as a flat list: ("<p", attributes), ("</p", None) or ("text", what it says)."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.blocks, self.images, self.block, self.sink = [], {}, [], None
-        self.link, self.pre, self.lists = None, False, []
-
-    def end_block(self):
-        text = "".join(self.block)
-        self.block = []
-        if not self.pre:
-            text = "\n".join(filter(None, (" ".join(x.split()) for x in text.split("\n"))))
-        if text.strip():
-            self.blocks.append(text.rstrip())
-
-    def handle_data(self, data):
-        (self.block if self.link is None else self.sink).append(data)
+        self.list: list[tuple] = []
+        self.feed(html)
+        self.close()
 
     def handle_starttag(self, tag, attrs):
-        at = dict(attrs)
-        match tag:
-            case "img":
-                src = at.get("data-actualsrc") or at.get("src") or ""
-                if src.startswith("http"):
-                    self.images[src] = None
-            case "br":
-                self.block.append("\n")
-            case "pre":
-                self.end_block()
-                self.pre = True
-            case "a":
-                self.link, self.sink = redirect_target(at.get("href") or ""), []
-            case _ if tag in _BLOCK:
-                self.end_block()
-                if tag in ("ol", "ul"):
-                    self.lists.append([tag, 0])
-                elif tag == "li" and self.lists:
-                    self.lists[-1][1] += 1
-                    self.block.append(f"{self.lists[-1][1]}. " if self.lists[-1][0] == "ol" else "- ")
+        self.list.append(("<" + tag, dict(attrs)))
 
     def handle_endtag(self, tag):
-        match tag:
-            case "pre":
-                text, self.block, self.pre = "".join(self.block).strip("\n"), [], False
-                if text.strip():
-                    self.blocks.append(f"```\n{text}\n```")
-            case "a":
-                text, href = " ".join("".join(self.sink or ()).split()), self.link or ""
-                self.link, web = None, href.startswith("http")
-                self.block.append(f"{text} ({href})" if text and web and text != href else text or (href if web else ""))
-            case _ if tag in _BLOCK:
-                self.end_block()
-                if tag in ("ol", "ul") and self.lists:
-                    self.lists.pop()
+        self.list.append(("</" + tag, None))
+
+    def handle_data(self, data):
+        self.list.append(("text", data))
 
 
 def redirect_target(href: str) -> str:
-    """The address behind a redirect of link.zhihu.com, or the address itself."""
-    got = urlparse(href) if "link.zhihu.com" in href else None
-    target = parse_qs(got.query).get("target") if got and got.netloc == "link.zhihu.com" else None
-    return target[0] if target else href
+    """The address behind a redirect of link.zhihu.com, which is escaped twice, or the address itself."""
+    got = urlparse(href)
+    target = parse_qs(got.query).get("target", ()) if got.netloc == "link.zhihu.com" else ()
+    return next((unquote(t) for t in target), href)
+
+
+def _link(words: str, href: str) -> str:
+    """What a link reads as: its words, and its address in brackets where it is a web address that the words do not give."""
+    address = href if href.startswith("http") else ""
+    return f"{words} ({address})" if words and address not in ("", words) else words or address
+
+
+def _linked(tokens_):
+    """The tokens with each link as one text; words of a link that never ends are left out."""
+    words, href = None, ""
+    for name, value in tokens_:
+        if name == "<a":
+            words, href = [], redirect_target(value.get("href") or "")
+        elif name == "</a":
+            if words is not None:
+                yield "text", _link(" ".join("".join(words).split()), href)
+            words = None
+        elif name == "text" and words is not None:
+            words.append(value)
+        else:
+            yield name, value
+
+
+def _steps(tokens_):
+    """What the tokens do: ("say", text), or ("part", "code", "end") at the end of a block, the begin of a preformatted one and its end."""
+    lists: list = []  # of the open lists, the next number, or None where they are not numbered
+    for name, value in tokens_:
+        tag = name.lstrip("</")
+        if name == "text":
+            yield "say", value
+        elif name == "<br":
+            yield "say", "\n"
+        elif tag == "pre":
+            yield ("end" if name[1] == "/" else "code"), ""
+        elif tag in _PARTING:
+            yield "part", ""
+            if name in ("<ol", "<ul"):
+                lists.append(1 if tag == "ol" else None)
+            elif name in ("</ol", "</ul"):
+                lists[-1:] = []
+            elif name == "<li" and lists:
+                yield "say", "- " if lists[-1] is None else f"{lists[-1]}. "
+                lists[-1] = lists[-1] and lists[-1] + 1
+
+
+def _paragraphs(steps):
+    """The blocks that the steps make: blanks within a line as one and empty lines left out, preformatted ones as they are, in a fence."""
+    said, code = "", False
+    for step, text in [*steps, ("part", "")]:
+        if step == "say":
+            said += text
+            continue
+        if step == "end":
+            block = "```\n" + said.strip("\n") + "\n```" if said.strip() else ""
+        elif code:
+            block = said.rstrip()
+        else:
+            block = "\n".join(line for line in map(" ".join, map(str.split, said.split("\n"))) if line)
+        if block.strip():
+            yield block
+        said, code = "", step == "code" or (code and step == "part")
 
 
 def html_text(html: str | None) -> tuple[str, list[str]]:
     """Readable text of a page (blocks parted by a blank line, list items by a line break) and its images, distinct in order."""
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    page.end_block()
-    text, listed = "", False
-    for b in page.blocks:
-        item = b.startswith(("- ", "1. ")) or (listed and b[0].isdigit() and ". " in b[:5])
-        text += ("\n" if item and listed else "\n\n" if text else "") + b
-        listed = item
-    return text.strip(), list(page.images)
+    found = _Tokens(html or "").list
+    pictures = (at.get("data-actualsrc") or at.get("src") or "" for name, at in found if name == "<img")
+    text, item = [], False
+    for block in _paragraphs(_steps(_linked(found))):
+        before, item = item, bool((_NEXT if item else _ITEM).match(block))
+        text += ["\n" if before and item else "\n\n", block]
+    return "".join(text).strip(), list(dict.fromkeys(p for p in pictures if p.startswith("http")))
 
 
 def render_html(html: Column) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import cjk_bigrams
 from larder.operators import library, search, sync
-from larder.plans import capture, retrieval, state
+from larder.plans import capture, retrieval, state, streams
 from larder.plans.shared import events, fused, lexical, semantic
 from larder.sources.binding import item_collections, items, table
 
@@ -163,3 +163,5 @@ QUERIES |= capture.QUERIES
 SQL |= capture.sql(_ITEMS)
 QUERIES |= retrieval.QUERIES
 SQL |= retrieval.sql(_CHUNK)
+QUERIES |= streams.QUERIES
+SQL |= streams.sql()
