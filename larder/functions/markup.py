@@ -72,9 +72,11 @@ def markdown_chunks(files: DataFrame, text: str = "text", size: int = 1200, over
 
 
 def index_files(files: DataFrame, path: str = "path") -> DataFrame:
-    """The Markdown files of an item that are indexed, with ``place``: content.md, then transcript, ocr and visual files by folded path."""
+    """The Markdown files of an item that are indexed, with ``place``: content.md first, then those of transcript, ocr and visual by folded path."""
     low = F.lower(path)
-    kept = (low == "content.md") | low.rlike(r"\A(transcript|ocr|visual)/.*\.md\z")
+    parts = F.split(low, "/")
+    kept = low.isin("content.md", "transcript.md", "ocr.md", "visual.md") | low.rlike(r"\A(transcript|ocr)/.*\.md\z")
+    kept &= ~F.array_contains(parts, "assets") & (F.element_at(parts, -1) != "notes.md")
     return files.where(kept).withColumn("place", F.struct((low != "content.md").alias("rest"), low.alias("folded"), F.col(path).alias("path")))
 
 
