@@ -126,6 +126,42 @@ def finish_scopes(scope_runs: DataFrame, reported: DataFrame, frontiers: DataFra
     return r.select(*scope_runs.columns), upsert(frontiers, moved, ("platform", "scope_id"))
 
 
+def apply_scope_results(scope_runs: DataFrame, results: DataFrame) -> DataFrame:
+    """Scope runs after results (job_id, platform, scope_id, cap_reached, visible_total, at); of several for a scope the last by ``at`` stands, and nulls stay as they were."""
+    keys = [*RUN, "scope_id"]
+    last = results.groupBy(*keys).agg(F.max_by(F.struct("cap_reached", "visible_total"), F.struct("at", "cap_reached", "visible_total")).alias("_r"))
+    r = scope_runs.join(last, keys, "left")
+    new = {c: F.coalesce(F.col(f"_r.{c}"), F.col(c)) for c in ("cap_reached", "visible_total")}
+    return r.select(*[new.get(c, F.col(c)).alias(c) for c in scope_runs.columns])
+
+
+def unknown_results(scope_runs: DataFrame, results: DataFrame) -> DataFrame:
+    """Results for scopes that no run has, which are errors."""
+    keys = [*RUN, "scope_id"]
+    return results.join(scope_runs.select(*keys), keys, "left_anti")
+
+
+def run_status(runs: DataFrame, scope_runs: DataFrame, batches_: DataFrame) -> DataFrame:
+    """One row a run: its status and counters, and its scopes in order of their id.
+
+    ``batches_`` (job_id, platform, scope_id, scanned, added, refreshed, duplicates, out_of_range) are receipts, with a null scope on flat platforms; counters that are absent are 0. A scope is (scope_id, name, status, scanned,
+    cap_reached, visible_total); the scopes of a run are its folders, and few.
+    """
+    names = ("scanned", "added", "refreshed", "duplicates", "out_of_range")
+    total = batches_.groupBy(*RUN).agg(*[F.sum(c).alias(c) for c in names])
+    by_scope = batches_.where(F.col("scope_id").isNotNull()).groupBy(*RUN, "scope_id").agg(F.sum("scanned").alias("_scanned"))
+    s = scope_runs.join(by_scope, [*RUN, "scope_id"], "left").withColumn("scanned", F.coalesce("_scanned", F.lit(0)).cast("long"))
+    one = F.struct("scope_id", "name", "status", "scanned", "cap_reached", "visible_total")
+    listed = s.groupBy(*RUN).agg(F.array_sort(F.collect_list(one)).alias("scopes"))
+    out = runs.select(*RUN, "status").join(total, RUN, "left").join(listed, RUN, "left")
+    return out.select(*RUN, "status", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names], "scopes")
+
+
+def shown_embedding_state(state: Column, profile: Column, cached: Column, corrupt: Column) -> Column:
+    """The state of embeddings as a status shows it: disabled without a profile, unavailable where the model is not held, degraded where a search met corrupt vectors, else ``state``."""
+    return F.when(profile.isNull(), "disabled").when(~F.coalesce(cached, F.lit(False)), "unavailable").when(corrupt > 0, "degraded").otherwise(state)
+
+
 def register_scopes(known: DataFrame, declared: DataFrame, scanned: DataFrame) -> DataFrame:
     """Each scope of a run as kept, added, dropped (an error), renamed (an error) or late (added after scanning began, an error); (job_id, platform, scope_id, name)."""
     keys = [*RUN, "scope_id"]

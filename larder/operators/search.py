@@ -87,18 +87,47 @@ def fuse(lexical: DataFrame, semantic: DataFrame, items: DataFrame, limit: int =
     rank, cosine, newest, platform, source and ordinal, cut to the pool. ``items`` gives published, platform and source_id by doc_id.
     """
     pool = pool_size(limit)
-    keys = ["query_id", "doc_id", "ordinal"]
-    l = lexical.where(F.col("rank") <= pool).select(*keys, F.col("rank").alias("lexical_rank"))
-    s = semantic.where(F.col("rank") <= pool).select(*keys, F.col("rank").alias("semantic_rank"), F.col("score").alias("cosine"))
+    return _fused(lexical.where(F.col("rank") <= pool), semantic.where(F.col("rank") <= pool), items, ["query_id"]).where(F.col("rank") <= pool)
+
+
+def _fused(lexical: DataFrame, semantic: DataFrame, items: DataFrame, by: list[str]) -> DataFrame:
+    """All candidates of both arms with their fused rank."""
+    keys = [*by, "doc_id", "ordinal"]
+    l = lexical.select(*keys, F.col("rank").alias("lexical_rank"))
+    s = semantic.select(*keys, F.col("rank").alias("semantic_rank"), F.col("score").alias("cosine"))
     both = l.join(s, keys, "full").join(items.select("doc_id", "published", "platform", "source_id"), "doc_id")
     part = lambda c: F.coalesce(F.lit(1.0) / (RRF + F.col(c)), F.lit(0.0))
     found = lambda c, name: F.when(F.col(c).isNotNull(), F.lit(name))
     both = both.withColumn("score", F.round(part("lexical_rank") + part("semantic_rank"), 9)).withColumn("best_rank", F.least("lexical_rank", "semantic_rank"))
     both = both.withColumn("match_sources", F.concat_ws("|", found("lexical_rank", "fts"), found("semantic_rank", "vector")))
-    w = Window.partitionBy("query_id").orderBy(
+    w = Window.partitionBy(*by).orderBy(
         F.col("score").desc(), "best_rank", F.col("lexical_rank").asc_nulls_last(), F.col("cosine").desc_nulls_last(), F.col("published").desc_nulls_last(), "platform", "source_id", "ordinal",
     )
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool)
+    return both.withColumn("rank", F.row_number().over(w))
+
+
+def pools(limit: int) -> list[int]:
+    """The pool of ``limit``, doubled up to 500."""
+    out = [pool_size(limit)]
+    while out[-1] < 500:
+        out.append(min(500, 2 * out[-1]))
+    return out
+
+
+def widen(lexical: DataFrame, semantic: DataFrame, items: DataFrame, evidence: DataFrame, limit: int = 10) -> DataFrame:
+    """The fused candidates of each query at the least pool of ``pools`` that holds ``limit`` items with evidence, or at the largest; ``pool`` tells which.
+
+    All pools are tried side by side, so no query waits for another: a pool takes so many lexical ranks, 500 semantic ones, and so many of the fused list. Both
+    arms hold at most 500 rows a query, and each row stands once for every pool. Feed the result to ``group_hits`` with the same evidence and limit.
+    """
+    sizes = F.explode(F.array(*map(F.lit, pools(limit)))).alias("pool")
+    l = lexical.where(F.col("rank") <= 500).select("*", sizes).where(F.col("rank") <= F.col("pool"))
+    s = semantic.where(F.col("rank") <= 500).select("*", sizes)
+    f = _fused(l, s, items, ["query_id", "pool"]).where(F.col("rank") <= F.col("pool"))
+    n = f.join(evidence.select("doc_id"), "doc_id", "left_semi").groupBy("query_id", "pool").agg(F.count_distinct("doc_id").alias("n"))
+    enough = n.where((F.col("n") >= limit) | (F.col("pool") == 500)).groupBy("query_id").agg(F.min("pool").alias("pool"))
+    asked = f.select("query_id").distinct().join(enough, "query_id", "left").select("query_id", F.coalesce("pool", F.lit(500)).alias("pool"))
+    return f.join(asked, ["query_id", "pool"], "left_semi")
 
 
 def phrase(docs: DataFrame, text: str) -> DataFrame:

@@ -162,7 +162,7 @@ SQL |= state.sql((_ITEMS, _FILED, _BM25, _lex, _fused, _CHUNK, _EV))
 QUERIES |= capture.QUERIES
 SQL |= capture.sql(_ITEMS)
 QUERIES |= retrieval.QUERIES
-SQL |= retrieval.sql(_CHUNK)
+SQL |= retrieval.sql(_CHUNK, f"{_BM25}, {_ITEMS}, {_lex()}, {_sem()}", _ITEMS)
 QUERIES |= streams.QUERIES
 SQL |= streams.sql()
 QUERIES |= stored.QUERIES

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 
 def decode(body: Column) -> Column:
-    """JSON text as a variant; text that is not JSON gives null."""
-    return F.try_parse_json(body)
+    """JSON text as a variant; text that is not JSON, or goes on after it, gives null. (The parser alone stops at the end of the first value.)"""
+    whole = F.concat(F.lit('{"a":'), body, F.lit(',"b":0}'))
+    return F.when(F.size(F.json_object_keys(whole)) == 2, F.try_variant_get(F.try_parse_json(whole), "$.a", "variant"))
 
 
 def field(v: Column, path: str) -> Column:
