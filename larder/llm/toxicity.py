@@ -200,8 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``toxicity_`` from 0 to 1, over whole texts. A null or empty text scores as one without words. A column ``toxicity_`` of the caller is replaced; rows are scored each on their own."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # as large as its landmarks
-    return docs.withColumn("toxicity_", F.pandas_udf(lambda s: pd.Series(held.value.scores(s), dtype=float), "double")(F.coalesce(F.col(text), F.lit(""))))
+    # The model, as large as its landmarks, travels with the function and by value; a broadcast would name its class, which executors may not have.
+    return docs.withColumn("toxicity_", F.pandas_udf(lambda s: pd.Series(model.scores(s), dtype=float), "double")(F.coalesce(F.col(text), F.lit(""))))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

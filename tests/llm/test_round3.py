@@ -257,3 +257,23 @@ def test_new_operators_read_extra_columns(spark, tmp_path):
     assert repair.op13_conversation_repair(spark, path).first()["audit"] is not None
     turns = spark.createDataFrame([(1, 0, "user", "a.", 1, 2)], "conv long, turn long, role string, text string, n int, said int")
     assert repair.repair(turns)[0].where(F.col("cost") >= 0).count() == 1
+
+
+def test_operators_run_where_workers_have_no_package(tmp_path):
+    """The driver alone can import the package, as on a cluster that has no copy of it."""
+    import os
+    import subprocess
+
+    script = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+spark.range(1).count()
+sys.path.append({str(ROOT)!r})
+from larder.llm import queries
+for name, query in queries.QUERIES.items():
+    assert query(spark, {SF!r}).count() > 0, name
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0, done.stderr[-2000:]
