@@ -9,6 +9,7 @@ from larder.functions.hashes import batch_fingerprint, batch_item, content_hash
 TERMINAL = ("completed", "partial", "failed")
 FRONTIER = 20
 RUN, BATCH, ITEM = ["job_id", "platform"], ["job_id", "platform", "key"], ["platform", "source_id"]
+CAME, ORDER = [*BATCH, "arrival"], ["arrival", "job_id", "key", "pos"]
 
 
 def access_status(status: Column) -> Column:
@@ -16,46 +17,58 @@ def access_status(status: Column) -> Column:
     return F.when(status == "available", "available").when(status == "source_unavailable", "unavailable")
 
 
+def arrived(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``arrival``, the order in which their batches came. Without that column, keys that are numbers go by number, and others after them by text."""
+    if "arrival" in rows.columns:
+        return rows.withColumn("arrival", F.col("arrival").cast("long"))
+    return rows.withColumn("arrival", F.coalesce(F.col("key").try_cast("long"), F.lit(2**62)))
+
+
 def batches(rows: DataFrame) -> DataFrame:
-    """(job, platform, key, fingerprint, size) of each batch: its items' canonical JSON in order of ``pos``. A batch is a request of bounded size."""
-    got = rows.select(*BATCH, F.struct("pos", batch_item().alias("json")).alias("i")).groupBy(*BATCH).agg(F.array_sort(F.collect_list("i")).alias("i"))
-    return got.select(*BATCH, batch_fingerprint(F.transform("i", lambda x: x["json"])).alias("fingerprint"), F.size("i").cast("long").alias("size"))
+    """(job, platform, key, arrival, fingerprint, size) of each batch that came: its items' canonical JSON in order of ``pos``. A batch is a request of bounded size."""
+    got = arrived(rows).select(*CAME, F.struct("pos", batch_item().alias("json")).alias("i")).groupBy(*CAME).agg(F.array_sort(F.collect_list("i")).alias("i"))
+    return got.select(*CAME, batch_fingerprint(F.transform("i", lambda x: x["json"])).alias("fingerprint"), F.size("i").cast("long").alias("size"))
 
 
 def admit(rows: DataFrame, receipts: DataFrame, runs: DataFrame) -> DataFrame:
-    """Each batch with its ``verdict`` and what ``runs`` says of its run.
+    """Each batch that came with its ``verdict`` and what ``runs`` says of its run.
 
     replay: the key is known with the same fingerprint, so the stored receipt stands. conflict: it is known with another payload.
-    unknown: no such run. terminal: the run has ended. accept: all others. ``before`` counts the rows of accepted batches ahead of it, by key.
+    unknown: no such run. terminal: the run has ended. accept: all others. A key is known from a receipt, or from an earlier arrival in this call. ``before`` counts the
+    rows of accepted batches of the run that came ahead of it; batches that came together go by key.
     """
     old = receipts.select(*BATCH, F.col("fingerprint").alias("_known"))
     b = batches(rows).join(old, BATCH, "left").join(runs, RUN, "left")
+    open_ = F.col("status").isNotNull() & ~F.col("status").isin(*TERMINAL)
+    first = F.first("fingerprint").over(Window.partitionBy(*BATCH).orderBy("arrival"))
+    again = F.row_number().over(Window.partitionBy(*BATCH).orderBy("arrival")) > 1
+    b = b.withColumn("_known", F.coalesce("_known", F.when(open_ & again, first)))
     known = F.col("_known").isNotNull()
     verdict = F.when(known & (F.col("_known") == F.col("fingerprint")), "replay").when(known, "conflict").when(F.col("status").isNull(), "unknown").when(F.col("status").isin(*TERMINAL), "terminal")
     b = b.withColumn("verdict", verdict.otherwise("accept")).drop("_known")
-    w = Window.partitionBy(*RUN).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*RUN).orderBy("arrival", "key").rowsBetween(Window.unboundedPreceding, -1)
     return b.withColumn("before", F.coalesce(F.sum(F.when(F.col("verdict") == "accept", F.col("size"))).over(w), F.lit(0)))
 
 
 def submit(rows: DataFrame, receipts: DataFrame, runs: DataFrame, state: DataFrame) -> dict[str, DataFrame]:
     """Ingest batches of captured items.
 
-    ``rows``: job_id, platform, key, pos (from 0) and the item columns, with source_status and favorited_at. ``runs``: job_id, platform, status,
+    ``rows``: job_id, platform, key, pos (from 0) and the item columns, with source_status and favorited_at, and arrival where it is known (see ``arrived``). ``runs``: job_id, platform, status,
     mode, scanned, cap, since, until. ``state``: platform, source_id, content_hash, published_at, first_seen_at, favorited_at, access_status.
     Out come ``verdicts`` of all batches; ``receipts`` of the accepted ones (scanned, added, refreshed, duplicates, out_of_range, truncated);
     ``items``, the rows of state that are new or changed; and ``changes``, each accepted row with its ``change``. A cap lets the first rows of a run in, in
-    order of key and position; rows out of range are counted and not dropped silently. Replays change nothing.
+    order of arrival and position; rows out of range are counted and not dropped silently. Replays change nothing. Of several sights of an item the last to arrive stands.
     """
     verdicts = admit(rows, receipts, runs)
     ok = verdicts.where("verdict = 'accept'").drop("status", "verdict")
     at = F.col("before") + F.col("pos") + F.coalesce("scanned", F.lit(0))
-    r = rows.withColumn("content_hash", content_hash()).join(ok, BATCH).withColumn("scanned_in", F.coalesce(at < F.col("cap"), F.lit(True)))
+    r = arrived(rows).withColumn("content_hash", content_hash()).join(ok, CAME).withColumn("scanned_in", F.coalesce(at < F.col("cap"), F.lit(True)))
     inside = F.coalesce(F.col("published_at") >= F.col("since"), F.lit(True)) & F.coalesce(F.col("published_at") <= F.col("until"), F.lit(True))
     r = r.withColumn("taken", F.col("scanned_in") & inside)
     old = state.select(*ITEM, *[F.col(c).alias(f"_{c}") for c in ("content_hash", "published_at", "access_status", "first_seen_at", "favorited_at")])
     t = r.where("taken").join(old, ITEM, "left")
     # A second sight of an item in these batches is compared with the first.
-    w = Window.partitionBy(*ITEM).orderBy("job_id", "key", "pos")
+    w = Window.partitionBy(*ITEM).orderBy(*ORDER)
     seen = F.row_number().over(w) > 1
     was = F.when(seen, F.lag("content_hash").over(w)).otherwise(F.col("_content_hash"))
     same = (was == F.col("content_hash")) & F.when(seen, F.lit(True)).otherwise((F.col("_published_at") == F.col("published_at")) & (F.col("_access_status") == "available"))
@@ -67,8 +80,8 @@ def submit(rows: DataFrame, receipts: DataFrame, runs: DataFrame, state: DataFra
         count(F.col("scanned_in"), "scanned"), *[count(F.col("change") == k, n) for k, n in (("added", "added"), ("refreshed", "refreshed"), ("duplicate", "duplicates"))],
         count(F.col("scanned_in") & ~F.col("taken"), "out_of_range"), F.bool_or(~F.col("scanned_in")).alias("truncated"),
     )
-    last = F.max_by(F.struct("content_hash", "published_at"), F.struct("job_id", "key", "pos"))
-    told = F.max_by(access_status(F.col("source_status")), F.when(access_status(F.col("source_status")).isNotNull(), F.struct("job_id", "key", "pos")))
+    last = F.max_by(F.struct("content_hash", "published_at"), F.struct(*ORDER))
+    told = F.max_by(access_status(F.col("source_status")), F.when(access_status(F.col("source_status")).isNotNull(), F.struct(*ORDER)))
     items = t.where("change <> 'duplicate'").groupBy(*ITEM).agg(
         last.alias("l"), F.coalesce(F.first("_first_seen_at"), F.min("observed_at")).alias("first_seen_at"), F.least(F.first("_favorited_at"), F.min("favorited_at")).alias("favorited_at"),
         F.coalesce(told, F.first("_access_status"), F.lit("available")).alias("access_status"),
@@ -101,18 +114,22 @@ def bounded_frontier(new: Column, old: Column) -> Column:
 
 
 def finish(runs: DataFrame, results: DataFrame, frontiers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(runs, frontiers) after scans ended. ``results``: job_id, platform, observed_end, cap_reached, ids.
+    """(runs, frontiers) after scans ended. ``results``: job_id, platform, observed_end, cap_reached, ids, and ended where the time is known.
 
     A scan that saw the end without a cap completes its run and moves the frontier (incremental: new before old; full: replaced);
-    any other is partial and leaves it. Runs that have ended stay as they are, so a repeated finish changes nothing.
+    any other is partial and leaves it. Runs that have ended stay as they are, so a repeated finish changes nothing. Runs of a platform that end in one call move its frontier one after the other, by ``ended`` and job.
     """
     r = runs.join(results, RUN, "left")
     live = F.col("observed_end").isNotNull() & ~F.col("status").isin(*TERMINAL)
     done = live & F.col("observed_end") & ~F.col("cap_reached") & ~F.coalesce("truncated", F.lit(False))
     r = r.withColumn("_done", done).withColumn("status", F.when(done, "completed").when(live, "partial").otherwise(F.col("status")))
-    moved = r.where("_done").select("platform", "mode", "ids").join(frontiers.select("platform", F.col("ids").alias("_old")), "platform", "left")
-    moved = moved.select("platform", bounded_frontier(F.col("ids"), F.when(F.col("mode") == "incremental", F.col("_old"))).alias("ids"))
-    return r.select(*runs.columns), upsert(frontiers, moved.dropDuplicates(["platform"]), ("platform",))
+    ended = F.col("ended") if "ended" in results.columns else F.lit(None).cast("timestamp")
+    step = F.struct(ended.alias("ended"), "job_id", "mode", "ids")
+    moved = r.where("_done").groupBy("platform").agg(F.array_sort(F.collect_list(step)).alias("_steps"))  # the runs that end now
+    moved = moved.join(frontiers.select("platform", F.col("ids").alias("_old")), "platform", "left")
+    none = F.array().cast("array<string>")
+    fold = F.aggregate("_steps", F.coalesce("_old", none), lambda old, x: bounded_frontier(x["ids"], F.when(x["mode"] == "incremental", old)))
+    return r.select(*runs.columns), upsert(frontiers, moved.select("platform", fold.alias("ids")), ("platform",))
 
 
 def finish_scopes(scope_runs: DataFrame, reported: DataFrame, frontiers: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -182,3 +182,58 @@ def test_lease_stream(spark, tmp_path):
     q = stream.lease_stream(beats).writeStream.format("memory").queryName("leases").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert got(spark.table("leases").where("session_id = 's'"), "beats") == [(1,), (3,)]
+
+
+def test_batches_count_in_order_of_arrival(spark):
+    none, empty = spark.createDataFrame([], stream.RECEIPT), spark.createDataFrame([], stream.STATE)
+    b = rows(spark, *[row(k, i, f"{k}-{i}", body=f"b{k}") for k in ("10", "2", "9") for i in range(3)], row("10", 3, "same", "late"), row("9", 3, "same", "early"))
+    out = ingest.submit(b, none, run(spark, cap=6), empty)
+    assert got(out["receipts"], "key", "scanned", "truncated") == [("10", 0, True), ("2", 3, False), ("9", 3, True)]
+    whole = ingest.submit(b, none, run(spark, "full"), empty)
+    changes = {(r["key"], r["source_id"]): (r["change"], r["content_hash"]) for r in whole["changes"].collect()}
+    assert changes["9", "same"][0] == "added" and changes["10", "same"][0] == "refreshed"
+    assert {r["source_id"]: r["content_hash"] for r in whole["items"].collect()}["same"] == changes["10", "same"][1]
+    told = {"10": 1, "2": 2, "9": 3}
+    numbered = b.withColumn("arrival", F.element_at(F.create_map(*[F.lit(x) for kv in told.items() for x in kv]), F.col("key")))
+    assert got(ingest.submit(numbered, none, run(spark, cap=5), empty)["receipts"], "key", "scanned") == [("10", 4), ("2", 1), ("9", 0)]
+
+
+def test_one_key_twice_in_a_call(spark):
+    none, empty = spark.createDataFrame([], stream.RECEIPT), spark.createDataFrame([], stream.STATE)
+    b = rows(spark, row("k", 0, "1"), row("k", 0, "1"), row("k", 0, "2"), row("z", 0, "3", job="gone"), row("z", 0, "4", job="gone"))
+    pairs = [(tuple(r), a) for r, a in zip(b.collect(), (1, 2, 3, 1, 2))]
+    b = spark.createDataFrame([(*r, a) for r, a in pairs], stream.ROWS + ", arrival long")
+    out = ingest.submit(b, none, run(spark), empty)
+    assert got(out["verdicts"], "key", "arrival", "verdict") == [("k", 1, "accept"), ("k", 2, "replay"), ("k", 3, "conflict"), ("z", 1, "unknown"), ("z", 2, "unknown")]
+    assert got(out["items"], "source_id") == [("1",)] and got(out["receipts"], "key", "scanned") == [("k", 1)]
+
+
+def test_runs_that_end_together_move_the_frontier_in_order(spark):
+    runs = spark.createDataFrame([("a", "x", "running", "incremental", False), ("b", "x", "running", "full", False), ("c", "x", "running", "incremental", False)], "job_id string, platform string, status string, mode string, truncated boolean")
+    res = spark.createDataFrame([("a", "x", True, False, ["a"], T0 + timedelta(2)), ("b", "x", True, False, ["b"], T0), ("c", "x", True, False, ["c", "b"], T0 + timedelta(1))], "job_id string, platform string, observed_end boolean, cap_reached boolean, ids array<string>, ended timestamp")
+    old = spark.createDataFrame([("x", ["old"])], "platform string, ids array<string>")
+    assert ingest.finish(runs, res, old)[1].first()["ids"] == ["a", "c", "b"]
+
+
+def test_stream_compacts_and_orders_files(spark, tmp_path):
+    src, root = tmp_path / "in", f"{tmp_path}/out"
+    src.mkdir()
+    import os
+
+    def put(name, when, *items):
+        part = rows(spark, *items).selectExpr("to_json(struct(*)) as j").collect()
+        (src / name).write_text("\n".join(r["j"] for r in part))
+        os.utime(src / name, (when, when))
+
+    for n in range(5):
+        put(f"f{n}.json", 1000 + n, row(f"k{n}", 0, "same", body=f"b{n}"), row(f"k{n}", 1, f"own{n}"))
+    stream.ingest_stream(spark, str(src), root, run(spark, "full"), str(tmp_path / "cp"), files=1, every=2).awaitTermination(200)
+    put("z.json", 2000, row("k9", 0, "same", body="first"))
+    put("a.json", 3000, row("k9", 0, "same", body="second"))
+    stream.ingest_stream(spark, str(src), root, run(spark, "full"), str(tmp_path / "cp"), every=2).awaitTermination(200)
+    assert {r[0] for r in spark.read.parquet(f"{root}/items_marks").collect()} == {-1, 2, 4}
+    state = {r["source_id"]: r["content_hash"] for r in stream.read_log(spark, f"{root}/items", stream.STATE, ingest.ITEM).collect()}
+    assert set(state) == {"same", *(f"own{n}" for n in range(5))}
+    first = rows(spark, row("k9", 0, "same", body="first")).select(ingest.content_hash().alias("h")).first()["h"]
+    assert state["same"] == first  # the later file has the same key and another payload: a conflict
+    assert {r["key"] for r in stream.read_log(spark, f"{root}/receipts", stream.RECEIPT, ingest.BATCH).collect()} == {"k0", "k1", "k2", "k3", "k4", "k9"}
