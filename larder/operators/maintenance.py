@@ -167,7 +167,7 @@ def rubric(scores: DataFrame) -> DataFrame:
     """
     d = scores.select(F.explode("dimensions").alias("name", "score")).groupBy("name").agg(F.avg("score").alias("mean")).agg(F.min("mean").alias("lowest"), F.count("*").alias("dimensions"))
     t = scores.agg(F.coalesce(F.try_divide(F.sum("covered"), F.nullif(F.sum("claims"), F.lit(0))), F.lit(1.0)).alias("coverage"), F.count_if("hard_failure").alias("hard_failures"))
-    return d.crossJoin(t).withColumn("passed", (F.col("lowest") >= 3.0) & (F.col("coverage") >= 0.9) & (F.col("hard_failures") == 0))  # two one-row totals
+    return d.crossJoin(t).withColumn("passed", (F.col("dimensions") == 6) & (F.col("lowest") >= 3.0) & (F.col("coverage") >= 0.9) & (F.col("hard_failures") == 0))  # two one-row totals
 
 
 def content_budget(files: DataFrame, by: list[str], order: list[str], most: int = 100_000) -> DataFrame:

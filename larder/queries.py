@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import cjk_bigrams
 from larder.operators import library, search, sync
-from larder.plans import capture, retrieval, state, stored, streams
+from larder.plans import capture, retrieval, state, stored, streams, upkeep
 from larder.plans.shared import events, fused, lexical, semantic
 from larder.sources.binding import item_collections, items, table
 
@@ -167,3 +167,5 @@ QUERIES |= streams.QUERIES
 SQL |= streams.sql()
 QUERIES |= stored.QUERIES
 SQL |= stored.sql(_ITEMS, SQL["content_hash"])
+QUERIES |= upkeep.QUERIES
+SQL |= upkeep.sql(_ITEMS)
