@@ -16,22 +16,35 @@ RULES = (
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
+def _running(sizes: Column) -> Column:
+    """Sums of an array of whole numbers up to each place.
+
+    A sum that appends to one array copies it at each step; here runs of about the root of the length are summed, then the runs' totals, so n numbers take n^1.5 copies.
+    """
+    n = F.size(sizes)
+    run = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    ints = F.array().cast("array<int>")
+    step = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x))
+    within = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / run).cast("int")), lambda i: F.aggregate(F.slice(sizes, i * run + 1, run), ints, step))
+
+    def whole(runs):
+        before = F.aggregate(F.transform(runs, lambda r: F.get(r, F.size(r) - 1)), ints, step)
+        return F.flatten(F.transform(runs, lambda r, i: F.transform(r, lambda x: x + F.coalesce(F.get(before, i - 1), F.lit(0)))))
+
+    return F.when(n > 0, F.transform(F.array(within), whole)[0]).otherwise(ints)
+
+
 def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Code-point spans of the matches: what split leaves between them gives where each begins."""
+    """Code-point spans of the matches: what split leaves between them, and their own lengths, give where each ends."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), sized.alias("val"))
     none = F.array().cast(_SPAN)
-
-    def step(acc, p):
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.coalesce(F.length(p["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
-        good = F.coalesce(F.length(p["val"]) >= least, F.lit(False))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).cast(_SPAN).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, zero, step, lambda a: a["out"])).otherwise(none)
+    # All that is summed is bound once: a match and the gap ahead of it.
+    bound = F.transform(F.array(F.filter(parts, lambda p: p["hit"].isNotNull())), lambda ps: F.arrays_zip(ps.alias("p"), _running(F.transform(ps, lambda p: F.length(p["gap"]) + F.length(p["hit"]))).alias("end")))[0]
+    good = F.filter(bound, lambda x: F.length(x["p"]["val"]) >= least)
+    span = lambda x: F.struct((x["end"] - F.length(x["p"]["hit"])).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"))
+    return F.when(text.rlike(pattern), F.transform(good, span).cast(_SPAN)).otherwise(none)
 
 
 def _named(versions: DataFrame, path: str, content: str) -> DataFrame:
