@@ -20,6 +20,21 @@ def _hash(line: Column) -> Column:
     return F.when(F.length(key) > 0, F.unhex(F.md5(key.cast("binary"))))
 
 
+def _in(found: Column, hashes: Column) -> Column:
+    """Which of the hashes of a text's lines are among ``found``, as an array of flags.
+
+    Few are looked up one by one. Many are first dealt to about as many lists as the root of their number, so n lines and n hashes take n^1.5 steps.
+    """
+    lists = F.ceil(F.sqrt(F.size(found))).cast("int")
+    at = lambda h: F.pmod(F.xxhash64(h), lists)
+    has = lambda some, h: F.coalesce(F.array_contains(some, h), F.lit(False))
+    named = F.array(F.transform(found, lambda h: F.struct(at(h).alias("list"), h.alias("h"))))
+    deal = lambda all_: F.transform(F.sequence(F.lit(0), lists - 1), lambda i: F.transform(F.filter(all_, lambda x: x["list"] == i), lambda x: x["h"]))
+    dealt = F.transform(named, deal)
+    many = F.transform(dealt, lambda some: F.transform(hashes, lambda h: has(F.get(some, at(h).cast("int")), h)))[0]
+    return F.when(F.size(found) <= 64, F.transform(hashes, lambda h: has(found, h))).otherwise(many)
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10) -> DataFrame:
     """All columns of ``docs`` with ``text`` rewritten, plus ``n_lines_`` and ``n_dropped_``.
 
@@ -40,8 +55,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10) -> Data
     # A set holds at most the distinct lines of one text, however many copies the text has.
     drops = held.join(common, "h").groupBy(F.col("doc").alias(name)).agg(F.collect_set("h").alias(set_))
     out = doc.join(drops, name, "left").withColumn(all_, lines)
-    empty = F.array().cast("array<binary>")
-    kept = F.filter(all_, lambda x: ~F.coalesce(F.array_contains(F.coalesce(set_, empty), _hash(x)), F.lit(False)))
+    # The flags are bound once, beside the lines; the lines of a text without common ones are not hashed again.
+    flags = F.array(_in(F.col(set_), F.transform(all_, _hash)))
+    kept = F.transform(flags, lambda gone: F.filter(all_, lambda x, i: ~F.get(gone, i)))[0]
     out = out.withColumn(left, F.when(F.col(set_).isNull(), F.col(all_)).otherwise(kept))
     own = [(F.array_join(left, "\n").alias(c) if c == text else F.col(c)) for c in docs.columns]
     return out.select(*own, F.size(all_).cast("long").alias(made[0]), (F.size(all_) - F.size(left)).cast("long").alias(made[1]))
