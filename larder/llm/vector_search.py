@@ -68,7 +68,7 @@ def _bounds(edges: dict, k: int):
     return scan
 
 
-def exact_top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec: str = "embedding", scale: int = 1024, k: int = 10, rows: int = 4096, block: int = 512) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec: str = "embedding", scale: int = 1024, k: int = 10, rows: int = 4096, block: int = 512, spread: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of highest integer inner product per query, ties to the smaller id.
 
     Components become floor(scale * x). Null ids, null and empty vectors and vectors with a null or non-finite component
@@ -97,7 +97,10 @@ def exact_top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec: str =
     cells = cut(v.mapInPandas(_pack(lambda x, w: ((x - edges[w][0]) // edges[w][1]).astype(np.uint8).tobytes(), rows), shape))
     asked = v.where(is_query(F.col("id")))
     packed = cut(asked.mapInPandas(_pack(lambda x, w: x.tobytes(), block), shape).select("w", F.col("ks").alias("qks"), F.col("ids").alias("qids"), F.col("x").alias("q")))
-    found = cut(cells.join(packed, "w").mapInPandas(_bounds(edges, k), "qk long, k long, up double, down double"))
+    # Each block of rows has one of ``spread`` numbers, and each block of queries all of them, so that vectors of one length are not one key of the join.
+    numbered = cells.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(spread)))
+    every = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    found = cut(numbered.join(every, ["w", "part"]).drop("part").mapInPandas(_bounds(edges, k), "qk long, k long, up double, down double"))
     by = Window.partitionBy("qk")
     sure = found.select("qk", "down", F.row_number().over(by.orderBy(F.col("down").desc())).alias("n")).where(F.col("n") <= k)
     sure = sure.groupBy("qk").agg(F.min("down").alias("sure"))  # the kth bound, or the least if there are fewer
