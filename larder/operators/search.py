@@ -50,7 +50,7 @@ def _packed(rows: DataFrame, key: str, vec: str, most: int) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v")).mapInPandas(pack, "w int, ks binary, xs binary")
 
 
-def cosine(vectors: DataFrame, queries: DataFrame, k: int = 500, rows: int = 4096, block: int = 256) -> DataFrame:
+def cosine(vectors: DataFrame, queries: DataFrame, k: int = 500, rows: int = 4096, block: int = 256, spread: int = 64) -> DataFrame:
     """(query_id, doc_id, score): the ``k`` best of unit vectors (doc_id, v) for each query (query_id, q), equal scores to the smaller id.
 
     Blocks of rows meet blocks of queries as matrices, so neither side is held whole; Spark broadcasts the packed queries
@@ -69,7 +69,10 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int = 500, rows: int = 409
 
     q = _packed(queries, "query_id", "q", block).select("w", F.col("ks").alias("qs"), F.col("xs").alias("qx"))
     kind = queries.schema["query_id"].dataType
-    got = _packed(vectors, "doc_id", "v", rows).join(q, "w").mapInPandas(scan, "query_id long, doc_id long, score double")
+    # Each block of rows has one of ``spread`` numbers, and each block of queries all of them, so that vectors of one length are not one key of the join.
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    v = _packed(vectors, "doc_id", "v", rows).withColumn("part", F.pmod(F.xxhash64("ks"), F.lit(spread)).cast("int"))
+    got = v.join(q, ["w", "part"]).drop("part").mapInPandas(scan, "query_id long, doc_id long, score double")
     return top(got.withColumn("query_id", F.col("query_id").cast(kind)), k).drop("rank")
 
 
