@@ -12,7 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.hashes import tagged_hash
@@ -164,7 +164,7 @@ def query_vectors(queries: DataFrame, load: Callable[[], Provider], profile: Pro
     return got.select("query_id", F.when(F.col("error").isNull(), F.col("vector")).otherwise(stop).cast("array<double>").alias("q"))
 
 
-def to_bytes(load_vector) -> F.Column:
+def to_bytes(load_vector) -> Column:
     """A vector as little-endian 32-bit floats."""
 
     def encode(vs: pd.Series) -> pd.Series:
@@ -173,7 +173,7 @@ def to_bytes(load_vector) -> F.Column:
     return F.pandas_udf(encode, "binary")(load_vector)
 
 
-def from_bytes(blob, dimensions: int) -> F.Column:
+def from_bytes(blob, dimensions: int) -> Column:
     """The vector of ``to_bytes``; null for bytes of another length, values that are not finite, and a length other than 1 (by 1e-5 of it, or 1e-6)."""
 
     def decode(bs: pd.Series) -> pd.Series:

@@ -10,11 +10,14 @@ from larder.plans.shared import ASKED, index_rows, stored_index
 from larder.sources import pages
 from larder.sources.binding import items, table
 
-ID = F.col("doc_id")
 QUERIES_ASKED = (*ASKED, (4, "..."), (5, "zzqx"))
 DAY = "2024-01-02T00:00:00+00:00"
 
 
+def _id():
+    return F.col("doc_id")
+
+
 def _request():
     return request.Request(QUERIES_ASKED, platforms=("github", "x"), published_since=DAY)
 
@@ -40,16 +43,16 @@ def answer_reasons(spark, sf):
 def bilibili_bundles(spark, sf):
     """Favourites with details for half of them, some refused, and subtitles for a third, some of another video."""
     c, s = captured(spark, sf), lambda x, n: x.alias(n)
-    media = F.struct(s(F.concat(F.lit("BV"), "source_id"), "bvid"), s(F.col("title"), "title"), s(F.lit("intro"), "intro"), s(F.unix_seconds("published_at"), "pubtime"), s(F.struct(s(F.col("author"), "name"), s(ID, "mid")), "upper"))
+    media = F.struct(s(F.concat(F.lit("BV"), "source_id"), "bvid"), s(F.col("title"), "title"), s(F.lit("intro"), "intro"), s(F.unix_seconds("published_at"), "pubtime"), s(F.struct(s(F.col("author"), "name"), s(_id(), "mid")), "upper"))
     got = pages.bilibili_resources(_pages(c, media, lambda a: F.struct(s(F.lit(0), "code"), s(F.struct(s(a, "medias")), "data"))))
     seen = got.select(F.col("page").alias("seq"), F.explode("medias").alias("entry")).select("seq", "entry", F.col("entry.bvid").alias("bvid"), F.col("entry.fav_time").alias("fav"), F.lit("folder").alias("folder"))
     bvid = F.concat(F.lit("BV"), "source_id").alias("bvid")
     video = F.struct(s(F.concat(F.lit("BV"), "source_id"), "bvid"), s(F.concat(F.lit("detail "), "source_id"), "title"), s(F.lit("described"), "desc"), s(F.unix_seconds("published_at") + 1, "pubdate"), s(F.struct(s(F.lit("own"), "name")), "owner"), s(F.lit(61), "duration"))
-    page = F.to_json(F.struct(s(F.when(ID % 8 == 0, -404).otherwise(0), "code"), s(video, "data")))
+    page = F.to_json(F.struct(s(F.when(_id() % 8 == 0, -404).otherwise(0), "code"), s(video, "data")))
     details = pages.bilibili_detail(c.where("doc_id % 2 = 0").select(bvid, page.alias("body"))).select("bvid", "code", "video")
     cue = lambda a, b, t: F.struct(s(F.lit(a), "from"), s(F.lit(b), "to"), s(t, "content"))
-    body = F.to_json(F.struct(s(F.lit("zh-CN"), "lan"), s(F.when(ID % 12 == 0, F.array(cue(0.0, 1.0, F.lit("x"))).cast("array<struct<from:double,to:double,content:string>>")).otherwise(F.array(cue(65.5, 70.0, F.lit("later")), cue(0.0, 1.0, F.col("title")), cue(0.0, 1.0, F.col("title")))), "body")))
-    subs = pages.bilibili_subtitle(c.where("doc_id % 3 = 0").select(bvid, body.alias("body"), (ID % 12 == 0).alias("other")))
+    body = F.to_json(F.struct(s(F.lit("zh-CN"), "lan"), s(F.when(_id() % 12 == 0, F.array(cue(0.0, 1.0, F.lit("x"))).cast("array<struct<from:double,to:double,content:string>>")).otherwise(F.array(cue(65.5, 70.0, F.lit("later")), cue(0.0, 1.0, F.col("title")), cue(0.0, 1.0, F.col("title")))), "body")))
+    subs = pages.bilibili_subtitle(c.where("doc_id % 3 = 0").select(bvid, body.alias("body"), (_id() % 12 == 0).alias("other")))
     lost = lambda x: F.when(~F.col("other"), x)
     subs = subs.select("bvid", "code", lost(F.col("language")).alias("language"), lost(F.col("cues")).alias("cues"), F.lit(None).cast("string").alias("raw"), F.lit("player").alias("source"), F.when(F.col("other"), "cid=1").alias("offered"), F.when(F.col("other"), "cid=2").alias("asked"))
     out = mapping.bilibili(mapping.favourites(seen, "bvid", "folder", "fav", "seq", "entry"), details, subs, F.timestamp_seconds(F.lit(OBSERVED)))
@@ -60,9 +63,9 @@ def bilibili_bundles(spark, sf):
 def zhihu_answers(spark, sf):
     """Answers by their question, articles by their own title, and pins by their excerpt."""
     c, s = captured(spark, sf), lambda x, n: x.alias(n)
-    kind = F.element_at(F.array(F.lit("answer"), F.lit("article"), F.lit("pin")), (ID % 3 + 1).cast("int"))
+    kind = F.element_at(F.array(F.lit("answer"), F.lit("article"), F.lit("pin")), (_id() % 3 + 1).cast("int"))
     html = F.concat(F.lit("<p>"), "title", F.lit(" &amp; more</p><ul><li>one</li><li>two</li></ul><img src=\"https://i/"), "source_id", F.lit('">'))
-    content = F.struct(s(kind, "type"), s(ID, "id"), s(F.col("canonical_url"), "url"), s(F.when(ID % 3 == 1, F.col("title")), "title"), s(html, "content"), s(F.lit("said"), "excerpt"), s(F.struct(s(F.concat(F.lit("why "), "source_id"), "title"), s(ID + 7, "id")), "question"), s(F.struct(s(F.col("author"), "name")), "author"), s(F.unix_seconds("published_at"), "created_time"), s(F.unix_seconds("published_at"), "updated_time"), s(F.unix_seconds("published_at"), "created"), s(F.unix_seconds("published_at"), "updated"))
+    content = F.struct(s(kind, "type"), s(_id(), "id"), s(F.col("canonical_url"), "url"), s(F.when(_id() % 3 == 1, F.col("title")), "title"), s(html, "content"), s(F.lit("said"), "excerpt"), s(F.struct(s(F.concat(F.lit("why "), "source_id"), "title"), s(_id() + 7, "id")), "question"), s(F.struct(s(F.col("author"), "name")), "author"), s(F.unix_seconds("published_at"), "created_time"), s(F.unix_seconds("published_at"), "updated_time"), s(F.unix_seconds("published_at"), "created"), s(F.unix_seconds("published_at"), "updated"))
     entry = F.struct(s(hashes.iso_utc(F.col("published_at")), "created"), s(content, "content"))
     got = pages.zhihu_items(_pages(c, entry, lambda a: F.struct(s(a, "data"), s(F.struct(s(F.lit(False), "is_end")), "paging"))))
     fav = got.select("is_end", F.explode("favorites").alias("f")).select("is_end", "f.*", F.array(F.lit("c")).alias("collections"))
@@ -88,7 +91,7 @@ def page_codes(spark, sf):
 def id_collisions(spark, sf):
     """Ids that differ only in case, two documents to an id."""
     d = table(spark, sf, "documents").where("source is not null")
-    names = F.concat(F.when(ID % 4 == 3, F.lit("Item-")).otherwise("item-"), F.floor(ID / 2).cast("string"))
+    names = F.concat(F.when(_id() % 4 == 3, F.lit("Item-")).otherwise("item-"), F.floor(_id() / 2).cast("string"))
     return library.id_collisions(d.select(names.alias("id")), "id")
 
 
@@ -98,7 +101,7 @@ def unchanged_snapshots(spark, sf):
     asset = F.array(F.struct(F.lit("ocr/1.md").alias("relative_path"), F.sha2("title", 256).alias("sha256")))
     side = lambda text, folders, version: F.struct(F.sha2(text, 256).alias("content_hash"), folders.alias("collections"), version.alias("extractor_version"), asset.alias("assets"))
     old = side(F.col("body"), F.array(F.lit("a"), F.lit("b")), F.lit("v1")).alias("old")
-    new = side(F.when(ID % 3 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")), F.when(ID % 5 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("b"), F.lit("a"), F.lit("b"))), F.when(ID % 7 == 0, "v2").otherwise("v1")).alias("new")
+    new = side(F.when(_id() % 3 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")), F.when(_id() % 5 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("b"), F.lit("a"), F.lit("b"))), F.when(_id() % 7 == 0, "v2").otherwise("v1")).alias("new")
     return c.select("doc_id", old, new).select("doc_id", mapping.unchanged().alias("unchanged"))
 
 
@@ -107,16 +110,16 @@ def request_errors(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
     ids = lambda n: F.transform(F.sequence(F.lit(1), n), lambda x: x.cast("string"))
     some = F.array(F.lit("1"), F.lit("2"))
-    scan = d.select("doc_id", F.when(ID % 2 == 0, "zhihu").otherwise("x").alias("platform"), F.when(ID % 5 == 0, ids(F.lit(51))).when(ID % 5 == 1, F.array(F.lit("1"), F.lit("1"))).otherwise(some).alias("items"), F.create_map(F.lit("s"), F.when(ID % 7 == 0, ids(F.lit(201))).otherwise(some)).alias("scopes"), F.when(ID % 11 == 0, ids(F.lit(101))).otherwise(some).alias("frontier"))
-    job = d.select("doc_id", F.when(ID % 3 == 0, F.array().cast("array<string>")).when(ID % 3 == 1, F.array(F.lit("x"), F.lit("x"))).otherwise(F.array(F.lit("x"))).alias("platforms"), F.when(ID % 5 == 0, "some").otherwise("full").alias("mode"), F.timestamp_seconds(ID % 4).alias("since"), F.timestamp_seconds(F.lit(2)).alias("until"), (ID % 6).alias("cap"), F.lit(None).cast("array<string>").alias("scopes"))
-    enriched = d.select("doc_id", F.when(ID % 4 == 0, " ").otherwise("s").alias("summary"), F.when(ID % 5 == 0, F.array(F.lit("A"), F.lit("a"))).otherwise(F.array(F.lit("a"))).alias("tags"), F.when(ID % 6 == 0, "other").otherwise("text").alias("content_type"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.lit("h").alias("input_hash"), F.when(ID % 7 == 0, "2024-01-01T00:00:00").otherwise("2024-01-01T00:00:00Z").alias("generated_at"))
-    one = F.struct(F.when(ID % 2 == 0, "ocr/1.md").when(ID % 3 == 0, "../x.md").otherwise("other/1.md").alias("relative_path"), F.lit("text/plain").alias("media_type"), F.lit("x").alias("text"), F.sha2(F.when(ID % 5 == 0, "y").otherwise("x"), 256).alias("sha256"))
+    scan = d.select("doc_id", F.when(_id() % 2 == 0, "zhihu").otherwise("x").alias("platform"), F.when(_id() % 5 == 0, ids(F.lit(51))).when(_id() % 5 == 1, F.array(F.lit("1"), F.lit("1"))).otherwise(some).alias("items"), F.create_map(F.lit("s"), F.when(_id() % 7 == 0, ids(F.lit(201))).otherwise(some)).alias("scopes"), F.when(_id() % 11 == 0, ids(F.lit(101))).otherwise(some).alias("frontier"))
+    job = d.select("doc_id", F.when(_id() % 3 == 0, F.array().cast("array<string>")).when(_id() % 3 == 1, F.array(F.lit("x"), F.lit("x"))).otherwise(F.array(F.lit("x"))).alias("platforms"), F.when(_id() % 5 == 0, "some").otherwise("full").alias("mode"), F.timestamp_seconds(_id() % 4).alias("since"), F.timestamp_seconds(F.lit(2)).alias("until"), (_id() % 6).alias("cap"), F.lit(None).cast("array<string>").alias("scopes"))
+    enriched = d.select("doc_id", F.when(_id() % 4 == 0, " ").otherwise("s").alias("summary"), F.when(_id() % 5 == 0, F.array(F.lit("A"), F.lit("a"))).otherwise(F.array(F.lit("a"))).alias("tags"), F.when(_id() % 6 == 0, "other").otherwise("text").alias("content_type"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.lit("h").alias("input_hash"), F.when(_id() % 7 == 0, "2024-01-01T00:00:00").otherwise("2024-01-01T00:00:00Z").alias("generated_at"))
+    one = F.struct(F.when(_id() % 2 == 0, "ocr/1.md").when(_id() % 3 == 0, "../x.md").otherwise("other/1.md").alias("relative_path"), F.lit("text/plain").alias("media_type"), F.lit("x").alias("text"), F.sha2(F.when(_id() % 5 == 0, "y").otherwise("x"), 256).alias("sha256"))
     asset = d.select("doc_id", validate.asset_errors(one).alias("errors"))
     text = lambda df, n: df.select("doc_id", F.array_join("errors", "|").alias(n))
     out = text(validate.scan_limits(scan), "scan")
     for df, n in ((validate.jobs(job), "job"), (validate.enrichments(enriched), "enrichment"), (asset, "asset")):
         out = out.join(text(df, n), "doc_id")
-    keys = F.format_string('{"title": 1, "%s": 2}', F.when(ID % 2 == 0, "body").otherwise("other"))
+    keys = F.format_string('{"title": 1, "%s": 2}', F.when(_id() % 2 == 0, "body").otherwise("other"))
     return out.join(d.select("doc_id", F.array_join(validate.unknown_keys(keys, ["title", "body"]), "|").alias("unknown")), "doc_id")
 
 
@@ -125,8 +128,8 @@ def field_rules(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"))
     mixed = F.translate("text", "en", "检索")
     return d.select(
-        "doc_id", fields.clock(ID * 37).alias("clock"), fields.duration(ID * 37).alias("duration"), fields.language(F.concat(F.lit("!zh_"), "source", F.lit("."))).alias("language"), fields.component(F.concat(F.lit(".a b/"), "source")).alias("component"),
-        F.round(fields.cjk_share(mixed), 9).alias("cjk"), F.octet_length(fields.utf8_head(mixed, 100)).cast("long").alias("head"), fields.safe_id(F.when(ID % 3 == 0, F.lit("con.md")).when(ID % 3 == 1, F.lit("a.md")).otherwise(F.lit("a."))).alias("safe"),
+        "doc_id", fields.clock(_id() * 37).alias("clock"), fields.duration(_id() * 37).alias("duration"), fields.language(F.concat(F.lit("!zh_"), "source", F.lit("."))).alias("language"), fields.component(F.concat(F.lit(".a b/"), "source")).alias("component"),
+        F.round(fields.cjk_share(mixed), 9).alias("cjk"), F.octet_length(fields.utf8_head(mixed, 100)).cast("long").alias("head"), fields.safe_id(F.when(_id() % 3 == 0, F.lit("con.md")).when(_id() % 3 == 1, F.lit("a.md")).otherwise(F.lit("a."))).alias("safe"),
         readable(F.col("text")).alias("readable"), F.array_join(fields.tags(F.split("source", "[^A-Za-z]+")), "|").alias("tags"),
     )
 

@@ -9,17 +9,20 @@ from larder.plans.capture import captured
 from larder.plans.shared import events
 from larder.sources.binding import items, table
 
-ID = F.col("doc_id")
 CAP = 40
 
 
+def _id():
+    return F.col("doc_id")
+
+
 def _pick(n, *names):
-    return F.element_at(F.array(*map(F.lit, names)), (ID % n + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, names)), (_id() % n + 1).cast("int"))
 
 
 def capped_batches(spark, sf):
     """All items in batches of up to five, a cap of forty a platform, and items before a date out of range; batch 10 comes after batch 9."""
-    c = captured(spark, sf).withColumn("job_id", F.lit("j")).withColumn("key", F.floor(ID / 20).cast("string"))
+    c = captured(spark, sf).withColumn("job_id", F.lit("j")).withColumn("key", F.floor(_id() / 20).cast("string"))
     w = Window.partitionBy("platform", "key").orderBy("doc_id")
     rows = c.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).withColumn("source_status", F.lit("available")).withColumn("favorited_at", F.lit(None).cast("timestamp"))
     runs = spark.createDataFrame([("j", p, "running", "full", 0, CAP) for p in fields.PLATFORMS], "job_id string, platform string, status string, mode string, scanned long, cap long")
@@ -31,11 +34,11 @@ def capped_batches(spark, sf):
 
 def _library(spark, sf):
     it = items(spark, sf).select("doc_id", "platform", "source_id", "access_status", F.sha2(F.coalesce("body", F.lit("")), 256).alias("index_hash"))
-    held = F.when(ID % 6 == 0, F.lit("old")).otherwise(F.col("index_hash"))
+    held = F.when(_id() % 6 == 0, F.lit("old")).otherwise(F.col("index_hash"))
     chunks = it.select("platform", "source_id", "doc_id", F.col("source_id").alias("chunk_id"), F.lit(0).alias("ordinal"), held.alias("input_hash"))
-    index = it.select("platform", "source_id", F.lit("index_content").alias("kind"), F.col("index_hash").alias("input_hash"), F.when(ID % 7 == 0, "running").otherwise("completed").alias("status"))
-    task = hashes.tagged_hash("embed-v1", F.when(ID % 5 == 0, "other").otherwise("p"), F.col("index_hash"))
-    embed = it.select("platform", "source_id", F.lit("embed").alias("kind"), task.alias("input_hash"), F.when(ID % 11 == 0, "failed").otherwise("completed").alias("status"))
+    index = it.select("platform", "source_id", F.lit("index_content").alias("kind"), F.col("index_hash").alias("input_hash"), F.when(_id() % 7 == 0, "running").otherwise("completed").alias("status"))
+    task = hashes.tagged_hash("embed-v1", F.when(_id() % 5 == 0, "other").otherwise("p"), F.col("index_hash"))
+    embed = it.select("platform", "source_id", F.lit("embed").alias("kind"), task.alias("input_hash"), F.when(_id() % 11 == 0, "failed").otherwise("completed").alias("status"))
     return it, chunks, index.union(embed)
 
 
@@ -63,25 +66,25 @@ def embedding_state(spark, sf):
 def segment_differences(spark, sf):
     """Windows that a text should have against those that are stored: some missing, some of an older text."""
     n = F.length(F.coalesce("text", F.lit("")))
-    d = table(spark, sf, "documents").select(ID.cast("string").alias("chunk_id"), F.explode(F.sequence(F.lit(0), F.floor(n / 1000).cast("int"))).alias("i"), ID.alias("doc_id"))
+    d = table(spark, sf, "documents").select(_id().cast("string").alias("chunk_id"), F.explode(F.sequence(F.lit(0), F.floor(n / 1000).cast("int"))).alias("i"), _id().alias("doc_id"))
     seg = d.select("doc_id", "chunk_id", "i", (F.col("i") * 1000).alias("begin"), (F.col("i") * 1000 + 1000).alias("finish"))
-    stored = seg.where("(doc_id + i) % 9 <> 0").withColumn("finish", F.when((ID + F.col("i")) % 10 == 0, F.col("finish") + 1).otherwise(F.col("finish")))
+    stored = seg.where("(doc_id + i) % 9 <> 0").withColumn("finish", F.when((_id() + F.col("i")) % 10 == 0, F.col("finish") + 1).otherwise(F.col("finish")))
     return maintenance.segment_faults(seg, stored).select("chunk_id", F.col("begin").cast("long").alias("begin"), F.col("finish").cast("long").alias("finish"), "fault")
 
 
 def scope_changes(spark, sf):
     """Folders declared again by a run: kept, renamed, dropped, added, or late."""
-    d = table(spark, sf, "documents").select(F.lit("j").alias("job_id"), _pick(4, "bilibili", "github", "x", "zhihu").alias("platform"), ID.cast("string").alias("scope_id"), ID.alias("doc_id"))
+    d = table(spark, sf, "documents").select(F.lit("j").alias("job_id"), _pick(4, "bilibili", "github", "x", "zhihu").alias("platform"), _id().cast("string").alias("scope_id"), _id().alias("doc_id"))
     known = d.where("doc_id % 5 <> 0").withColumn("name", F.lit("n"))
-    told = d.where("doc_id % 7 <> 0").withColumn("name", F.when(ID % 3 == 0, "m").otherwise("n"))
+    told = d.where("doc_id % 7 <> 0").withColumn("name", F.when(_id() % 3 == 0, "m").otherwise("n"))
     scanned = spark.createDataFrame([("j", "x", 3), ("j", "zhihu", 0)], "job_id string, platform string, scanned long")
     return ingest.register_scopes(known, told, scanned).select("platform", "scope_id", "change")
 
 
 def scope_finish(spark, sf):
     """Folders of a finished run: those reported advance their frontier, the rest are partial."""
-    d = table(spark, sf, "documents").select(F.lit("j").alias("job_id"), F.lit("zhihu").alias("platform"), ID.cast("string").alias("scope_id"), ID.alias("doc_id"))
-    runs = d.select("job_id", "platform", "scope_id", F.when(ID % 9 == 0, "failed").otherwise("running").alias("status"), F.when(ID % 2 == 0, "full").otherwise("incremental").alias("mode"))
+    d = table(spark, sf, "documents").select(F.lit("j").alias("job_id"), F.lit("zhihu").alias("platform"), _id().cast("string").alias("scope_id"), _id().alias("doc_id"))
+    runs = d.select("job_id", "platform", "scope_id", F.when(_id() % 9 == 0, "failed").otherwise("running").alias("status"), F.when(_id() % 2 == 0, "full").otherwise("incremental").alias("mode"))
     ids = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b)), lambda x: F.concat("scope_id", F.lit("-"), x.cast("string")))
     told = d.where("doc_id % 4 <> 0").withColumn("ids", ids(1, 15))
     old = d.where("doc_id % 3 <> 0").select("platform", "scope_id", ids(11, 30).alias("ids"))
@@ -109,7 +112,7 @@ def run_transitions(spark, sf):
 def enqueued(spark, sf):
     """Tasks that are new when every item is wanted and most have one."""
     it = items(spark, sf).select("platform", "source_id", "doc_id", F.lit("summarize").alias("kind"), F.sha2(F.coalesce("body", F.lit("")), 256).alias("input_hash"), F.col("published").alias("created"))
-    have = it.where("doc_id % 4 <> 0").withColumn("input_hash", F.when(ID % 10 == 1, "old").otherwise(F.col("input_hash")))
+    have = it.where("doc_id % 4 <> 0").withColumn("input_hash", F.when(_id() % 10 == 1, "old").otherwise(F.col("input_hash")))
     new = maintenance.enqueue(have, it.union(it))
     return new.select("platform", "source_id", "task_id", "status")
 
@@ -117,15 +120,15 @@ def enqueued(spark, sf):
 def superseded(spark, sf):
     """Summary tasks after those of gone or changed items were closed."""
     it = items(spark, sf).select("platform", "source_id", "doc_id", "access_status", F.lit("h").alias("content_hash"))
-    t = it.select("platform", "source_id", F.when(ID % 5 == 0, "index_content").otherwise("summarize").alias("kind"), F.when(ID % 6 == 0, "older").otherwise("h").alias("input_hash"), F.when(ID % 7 == 0, "running").otherwise("pending").alias("status"))
+    t = it.select("platform", "source_id", F.when(_id() % 5 == 0, "index_content").otherwise("summarize").alias("kind"), F.when(_id() % 6 == 0, "older").otherwise("h").alias("input_hash"), F.when(_id() % 7 == 0, "running").otherwise("pending").alias("status"))
     return maintenance.supersede(t, it).select("platform", "source_id", "kind", "status")
 
 
 def enrichment_results(spark, sf):
     """Summaries handed in, as applied or stale, and the tasks of one model to make again."""
     it = items(spark, sf).select("platform", "source_id", "doc_id", F.sha2(F.coalesce("body", F.lit("")), 256).alias("content_hash"))
-    given = it.select("platform", "source_id", F.when(ID % 8 == 0, "older").otherwise(F.col("content_hash")).alias("input_hash"))
-    tasks = it.select("platform", "source_id", F.lit("summarize").alias("kind"), F.when(ID % 3 == 0, "declined").otherwise("completed").alias("status"))
+    given = it.select("platform", "source_id", F.when(_id() % 8 == 0, "older").otherwise(F.col("content_hash")).alias("input_hash"))
+    tasks = it.select("platform", "source_id", F.lit("summarize").alias("kind"), F.when(_id() % 3 == 0, "declined").otherwise("completed").alias("status"))
     model = it.select("platform", "source_id", _pick(2, "a", "b").alias("model"))
     again = maintenance.redo(tasks, model, "a").union(maintenance.redo(tasks, model, declined=True)).select("platform", "source_id", F.lit(True).alias("again"))
     return maintenance.apply_enrichment(given, it).join(again, ["platform", "source_id"], "left").select("platform", "source_id", "result", F.coalesce("again", F.lit(False)).alias("again"))
@@ -135,7 +138,7 @@ def transcripts_kept(spark, sf):
     """Captures, without those that would lose a transcript to a refusal."""
     it = items(spark, sf).select("platform", "source_id", "doc_id")
     seen = it.select("platform", "source_id", _pick(3, "wrong_video", "available", "unavailable").alias("subtitle_status"))
-    return ingest.keep_transcripts(seen, it.select("platform", "source_id", (ID % 2 == 0).alias("has_transcript"))).select("platform", "source_id", "subtitle_status")
+    return ingest.keep_transcripts(seen, it.select("platform", "source_id", (_id() % 2 == 0).alias("has_transcript"))).select("platform", "source_id", "subtitle_status")
 
 
 def folded_observations(spark, sf):
@@ -152,8 +155,8 @@ def answer_set(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", "source", "quality", "toxic").distinct()
     parts = []
     for toxic in (0, 1):
-        marks = F.create_map(*[x for k, name in enumerate(DIMENSIONS[: 6 - toxic]) for x in (F.lit(name), (F.lit(3.0) + (ID + k) % 3).cast("double"))])
-        scores = d.where(F.col("toxic") == toxic).select(F.col("doc_id").alias("question"), marks.alias("dimensions"), (ID % 20 + 19).alias("covered"), (ID % 20 + 20).alias("claims"), (F.lit(toxic) == 1).alias("hard_failure"))
+        marks = F.create_map(*[x for k, name in enumerate(DIMENSIONS[: 6 - toxic]) for x in (F.lit(name), (F.lit(3.0) + (_id() + k) % 3).cast("double"))])
+        scores = d.where(F.col("toxic") == toxic).select(F.col("doc_id").alias("question"), marks.alias("dimensions"), (_id() % 20 + 19).alias("covered"), (_id() % 20 + 20).alias("claims"), (F.lit(toxic) == 1).alias("hard_failure"))
         parts.append(maintenance.rubric(scores).withColumn("set", F.lit(toxic)))
     r = parts[0].unionByName(parts[1])
     return r.select("set", F.round("lowest", 6).alias("lowest"), "dimensions", F.round("coverage", 6).alias("coverage"), "hard_failures", "passed")
