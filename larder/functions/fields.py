@@ -1,5 +1,7 @@
 """Checks and renderings of single fields, as expressions."""
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,18 @@ MAX_ASSET = 2 * 1024 * 1024
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+# Letters whose folded form is another than their lower case, by the rule of Unicode, and the sigmas, whose lower case depends on what follows.
+_FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x1E944)) if c.casefold() != c.lower() and unicodedata.category(c) != "Cs"} | {"Σ": "σ", "ς": "σ"}
+
+
+def casefold(s: Column) -> Column:
+    """Text folded for comparison without case: lower case, but ß as ss, all sigmas alike and ligatures spelt out."""
+    special = "[" + "".join(_FOLDS) + "]"
+    table = F.create_map(*[F.lit(x) for kv in _FOLDS.items() for x in kv])
+    folded = F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c))), "")
+    return F.when(s.rlike(special), folded).otherwise(F.lower(s))
+
+
 def strip(s: Column) -> Column:
     return F.trim(s, F.lit(BLANKS))
 
@@ -73,9 +87,9 @@ def duration(seconds: Column) -> Column:
     return F.when(t < 60, F.format_string("%ds", t)).when(t < 3600, F.format_string("%dm%02ds", F.floor(t / 60), t % 60)).otherwise(F.format_string("%dh%02dm", F.floor(t / 3600), F.floor(t / 60) % 60))
 
 
-def tags(raw: Column, most: int = 8) -> Column:
-    """Tags stripped, folded and distinct in order, the first ``most``."""
-    return F.slice(F.array_distinct(F.filter(F.transform(raw, lambda t: F.lower(strip(t))), lambda t: t != "")), 1, most)
+def tags(raw: Column, most: int = 8, fold=casefold) -> Column:
+    """Tags stripped, folded (``fold``) and distinct in order, the first ``most``."""
+    return F.slice(F.array_distinct(F.filter(F.transform(raw, lambda t: fold(strip(t))), lambda t: t != "")), 1, most)
 
 
 def cjk_share(s: Column) -> Column:
@@ -84,6 +98,19 @@ def cjk_share(s: Column) -> Column:
     return F.when(seen > 0, F.regexp_count(s, F.lit(r"[぀-ヿㇰ-ㇿ㐀-䶿一-鿿가-힯豈-﫿]")) / seen).otherwise(0.0)
 
 
+def summary_fault(body: Column, summary: Column) -> Column:
+    """Why a summary is refused: unreadable (fewer than four characters of the body besides addresses and its media section), or not_shorter (than a body of 200 or more); null if it is not."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(body, F.lit("")), r"(?ms)^##\s*(媒体|图片).*", ""), r"https?://\S+", "")
+    size = F.length(F.coalesce(body, F.lit("")))
+    return F.when(F.length(strip(bare)) < 4, "unreadable").when((size >= 200) & (F.length(summary) >= size), "not_shorter")
+
+
+def tags_fault(body: Column, tags_: Column) -> Column:
+    """``no_cjk`` where at least half of a body is CJK and no tag has such a character; else null."""
+    some = F.exists(tags_, lambda t: t.rlike(r"[぀-ヿㇰ-ㇿ㐀-䶿一-鿿가-힯]"))
+    return F.when((cjk_share(F.coalesce(body, F.lit(""))) >= 0.5) & ~F.coalesce(some, F.lit(False)), "no_cjk")
+
+
 def utf8_head(s: Column, most: int) -> Column:
     """The longest start of a text that takes at most ``most`` bytes in UTF-8."""
     raw = F.encode(s, "UTF-8")

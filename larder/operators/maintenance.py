@@ -104,6 +104,17 @@ def segment_faults(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return expected.select(*keys).join(actual.select(*keys), keys, "left_anti").withColumn("fault", F.lit("missing")).union(actual.select(*keys).join(expected.select(*keys), keys, "left_anti").withColumn("fault", F.lit("extra")))
 
 
+def reconcile(tasks: DataFrame, faults: DataFrame, segments: DataFrame, force: bool = False) -> DataFrame:
+    """Embedding tasks after a check: a completed one of an item with a fault (``segment_faults``) waits again, with ``force`` all completed ones; others stay.
+
+    ``segments`` (chunk_id, platform, source_id) says whose a chunk is. A task that runs is left to its run.
+    """
+    bad = faults.select("chunk_id").distinct().join(segments.select("chunk_id", *ITEM).distinct(), "chunk_id").select(*ITEM, F.lit(True).alias("_bad")).distinct()
+    t = tasks.join(bad, ITEM, "left")
+    again = (F.col("kind") == "embed") & (F.col("status") == "completed") & (F.lit(force) | F.coalesce("_bad", F.lit(False)))
+    return t.withColumn("status", F.when(again, "pending").otherwise(F.col("status"))).select(*tasks.columns)
+
+
 def valid_vectors(vectors: DataFrame, dims: int) -> DataFrame:
     """``valid``: finite, of ``dims`` numbers and unit length (within 1e-5 of it, or 1e-6)."""
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

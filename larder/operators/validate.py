@@ -47,7 +47,7 @@ def enrichments(df: DataFrame) -> DataFrame:
     stamp = F.col("generated_at")
     rules = {
         "summary": ~f.blank(F.col("summary")) & (F.length("summary") <= 2000), "tag_count": F.size("tags").between(1, 8),
-        "tags": F.forall("tags", lambda t: ~f.blank(t) & (F.length(t) <= 40)), "tags_unique": _unique(F.transform("tags", F.lower)),
+        "tags": F.forall("tags", lambda t: ~f.blank(t) & (F.length(t) <= 40)), "tags_unique": _unique(F.transform("tags", f.casefold)),
         "content_type": F.col("content_type").isin("text", "video", "image", "mixed"), "provider": name("provider"), "model": name("model"), "input_hash": name("input_hash"),
         "generated_at": F.try_to_timestamp(stamp).isNotNull() & stamp.rlike(r"(Z|[+-]\d\d:?\d\d)$"),
     }

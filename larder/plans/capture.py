@@ -164,7 +164,7 @@ def task_settle(spark, sf):
 
 def tag_rule(spark, sf):
     raw = F.slice(F.split(F.substring(F.coalesce("text", F.lit("")), 1, 120), " "), 1, 12)
-    return table(spark, sf, "documents").select("doc_id", F.array_join(fields.tags(raw), "|").alias("tags"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(fields.tags(raw, fold=F.lower), "|").alias("tags"))
 
 
 def clock_ms(spark, sf):

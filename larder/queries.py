@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import cjk_bigrams
 from larder.operators import library, search, sync
-from larder.plans import capture, checks, retrieval, state, stored, streams, upkeep
+from larder.plans import capture, checks, imports, retrieval, state, stored, streams, upkeep
 from larder.plans.shared import events, fused, lexical, semantic
 from larder.sources.binding import item_collections, items, table
 
@@ -171,3 +171,5 @@ QUERIES |= upkeep.QUERIES
 SQL |= upkeep.sql(_ITEMS)
 QUERIES |= checks.QUERIES
 SQL |= checks.sql(_ITEMS, _BM25, _lex)
+QUERIES |= imports.QUERIES
+SQL |= imports.sql(_ITEMS, SQL["item_markdown"])

@@ -65,3 +65,41 @@ def test_newest_first(spark):
     texts = ["2024-01-01T00:00:00Z", "2024-01-01T00:00:00.1Z", "soon", "2024-01-01T01:00:00+02:00", "later", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string").orderBy(*request.newest_first(F.col("t")))
     assert [r[0] for r in df.collect()] == ["2024-01-01T00:00:00.1Z", "2024-01-01T00:00:00Z", "2024-01-01T01:00:00+02:00", "soon", "later", None]
+
+
+def test_folds_rules_and_evidence(spark):
+    from larder.functions import fields
+    from larder.operators import library
+
+    one = lambda c: spark.range(1).select(c.alias("c")).first()[0]
+    for text in ("Straße", "ΣΊΣΥΦΟΣ σίσυφος", "ﬁle ſ K İ ŉ", "plain ÄÖ", "", "ẞ"):
+        assert one(fields.casefold(F.lit(text))) == text.casefold(), text
+    body = "word " * 50
+    faults = [one(fields.summary_fault(F.lit(b), F.lit(s))) for b, s in ((body, "s"), (body, body), ("short", "a longer one"), ("https://e.org/a", "s"), ("https://e.org/a\n## 媒体\n- long enough list", "s"), (None, "s"), ("abcd", "s"))]
+    assert faults == [None, "not_shorter", None, "unreadable", "unreadable", "unreadable", None]
+    tags = [one(fields.tags_fault(F.lit(b), F.array(F.lit(t)))) for b, t in (("检索 a", "jian"), ("检索 a", "检"), ("检 abc", "x"), ("", "x"))]
+    assert tags == ["no_cjk", None, None, None]
+    ev = [tuple(one(library.evidence_of(F.lit(b), F.array(*map(F.lit, p)).cast("array<string>")))) for b, p in ((" ", []), ("b", []), ("b", ["ocr/1.md"]), (None, ["transcript/a.md"]), ("b", ["ocr/../x.md", "assets/a.md", "/ocr/x"]))]
+    assert ev == [("title_only", [], 0.75), ("body", ["body"], 0.95), ("mixed", ["body", "ocr"], 1.0), ("transcript", ["transcript"], 1.0), ("body", ["body"], 0.95)]
+
+
+def test_import_replays_and_cuts(spark):
+    from larder.operators import drivers, ingest
+    from larder.streaming import ingest as stream
+
+    names = [c for c in stream.ROWS.replace("\n", " ").split(", ") if not c.strip().startswith(("job_id", "key", "pos "))]
+    row = lambda p, seq, sid, body="b": (p, sid, "u", "t", None, T, T, body, ["f"], "v", "available", None, seq)
+    rows = spark.createDataFrame([row("x", i, f"i{i}") for i in range(45)] + [row("zhihu", i, f"z{i}") for i in range(5)], ", ".join(names) + ", seq long")
+    old = spark.createDataFrame([("zhihu", ["z3", "older"])], "platform string, ids array<string>")
+    none, empty = spark.createDataFrame([], stream.RECEIPT), spark.createDataFrame([], stream.STATE)
+    out = drivers.import_scan(rows, old, empty, none, "j", span=10)
+    assert {(r["platform"], r["key"]): r["scanned"] for r in out["receipts"].collect()} == {("x", "0"): 20, ("x", "1"): 20, ("x", "2"): 5, ("zhihu", "0"): 4}
+    f = {r["platform"]: r["ids"] for r in out["frontiers"].collect()}
+    assert f == {"x": [f"i{i}" for i in range(20)], "zhihu": ["z0", "z1", "z2", "z3", "older"]}
+    again = drivers.import_scan(rows, old, ingest.upsert(empty, out["items"]), out["receipts"], "j", span=10)
+    assert {r["verdict"] for r in again["verdicts"].collect()} == {"replay"} and again["items"].count() == 0
+    capped = drivers.import_scan(rows, old, empty, none, "k", cap=25)
+    assert {r["platform"]: r["status"] for r in capped["runs"].collect()} == {"x": "partial", "zhihu": "completed"}
+    assert {r["platform"] for r in capped["frontiers"].collect()} == {"zhihu"}
+    failed = drivers.fail_open(spark.createDataFrame([("j", "running"), ("k", "partial")], "job_id string, status string"), "lost")
+    assert sorted(map(tuple, failed.collect())) == [("j", "failed", "lost"), ("k", "partial", None)]
