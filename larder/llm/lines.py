@@ -11,7 +11,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _key(line: Column) -> Column:
-    return F.trim(lower_ascii(line), F.lit(BLANKS))
+    # In a line of ASCII alone ``lower`` changes A-Z and nothing else, in a fraction of the time of ``translate``.
+    low = F.when(F.octet_length(line) == F.length(line), F.lower(line)).otherwise(lower_ascii(line))
+    return F.trim(low, F.lit(BLANKS))
 
 
 def _hash(line: Column) -> Column:

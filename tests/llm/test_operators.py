@@ -362,7 +362,8 @@ def test_toxicity_learns(spark):
     assert toxicity.fit(d, labels.where("toxic = 0")).scores(["x"]).tolist() == [0.0]
 
 
-@pytest.mark.parametrize("op", sorted(k for k in entry.queries() if k.startswith("op")))
+# op13 reads another table; tests/llm/test_round3.py has its odd rows and empty table.
+@pytest.mark.parametrize("op", sorted(k for k in entry.queries() if k.startswith("op") and not k.startswith("op13_")))
 def test_empty_table(spark, sf, op, tmp_path):
     for t in ("documents", "labels", "benchmark", "embeddings"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
@@ -387,7 +388,7 @@ def odd(spark, docs, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("op", sorted(k for k in entry.queries() if k.startswith("op") and k != "op4_exact_top_k"))
+@pytest.mark.parametrize("op", sorted(k for k in entry.queries() if k.startswith("op") and k != "op4_exact_top_k" and not k.startswith("op13_")))
 def test_odd_rows(spark, odd, op):
     """One row out for each row in, null and repeated ids included."""
     got = [r.doc_id for r in entry.queries()[op](spark, odd).collect()]
