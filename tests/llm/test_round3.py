@@ -277,3 +277,115 @@ for name, query in queries.QUERIES.items():
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+# --- op2, op3 and op5 against plain versions of the whole query
+
+
+def test_toxicity_query_against_plain_kernels(spark, tmp_path):
+    """Scores of the query from its model's landmarks and weights, with every subsequence listed one by one."""
+    import math
+    from collections import Counter
+
+    from larder.llm import toxicity
+    from larder.llm.common import fold
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("aeiourstnlmk", k=rng.randint(3, 7))) for _ in range(120)]
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    data = [(i, f"{text(6)} {['idiot', 'scum', 'clown'][i % 3]} {text(4)}" if i % 2 else text(10)) for i in range(200)] + [(200, None), (201, ""), (202, "you i d i o t"), (203, "a b"), (None, text(5))]
+    path = write(spark, tmp_path, "documents", data, "doc_id long, text string")
+    write(spark, tmp_path, "labels", [(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    held = fold(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs.where(~held), labels.where(~held).select("doc_id", "toxic"))
+
+    def vector(word):
+        v = Counter()
+        for i in itertools.combinations(range(len(word)), 3):
+            if i[2] - i[0] < toxicity.SPAN:
+                v[bytes(word[j] for j in i)] += toxicity.DECAY ** (i[2] - i[0] - 2)
+        return v
+
+    def cosine(a, b):
+        return sum(a[k] * b[k] for k in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+    marks = [vector(n) for n in model.landmarks.names]
+    expected = {}
+    for doc_id, t in data:
+        words = [vector(w) for w in toxicity.pieces(t)]
+        pooled = [max((cosine(w, m) for w in words), default=0.0) ** toxicity.DEGREE for m in marks]
+        mapped = [sum(p * model.landmarks.map[i][j] for i, p in enumerate(pooled)) for j in range(len(marks))] + [1.0]
+        margin = sum(a * b for a, b in zip(mapped, model.weights))
+        expected[doc_id] = 1 / (1 + math.exp(-(model.slope * margin + model.offset)))
+    got = toxicity.op2_toxicity(spark, path).collect()
+    assert len(got) == len(data)
+    for r in got:
+        assert math.isclose(r["score"], expected[r["doc_id"]], abs_tol=1e-4) and r["predicted"] == (r["score"] >= 0.3)
+        assert r["held_out"] == (zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_language_query_against_plain_vectors(spark, tmp_path):
+    """Predictions of the query from its model's centroids, with n-grams, document frequencies and cosines counted one by one."""
+    import math
+    from collections import Counter
+
+    from larder.llm import language
+
+    rng = random.Random(9)
+    words = {"en": "the of and to in that is was for with".split(), "fr": "le de un être et à il avoir ne je".split(), "de": "der die und in den von zu das mit sich".split()}
+    data = [(i, " ".join(rng.choices(words[x], k=rng.randint(3, 30))), x) for i, x in enumerate(rng.choices(sorted(words), k=240))]
+    data += [(240, None, "en"), (241, "", None), (242, "123 !?", "fr"), (243, "検索 検索", None), (None, "the of and", None)]
+    path = write(spark, tmp_path, "documents", data, "doc_id long, text string, lang string")
+
+    def grams(text):
+        letters = [ord(c) if "a" <= c <= "z" or ord(c) >= 192 else 32 for c in (text or "").lower()]
+        letters = [c for i, c in enumerate(letters) if c != 32 or i == 0 or letters[i - 1] != 32]
+        out = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(letters) - n + 1):
+                h = 0
+                for k, c in enumerate(letters[i : i + n], 1):
+                    h = (h * 0x100000001B3 + c + k) % 2**64
+                out[(h * 0x9E3779B97F4A7C15) % 2**64 >> 52] += 1
+        return out
+
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 3 == 1
+    train = [(t, x) for i, t, x in data if not held(i) and x is not None]
+    df = Counter(g for t, _ in train for g in grams(t))
+    idf = {g: math.log((1 + len(train)) / (1 + df[g])) + 0.1 for g in range(language.DIM)}
+    model = language.fit(spark.createDataFrame(train, "text string, lang string"))
+    assert max(abs(model.idf[g] - idf[g]) for g in idf) < 1e-5 and set(model.langs) == set(words) and all(model.langs.count(x) <= 4 for x in words)
+    expected = {}
+    for i, t, _ in data:
+        if not any(c.isalpha() for c in t or ""):
+            expected[i] = ("und", 0.0)
+            continue
+        v = {g: math.log1p(n) * idf[g] for g, n in grams(t).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        near = [sum(x * float(c[g]) for g, x in v.items()) / norm for c in model.centroids]
+        best = max(range(len(near)), key=lambda k: near[k])
+        expected[i] = (model.langs[best], min(1.0, max(0.0, near[best])))
+    got = language.op3_language_id(spark, path).collect()
+    assert len(got) == len(data)
+    for r in got:
+        lang, score = expected[r["doc_id"]]
+        assert r["lang_pred"] == lang and math.isclose(r["score"], score, abs_tol=1e-4) and r["held_out"] == held(r["doc_id"])
+        assert r["rejected"] == (score < 0.2)
+
+
+def test_masks_find_substituted_passages(spark):
+    """Recall of the seeds against the stated overlap alone: passages of twelve words and more with one word in ten replaced."""
+    from larder.llm import decontam
+
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    bench = [(i, [word() for _ in range(rng.randint(15, 60))]) for i in range(200)]
+    rows = []
+    for i, w in bench:
+        changed = [word() if k % 10 == i % 10 else x for k, x in enumerate(w)]
+        rows.append((i, " ".join([word() for _ in range(20)] + changed + [word() for _ in range(20)])))
+    clean = [(1000 + i, " ".join(word() for _ in range(60))) for i in range(100)]
+    got = decontam.decontaminate(spark.createDataFrame(rows + clean, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in bench], "item_id long, text string"))
+    hit = {r["doc_id"] for r in got.where("bench_items_ > 0").collect()}
+    assert len({i for i in hit if i < 1000}) >= 0.9 * len(bench) and not [i for i in hit if i >= 1000]
