@@ -31,3 +31,10 @@ def test_matches_sql(spark, name):
     for t in ("documents", "labels", "embeddings", "events", "conversations", "pages"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.sql(SQL[name]).df())
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+
+    code = f"import sys; sys.path.insert(0, {str(ROOT)!r}); import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 100"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, timeout=120).returncode == 0
