@@ -59,9 +59,3 @@ def title(text: Column, most: int = 80) -> Column:
 def readable(text: Column) -> Column:
     """Length of the text without links and outer blanks."""
     return F.length(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"https?://[^ \t-\r]+", ""))).cast("long")
-
-
-def clock(seconds: Column) -> Column:
-    """Whole seconds as MM:SS, or HH:MM:SS from an hour on."""
-    h, m, s = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60
-    return F.when(h > 0, F.format_string("%02d:%02d:%02d", h, m, s)).otherwise(F.format_string("%02d:%02d", m, s))

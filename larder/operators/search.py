@@ -172,28 +172,3 @@ def group_hits(fused: DataFrame, evidence: DataFrame, limit: int = 10, supportin
     g = g.withColumn("supporting", F.array_join(F.transform("_rest", lambda s: s["ordinal"].cast("string")), "|"))
     o = Window.partitionBy("query_id").orderBy(F.col("adjusted").desc(), "_best", "platform", "source_id", "ordinal")
     return g.withColumn("rank", F.row_number().over(o)).where(F.col("rank") <= limit).drop("_best", "_rest")
-
-
-def no_result_reason(status: DataFrame, warning: str | None = None) -> DataFrame:
-    """Why a search found nothing: the index, then the embeddings (pending before failed), then a warning, then no match."""
-    has = lambda c: F.col(c) > 0
-    rule = F.when(has("index_pending"), "index_pending").when(has("index_failed"), "index_failed").when(has("embedding_pending"), "embedding_pending").when(has("embedding_failed"), "embedding_failed")
-    return status.select(rule.otherwise(F.coalesce(F.lit(warning), F.lit("no_match"))).alias("reason"))
-
-
-def search(scores: DataFrame, vectors: DataFrame | None, items: DataFrame, query_vectors: DataFrame | None = None, mode: str = "auto", limit: int = 10) -> tuple[DataFrame, str, str | None]:
-    """(fused candidates, mode used, warning). ``fts`` never touches vectors, ``hybrid`` needs them, ``auto`` does without them and warns.
-
-    ``scores`` come from ``index.search`` or ``bm25``. ``items`` has passed the filters (``allowed``), which hold for both arms; scores are made before they apply.
-    """
-    if mode not in ("auto", "fts", "hybrid"):
-        raise ValueError("mode must be auto, fts or hybrid")
-    ready = vectors is not None and query_vectors is not None
-    if mode == "hybrid" and not ready:
-        raise ValueError("hybrid search needs vectors and query vectors")
-    lexical = rank_lexical(scores, items)
-    if mode == "fts" or not ready:
-        none = lexical.select("query_id", "doc_id", "ordinal", "rank", F.lit(None).cast("double").alias("score")).limit(0)
-        return fuse(lexical, none, items, limit), "fts", "no vectors: lexical results only" if mode == "auto" else None
-    near = top(cosine(vectors, query_vectors).join(items.select("doc_id"), "doc_id", "left_semi"), 500).withColumn("ordinal", F.lit(0))
-    return fuse(lexical, near, items, limit), "hybrid", None

@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.text import clock, readable, title, windows
-from larder.operators import library, search, sync
+from larder.functions.fields import clock
+from larder.functions.text import readable, title, windows
+from larder.operators import ingest, library, search, sync
 from larder.plans.shared import events, fused, lexical, semantic
 from larder.sources.binding import item_collections, items, table, tasks
 
@@ -92,8 +93,8 @@ def summarize_backfill(spark, sf):
 
 
 def access_status(spark, sf):
-    known = F.when(F.col("toxic") == 1, "unavailable").when(F.col("quality") == 1, "available")
-    return table(spark, sf, "labels").select("doc_id", known.alias("status"))
+    told = F.when(F.col("toxic") == 1, "source_unavailable").when(F.col("quality") == 1, "available").otherwise("login_required")
+    return table(spark, sf, "labels").select("doc_id", ingest.access_status(told).alias("status"))
 
 
 CHANGES = {"purchase": "added", "signup": "refreshed", "click": "refreshed", "view": "duplicate"}
