@@ -171,14 +171,14 @@ def counters(text: Column) -> Column:
     return F.struct(*[F.when(F.coalesce(c[n], F.lit(0)) < 0, bad).otherwise(F.coalesce(c[n], F.lit(0))).alias(n) for n in names])
 
 
-def rubric(scores: DataFrame) -> DataFrame:
-    """Pass or fail of an answer set: ``dimension`` means (six, at least 3.0 each), covered over claims (micro, at least 0.9; no claims count as all), no hard failure.
+def rubric(scores: DataFrame, dimensions: int | None = None) -> DataFrame:
+    """Pass or fail of an answer set: means of its dimensions (at least 3.0 each, and as many as ``dimensions`` where that is given; six for the whole rubric), covered over claims (micro, at least 0.9; no claims count as all), no hard failure.
 
     Rows: question, dimensions (map from name to score), covered, claims, hard_failure.
     """
     d = scores.select(F.explode("dimensions").alias("name", "score")).groupBy("name").agg(F.avg("score").alias("mean")).agg(F.min("mean").alias("lowest"), F.count("*").alias("dimensions"))
     t = scores.agg(F.coalesce(F.try_divide(F.sum("covered"), F.nullif(F.sum("claims"), F.lit(0))), F.lit(1.0)).alias("coverage"), F.count_if("hard_failure").alias("hard_failures"))
-    return d.crossJoin(t).withColumn("passed", (F.col("dimensions") == 6) & (F.col("lowest") >= 3.0) & (F.col("coverage") >= 0.9) & (F.col("hard_failures") == 0))  # two one-row totals
+    return d.crossJoin(t).withColumn("passed", (F.lit(dimensions is None) | (F.col("dimensions") == (dimensions or 0))) & (F.col("lowest") >= 3.0) & (F.col("coverage") >= 0.9) & (F.col("hard_failures") == 0))  # two one-row totals
 
 
 def content_budget(files: DataFrame, by: list[str], order: list[str], most: int = 100_000) -> DataFrame:

@@ -157,7 +157,7 @@ def answer_set(spark, sf):
     for toxic in (0, 1):
         marks = F.create_map(*[x for k, name in enumerate(DIMENSIONS[: 6 - toxic]) for x in (F.lit(name), (F.lit(3.0) + (_id() + k) % 3).cast("double"))])
         scores = d.where(F.col("toxic") == toxic).select(F.col("doc_id").alias("question"), marks.alias("dimensions"), (_id() % 20 + 19).alias("covered"), (_id() % 20 + 20).alias("claims"), (F.lit(toxic) == 1).alias("hard_failure"))
-        parts.append(maintenance.rubric(scores).withColumn("set", F.lit(toxic)))
+        parts.append(maintenance.rubric(scores, len(DIMENSIONS)).withColumn("set", F.lit(toxic)))
     r = parts[0].unionByName(parts[1])
     return r.select("set", F.round("lowest", 6).alias("lowest"), "dimensions", F.round("coverage", 6).alias("coverage"), "hard_failures", "passed")
 
