@@ -24,14 +24,15 @@ def query_tokens(text: Column) -> Column:
 
 
 def cjk_bigrams(text: Column) -> Column:
-    """CJK runs as overlapping pairs (a single character stays), other runs trimmed, joined by blanks."""
-    runs = F.regexp_extract_all(text, F.lit(f"[{CJK_RANGES}]+|[^{CJK_RANGES}]+"), F.lit(0))
-
-    def spread(run):
-        pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
-        return F.when(run.rlike(f"^[{CJK_RANGES}]{{2,}}$"), F.array_join(pairs, " ")).otherwise(F.regexp_replace(run, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-
-    return F.when(text.rlike(f"[{CJK_RANGES}]"), F.array_join(F.filter(F.transform(runs, spread), lambda r: r != ""), " ")).otherwise(F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    """CJK runs as overlapping pairs (a single character stays), other runs trimmed, joined by blanks.
+
+    One pass: a character inside a run is written at the end of a pair and again at the begin of the next, and an edge of a run, with the blanks at it, is one blank. (Extracting the runs copies the text for each.)
+    """
+    c, w = f"[{CJK_RANGES}]", r"[\s\p{Z}]"
+    other = rf"[^{CJK_RANGES}\s\p{{Z}}]"
+    spread = F.regexp_replace(text, rf"(?<={c})({c})(?={c})|(?<={c}){w}+(?={c})|(?<={c}){w}*(?={other})|(?<={other}){w}*(?={c})", "$1 $1")
+    trimmed = lambda x: F.regexp_replace(x, rf"^{w}+|{w}+\z", "")
+    return trimmed(F.when(text.rlike(c), spread).otherwise(text))
 
 
 def excerpt(text: Column, terms: Column, most: int = 24) -> Column:
