@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 # Letters with marks and their bases, by the rule of Unicode: the first letter of the decomposition, for Latin, Greek and Cyrillic.
 _BASES = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]) if c == c.lower() and unicodedata.normalize("NFD", c)[0] != c}
 MARKED, PLAIN = "".join(_BASES), "".join(_BASES.values())
+# Characters that may have a base: the ranges above, and the sign for angstrom, whose small letter is in them.
+_MARKS = r"[\u00c0-\u052f\u1e00-\u1fff\u212b]"
 # Kana, ideographs, hangul and compatibility ideographs, which are written without blanks.
 CJK_RANGES = r"\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff"
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits without marks. (Splitting at what stands between them: extracting matches copies the text for each.)"""
-    plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(F.lower(text), MARKED + "ςſ", PLAIN + "σs")).otherwise(F.lower(text))
+    plain = F.when(text.rlike(_MARKS), F.translate(F.lower(text), MARKED + "ςſ", PLAIN + "σs")).otherwise(F.lower(text))
     return F.filter(F.split(plain, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 

@@ -1,12 +1,20 @@
-"""Stored inverted index: one row per token, written once in generations, read by term.
+"""Stored inverted index: one row per term and field of a chunk with the places, written once in generations, read by term.
 
-A build or a re-index writes a generation: its tokens (by bucket of the term, sorted by term, so a search reads the buckets of its terms
-and within them the row groups that hold them), the length of each chunk, and the items it touched. A row of the commit log makes it visible, so a
+A build or a re-index writes a generation: its postings (by bucket of the term; each file holds runs that are sorted by term, so a search reads the buckets of
+its terms and within them the pages that hold them), the length of each chunk, and the items it touched. A row of the commit log makes it visible, so a
 job that was lost half way leaves nothing that is read, and running it again replaces its files. An item's rows are those of the last generation that touched it.
+
+Tokens are never shuffled or sorted as rows: a task groups those of a few thousand chunks at a time and writes one compressed block a bucket, and each bucket is unpacked from its blocks into its own folder.
 """
 
 from __future__ import annotations
 
+import zlib
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,31 +22,120 @@ from larder.functions.text import CJK_RANGES, cjk_bigrams, query_tokens, tokens
 
 K1, B = 1.2, 0.75
 KEYS = ["doc_id", "ordinal"]
-POSTING = "term string, doc_id long, ordinal int, len int, field int, place int, times int, gen int, bucket int"
+ROW = "term string, doc_id long, ordinal int, len int, field int, places array<int>, times int"
+POSTING = f"{ROW}, gen int, bucket int"
+PACKED = "bucket int, block binary"
+# Chunks grouped at a time, the bucket number of their own table, and buckets unpacked side by side.
+GROUPED, CHUNKS, AT_ONCE = 4096, -1, 4
 LENGTH = "doc_id long, ordinal int, len int, gen int"
 TOUCHED = "doc_id long, gen int"
 COMMIT = "gen int, base int, buckets int, chunks long"
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """Tokens of chunks (doc_id, ordinal, text, heading, and ``pairs`` where a table has it): term, field, place in the field, and how many fields it stands for.
+def _fields(chunks: DataFrame) -> DataFrame:
+    """Tokens of the fields of chunks (doc_id, ordinal, text, heading, and ``pairs`` where a table has it): ``t`` of the text, ``h`` of its heading, ``p`` of the text with CJK runs as pairs.
 
-    Fields are the text, its heading, and the text with CJK runs as pairs. Without CJK the first and third are the same and are stored once, for two. ``len`` is that of all fields.
+    Without CJK the first and third are the same and are stored once, for two. (Each list is used once, so that no text is split again for its length.)
     """
     c = chunks if "pairs" in chunks.columns else chunks.withColumn("pairs", F.lit(None).cast("string"))
     c = c.select(*KEYS, F.col("text").rlike(f"[{CJK_RANGES}]").alias("cjk"), tokens(F.coalesce("text", F.lit(""))).alias("t"), tokens(F.coalesce("heading", F.lit(""))).alias("h"), "text", "pairs")
-    c = c.withColumn("p", F.when(F.col("cjk"), tokens(F.coalesce("pairs", cjk_bigrams(F.col("text"))))))
-    n = F.size("t") + F.size("h") + F.when(F.col("cjk"), F.size("p")).otherwise(F.size("t"))
-    c = c.select(*KEYS, n.cast("int").alias("len"), F.coalesce("cjk", F.lit(False)).alias("cjk"), "t", "h", F.coalesce("p", F.array().cast("array<string>")).alias("p"))
-    times = lambda field: F.when(F.col("cjk") | (F.lit(field) > 0), 1).otherwise(2)
-    fields = F.array(*[F.struct(F.lit(i).alias("field"), times(i).alias("times"), F.col(x).alias("x")) for i, x in enumerate("thp")])
-    c = c.select(*KEYS, "len", F.explode(fields).alias("f")).select(*KEYS, "len", "f.field", "f.times", F.posexplode_outer("f.x").alias("place", "term"))
-    return c.select("term", *KEYS, "len", "field", "place", "times")
+    c = c.withColumn("b", F.when(F.col("cjk"), F.coalesce("pairs", cjk_bigrams(F.col("text"))))).withColumn("p", F.when(F.col("cjk"), tokens(F.col("b"))))  # a step of its own, as ``tokens`` reads its text twice
+    return c.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ordinal").cast("int").alias("ordinal"), F.coalesce("cjk", F.lit(False)).alias("cjk"), "t", "h", F.coalesce("p", F.array().cast("array<string>")).alias("p"))
+
+
+def _block(**lists) -> bytes:
+    """Arrays in one row, compressed."""
+    row = pa.record_batch({k: pa.LargeListArray.from_arrays([0, len(x)], x) for k, x in lists.items()})
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(row)
+    return out.getvalue().to_pybytes()
+
+
+def _grouped(b: pa.RecordBatch, buckets: int):
+    """(bucket, block) of a few thousand chunks: the chunks' own table, and of each bucket its terms in order with the chunks, fields and places of each."""
+    sizes = {x: pc.fill_null(pc.list_value_length(b.column(x)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in "thp"}
+    cjk = b.column("cjk").to_numpy(zero_copy_only=False)
+    size = sizes["t"] + sizes["h"] + np.where(cjk, sizes["p"], sizes["t"])  # of all fields
+    held = {"doc_id": b.column("doc_id"), "ordinal": b.column("ordinal"), "len": pa.array(size.astype(np.int32)), "cjk": b.column("cjk")}
+    yield CHUNKS, _block(**held)
+    flat, rows, fields, places = [], [], [], []
+    for i, (name, n) in enumerate(sizes.items()):
+        flat.append(b.column(name).flatten())
+        rows.append(np.repeat(np.arange(len(n)), n))
+        places.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        fields.append(np.full(n.sum(), i))
+    words = pa.concat_arrays(flat).dictionary_encode()
+    if not len(words):
+        return
+    rows, fields, places, code = *map(np.concatenate, (rows, fields, places)), words.indices.to_numpy()
+    of = np.array([zlib.crc32(w.encode()) % buckets for w in words.dictionary.to_pylist()])
+    order = pc.sort_indices(pa.table({"b": of, "w": words.dictionary}), sort_keys=[("b", "ascending"), ("w", "ascending")]).to_numpy()
+    rank = np.empty(len(of), np.int64)
+    rank[order] = np.arange(len(of))
+    key = (rank[code] * b.num_rows + rows) * 3 + fields
+    at = np.argsort(key, kind="stable")
+    key, places = key[at], places[at]
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])  # of each term, chunk and field
+    count, key = np.diff(np.r_[begin, len(at)]), key[begin]
+    fields, rows, key = key % 3, key // 3 % b.num_rows, key // 3 // b.num_rows
+    small = lambda x: pa.array(x.astype(np.int16 if x.max() < 2**15 else np.int32))
+    for bucket in range(buckets):
+        lo, hi = np.searchsorted(of[order][key], [bucket, bucket + 1])
+        if lo < hi:
+            mine, times = np.unique(key[lo:hi], return_counts=True)
+            end = begin[hi] if hi < len(begin) else len(places)
+            yield bucket, _block(words=words.dictionary.take(pa.array(order[mine])), times=pa.array(times), rows=small(rows[lo:hi]), fields=pa.array(fields[lo:hi].astype(np.int8)), counts=small(count[lo:hi]), places=small(places[begin[lo] : end]), **held)
+
+
+def _packed(chunks: DataFrame, buckets: int) -> DataFrame:
+    """The postings of chunks as (bucket, block)."""
+
+    def group(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, GROUPED):
+                got = list(_grouped(b.slice(at, GROUPED), buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["bucket", "block"])
+
+    return _fields(chunks).mapInArrow(group, PACKED)
+
+
+def _unpacked(packed: DataFrame) -> DataFrame:
+    """Posting rows of blocks; a block of the chunks' own table gives a row without term for each."""
+    names = [x.split()[0] for x in ROW.split(", ")]
+
+    def rows(block: bytes) -> pa.RecordBatch:
+        x = pa.ipc.open_stream(block).read_next_batch()
+        x = {k: x.column(k).flatten() for k in x.schema.names}
+        n = len(x["doc_id"])
+        own = "words" not in x
+        at = np.arange(n) if own else x["rows"].to_numpy().astype(np.int64)
+        field = np.zeros(n, np.int8) if own else x["fields"].to_numpy()
+        count = np.zeros(n, np.int64) if own else x["counts"].to_numpy().astype(np.int64)
+        term = pa.nulls(n, pa.string()) if own else x["words"].take(pa.array(np.repeat(np.arange(len(x["words"])), x["times"].to_numpy()))).cast(pa.string())
+        places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array([], pa.int32()) if own else x["places"].cast(pa.int32()))
+        cjk = x["cjk"].to_numpy(zero_copy_only=False)[at]
+        held = [x[k].take(pa.array(at)) for k in (*KEYS, "len")]
+        return pa.RecordBatch.from_arrays([term, *held, pa.array(field, pa.int32()), places, pa.array(np.where(cjk | (field > 0), 1, 2), pa.int32())], names)
+
+    def spread(batches):
+        for b in batches:
+            for block in b.column("block"):
+                got = rows(block.as_py())
+                for at in range(0, got.num_rows, 20_000):
+                    yield got.slice(at, 20_000)
+
+    return packed.select("block").mapInArrow(spread, ROW)
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """Rows of chunks (doc_id, ordinal, text, heading): a term in a field of a chunk, its places there, and how many fields the field stands for; and for each chunk one without a term, so that all lengths are told."""
+    return _unpacked(_packed(chunks, 1))
 
 
-def lengths(tokens_: DataFrame) -> DataFrame:
+def lengths(postings_: DataFrame) -> DataFrame:
     """(doc_id, ordinal, len) of each chunk, also of chunks without tokens."""
-    return tokens_.groupBy(*KEYS).agg(F.max("len").alias("len"))
+    return postings_.where("term is null").select(*KEYS, "len")
 
 
 def phrases(queries: DataFrame) -> DataFrame:
@@ -47,29 +144,41 @@ def phrases(queries: DataFrame) -> DataFrame:
     return words.select("query_id", tokens(cjk_bigrams(F.col("_w"))).alias("terms")).where(F.size("terms") > 0)
 
 
-def score(found: DataFrame, held: DataFrame, asked: DataFrame) -> DataFrame:
+def score(found: DataFrame, held: DataFrame, asked: DataFrame, long: bool = True) -> DataFrame:
     """(query_id, doc_id, ordinal, score): BM25 of the phrases ``asked`` over the postings ``found`` (at least those of their terms) and the lengths of all chunks.
 
-    A phrase stands where its terms follow each other within one field: its i-th term at place p votes for a begin at p - i, and a begin with all
-    votes counts. Length and frequency sum over the fields, and totals count every chunk, as filters come after.
+    A phrase stands where its terms follow each other within one field: its i-th term at place p gives p - i, and a begin that all terms give
+    counts. Length and frequency sum over the fields, and totals count every chunk, as filters come after. Postings are dealt by chunk once, for phrases and queries alike. ``long``: whether a phrase has more than one term.
     """
-    distinct = asked.select("terms").distinct()
-    parts = distinct.select("terms", F.size("terms").alias("n"), F.posexplode("terms").alias("i", "term"))
+    asked = asked.withColumn("phrase", F.array_join("terms", " "))  # a term has no blank
+    parts = asked.select("phrase", "terms").distinct().select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("i", "term"))
+    one = F.when(F.col("n") == 1, F.size("places") * F.col("times")).alias("one")
     votes = found.join(F.broadcast(parts), "term")  # of requests, not of rows
-    starts = votes.groupBy("terms", "n", *KEYS, "len", "field", (F.col("place") - F.col("i")).alias("begin")).agg(F.count("*").alias("votes"), F.first("times").alias("times"))
-    tf_ = starts.where("votes = n").groupBy("terms", *KEYS, "len").agg(F.sum("times").alias("tf"))
-    df_ = tf_.groupBy("terms").agg(F.count("*").alias("df"))
+    votes = votes.select("phrase", "n", *KEYS, "len", one, *([F.when(F.col("n") > 1, F.struct("field", "times", F.transform("places", lambda p: p - F.col("i")).alias("begins"))).alias("spot")] if long else []))
+    votes = votes.repartition(*KEYS)
+    if long:
+        tf_ = votes.groupBy("phrase", "n", *KEYS, "len").agg(F.sum("one").alias("one"), F.collect_list("spot").alias("spots"))  # a phrase's terms in one chunk, at most three times each
+
+        def begins(field):
+            got = F.filter("spots", lambda s: s["field"] == field)
+            both = F.aggregate(got, F.get(got, F.lit(0))["begins"], lambda a, s: F.array_intersect(a, s["begins"]))
+            return F.when(F.size(got) == F.col("n"), F.size(both) * F.get(got, F.lit(0))["times"]).otherwise(0)
+
+        tf_ = tf_.select("phrase", *KEYS, "len", F.when(F.col("n") == 1, F.col("one")).otherwise(begins(0) + begins(1) + begins(2)).alias("tf")).where("tf > 0")
+    else:
+        tf_ = votes.groupBy("phrase", *KEYS, "len").agg(F.sum("one").alias("tf"))
+    df_ = tf_.groupBy("phrase").agg(F.count("*").alias("df"))
     stats = held.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
     n, tf = F.col("n"), F.col("tf")
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
     # One row of totals, and one of each phrase, meet every posting.
-    got = tf_.join(F.broadcast(df_), "terms").join(F.broadcast(stats)).select("terms", *KEYS, part.alias("p"))
-    return got.join(F.broadcast(asked), "terms").groupBy("query_id", *KEYS).agg(F.round(F.sum("p"), 6).alias("score"))
+    got = tf_.join(F.broadcast(df_), "phrase").join(F.broadcast(stats)).select("phrase", *KEYS, part.alias("p"))
+    return got.join(F.broadcast(asked.select("query_id", "phrase")), "phrase").groupBy("query_id", *KEYS).agg(F.round(F.sum("p"), 6).alias("score"))
 
 
 def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
 
 def _read(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
@@ -99,35 +208,40 @@ def available(spark: SparkSession, root: str) -> bool:
     return bool(log) and all(r["gen"] in held or not r["chunks"] for r in log if r["gen"] >= log[-1]["base"])
 
 
-def _publish(chunks: DataFrame, touched: DataFrame, root: str, gen: int, base: int, buckets: int, salts: int) -> None:
+def _publish(chunks: DataFrame, touched: DataFrame, root: str, gen: int, base: int, buckets: int) -> None:
     spark = chunks.sparkSession
-    rows = postings(chunks).withColumn("bucket", _bucket(F.col("term"), buckets))
-    # A frequent term is dealt to ``salts`` tasks, each with its own file in the term's bucket.
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).sortWithinPartitions("bucket", "term", *KEYS)
-    _write(dealt, root, "postings", gen, ("bucket",))
-    # Each chunk has one row for the begin of its text, with a null term where there is none.
-    begins = _read(spark, root, "postings", POSTING).where((F.col("gen") == gen) & (F.col("field") == 0) & (F.coalesce("place", F.lit(0)) == 0))
-    _write(begins.select("doc_id", "ordinal", "len"), root, "lengths", gen)
+    _write(_packed(chunks, buckets), root, "packed", gen, ("bucket",))  # few rows: a block a bucket for each few thousand chunks
+    blocks = _read(spark, root, f"packed/gen={gen}", PACKED)
+    unpack = lambda b: _unpacked(blocks.where(F.col("bucket") == b))
+
+    def spread(b):
+        # A folder of its own for each bucket, so that no task sorts its rows by bucket.
+        unpack(b).write.mode("overwrite").parquet(f"{root}/postings/gen={gen}/bucket={b}")
+
+    with ThreadPoolExecutor(AT_ONCE) as several:
+        list(several.map(spread, range(buckets)))
+    _write(lengths(unpack(CHUNKS)), root, "lengths", gen)
     _write(touched.select("doc_id").distinct(), root, "touched", gen)
+    _write(spark.createDataFrame([], PACKED), root, "packed", gen)  # the blocks are no longer needed
     n = _read(spark, root, "lengths", LENGTH).where(F.col("gen") == gen).count()
     spark.createDataFrame([(gen, base, buckets, n)], COMMIT).coalesce(1).write.mode("append").parquet(f"{root}/commits")
 
 
-def build(chunks: DataFrame, root: str, buckets: int = 16, salts: int = 4) -> None:
+def build(chunks: DataFrame, root: str, buckets: int = 16) -> None:
     """Index all chunks anew; with an index there already this is its rebuild, after which older generations are not read."""
     spark = chunks.sparkSession
     gen = commits(spark, root)[-1]["gen"] + 1 if available(spark, root) else 0
-    _publish(chunks, chunks.select("doc_id"), root, gen, gen, buckets, salts)
+    _publish(chunks, chunks.select("doc_id"), root, gen, gen, buckets)
 
 
-def reindex(chunks: DataFrame, touched: DataFrame, root: str, salts: int = 4) -> None:
+def reindex(chunks: DataFrame, touched: DataFrame, root: str) -> None:
     """Replace the chunks of the ``touched`` items (doc_id) by those among ``chunks``; a touched item without chunks leaves the index.
 
     Nothing but the chunks of touched items is read or written.
     """
     log = commits(chunks.sparkSession, root)[-1]
     fresh = chunks.join(touched.select("doc_id").distinct(), "doc_id", "left_semi")
-    _publish(fresh, touched, root, log["gen"] + 1, log["base"], log["buckets"], salts)
+    _publish(fresh, touched, root, log["gen"] + 1, log["base"], log["buckets"])
 
 
 def repair(chunks: DataFrame, touched: DataFrame, root: str) -> str:
@@ -161,7 +275,8 @@ def search(spark: SparkSession, root: str, queries: DataFrame) -> DataFrame:
     terms = sorted({t for r in asked.collect() for t in r["terms"]})
     buckets = [r["b"] for r in asked.select(F.explode("terms").alias("t")).select(_bucket(F.col("t"), log[-1]["buckets"]).alias("b")).distinct().collect()]
     found = _read(spark, root, "postings", POSTING).where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)) if terms else _read(spark, root, "postings", POSTING).limit(0)
-    return score(_live(found, root, log), _live(_read(spark, root, "lengths", LENGTH), root, log), asked)
+    longest = max((len(r["terms"]) for r in asked.collect()), default=1)
+    return score(_live(found, root, log), _live(_read(spark, root, "lengths", LENGTH), root, log), asked, longest > 1)
 
 
 def read_chunks(spark: SparkSession, paths: dict[int, str]) -> DataFrame:

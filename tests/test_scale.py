@@ -26,3 +26,18 @@ def test_bigrams_in_one_pass(spark):
     got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", cjk_bigrams(F.col("text")).alias("b"))
     assert {r["text"]: r["b"] for r in got.collect()} == {t: plain(t) for t in texts}
     assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_index_shuffles_no_tokens(spark, tmp_path):
+    """A build deals no rows of tokens out and sorts none; postings of a term in a chunk are one row."""
+    from larder.operators import index
+
+    rows = [(1, 0, "a b a ab", None), (2, 0, "检索检 b", "a")]
+    chunks = spark.createDataFrame(rows, "doc_id long, ordinal int, text string, heading string")
+    plan = index._packed(chunks, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    got = {(r["doc_id"], r["term"], r["field"]): (r["places"], r["times"], r["len"]) for r in index.postings(chunks).collect()}
+    assert got[1, "a", 0] == ([0, 2], 2, 8) and got[2, "a", 1] == ([0], 1, 6) and got[2, "索检", 2] == ([1], 1, 6)
+    assert len(got) == 3 + 6 + 2  # and a row without term for each chunk
+    index.build(chunks, f"{tmp_path}/i")
+    assert spark.read.parquet(f"{tmp_path}/i/postings").count() == 9 and not spark.read.schema(index.PACKED).parquet(f"{tmp_path}/i/packed").count()
