@@ -20,6 +20,8 @@ from larder.functions.hashes import tagged_hash
 # What texts and queries begin with for the model, and segments to a call of it.
 PASSAGE, QUERY = "passage: ", "query: "
 CALL = 8
+# Chunks whose tokens a task holds at a time (whole texts may be long, and a batch of Spark's has 10 000 rows).
+ROWS = 64
 
 
 class Provider(Protocol):
@@ -134,23 +136,27 @@ def segments(chunks: DataFrame, load: Callable[[], Provider], profile: Profile,
     def embed(batches):
         provider = load()
         profile.check(provider)
-        for b in batches:
-            texts = [t or "" for t in b["text"]]
-            groups = provider.tokenize(texts)
-            if len(groups) != len(texts):
-                raise ValueError("as many token lists as texts are needed")
-            at = [(i, k, begin, end) for i, g in enumerate(groups) for k, (begin, end) in enumerate(spans(len(g), size, overlap))]
-            for first in range(0, len(at), call):
-                some = at[first : first + call]
-                words = provider.decode([groups[i][begin:end] for i, _, begin, end in some])
-                if len(words) != len(some) or not all(isinstance(w, str) for w in words):
-                    raise ValueError("a text for each window is needed")
-                try:
-                    made, error = list(checked(provider.embed(_prefixed(words, prefix)), len(some), dims)), None
-                except (ValueError, TypeError) as e:
-                    made, error = [None] * len(some), str(e)
-                rows = b[keys].iloc[[i for i, *_ in some]].reset_index(drop=True)
-                yield rows.assign(segment=[k for _, k, *_ in some], begin=[x for *_, x, _ in some], finish=[x for *_, x in some], text=words, vector=made, error=error)
+        for whole in batches:
+            for begin in range(0, len(whole), ROWS):
+                yield from made_of(provider, whole.iloc[begin : begin + ROWS])
+
+    def made_of(provider, b):
+        texts = [t or "" for t in b["text"]]
+        groups = provider.tokenize(texts)
+        if len(groups) != len(texts):
+            raise ValueError("as many token lists as texts are needed")
+        at = [(i, k, begin, end) for i, g in enumerate(groups) for k, (begin, end) in enumerate(spans(len(g), size, overlap))]
+        for first in range(0, len(at), call):
+            some = at[first : first + call]
+            words = provider.decode([groups[i][begin:end] for i, _, begin, end in some])
+            if len(words) != len(some) or not all(isinstance(w, str) for w in words):
+                raise ValueError("a text for each window is needed")
+            try:
+                made, error = list(checked(provider.embed(_prefixed(words, prefix)), len(some), dims)), None
+            except (ValueError, TypeError) as e:
+                made, error = [None] * len(some), str(e)
+            rows = b[keys].iloc[[i for i, *_ in some]].reset_index(drop=True)
+            yield rows.assign(segment=[k for _, k, *_ in some], begin=[x for *_, x, _ in some], finish=[x for *_, x in some], text=words, vector=made, error=error)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields if f.name in keys)
     return chunks.mapInPandas(embed, f"{kinds}, segment int, begin int, finish int, text string, vector array<float>, error string")

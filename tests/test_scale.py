@@ -41,3 +41,19 @@ def test_index_shuffles_no_tokens(spark, tmp_path):
     assert len(got) == 3 + 6 + 2  # and a row without term for each chunk
     index.build(chunks, f"{tmp_path}/i")
     assert spark.read.parquet(f"{tmp_path}/i/postings").count() == 9 and not spark.read.schema(index.PACKED).parquet(f"{tmp_path}/i/packed").count()
+
+
+def test_embedding_holds_few_texts(spark):
+    """However many texts a batch has, a task holds the tokens of a bounded number."""
+    from larder.operators import embed
+
+    class Counted(embed.WordHashes):
+        def tokenize(self, texts):
+            if len(texts) > embed.ROWS:
+                raise RuntimeError("too many texts at once")
+            return super().tokenize(texts)
+
+    profile = embed.Profile(Counted.name, Counted.version, "m", 64, "0" * 64, 3, 1)
+    d = spark.range(1000).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"))
+    got = embed.segments(d, Counted, profile)
+    assert got.where("error is null").count() == 2000
