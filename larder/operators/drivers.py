@@ -34,7 +34,7 @@ def import_scan(rows: DataFrame, frontiers: DataFrame, state: DataFrame, receipt
     kept = ingest.cut_at_frontier(r, known, keep)
     batch = kept.withColumn("key", F.col("page").cast("string")).withColumn("arrival", F.col("page")).withColumn("_scan", F.col("pos"))
     batch = batch.withColumn("pos", (F.col("pos") - F.col("page") * size).cast("int") if size else F.col("pos"))
-    out = ingest.submit(batch.drop("page", "seq", "_scan"), receipts, runs, state)
+    out = ingest.submit(batch.drop("page", "seq", "_scan"), receipts, runs.drop("frontier"), state)  # a frontier may be long, and each batch would carry it
     cut_off = out["receipts"].groupBy("job_id", "platform").agg(F.bool_or("truncated").alias("truncated"))
     newest = batch.where(F.col("_scan") < ingest.FRONTIER)
     newest = newest.where(F.col("_scan") < F.lit(cap)) if cap is not None else newest

@@ -222,7 +222,7 @@ def cut_at_frontier(rows: DataFrame, frontier: DataFrame, mode: str = "before")
     """
     known = frontier.select(*RUN, F.explode("ids").alias("source_id"))
     hit = rows.join(known, [*RUN, "source_id"], "left_semi").groupBy(*RUN).agg(F.min("pos").alias("_stop"), F.min_by("page", "pos").alias("_page"))
-    r = rows.join(hit, RUN, "left")
+    r = rows.join(F.broadcast(hit), RUN, "left")  # one row a run, which all rows of a platform would meet in one task
     rule = {"before": F.col("pos") < F.col("_stop"), "with": F.col("pos") <= F.col("_stop"), "page": F.col("page") <= F.col("_page")}[mode]
     return r.where(F.coalesce(rule, F.lit(True))).drop("_stop", "_page")
 

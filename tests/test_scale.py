@@ -57,3 +57,15 @@ def test_embedding_holds_few_texts(spark):
     d = spark.range(1000).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"))
     got = embed.segments(d, Counted, profile)
     assert got.where("error is null").count() == 2000
+
+
+def test_frontier_deals_no_rows_by_platform(spark):
+    """The place of the first known id goes to the rows; rows of a platform do not go to one task."""
+    from larder.operators import ingest
+
+    rows = spark.createDataFrame([("j", "x", 0, i, str(i)) for i in range(5)] + [("j", "zhihu", 0, 0, "3")], "job_id string, platform string, page int, pos int, source_id string")
+    known = spark.createDataFrame([("j", "x", ["3", "4"])], "job_id string, platform string, ids array<string>")
+    got = ingest.cut_at_frontier(rows, known, "with")
+    assert sorted((r["platform"], r["pos"]) for r in got.collect()) == [("x", 0), ("x", 1), ("x", 2), ("x", 3), ("zhihu", 0)]
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint (strategy=broadcast)" in plan
