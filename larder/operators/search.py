@@ -50,22 +50,45 @@ def _packed(rows: DataFrame, key: str, vec: str, most: int) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v")).mapInPandas(pack, "w int, ks binary, xs binary")
 
 
-def cosine(vectors: DataFrame, queries: DataFrame, k: int = 500, rows: int = 4096, block: int = 256, spread: int = 64) -> DataFrame:
+def _best(q: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each ``q``, equal scores to the smaller id."""
+    at = np.lexsort((ids, -s, q))
+    q, ids, s = q[at], ids[at], s[at]
+    begin = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
+    ok = np.arange(len(q)) - np.repeat(begin, np.diff(np.r_[begin, len(q)])) < k
+    return q[ok], ids[ok], s[ok]
+
+
+def cosine(vectors: DataFrame, queries: DataFrame, k: int = 500, rows: int = 1024, block: int = 256, spread: int = 64, held: int = 4_000_000) -> DataFrame:
     """(query_id, doc_id, score): the ``k`` best of unit vectors (doc_id, v) for each query (query_id, q), equal scores to the smaller id.
 
     Blocks of rows meet blocks of queries as matrices, so neither side is held whole; Spark broadcasts the packed queries
-    only under its own size threshold. A block keeps ``k`` rows a query, and the merge is a window per query.
+    only under its own size threshold. A task keeps ``k`` rows a query over all its blocks, gives them out when it ends or holds ``held`` rows, and the merge is a window per query.
     """
 
     def scan(batches):
+        kept: dict[bytes, tuple] = {}
+
+        def out():
+            for q, ids, s in kept.values():
+                for at in range(0, len(q), 20_000):
+                    yield pd.DataFrame({"query_id": q[at : at + 20_000], "doc_id": ids[at : at + 20_000], "score": s[at : at + 20_000] + 0.0})
+            kept.clear()
+
         for b in batches:
-            for r in b.itertuples():
+            for r in b.itertuples(index=False):
                 ids, qids = np.frombuffer(r.ks, np.int64), np.frombuffer(r.qs, np.int64)
                 s = np.round(np.frombuffer(r.qx).reshape(len(qids), -1) @ np.frombuffer(r.xs).reshape(len(ids), -1).T, 6)
-                for i, q in enumerate(qids):
-                    best = np.lexsort((ids, -s[i]))[:k]
-                    best = best[np.isfinite(s[i][best])]
-                    yield pd.DataFrame({"query_id": q, "doc_id": ids[best], "score": s[i][best] + 0.0})
+                s[~np.isfinite(s)] = -np.inf
+                # No row under the k-th score of its query in this block can be one of the k best.
+                least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if k < len(ids) else np.full(len(qids), -np.inf)
+                i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                new = qids[i], ids[j], s[i, j]
+                old = kept.get(r.qs, ((), (), ()))
+                kept[r.qs] = _best(*[np.concatenate([np.asarray(x, y.dtype), y]) for x, y in zip(old, new, strict=True)], k)
+            if sum(len(x[0]) for x in kept.values()) > held:
+                yield from out()
+        yield from out()
 
     q = _packed(queries, "query_id", "q", block).select("w", F.col("ks").alias("qs"), F.col("xs").alias("qx"))
     kind = queries.schema["query_id"].dataType

@@ -20,7 +20,7 @@ def chunk_hard_split(spark, sf):
 
 
 def vector_topk(spark, sf):
-    return search.top(semantic(spark, sf), 10)
+    return search.top(semantic(spark, sf, 10), 10)
 
 
 def rrf_fusion(spark, sf):

@@ -69,3 +69,22 @@ def test_frontier_deals_no_rows_by_platform(spark):
     assert sorted((r["platform"], r["pos"]) for r in got.collect()) == [("x", 0), ("x", 1), ("x", 2), ("x", 3), ("zhihu", 0)]
     plan = got._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint (strategy=broadcast)" in plan
+
+
+def test_cosine_keeps_the_best_of_a_task(spark):
+    """A task gives out k rows a query, not k for each block; equal scores go to the smaller id, whether rows are held or given out early."""
+    import numpy as np
+
+    from larder.operators import search
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 4)), 0)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(900, None), (901, [float("nan")] * 4)], "doc_id long, v array<double>").coalesce(1)
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(7)], "query_id int, q array<double>").coalesce(1)
+    want = {(i, j, float(s)) for i in range(7) for j, s in sorted(enumerate(x @ x[i]), key=lambda t: (-t[1], t[0]))[:5]}
+    for held in (1, 4_000_000):
+        got = search.cosine(v, q, 5, rows=16, block=3, spread=1, held=held)
+        assert {tuple(r) for r in got.collect()} == want
+    from larder.operators.search import _best
+
+    assert [a.tolist() for a in _best(np.array([1, 0, 1, 1]), np.array([4, 9, 2, 3]), np.array([0.5, 1, 0.5, 0.7]), 2)] == [[0, 1, 1], [9, 3, 2], [1, 0.7, 0.5]]
