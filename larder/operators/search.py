@@ -59,43 +59,55 @@ def _best(q: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.nda
     return q[ok], ids[ok], s[ok]
 
 
-def cosine(vectors: DataFrame, queries: DataFrame, k: int = 500, rows: int = 1024, block: int = 256, spread: int = 64, held: int = 4_000_000) -> DataFrame:
+def cosine(vectors: DataFrame, queries: DataFrame, k: int = 500, rows: int = 1024, block: int = 256, spread: int = 16, groups: int = 8, held: int = 4_000_000) -> DataFrame:
     """(query_id, doc_id, score): the ``k`` best of unit vectors (doc_id, v) for each query (query_id, q), equal scores to the smaller id.
 
-    Blocks of rows meet blocks of queries as matrices, so neither side is held whole; Spark broadcasts the packed queries
-    only under its own size threshold. A task keeps ``k`` rows a query over all its blocks, gives them out when it ends or holds ``held`` rows, and the merge is a window per query.
+    Blocks of rows meet blocks of queries as matrices, on a grid of ``spread`` parts of the rows by ``groups`` of the queries. A task keeps ``k`` rows a query of one block over all blocks of
+    a part and gives them out at its end (or above ``held`` rows), so rows are sent ``groups`` times and results ``spread`` times, however many there are. The merge is a window per query.
     """
 
     def scan(batches):
-        kept: dict[bytes, tuple] = {}
+        cell, kept, floor = None, [], None
+
+        def best():
+            return _best(*map(np.concatenate, zip(*kept, strict=True)), k)
 
         def out():
-            for q, ids, s in kept.values():
-                for at in range(0, len(q), 20_000):
-                    yield pd.DataFrame({"query_id": q[at : at + 20_000], "doc_id": ids[at : at + 20_000], "score": s[at : at + 20_000] + 0.0})
-            kept.clear()
+            got = best() if kept else ([],)
+            for at in range(0, len(got[0]), 20_000):
+                q, ids, s = (x[at : at + 20_000] for x in got)
+                yield pd.DataFrame({"query_id": q, "doc_id": ids, "score": s + 0.0})
 
         for b in batches:
             for r in b.itertuples(index=False):
                 ids, qids = np.frombuffer(r.ks, np.int64), np.frombuffer(r.qs, np.int64)
+                size = sum(len(x[0]) for x in kept)
+                if (r.part, r.qs) == cell and size > min(2 * k * len(qids), held):
+                    kept = [best()]
+                    size = len(kept[0][0])
+                    q, n = np.unique(kept[0][0], return_counts=True)
+                    last = kept[0][2][np.cumsum(n) - 1]  # the least kept score of each query, which bounds it once it has k
+                    at = np.minimum(np.searchsorted(q, qids), len(q) - 1)
+                    floor = np.where((q[at] == qids) & (n[at] == k), last[at], -np.inf)
+                if (r.part, r.qs) != cell or size > held:
+                    yield from out()
+                    cell, kept, floor = (r.part, r.qs), [], np.full(len(qids), -np.inf)
                 s = np.round(np.frombuffer(r.qx).reshape(len(qids), -1) @ np.frombuffer(r.xs).reshape(len(ids), -1).T, 6)
                 s[~np.isfinite(s)] = -np.inf
-                # No row under the k-th score of its query in this block can be one of the k best.
-                least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if k < len(ids) else np.full(len(qids), -np.inf)
+                # No row under the k-th score of its query, in this block or so far, can be one of the k best.
+                least = floor if np.isfinite(floor).all() or k >= len(ids) else np.maximum(floor, np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k])
                 i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-                new = qids[i], ids[j], s[i, j]
-                old = kept.get(r.qs, ((), (), ()))
-                kept[r.qs] = _best(*[np.concatenate([np.asarray(x, y.dtype), y]) for x, y in zip(old, new, strict=True)], k)
-            if sum(len(x[0]) for x in kept.values()) > held:
-                yield from out()
+                kept.append((qids[i], ids[j], s[i, j]))
         yield from out()
 
     q = _packed(queries, "query_id", "q", block).select("w", F.col("ks").alias("qs"), F.col("xs").alias("qx"))
     kind = queries.schema["query_id"].dataType
-    # Each block of rows has one of ``spread`` numbers, and each block of queries all of them, so that vectors of one length are not one key of the join.
-    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    v = _packed(vectors, "doc_id", "v", rows).withColumn("part", F.pmod(F.xxhash64("ks"), F.lit(spread)).cast("int"))
-    got = v.join(q, ["w", "part"]).drop("part").mapInPandas(scan, "query_id long, doc_id long, score double")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    slot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = q.withColumn("grp", slot("qs", groups)).withColumn("part", every(spread))
+    v = _packed(vectors, "doc_id", "v", rows).withColumn("part", slot("ks", spread)).withColumn("grp", every(groups))
+    # A merge join brings the pairs of a block of queries in a part one after the other; in another order more rows are given out, with the same result.
+    got = q.join(v.hint("merge"), ["w", "part", "grp"]).mapInPandas(scan, "query_id long, doc_id long, score double")
     return top(got.withColumn("query_id", F.col("query_id").cast(kind)), k).drop("rank")
 
 

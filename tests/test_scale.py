@@ -88,3 +88,19 @@ def test_cosine_keeps_the_best_of_a_task(spark):
     from larder.operators.search import _best
 
     assert [a.tolist() for a in _best(np.array([1, 0, 1, 1]), np.array([4, 9, 2, 3]), np.array([0.5, 1, 0.5, 0.7]), 2)] == [[0, 1, 1], [9, 3, 2], [1, 0.7, 0.5]]
+
+
+def test_cosine_gives_out_the_best_of_a_part_once(spark, monkeypatch):
+    """With many blocks of queries a task still gives out k rows a query for a part, as it holds one block at a time."""
+    from larder.operators import search
+
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "doc_id long, v array<double>").coalesce(1)
+    q = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(12)], "query_id int, q array<double>").coalesce(1)
+    monkeypatch.setattr(search, "top", lambda scores, k: scores.withColumn("rank", search.F.lit(1)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        given = search.cosine(v, q, 5, rows=8, block=3, spread=1, held=20).count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert given == 12 * 5
