@@ -156,16 +156,17 @@ def widen(lexical: DataFrame, semantic: DataFrame, items: DataFrame, evidence: D
     """The fused candidates of each query at the least pool of ``pools`` that holds ``limit`` items with evidence, or at the largest; ``pool`` tells which.
 
     All pools are tried side by side, so no query waits for another: a pool takes so many lexical ranks, 500 semantic ones, and so many of the fused list. Both
-    arms hold at most 500 rows a query, and each row stands once for every pool. Feed the result to ``group_hits`` with the same evidence and limit.
+    arms hold at most 500 rows a query, and each row stands once for every pool. Items with evidence are counted in windows, so that the arms are computed once.
+    Feed the result to ``group_hits`` with the same evidence and limit.
     """
     sizes = F.explode(F.array(*map(F.lit, pools(limit)))).alias("pool")
     l = lexical.where(F.col("rank") <= 500).select("*", sizes).where(F.col("rank") <= F.col("pool"))
     s = semantic.where(F.col("rank") <= 500).select("*", sizes)
     f = _fused(l, s, items, ["query_id", "pool"]).where(F.col("rank") <= F.col("pool"))
-    n = f.join(evidence.select("doc_id"), "doc_id", "left_semi").groupBy("query_id", "pool").agg(F.count_distinct("doc_id").alias("n"))
-    enough = n.where((F.col("n") >= limit) | (F.col("pool") == 500)).groupBy("query_id").agg(F.min("pool").alias("pool"))
-    asked = f.select("query_id").distinct().join(enough, "query_id", "left").select("query_id", F.coalesce("pool", F.lit(500)).alias("pool"))
-    return f.join(asked, ["query_id", "pool"], "left_semi")
+    f = f.join(evidence.select("doc_id", F.lit(True).alias("_told")).distinct(), "doc_id", "left")
+    n = F.size(F.collect_set(F.when(F.col("_told"), F.col("doc_id"))).over(Window.partitionBy("query_id", "pool")))  # 500 at most
+    enough = F.min(F.when((F.col("_n") >= limit) | (F.col("pool") == 500), F.col("pool"))).over(Window.partitionBy("query_id"))
+    return f.withColumn("_n", n).withColumn("_pool", enough).where(F.col("pool") == F.coalesce("_pool", F.lit(500))).drop("_told", "_n", "_pool")
 
 
 def phrase(docs: DataFrame, text: str) -> DataFrame:
@@ -196,14 +197,15 @@ def group_hits(fused: DataFrame, evidence: DataFrame, limit: int = 10, supportin
     """One row per query and item (doc_id): its best chunk, up to ``supporting`` more, score times the item's evidence factor.
 
     ``fused`` comes from ``fuse``; ``evidence`` is (doc_id, factor), and items without evidence are left out. Items rank by adjusted score, best rank,
-    platform, source and ordinal. The lists are bounded by the pools that were fused.
+    platform, source and ordinal. The lists are bounded by the pools that were fused. ``pool`` is kept where ``fused`` comes from ``widen``.
     """
+    by = ["query_id", *(["pool"] if "pool" in fused.columns else [])]  # one pool a query
     c = fused.withColumnRenamed("rank", "_at").join(evidence.select("doc_id", "factor"), "doc_id")
     w = Window.partitionBy("query_id", "doc_id").orderBy("_at")
     c = c.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= supporting + 1)
     rest = F.array_sort(F.collect_list(F.when(F.col("_n") > 1, F.struct("_n", "ordinal"))))
     first = lambda x: F.max(F.when(F.col("_n") == 1, F.col(x)))
-    g = c.groupBy("query_id", "doc_id", "platform", "source_id").agg(first("ordinal").alias("ordinal"), first("best_rank").alias("_best"), (first("score") * first("factor")).alias("adjusted"), rest.alias("_rest"))
+    g = c.groupBy(*by, "doc_id", "platform", "source_id").agg(first("ordinal").alias("ordinal"), first("best_rank").alias("_best"), (first("score") * first("factor")).alias("adjusted"), rest.alias("_rest"))
     g = g.withColumn("supporting", F.array_join(F.transform("_rest", lambda s: s["ordinal"].cast("string")), "|"))
     o = Window.partitionBy("query_id").orderBy(F.col("adjusted").desc(), "_best", "platform", "source_id", "ordinal")
     return g.withColumn("rank", F.row_number().over(o)).where(F.col("rank") <= limit).drop("_best", "_rest")

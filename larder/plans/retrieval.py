@@ -50,8 +50,7 @@ def progressive_search(spark, sf):
     near = search.top(semantic(spark, sf).join(it.select("doc_id"), "doc_id", "left_semi"), 500).withColumn("ordinal", F.lit(0))
     evidence = library.evidence(it).join(table(spark, sf, "labels").where("toxic = 1"), "doc_id", "left_semi")
     wide = search.widen(search.rank_lexical(lexical(spark, sf), it), near, it, evidence, 5)
-    got = search.group_hits(wide.drop("pool"), evidence, 5).join(wide.select("query_id", "pool").distinct(), "query_id")
-    return got.select("query_id", "pool", "rank", "doc_id", F.col("ordinal").cast("long").alias("ordinal"), "supporting")
+    return search.group_hits(wide, evidence, 5).select("query_id", "pool", "rank", "doc_id", F.col("ordinal").cast("long").alias("ordinal"), "supporting")
 
 
 def message_codes(spark, sf):

@@ -104,3 +104,18 @@ def test_cosine_gives_out_the_best_of_a_part_once(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert given == 12 * 5
+
+
+def test_widening_computes_its_arms_once(spark):
+    """The pool of a query is found in windows over the candidates, which are read once."""
+    from larder.operators import search
+
+    arm = spark.range(7, 907).selectExpr("1 as query_id", "id as doc_id", "0 as ordinal", "cast(id - 6 as int) as rank")
+    near = spark.createDataFrame([], "query_id int, doc_id long, ordinal int, rank int, score double")
+    it = spark.range(1000).selectExpr("id as doc_id", "id as published", "'x' as platform", "cast(id as string) as source_id")
+    told = spark.range(0, 1000, 60).selectExpr("id as doc_id", "1.0D as factor")
+    wide = search.widen(arm, near, it, told, 5)
+    assert {r["pool"] for r in wide.select("pool").collect()} == {400}  # 60, 120, 180, 240, 300
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("Range (7, 907") == 1
+    hits = search.group_hits(wide, told, 5)
+    assert {(r["pool"], r["doc_id"]) for r in hits.collect()} == {(400, 60 * i) for i in range(1, 6)}
