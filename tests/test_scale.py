@@ -119,3 +119,18 @@ def test_widening_computes_its_arms_once(spark):
     assert wide._jdf.queryExecution().optimizedPlan().toString().count("Range (7, 907") == 1
     hits = search.group_hits(wide, told, 5)
     assert {(r["pool"], r["doc_id"]) for r in hits.collect()} == {(400, 60 * i) for i in range(1, 6)}
+
+
+def test_answer_shuffles_no_text(spark):
+    """The few hits go to the chunks, not all chunks with their texts to the hits."""
+    import re
+
+    from larder.plans import checks
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = checks._answer(spark, "/root/testdata/sf0.001")[0]._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.search(r"SortMergeJoin \[doc_id#\d+L, ordinal#\d+\], \[doc_id#\d+L, ordinal#\d+\], Inner", plan)
