@@ -29,7 +29,21 @@ def _ruled(df: DataFrame, rules: list[tuple[Column, str]], **parsed: Column) ->
     """``code`` by the first rule that holds; parsed columns only where none does."""
     code = reduce(lambda c, r: c.when(F.coalesce(r[0], F.lit(True)), r[1]), rules[1:], F.when(F.coalesce(rules[0][0], F.lit(True)), rules[0][1]))
     df = df.withColumn("code", code)
-    return df.select("*", *[F.when(F.col("code").isNull(), c).alias(k) for k, c in parsed.items()]).drop("_v")
+    return df.select("*", *[F.when(F.col("code").isNull(), c).alias(k) for k, c in parsed.items()]).drop("_v", "_got", "_all", "_read")
+
+
+def _read(df: DataFrame, array: Column, make, bad) -> DataFrame:
+    """``_read``: what each entry holds (``x``) and whether it is no object or bad, so that rule and result read it once; a null test counts as bad."""
+    both = lambda e, x: F.struct(x.alias("x"), (~v.is_object(e) | F.coalesce(bad(e, x), F.lit(True))).alias("bad"))
+    return df.withColumn("_read", F.transform(array, lambda e: v.let(make(e), lambda x: both(e, x))))
+
+
+def _bad_entry() -> Column:
+    return F.exists("_read", lambda r: r["bad"])
+
+
+def _held() -> Column:
+    return F.transform("_read", lambda r: r["x"])
 
 
 def _any(array: Column, bad) -> Column:
@@ -43,7 +57,7 @@ def _api_rules(gone: bool) -> list[tuple[Column, str]]:
     rules = [(~v.is_object(F.col("_v")), PAGE_CHANGED), (c.isNotNull() & n.isNull(), PAGE_CHANGED), (F.coalesce(n.isin(*BILIBILI_LOGIN), F.lit(False)), LOGIN)]
     if gone:
         rules.append((F.coalesce(n.isin(*BILIBILI_GONE), F.lit(False)), GONE))
-    return [*rules, (F.coalesce(n != 0, F.lit(False)), PAGE_CHANGED), (~v.is_object(v.field(F.col("_v"), "$.data")), PAGE_CHANGED)]
+    return [*rules, (F.coalesce(n != 0, F.lit(False)), PAGE_CHANGED), (~v.is_object(F.col("_v"), "$.data"), PAGE_CHANGED)]
 
 
 def bilibili_folders(pages: DataFrame, body: str = "body") -> DataFrame:
@@ -77,21 +91,22 @@ def _media(e: Column) -> Column:
     )
 
 
-def _bad_media(e: Column) -> Column:
-    return _bvid(e).isNull() | v.text(e, "$.title").isNull() | v.instant(v.number(e, "$.pubtime")).isNull() | _wrong_text(e, "$.cover") | _wrong_text(e, "$.upper.name")
+def _bad_media(e: Column, m: Column) -> Column:
+    return m["bvid"].isNull() | m["title"].isNull() | m["published_at"].isNull() | _wrong_text(e, "$.cover") | _wrong_text(e, "$.upper.name")
 
 
 def bilibili_resources(pages: DataFrame, body: str = "body") -> DataFrame:
     """``medias`` of a favourites page, and ``has_more``."""
-    got, more = v.entries(F.col("_v"), "$.data.medias"), v.field(F.col("_v"), "$.data.has_more")
-    rules = [*_api_rules(False), (got.isNull(), PAGE_CHANGED), (more.isNotNull() & v.flag(F.col("_v"), "$.data.has_more").isNull(), PAGE_CHANGED), (_any(got, _bad_media), PAGE_CHANGED)]
-    return _ruled(_decoded(pages, body), rules, medias=F.transform(got, _media), has_more=F.coalesce(v.flag(F.col("_v"), "$.data.has_more"), F.lit(False)))
+    got, more = F.col("_got"), v.field(F.col("_v"), "$.data.has_more")
+    rules = [*_api_rules(False), (got.isNull(), PAGE_CHANGED), (more.isNotNull() & v.flag(F.col("_v"), "$.data.has_more").isNull(), PAGE_CHANGED), (_bad_entry(), PAGE_CHANGED)]
+    df = _read(_decoded(pages, body).withColumn("_got", v.entries(F.col("_v"), "$.data.medias")), got, _media, _bad_media)
+    return _ruled(df, rules, medias=_held(), has_more=F.coalesce(v.flag(F.col("_v"), "$.data.has_more"), F.lit(False)))
 
 
 def bilibili_media(rows: DataFrame, body: str = "body") -> DataFrame:
     """``media`` of a single favourite, by the rules of a page."""
     e = F.col("_v")
-    return _ruled(_decoded(rows, body), [(~v.is_object(e), PAGE_CHANGED), (_bad_media(e), PAGE_CHANGED)], media=_media(e))
+    return _ruled(_decoded(rows, body), [(~v.is_object(e), PAGE_CHANGED), (v.let(_media(e), lambda m: _bad_media(e, m)), PAGE_CHANGED)], media=_media(e))
 
 
 def bilibili_detail(pages: DataFrame, body: str = "body") -> DataFrame:
@@ -146,19 +161,26 @@ def _unwrapped(e: Column, path: str) -> Column:
 
 def _tweet_type(e: Column, path: str) -> Column:
     name = v.any_text(e, path + ".__typename")
-    return F.when(name == "TweetWithVisibilityResults", F.when(v.is_object(v.field(e, path + ".tweet")), F.lit("Tweet"))).otherwise(name)
+    return F.when(name == "TweetWithVisibilityResults", F.when(v.is_object(e, path + ".tweet"), F.lit("Tweet"))).otherwise(name)
 
 
 _RESULT = "$.content.itemContent.tweet_results.result"
 
 
 def _tweet(e: Column) -> Column:
-    r, kind = _unwrapped(e, _RESULT), _tweet_type(e, _RESULT)
+    quoted = "$.quoted_status_result.result"
+    return v.let(_unwrapped(e, _RESULT), lambda r: v.let(_unwrapped(r, quoted), lambda q: v.let(_gone(e), lambda gone: _tweet_of(e, r, q, gone))))
+
+
+def _gone(e: Column) -> Column:
+    return ~v.is_object(e, _RESULT) | (_tweet_type(e, _RESULT) == "TweetTombstone")
+
+
+def _tweet_of(e: Column, r: Column, q: Column, gone: Column) -> Column:
+    """The tweet of an entry with its result, the quoted result, and whether it is gone."""
     from_entry = F.regexp_extract(F.coalesce(v.any_text(e, "$.entryId"), F.lit("")), r"^(?:tweet-)?(\d+)$", 1)
-    gone = ~v.is_object(v.field(e, _RESULT)) | (kind == "TweetTombstone")
     media = F.transform(v.entries(r, "$.legacy.extended_entities.media"), lambda m: F.struct(v.any_text(m, "$.type").alias("type"), v.any_text(m, "$.media_url_https").alias("url"), v.text(m, "$.ext_alt_text").alias("alt")))
-    q, q_kind = _unwrapped(r, "$.quoted_status_result.result"), _tweet_type(r, "$.quoted_status_result.result")
-    lost = q_kind == "TweetTombstone"
+    lost = _tweet_type(r, "$.quoted_status_result.result") == "TweetTombstone"
     q_author, q_handle = _author(q, "$")
     quoted = F.struct(
         F.when(lost, v.any_text(r, "$.legacy.quoted_status_id_str")).otherwise(v.any_text(q, "$.rest_id")).alias("tweet_id"), F.when(~lost, q_author).alias("author"), F.when(~lost, q_handle).alias("handle"),
@@ -167,20 +189,23 @@ def _tweet(e: Column) -> Column:
     author, handle = _author(r, "$")
     return F.struct(
         F.when(gone, from_entry).otherwise(v.any_text(r, "$.rest_id")).alias("tweet_id"), gone.alias("tombstone"),
-        F.when(gone & v.is_object(v.field(e, _RESULT)), _tombstone_text(r, "$")).when(gone, F.lit("empty tweet result")).alias("reason"),
+        F.when(gone & v.is_object(e, _RESULT), _tombstone_text(r, "$")).when(gone, F.lit("empty tweet result")).alias("reason"),
         F.when(~gone, _tweet_text(r, "$")).alias("text"), F.when(~gone, author).alias("author"), F.when(~gone, handle).alias("handle"),
         F.when(~gone, v.wire_date(v.any_text(r, "$.legacy.created_at"))).alias("created_at"), F.when(~gone, F.coalesce(media, F.array().cast("array<struct<type:string,url:string,alt:string>>"))).alias("media"),
-        F.when(~gone & v.is_object(v.field(r, "$.quoted_status_result.result")), quoted).alias("quoted"),
+        F.when(~gone & v.is_object(r, "$.quoted_status_result.result"), quoted).alias("quoted"),
     )
 
 
-def _bad_tweet(e: Column) -> Column:
-    t, r = _tweet(e), _unwrapped(e, _RESULT)
+def _bad_tweet(e: Column, t: Column) -> Column:
+    return v.let(_unwrapped(e, _RESULT), lambda r: _bad_result(e, t, r))
+
+
+def _bad_result(e: Column, t: Column, r: Column) -> Column:
     raw = v.field(r, "$.legacy.extended_entities.media")
     media = F.coalesce(_any(v.entries(r, "$.legacy.extended_entities.media"), lambda m: ~F.coalesce((v.any_text(m, "$.type") != "") & (v.any_text(m, "$.media_url_https") != ""), F.lit(False))), v.present(raw))
-    quote = v.is_object(v.field(r, "$.quoted_status_result.result")) & (~F.coalesce(_tweet_type(r, "$.quoted_status_result.result").isin("Tweet", "TweetTombstone"), F.lit(False)) | t["quoted"]["text"].isNull())
-    whole = ~F.coalesce(_tweet_type(e, _RESULT) == "Tweet", F.lit(False)) | ~F.coalesce(t["tweet_id"].rlike(r"^\d+$"), F.lit(False)) | ~v.is_object(v.field(r, "$.legacy")) | t["text"].isNull() | t["created_at"].isNull() | media | quote
-    return ~v.is_object(v.field(e, "$.content.itemContent")) | F.when(t["tombstone"], t["tweet_id"] == "").otherwise(whole)
+    quote = v.is_object(r, "$.quoted_status_result.result") & (~F.coalesce(_tweet_type(r, "$.quoted_status_result.result").isin("Tweet", "TweetTombstone"), F.lit(False)) | t["quoted"]["text"].isNull())
+    whole = ~F.coalesce(_tweet_type(e, _RESULT) == "Tweet", F.lit(False)) | ~F.coalesce(t["tweet_id"].rlike(r"^\d+$"), F.lit(False)) | ~v.is_object(r, "$.legacy") | t["text"].isNull() | t["created_at"].isNull() | media | quote
+    return ~v.is_object(e, "$.content.itemContent") | F.when(t["tombstone"], t["tweet_id"] == "").otherwise(whole)
 
 
 def x_bookmarks(pages: DataFrame, body: str = "body") -> DataFrame:
@@ -190,9 +215,9 @@ def x_bookmarks(pages: DataFrame, body: str = "body") -> DataFrame:
     words = lambda e: F.lower(F.coalesce(F.try_variant_get(e, "$.message", "string"), F.lit("")))
     out = F.exists(errors, lambda e: F.coalesce(v.whole(e, "$.code").isin(*X_LOGIN), F.lit(False)) | words(e).contains("authenticate") | words(e).contains("logged out"))
     failed = F.coalesce(F.size(errors) > 0, F.lit(False))
-    steps = v.entries(F.col("_v"), timeline + ".instructions")
+    steps, all_entries = F.col("_got"), F.col("_all")
     adds = F.filter(steps, lambda i: v.any_text(i, "$.type") == "TimelineAddEntries")
-    all_entries = F.flatten(F.transform(adds, lambda i: F.coalesce(v.entries(i, "$.entries"), F.array().cast("array<variant>"))))
+    found = F.flatten(F.transform(adds, lambda i: F.coalesce(v.entries(i, "$.entries"), F.array().cast("array<variant>"))))
     kind = lambda e: v.any_text(e, "$.content.entryType")
     items = F.filter(all_entries, lambda e: kind(e) == "TimelineTimelineItem")
     bottoms = F.filter(all_entries, lambda e: (kind(e) == "TimelineTimelineCursor") & (v.any_text(e, "$.content.cursorType") == "Bottom"))
@@ -200,9 +225,10 @@ def x_bookmarks(pages: DataFrame, body: str = "body") -> DataFrame:
     rules = [
         (~v.is_object(F.col("_v")), PAGE_CHANGED), (failed & F.coalesce(out, F.lit(False)), LOGIN), (failed, PAGE_CHANGED), (steps.isNull(), PAGE_CHANGED),
         (_any(steps, lambda i: F.lit(False)) | F.exists(adds, lambda i: v.entries(i, "$.entries").isNull()), PAGE_CHANGED), (odd, PAGE_CHANGED),
-        (F.exists(bottoms, lambda e: ~F.coalesce(v.any_text(e, "$.content.value") != "", F.lit(False))), PAGE_CHANGED), (_any(items, _bad_tweet), PAGE_CHANGED),
+        (F.exists(bottoms, lambda e: ~F.coalesce(v.any_text(e, "$.content.value") != "", F.lit(False))), PAGE_CHANGED), (_bad_entry(), PAGE_CHANGED),
     ]
-    return _ruled(_decoded(pages, body), rules, tweets=F.transform(items, _tweet), bottom_cursor=v.any_text(F.try_element_at(bottoms, F.lit(-1)), "$.content.value"), has_more=F.size(items) > 0)
+    df = _decoded(pages, body).withColumn("_got", v.entries(F.col("_v"), timeline + ".instructions")).withColumn("_all", found)
+    return _ruled(_read(df, items, _tweet, _bad_tweet), rules, tweets=_held(), bottom_cursor=v.any_text(F.try_element_at(bottoms, F.lit(-1)), "$.content.value"), has_more=F.size("_read") > 0)
 
 
 def _zhihu_rules() -> list[tuple[Column, str]]:
@@ -231,8 +257,10 @@ def _id_text(e: Column, path: str) -> Column:
 
 def _favorite(e: Column) -> Column:
     """One wide struct for answers, articles and all other types; a degraded entry without an id is named by a hash."""
-    c = v.field(e, "$.content")
-    raw = F.coalesce(v.any_text(c, "$.type"), F.lit(""))
+    return v.let(v.field(e, "$.content"), lambda c: v.let(F.coalesce(v.any_text(c, "$.type"), F.lit("")), lambda raw: _favorite_of(e, c, raw)))
+
+
+def _favorite_of(e: Column, c: Column, raw: Column) -> Column:
     answer, article = raw == "answer", raw == "article"
     url, own = v.text(c, "$.url"), v.text(c, "$.title")
     digest = F.substring(F.sha2(F.concat_ws("|", raw, F.coalesce(url, F.lit("")), F.coalesce(own, F.lit(""))), 256), 1, 16)
@@ -249,16 +277,16 @@ def _favorite(e: Column) -> Column:
     )
 
 
-def _bad_favorite(e: Column) -> Column:
-    f = _favorite(e)
+def _bad_favorite(e: Column, f: Column) -> Column:
     known = (f["kind"] != "other") & (f["title"].isNull() | f["item_id"].isNull() | ~F.coalesce(f["url"].startswith("http"), F.lit(False)))
-    return f["favorited_at"].isNull() | ~v.is_object(v.field(e, "$.content")) | known
+    return f["favorited_at"].isNull() | ~v.is_object(e, "$.content") | known
 
 
 def zhihu_items(pages: DataFrame, body: str = "body") -> DataFrame:
     """``favorites`` and ``is_end`` of an items page; ``paging.is_end`` is the only sign of the end, so it must be there."""
-    got, end = v.entries(F.col("_v"), "$.data"), v.flag(F.col("_v"), "$.paging.is_end")
-    return _ruled(_decoded(pages, body), [*_zhihu_rules(), (end.isNull(), PAGE_CHANGED), (_any(got, _bad_favorite), PAGE_CHANGED)], favorites=F.transform(got, _favorite), is_end=end)
+    end = v.flag(F.col("_v"), "$.paging.is_end")
+    df = _read(_decoded(pages, body), v.entries(F.col("_v"), "$.data"), _favorite, _bad_favorite)
+    return _ruled(df, [*_zhihu_rules(), (end.isNull(), PAGE_CHANGED), (_bad_entry(), PAGE_CHANGED)], favorites=_held(), is_end=end)
 
 
 def github_starred(pages: DataFrame, body: str = "body") -> DataFrame:

@@ -19,12 +19,14 @@ def kind(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(kind(v) == "OBJECT", F.lit(False))
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once. (Inside lambdas Spark computes an expression anew wherever it stands.)"""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def is_array(v: Column) -> Column:
-    return F.coalesce(kind(v) == "ARRAY", F.lit(False))
+def is_object(v: Column, path: str = "$") -> Column:
+    """Whether there is an object. (Only an object can be read as a struct; neither a copy of it nor its schema is made.)"""
+    return F.try_variant_get(v, path, "struct<a:boolean>").isNotNull()
 
 
 def present(v: Column) -> Column:
@@ -32,21 +34,23 @@ def present(v: Column) -> Column:
     return v.isNotNull() & ~F.coalesce(F.is_variant_null(v), F.lit(False))
 
 
+def _typed(v: Column, path: str, schemas: tuple[str, ...], read: str) -> Column:
+    return F.when(F.schema_of_variant(field(v, path)).isin(*schemas), F.try_variant_get(v, path, read))
+
+
 def text(v: Column, path: str) -> Column:
     """A JSON string that is not blank."""
-    f = field(v, path)
-    s = F.when(kind(f) == "STRING", F.try_variant_get(v, path, "string"))
-    return F.when(F.trim(s, F.lit(" \t\n\x0b\x0c\r")) != "", s)
+    return let(any_text(v, path), lambda s: F.when(F.trim(s, F.lit(" \t\n\x0b\x0c\r")) != "", s))
 
 
 def any_text(v: Column, path: str) -> Column:
     """A JSON string, the empty one included."""
-    return F.when(kind(field(v, path)) == "STRING", F.try_variant_get(v, path, "string"))
+    return _typed(v, path, ("STRING",), "string")
 
 
 def whole(v: Column, path: str) -> Column:
     """A JSON whole number; true and false are none."""
-    return F.when(kind(field(v, path)) == "BIGINT", F.try_variant_get(v, path, "long"))
+    return _typed(v, path, ("BIGINT",), "long")
 
 
 def number(v: Column, path: str) -> Column:
@@ -55,12 +59,12 @@ def number(v: Column, path: str) -> Column:
 
 
 def flag(v: Column, path: str) -> Column:
-    return F.when(kind(field(v, path)) == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+    return _typed(v, path, ("BOOLEAN",), "boolean")
 
 
 def entries(v: Column, path: str = "$") -> Column:
     """The elements of a JSON array; null if it is none."""
-    return F.when(is_array(field(v, path)), F.try_variant_get(v, path, "array<variant>"))
+    return F.try_variant_get(v, path, "array<variant>")
 
 
 def instant(seconds: Column) -> Column:

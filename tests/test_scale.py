@@ -134,3 +134,18 @@ def test_answer_shuffles_no_text(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert not re.search(r"SortMergeJoin \[doc_id#\d+L, ordinal#\d+\], \[doc_id#\d+L, ordinal#\d+\], Inner", plan)
+
+
+def test_entries_of_a_page_are_read_once(spark):
+    """Rule and result of a page share what was read of its entries: each value is asked for its type once or twice, and no page or entry for its whole schema."""
+    from larder.sources import pages
+
+    p = spark.createDataFrame([("{}",)], "body string")
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100_000)
+    try:
+        asked = {f.__name__: f(p)._jdf.queryExecution().optimizedPlan().toString().lower().count("schemaofvariant") for f in (pages.x_bookmarks, pages.bilibili_resources, pages.zhihu_items)}
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    most = {"x_bookmarks": 150, "bilibili_resources": 60, "zhihu_items": 100}
+    assert all(asked[k] <= most[k] for k in most), asked
