@@ -57,7 +57,7 @@ def github_items(spark, sf):
     iso = hashes.iso_utc(F.col("published_at"))
     repo = F.struct(s(F.concat(F.lit("o/"), "source_id"), "full_name"), s(F.col("canonical_url"), "html_url"), s(F.lit("main"), "default_branch"), s(iso, "created_at"), s(F.col("body"), "description"), s(F.array("author"), "topics"))
     got = pages.github_starred(_pages(c, F.struct(s(iso, "starred_at"), s(repo, "repo"))))
-    return _shown(mapping.github(got.select(F.explode("stars").alias("s")).select("s.*"), F.timestamp_seconds(F.lit(OBSERVED)), F.lit("read me")))
+    return _shown(mapping.github(pages.exploded(got, "stars", "s").select("s.*"), F.timestamp_seconds(F.lit(OBSERVED)), F.lit("read me")))
 
 
 def x_items(spark, sf):
@@ -68,7 +68,7 @@ def x_items(spark, sf):
     entry = F.struct(s(F.concat(F.lit("tweet-"), "source_id"), "entryId"), s(F.struct(s(F.lit("TimelineTimelineItem"), "entryType"), s(F.struct(s(F.struct(s(result, "result")), "tweet_results")), "itemContent")), "content"))
     add = lambda a: F.struct(s(F.lit("TimelineAddEntries"), "type"), s(a, "entries"))
     wrap = lambda a: F.struct(s(F.struct(s(F.struct(s(F.struct(s(F.array(add(a)), "instructions")), "timeline")), "bookmark_timeline_v2")), "data"))
-    got = pages.x_bookmarks(_pages(c, entry, wrap)).select(F.explode("tweets").alias("t")).select("t.*")
+    got = pages.exploded(pages.x_bookmarks(_pages(c, entry, wrap)), "tweets", "t").select("t.*")
     return _shown(mapping.x(got, F.timestamp_seconds(F.lit(OBSERVED))))
 
 
@@ -76,7 +76,7 @@ def bilibili_items(spark, sf):
     c, s = captured(spark, sf), lambda x, n: x.alias(n)
     media = F.struct(s(F.concat(F.lit("BV"), "source_id"), "bv_id"), s(F.col("title"), "title"), s(F.col("body"), "intro"), s(F.unix_seconds("published_at"), "pubtime"), s(F.unix_seconds("published_at") + 60, "fav_time"), s(F.struct(s(F.col("author"), "name"), s(F.col("doc_id"), "mid")), "upper"))
     got = pages.bilibili_resources(_pages(c, media, lambda a: F.struct(s(F.lit(0), "code"), s(F.struct(s(a, "medias")), "data"))))
-    seen = got.select(F.col("page").alias("seq"), F.explode("medias").alias("entry")).select("seq", "entry", F.col("entry.bvid").alias("bvid"), F.col("entry.fav_time").alias("fav"), F.lit("folder").alias("folder"))
+    seen = pages.exploded(got, "medias", "entry", "page").select(F.col("page").alias("seq"), "entry", F.col("entry.bvid").alias("bvid"), F.col("entry.fav_time").alias("fav"), F.lit("folder").alias("folder"))
     obs = mapping.favourites(seen, "bvid", "folder", "fav", "seq", "entry")
     details = spark.createDataFrame([], "bvid string, code string, video struct<title:string,author:string,author_mid:string,description:string,cover_url:string,published_at:timestamp,duration:long>")
     subs = spark.createDataFrame([], "bvid string, code string, language string, cues array<struct<start:double,end:double,content:string>>, raw string, source string, offered string, asked string")
@@ -88,7 +88,7 @@ def zhihu_items(spark, sf):
     content = F.struct(s(F.lit("pin"), "type"), s(F.col("doc_id"), "id"), s(F.col("canonical_url"), "url"), s(F.col("title"), "title"), s(F.col("body"), "excerpt"), s(F.struct(s(F.col("author"), "name")), "author"))
     entry = F.struct(s(hashes.iso_utc(F.col("published_at")), "created"), s(content, "content"))
     got = pages.zhihu_items(_pages(c, entry, lambda a: F.struct(s(a, "data"), s(F.struct(s(F.lit(True), "is_end")), "paging"))))
-    fav = got.select(F.explode("favorites").alias("f")).select("f.*", F.array(F.lit("c")).alias("collections"))
+    fav = pages.exploded(got, "favorites", "f").select("f.*", F.array(F.lit("c")).alias("collections"))
     return _shown(mapping.zhihu(fav, F.timestamp_seconds(F.lit(OBSERVED))))
 
 

@@ -45,7 +45,7 @@ def bilibili_bundles(spark, sf):
     c, s = captured(spark, sf), lambda x, n: x.alias(n)
     media = F.struct(s(F.concat(F.lit("BV"), "source_id"), "bvid"), s(F.col("title"), "title"), s(F.lit("intro"), "intro"), s(F.unix_seconds("published_at"), "pubtime"), s(F.struct(s(F.col("author"), "name"), s(_id(), "mid")), "upper"))
     got = pages.bilibili_resources(_pages(c, media, lambda a: F.struct(s(F.lit(0), "code"), s(F.struct(s(a, "medias")), "data"))))
-    seen = got.select(F.col("page").alias("seq"), F.explode("medias").alias("entry")).select("seq", "entry", F.col("entry.bvid").alias("bvid"), F.col("entry.fav_time").alias("fav"), F.lit("folder").alias("folder"))
+    seen = pages.exploded(got, "medias", "entry", "page").select(F.col("page").alias("seq"), "entry", F.col("entry.bvid").alias("bvid"), F.col("entry.fav_time").alias("fav"), F.lit("folder").alias("folder"))
     bvid = F.concat(F.lit("BV"), "source_id").alias("bvid")
     video = F.struct(s(F.concat(F.lit("BV"), "source_id"), "bvid"), s(F.concat(F.lit("detail "), "source_id"), "title"), s(F.lit("described"), "desc"), s(F.unix_seconds("published_at") + 1, "pubdate"), s(F.struct(s(F.lit("own"), "name")), "owner"), s(F.lit(61), "duration"))
     page = F.to_json(F.struct(s(F.when(_id() % 8 == 0, -404).otherwise(0), "code"), s(video, "data")))
@@ -68,7 +68,7 @@ def zhihu_answers(spark, sf):
     content = F.struct(s(kind, "type"), s(_id(), "id"), s(F.col("canonical_url"), "url"), s(F.when(_id() % 3 == 1, F.col("title")), "title"), s(html, "content"), s(F.lit("said"), "excerpt"), s(F.struct(s(F.concat(F.lit("why "), "source_id"), "title"), s(_id() + 7, "id")), "question"), s(F.struct(s(F.col("author"), "name")), "author"), s(F.unix_seconds("published_at"), "created_time"), s(F.unix_seconds("published_at"), "updated_time"), s(F.unix_seconds("published_at"), "created"), s(F.unix_seconds("published_at"), "updated"))
     entry = F.struct(s(hashes.iso_utc(F.col("published_at")), "created"), s(content, "content"))
     got = pages.zhihu_items(_pages(c, entry, lambda a: F.struct(s(a, "data"), s(F.struct(s(F.lit(False), "is_end")), "paging"))))
-    fav = got.select("is_end", F.explode("favorites").alias("f")).select("is_end", "f.*", F.array(F.lit("c")).alias("collections"))
+    fav = pages.exploded(got, "favorites", "f", "is_end").select("is_end", "f.*", F.array(F.lit("c")).alias("collections"))
     out = mapping.zhihu(fav, F.timestamp_seconds(F.lit(OBSERVED)))
     return out.select("source_id", "title", "body", F.unix_seconds("published_at").alias("published"), F.get_json_object("platform_metadata", "$.question_id").alias("question"))
 

@@ -46,6 +46,11 @@ def _held() -> Column:
     return F.transform("_read", lambda r: r["x"])
 
 
+def exploded(parsed: DataFrame, entries: str, name: str, *kept: str) -> DataFrame:
+    """A row for each of the ``entries`` of good pages. (For a plain explode Spark asks first whether the list is empty, by a filter that parses every page once more, and once for each step of it.)"""
+    return parsed.select(*kept, F.explode_outer(entries).alias(name)).where(F.col(name).isNotNull())
+
+
 def _any(array: Column, bad) -> Column:
     """Whether an entry is no object or bad; a null test counts as bad."""
     return F.exists(array, lambda e: ~v.is_object(e) | F.coalesce(bad(e), F.lit(True)))

@@ -149,3 +149,18 @@ def test_entries_of_a_page_are_read_once(spark):
         spark.conf.set("spark.sql.debug.maxToStringFields", before)
     most = {"x_bookmarks": 150, "bilibili_resources": 60, "zhihu_items": 100}
     assert all(asked[k] <= most[k] for k in most), asked
+
+
+def test_explode_parses_no_page_again(spark):
+    """No filter on a page's list of entries stands below its explode, where it would parse the page once more."""
+    from larder.plans import capture, checks
+
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100_000)
+    try:
+        for make in (capture.x_items, capture.bilibili_items, capture.zhihu_items, checks.zhihu_answers):
+            plan = make(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+            assert not [line for line in plan.splitlines() if "Filter (size(" in line.replace("((", "(")], make.__name__
+            assert plan.lower().count("schemaofvariant") <= 150, make.__name__
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
