@@ -2,12 +2,15 @@
 
 import unicodedata
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Letters with marks and their bases, by the rule of Unicode: the first letter of the decomposition, for Latin, Greek and Cyrillic.
 _BASES = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]) if c == c.lower() and unicodedata.normalize("NFD", c)[0] != c}
 MARKED, PLAIN = "".join(_BASES), "".join(_BASES.values())
+_PLAIN = np.arange(0x2000, dtype="<u4")
+_PLAIN[[ord(c) for c in MARKED + "ςſ"]] = [ord(c) for c in PLAIN + "σs"]
 # Characters that may have a base: the ranges above, and the sign for angstrom, whose small letter is in them.
 _MARKS = r"[\u00c0-\u052f\u1e00-\u1fff\u212b]"
 # Kana, ideographs, hangul and compatibility ideographs, which are written without blanks.
@@ -20,6 +23,21 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(plain, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 
+def spaced(text: Column) -> Column:
+    """The tokens of a text, marks and all, with blanks between them: one text, where a list costs a copy for each token. ``unmarked`` gives their plain forms."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\p{Co} \t-\r]+", " ")
+
+
+def unmarked(text: str) -> str:
+    """A lower-cased text without marks, as in ``tokens``: a mark's base is of the mark's own kind, so that it makes no difference whether a text is cut before or after."""
+    if text.isascii():
+        return text
+    c = np.frombuffer(text.encode("utf-32-le"), "<u4").copy()
+    small = c < len(_PLAIN)
+    c[small] = _PLAIN[c[small]]
+    return c.tobytes().decode("utf-32-le")
+
+
 def query_tokens(text: Column) -> Column:
     """Runs of letters and digits of a query, as written."""
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions.text import CJK_RANGES, cjk_bigrams, query_tokens, tokens
+from larder.functions.text import CJK_RANGES, cjk_bigrams, query_tokens, spaced, tokens, unmarked
 
 K1, B = 1.2, 0.75
 KEYS = ["doc_id", "ordinal"]
@@ -33,14 +33,26 @@ COMMIT = "gen int, base int, buckets int, chunks long"
 
 
 def _fields(chunks: DataFrame) -> DataFrame:
-    """Tokens of the fields of chunks (doc_id, ordinal, text, heading, and ``pairs`` where a table has it): ``t`` of the text, ``h`` of its heading, ``p`` of the text with CJK runs as pairs.
+    """Tokens of the fields of chunks (doc_id, ordinal, text, heading, and ``pairs`` where a table has it), with blanks between them: ``t`` of the text, ``h`` of its heading, ``p`` of the text with CJK runs as pairs.
 
-    Without CJK the first and third are the same and are stored once, for two. (Each list is used once, so that no text is split again for its length.)
+    Without CJK the first and third are the same and are stored once, for two. (Few texts have a character of the one wide range, and only those are looked at for the exact ones.)
     """
     c = chunks if "pairs" in chunks.columns else chunks.withColumn("pairs", F.lit(None).cast("string"))
-    c = c.select(*KEYS, F.col("text").rlike(f"[{CJK_RANGES}]").alias("cjk"), tokens(F.coalesce("text", F.lit(""))).alias("t"), tokens(F.coalesce("heading", F.lit(""))).alias("h"), "text", "pairs")
-    c = c.withColumn("b", F.when(F.col("cjk"), F.coalesce("pairs", cjk_bigrams(F.col("text"))))).withColumn("p", F.when(F.col("cjk"), tokens(F.col("b"))))  # a step of its own, as ``tokens`` reads its text twice
-    return c.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ordinal").cast("int").alias("ordinal"), F.coalesce("cjk", F.lit(False)).alias("cjk"), "t", "h", F.coalesce("p", F.array().cast("array<string>")).alias("p"))
+    cjk = F.col("text").rlike(f"[{CJK_RANGES[0:6]}-{CJK_RANGES[-6:]}]") & F.col("text").rlike(f"[{CJK_RANGES}]")
+    c = c.select(*KEYS, F.coalesce(cjk, F.lit(False)).alias("cjk"), spaced(F.col("text")).alias("t"), spaced(F.col("heading")).alias("h"), "text", "pairs")
+    c = c.withColumn("p", F.when(F.col("cjk"), spaced(F.coalesce("pairs", cjk_bigrams(F.col("text"))))))
+    return c.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ordinal").cast("int").alias("ordinal"), "cjk", "t", "h", "p")
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words between the blanks of texts, one after the other, with the row and the place of each, and how many a row has."""
+    lists = pc.ascii_split_whitespace(texts)
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat, rows = lists.flatten(), np.repeat(np.arange(len(n)), n)
+    full = pc.greater(pc.binary_length(flat), 0)  # blanks at the ends give empty words
+    flat, rows = flat.filter(full), rows[full.to_numpy(zero_copy_only=False)]
+    n = np.bincount(rows, minlength=len(n))
+    return flat, rows, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n), n
 
 
 def _block(**lists) -> bytes:
@@ -54,38 +66,40 @@ def _block(**lists) -> bytes:
 
 def _grouped(b: pa.RecordBatch, buckets: int):
     """(bucket, block) of a few thousand chunks: the chunks' own table, and of each bucket its terms in order with the chunks, fields and places of each."""
-    sizes = {x: pc.fill_null(pc.list_value_length(b.column(x)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in "thp"}
+    cut = {x: _words(b.column(x)) for x in "thp"}
     cjk = b.column("cjk").to_numpy(zero_copy_only=False)
-    size = sizes["t"] + sizes["h"] + np.where(cjk, sizes["p"], sizes["t"])  # of all fields
+    size = cut["t"][3] + cut["h"][3] + np.where(cjk, cut["p"][3], cut["t"][3])  # of all fields
     held = {"doc_id": b.column("doc_id"), "ordinal": b.column("ordinal"), "len": pa.array(size.astype(np.int32)), "cjk": b.column("cjk")}
     yield CHUNKS, _block(**held)
-    flat, rows, fields, places = [], [], [], []
-    for i, (name, n) in enumerate(sizes.items()):
-        flat.append(b.column(name).flatten())
-        rows.append(np.repeat(np.arange(len(n)), n))
-        places.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        fields.append(np.full(n.sum(), i))
-    words = pa.concat_arrays(flat).dictionary_encode()
+    words = pa.concat_arrays([x[0] for x in cut.values()]).dictionary_encode()
     if not len(words):
         return
-    rows, fields, places, code = *map(np.concatenate, (rows, fields, places)), words.indices.to_numpy()
-    of = np.array([zlib.crc32(w.encode()) % buckets for w in words.dictionary.to_pylist()])
-    order = pc.sort_indices(pa.table({"b": of, "w": words.dictionary}), sort_keys=[("b", "ascending"), ("w", "ascending")]).to_numpy()
+    plain = unmarked(pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), " ")[0].as_py()).encode().split(b" ")
+    hashed = np.fromiter(map(zlib.crc32, plain), np.int64, len(plain))
+    plain = pa.array(plain, pa.binary()).dictionary_encode()  # different words may have the same plain one
+    code, words = plain.indices.to_numpy()[words.indices.to_numpy()], plain.dictionary
+    of = np.empty(len(words), np.int64)
+    of[plain.indices.to_numpy()] = hashed % buckets
+    order = pc.array_sort_indices(words).to_numpy().astype(np.int64)
+    order = order[np.argsort(of[order], kind="stable")]  # by bucket, then by word
     rank = np.empty(len(of), np.int64)
     rank[order] = np.arange(len(of))
-    key = (rank[code] * b.num_rows + rows) * 3 + fields
-    at = np.argsort(key, kind="stable")
-    key, places = key[at], places[at]
+    rows, places = (np.concatenate([x[i] for x in cut.values()]) for i in (1, 2))
+    fields = np.repeat(np.arange(3), [len(x[1]) for x in cut.values()])
+    # A key is a plain number: the word, the chunk, the field (two bits) and the place.
+    low, wide = int(places.max()).bit_length(), b.num_rows.bit_length() + 2
+    key = np.sort(rank[code] << wide + low | rows << 2 + low | fields << low | places)
+    places, key = key & (1 << low) - 1, key >> low
     begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])  # of each term, chunk and field
-    count, key = np.diff(np.r_[begin, len(at)]), key[begin]
-    fields, rows, key = key % 3, key // 3 % b.num_rows, key // 3 // b.num_rows
+    key, end = key[begin], np.r_[begin, len(key)]
+    count, fields, rows, key = np.diff(end), key & 3, (key & (1 << wide) - 1) >> 2, key >> wide
+    edges = np.searchsorted(key, np.searchsorted(of[order], np.arange(buckets + 1)))
     small = lambda x: pa.array(x.astype(np.int16 if x.max() < 2**15 else np.int32))
-    for bucket in range(buckets):
-        lo, hi = np.searchsorted(of[order][key], [bucket, bucket + 1])
+    for bucket, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
         if lo < hi:
-            mine, times = np.unique(key[lo:hi], return_counts=True)
-            end = begin[hi] if hi < len(begin) else len(places)
-            yield bucket, _block(words=words.dictionary.take(pa.array(order[mine])), times=pa.array(times), rows=small(rows[lo:hi]), fields=pa.array(fields[lo:hi].astype(np.int8)), counts=small(count[lo:hi]), places=small(places[begin[lo] : end]), **held)
+            first = np.flatnonzero(np.r_[True, key[lo + 1 : hi] != key[lo : hi - 1]])  # of each term
+            mine, times = order[key[lo:hi][first]], np.diff(np.r_[first, hi - lo])
+            yield bucket, _block(words=words.take(pa.array(mine)).cast(pa.string()), times=pa.array(times), rows=small(rows[lo:hi]), fields=pa.array(fields[lo:hi].astype(np.int8)), counts=small(count[lo:hi]), places=small(places[end[lo] : end[hi]]), **held)
 
 
 def _packed(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -166,7 +180,7 @@ def score(found: DataFrame, held: DataFrame, asked: DataFrame, long: bool = True
 
         tf_ = tf_.select("phrase", *KEYS, "len", F.when(F.col("n") == 1, F.col("one")).otherwise(begins(0) + begins(1) + begins(2)).alias("tf")).where("tf > 0")
     else:
-        tf_ = votes.groupBy("phrase", *KEYS, "len").agg(F.sum("one").alias("tf"))
+        tf_ = votes.groupBy("phrase", *KEYS, "len").agg(F.sum("one").alias("tf")).where("tf > 0")  # all are; with this the counts below need the same columns, so that postings are read and dealt once
     df_ = tf_.groupBy("phrase").agg(F.count("*").alias("df"))
     stats = held.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
     n, tf = F.col("n"), F.col("tf")
@@ -208,7 +222,7 @@ def available(spark: SparkSession, root: str) -> bool:
     return bool(log) and all(r["gen"] in held or not r["chunks"] for r in log if r["gen"] >= log[-1]["base"])
 
 
-def _publish(chunks: DataFrame, touched: DataFrame, root: str, gen: int, base: int, buckets: int) -> None:
+def _publish(chunks: DataFrame, touched: DataFrame | None, root: str, gen: int, base: int, buckets: int) -> None:
     spark = chunks.sparkSession
     _write(_packed(chunks, buckets), root, "packed", gen, ("bucket",))  # few rows: a block a bucket for each few thousand chunks
     blocks = _read(spark, root, f"packed/gen={gen}", PACKED)
@@ -221,17 +235,18 @@ def _publish(chunks: DataFrame, touched: DataFrame, root: str, gen: int, base: i
     with ThreadPoolExecutor(AT_ONCE) as several:
         list(several.map(spread, range(buckets)))
     _write(lengths(unpack(CHUNKS)), root, "lengths", gen)
-    _write(touched.select("doc_id").distinct(), root, "touched", gen)
-    _write(spark.createDataFrame([], PACKED), root, "packed", gen)  # the blocks are no longer needed
-    n = _read(spark, root, "lengths", LENGTH).where(F.col("gen") == gen).count()
-    spark.createDataFrame([(gen, base, buckets, n)], COMMIT).coalesce(1).write.mode("append").parquet(f"{root}/commits")
+    held = _read(spark, root, "lengths", LENGTH).where(F.col("gen") == gen)
+    _write((held if touched is None else touched).select("doc_id").distinct(), root, "touched", gen)  # (a build's items have all lengths, and no text is read for them)
+    _write(spark.range(0).select(*(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in PACKED.split(", ")))), root, "packed", gen)  # the blocks are no longer needed
+    row = dict(gen=gen, base=base, buckets=buckets, chunks=held.count())
+    spark.range(1).select(*(F.lit(row[c]).cast(t).alias(c) for c, t in (x.split() for x in COMMIT.split(", ")))).coalesce(1).write.mode("append").parquet(f"{root}/commits")
 
 
 def build(chunks: DataFrame, root: str, buckets: int = 16) -> None:
     """Index all chunks anew; with an index there already this is its rebuild, after which older generations are not read."""
     spark = chunks.sparkSession
     gen = commits(spark, root)[-1]["gen"] + 1 if available(spark, root) else 0
-    _publish(chunks, chunks.select("doc_id"), root, gen, gen, buckets)
+    _publish(chunks, None, root, gen, gen, buckets)
 
 
 def reindex(chunks: DataFrame, touched: DataFrame, root: str) -> None:

@@ -43,6 +43,28 @@ def test_index_shuffles_no_tokens(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/i/postings").count() == 9 and not spark.read.schema(index.PACKED).parquet(f"{tmp_path}/i/packed").count()
 
 
+def test_index_texts_go_whole(spark, tmp_path):
+    """A build sends a text with blanks between its tokens, not a list of them, and the words of it are those of ``tokens``; the items of a build come from its lengths, not from the texts."""
+    from larder.functions.text import spaced, tokens, unmarked
+    from larder.operators import index
+
+    random.seed(5)
+    parts = ["a", "Bc", "é", "ÀÅ", "Å", "İ", "ẛ", "ſ", "ß", "ΑΣ", "ΣΑ", "΅", "9", "½", "検", "・", "가", "😀", "𝒳", "\ue000", "\u0301", "\x85", "\u2028", "\u3000", " ", "  ", "\t", "\n", "\x0b", "\x1c", ".", "--", "'", ""]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 16))) for _ in range(2000)]
+    rows = spark.createDataFrame([(i, 0, t, None) for i, t in enumerate(texts)], "doc_id long, ordinal int, text string, heading string")
+    for r in rows.select(spaced(F.col("text")).alias("s"), tokens(F.col("text")).alias("t")).collect():
+        assert [w for w in unmarked(r["s"]).encode().split()] == [w.encode() for w in r["t"]]
+    sent = index._fields(rows)
+    assert {sent.schema[c].dataType.simpleString() for c in "thp"} == {"string"}
+    got = {}
+    for r in index.postings(rows).where("field = 0 and term is not null").collect():
+        got.setdefault(r["doc_id"], []).extend((p, r["term"]) for p in r["places"])
+    want = {r["doc_id"]: list(enumerate(r["t"])) for r in rows.select("doc_id", tokens(F.col("text")).alias("t")).collect() if r["t"]}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    index.build(rows, f"{tmp_path}/i")
+    assert spark.read.parquet(f"{tmp_path}/i/touched").select("doc_id").distinct().count() == 2000
+
+
 def test_embedding_holds_few_texts(spark):
     """However many texts a batch has, a task holds the tokens of a bounded number."""
     from larder.operators import embed
