@@ -27,6 +27,8 @@ POSTING = f"{ROW}, gen int, bucket int"
 PACKED = "bucket int, block binary"
 # Chunks grouped at a time, the bucket number of their own table, and buckets unpacked side by side.
 GROUPED, CHUNKS, AT_ONCE = 4096, -1, 4
+# Pages far smaller than a run (of 4096 chunks), so that a search passes over those without its terms; ids do not repeat within a term, so a dictionary of them is work for nothing.
+PAGES = {"parquet.page.row.count.limit": "2000", "parquet.enable.dictionary#doc_id": "false"}
 LENGTH = "doc_id long, ordinal int, len int, gen int"
 TOUCHED = "doc_id long, gen int"
 COMMIT = "gen int, base int, buckets int, chunks long"
@@ -230,7 +232,7 @@ def _publish(chunks: DataFrame, touched: DataFrame | None, root: str, gen: int,
 
     def spread(b):
         # A folder of its own for each bucket, so that no task sorts its rows by bucket.
-        unpack(b).write.mode("overwrite").parquet(f"{root}/postings/gen={gen}/bucket={b}")
+        unpack(b).write.mode("overwrite").options(**PAGES).parquet(f"{root}/postings/gen={gen}/bucket={b}")
 
     with ThreadPoolExecutor(AT_ONCE) as several:
         list(several.map(spread, range(buckets)))

@@ -65,6 +65,18 @@ def test_index_texts_go_whole(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/i/touched").select("doc_id").distinct().count() == 2000
 
 
+def test_a_search_passes_over_pages(spark, tmp_path):
+    """Pages of a bucket that cannot hold the term are not read."""
+    from larder.operators import index
+
+    rows = spark.range(6000).coalesce(1).select(F.col("id").alias("doc_id"), F.lit(0).alias("ordinal"), F.format_string("w%05d", "id").alias("text"), F.lit(None).cast("string").alias("heading"))
+    index.build(rows, f"{tmp_path}/i", buckets=1)
+    found = index._read(spark, f"{tmp_path}/i", "postings", index.POSTING).where("term = 'w00001'")._jdf.queryExecution()
+    plan = found.executedPlan()
+    assert found.toRdd().count() == 1
+    assert plan.collectLeaves().head().metrics().apply("numOutputRows").value() <= 4000
+
+
 def test_embedding_holds_few_texts(spark):
     """However many texts a batch has, a task holds the tokens of a bounded number."""
     from larder.operators import embed
