@@ -29,7 +29,8 @@ def index_refresh(spark, sf):
     index.build(rows, root)
     labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     heading = F.when(F.col("quality") == 1, "the worthy clown").otherwise("eau")
-    fresh = rows.drop("heading").join(labels.where("toxic = 0"), "doc_id").withColumn("heading", heading)
+    stay = labels.where("toxic = 0")
+    fresh = index_rows(spark, sf, stay).drop("heading").join(stay, "doc_id").withColumn("heading", heading)
     index.reindex(fresh, labels, root)
     return _shown(index.search(spark, root, asked(spark)))
 

@@ -13,9 +13,11 @@ def asked(spark):
     return spark.createDataFrame(ASKED, "query_id int, text string")
 
 
-def index_rows(spark, sf):
-    """Index rows: the windows of every text; plain texts have no heading."""
-    return search.chunks(table(spark, sf, "documents").where("text is not null")).withColumn("heading", F.lit(None).cast("string"))
+def index_rows(spark, sf, ok=None):
+    """Index rows: the windows of every text, or of those of the items ``ok`` (doc_id), which are chosen before a text is cut; plain texts have no heading."""
+    docs = table(spark, sf, "documents").where("text is not null")
+    docs = docs if ok is None else docs.join(ok.select("doc_id"), "doc_id", "left_semi")
+    return search.chunks(docs).withColumn("heading", F.lit(None).cast("string"))
 
 
 _BUILT: dict[tuple, str] = {}

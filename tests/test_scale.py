@@ -77,6 +77,18 @@ def test_a_search_passes_over_pages(spark, tmp_path):
     assert plan.collectLeaves().head().metrics().apply("numOutputRows").value() <= 4000
 
 
+def test_items_are_chosen_before_their_texts_are_cut(spark):
+    """Index rows of some items: the join stands below the explode."""
+    from larder.plans.shared import index_rows
+
+    ok = spark.createDataFrame([(1,), (5,)], "doc_id long")
+    got = index_rows(spark, "/root/testdata/sf0.001", ok)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Generate") < plan.index("Join LeftSemi")
+    want = index_rows(spark, "/root/testdata/sf0.001").where("doc_id in (1, 5)")
+    assert sorted(map(tuple, got.select("doc_id", "ordinal", "text").collect())) == sorted(map(tuple, want.select("doc_id", "ordinal", "text").collect()))
+
+
 def test_embedding_holds_few_texts(spark):
     """However many texts a batch has, a task holds the tokens of a bounded number."""
     from larder.operators import embed
