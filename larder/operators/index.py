@@ -182,7 +182,7 @@ def score(found: DataFrame, held: DataFrame, asked: DataFrame, long: bool = True
 
         tf_ = tf_.select("phrase", *KEYS, "len", F.when(F.col("n") == 1, F.col("one")).otherwise(begins(0) + begins(1) + begins(2)).alias("tf")).where("tf > 0")
     else:
-        tf_ = votes.groupBy("phrase", *KEYS, "len").agg(F.sum("one").alias("tf")).where("tf > 0")  # all are; with this the counts below need the same columns, so that postings are read and dealt once
+        tf_ = votes.groupBy("phrase", *KEYS, "len").agg(F.sum("one").alias("tf")).where("tf > 0")  # all are; with this the counts below need the same columns, so that postings are read and dealt once, unless a later join pushes a filter below one of the two
     df_ = tf_.groupBy("phrase").agg(F.count("*").alias("df"))
     stats = held.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
     n, tf = F.col("n"), F.col("tf")
